@@ -41,7 +41,30 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_tokens, op4_urls)}
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from inkgrid.llm.langid import predict, remainder, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.where(remainder("doc_id") != 0), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return predict(docs, model).select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "lang_pred", F.col("score"))
+
+
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkgrid.llm.decontam import contamination, digest
+
+    return digest(contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkgrid.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_tokens, op4_urls, op6_langid, op8_decontam, op9_quality)}
 
 _URLS = r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -76,4 +99,17 @@ SELECT e.doc_id, e.size, source_size, target, (sure + coalesce(more, 0))::INT AS
 """
 )
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": _MIX, "op4_urls": _URLS}
+#: Windows by their number of words; documents are cut at each number that occurs.
+_DECONTAM = r"""
+WITH i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM v) WHERE len(w) >= n)),
+m AS (SELECT doc_id, x.n, k, item FROM x JOIN v ON x.win = v.win),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mixing": _MIX, "op4_urls": _URLS, "op8_decontam": _DECONTAM}
