@@ -64,7 +64,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_tokens, op4_urls, op6_langid, op8_decontam, op9_quality)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkgrid.llm.pii import digest, find_pii
+
+    return digest(find_pii(_table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_tokens, op4_urls, op6_langid, op8_decontam, op9_quality, op10_pii)}
 
 _URLS = r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

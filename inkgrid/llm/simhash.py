@@ -347,4 +347,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = nodes.join(own, "fp")
     roots = linked.groupBy("root").agg(F.min("own").alias("component_id"))
     where = own.join(linked.select("fp", "root").join(roots, "root"), "fp", "left").select("fp", F.coalesce("component_id", "own").alias("component_id"))
+    where = keep(where, "simhash-components")  # then the join below is on its own, and Spark can split a hot fingerprint's rows
     return fps.join(where, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
