@@ -62,7 +62,8 @@ def _fill(rows: DataFrame, k: int) -> DataFrame:
     rows = rows.join(base, ["g", "run"]).withColumn("at", at)
     rows = rows.withColumn("new", may & (F.col("at") <= F.col("left")))
     done = keep(rows.select("g", "run", "id", "row", "size", "rank", "left", (F.col("in") | F.col("new")).alias("in"), "new"), f"mix-{k}")
-    taken = done.groupBy("g").agg(F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).alias("got"))
+    # written, so that Spark knows its size, can broadcast it, and doesn't deal the next pass's rows by source
+    taken = keep(done.groupBy("g").agg(F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).alias("got")).coalesce(1), f"mix-{k}-taken")
     return done.join(taken, "g").select("g", "run", "id", "row", "size", "rank", (F.col("left") - F.col("got")).alias("left"), "in")
 
 

@@ -41,6 +41,12 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkgrid.llm.warc import read_archives, write_archives
+
+    return read_archives(spark, write_archives(_table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from pyspark.sql import functions as F
@@ -70,7 +76,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_tokens, op4_urls, op6_langid, op8_decontam, op9_quality, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_tokens, op4_urls, op5_warc, op6_langid, op8_decontam, op9_quality, op10_pii)}
 
 _URLS = r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -118,4 +124,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": _MIX, "op4_urls": _URLS, "op8_decontam": _DECONTAM}
+#: DuckDB has no base32: eight digits of five bits for each of the four parts of a SHA-1.
+_WARC = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS h FROM p),
+x AS (SELECT page_id, payload_bytes, h, list_reduce(list_transform(range(0, 4), lambda i: list_reduce(list_transform(range(0, 8), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + i * 10, 10))::BIGINT >> (35 - 5 * j)) & 31)::INT, 1)), lambda a, c: a || c)), lambda a, c: a || c) AS payload_digest FROM d),
+f AS (SELECT h, min(page_id) AS lead FROM d GROUP BY h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > lead THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > lead THEN lead END AS refers_to FROM x JOIN f USING (h)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mixing": _MIX, "op4_urls": _URLS, "op5_warc": _WARC, "op8_decontam": _DECONTAM}

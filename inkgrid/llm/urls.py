@@ -28,7 +28,8 @@ def host_path(url: F.Column) -> tuple[F.Column, F.Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def _reversed(host: F.Column) -> F.Column:
+def reversed_host(host: F.Column) -> F.Column:
+    """Labels in reverse order, with commas: com,example,www."""
     return F.array_join(F.reverse(F.split(host, r"\.")), ",")
 
 
@@ -37,7 +38,7 @@ def rule_ends(rules: DataFrame) -> DataFrame:
     the stack is then empty. key is the reversed host; at is a position among paths. Of rules that repeat, block wins."""
     r = rules.select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host is not null")
     r = r.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    r = r.select(_reversed(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict").withColumn("n", F.length("rule"))
+    r = r.select(reversed_host(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict").withColumn("n", F.length("rule"))
     # what is left on the stack when a rule ends: the longest other rule of the host whose path is a prefix of its path
     prefixes = r.select("key", "path", F.explode(F.expr("transform(sequence(0, length(path)), i -> left(path, i))")).alias("up")).where("up <> path")
     around = prefixes.join(r.select("key", F.col("path").alias("up"), F.struct("n", "rule", "verdict").alias("outer")), ["key", "up"])
