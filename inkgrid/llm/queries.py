@@ -58,6 +58,14 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "lang_pred", F.col("score"))
 
 
+def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from inkgrid.llm.search import top_k
+
+    return top_k(_table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0).withColumn("score", F.round("score", 6))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkgrid.llm.decontam import contamination, digest
 
@@ -76,7 +84,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_tokens, op4_urls, op5_warc, op6_langid, op8_decontam, op9_quality, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_tokens, op4_urls, op5_warc, op6_langid, op7_search, op8_decontam, op9_quality, op10_pii)}
 
 _URLS = r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -133,4 +141,15 @@ f AS (SELECT h, min(page_id) AS lead FROM d GROUP BY h)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > lead THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > lead THEN lead END AS refers_to FROM x JOIN f USING (h)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": _MIX, "op4_urls": _URLS, "op5_warc": _WARC, "op8_decontam": _DECONTAM}
+_SEARCH = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents),
+t AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY ALL),
+l AS (SELECT d.doc_id, coalesce(sum(tf), 0)::DOUBLE AS dl FROM documents d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id),
+g AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM l),
+f AS (SELECT word, count(*)::DOUBLE AS df, ln(1 + ((SELECT n FROM g) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM t GROUP BY word),
+q AS (SELECT doc_id AS query_id, word, idf FROM t JOIN f USING (word) WHERE df > 1 AND doc_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf * idf DESC, word) <= 12),
+s AS (SELECT query_id, t.doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avgdl FROM g)))), 9) AS score FROM q JOIN t USING (word) JOIN l ON l.doc_id = t.doc_id GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM s QUALIFY rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mixing": _MIX, "op4_urls": _URLS, "op5_warc": _WARC, "op7_search": _SEARCH, "op8_decontam": _DECONTAM}
