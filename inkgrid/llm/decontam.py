@@ -79,6 +79,38 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(at[run[0]][0], at[run[-1]][1]) for run in np.split(hit, cuts) if len(run)]
 
 
+def _passes(table: DataFrame) -> tuple[DataFrame, int]:
+    """The windows, and how many automata they need."""
+    size = table.agg(F.sum(F.length("window") + F.size("items") * 16 + 64)).first()[0] or 0
+    return table, max(1, -(-int(size) // AUTOMATON_BYTES))
+
+
+def _shared(table: DataFrame, passes: int, k: int):
+    """The windows of one automaton for all tasks: about AUTOMATON_BYTES at most."""
+    own = table.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == k) if passes > 1 else table
+    return table.sparkSession.sparkContext.broadcast([(bytes(r["window"]), list(r["items"])) for r in own.collect()])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window occurs. Edge cases as in contamination()."""
+    small_batches(docs.sparkSession)
+    (table, passes), at = _passes(windows(benchmark, item_col, item_text_col, width)), docs.columns.index(text_col)
+
+    def without(rows: DataFrame, k: int) -> DataFrame:
+        shared = _shared(table, passes, k)
+
+        def run(batches):
+            scanner = Scanner(shared.value)
+            for b in batches:
+                yield b.filter(pa.array([len(scanner(t)[1]) == 0 for t in b.column(at).to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    for k in range(passes):
+        docs = without(docs, k)
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
     """(id, n_words, hit_words, spans, items), a row for each row of docs: its number of words, the indexes of those inside any
     window, their runs as [start, end) in characters of the text, and the sorted ids of items with windows in it.
@@ -88,15 +120,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    table = windows(benchmark, item_col, item_text_col, width)
-    size = table.agg(F.sum(F.length("window") + F.size("items") * 16 + 64)).first()[0] or 0
-    passes = max(1, -(-int(size) // AUTOMATON_BYTES))
+    table, passes = _passes(windows(benchmark, item_col, item_text_col, width))
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, row long, n_words long, hit_words array<int>, spans array<struct<start:int,end:int>>, items array<string>"
 
     def scan(k: int) -> DataFrame:
-        own = table.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == k) if passes > 1 else table
-        shared = spark.sparkContext.broadcast([(bytes(r["window"]), list(r["items"])) for r in own.collect()])  # about AUTOMATON_BYTES at most
+        shared = _shared(table, passes, k)
 
         def run(batches):
             scanner = Scanner(shared.value)

@@ -236,3 +236,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
+
+
+def accept(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language: not `und`, and a score of at least `least`."""
+    small_batches(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast((model.path, model.langs, model.p.astype(np.float32))), docs.columns.index(text_col)
+
+    def run(batches):
+        path, langs, p = shared.value
+        score = Model(path, langs, p.astype(np.float64)).scorer()
+        for b in batches:
+            found = [score(t) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([lang != "und" and x >= least for lang, x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

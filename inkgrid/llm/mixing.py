@@ -98,3 +98,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return state.join(sources.select("g", "source_size", "target", "sure"), "g").select(
         F.col("id").alias(id_col), "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 7) -> DataFrame:
+    """The mix itself: each row of docs, with all its columns, as often as mix() takes it. Rows that repeat an id are taken as often as the
+    one of them that is taken most."""
+    copies = mix(docs, id_col, text_col, source_col, weights, most, seed).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    rows = docs.join(keep(copies, "mix-copies"), docs[id_col].eqNullSafe(F.col("__id")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*(docs[c] for c in docs.columns))

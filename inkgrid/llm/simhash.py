@@ -349,3 +349,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     where = own.join(linked.select("fp", "root").join(roots, "root"), "fp", "left").select("fp", F.coalesce("component_id", "own").alias("component_id"))
     where = keep(where, "simhash-components")  # then the join below is on its own, and Spark can split a hot fingerprint's rows
     return fps.join(where, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of docs, with all their columns, that have the smallest id of their group of near duplicates. Of rows that
+    repeat an id one stays; rows with a null id stay."""
+    groups = keep(near_duplicates(docs, id_col, text_col, shingle, distance).select(F.col(id_col).alias("id"), "component_id"), "simhash-groups")
+    drop = keep(groups.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "simhash-drop")
+    kept = docs.join(drop, id_col, "left_anti")
+    repeated = keep(groups.where("id = component_id").groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col)), "simhash-repeated")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, id_col, "left_anti").unionByName(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
