@@ -8,10 +8,12 @@ sums, so that a global position is a shard's base plus a local offset.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,11 @@ from pyspark.taskcontext import TaskContext
 
 from inkgrid.llm.common import small_batches, workspace
 
-#: Entries of a worker's table of known pieces; it starts anew beyond that.
-KNOWN = 300_000
-#: A text without a place to cut goes to the tokenizer whole; others in pieces.
-_ODD = re.compile(r"\s ")
+#: Pieces that a worker knows: it keeps the last so many new ones, and those of the turn before until they are met again.
+KNOWN = 150_000
+#: White space beside white space, and the kinds of it that keep a text from being cut into pieces.
+_SPACES = re.compile(r"\s\s")
+_ODD = re.compile(r"\s |[^\S\n]\s|\n[^\S\n]|\n\n\n|\n\n\Z")
 
 SHARD = "shard int, name string, n_docs long, n_ids long"
 
@@ -34,39 +37,86 @@ def byte_order(width: int) -> np.dtype:
     return np.dtype(f"<u{width}")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that a byte-level BPE writes bytes as: printable Latin-1 as itself, the others from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Token ids of whole texts, by the tokenizers library.
 
-    The pre-tokenizer of a byte-level BPE never joins a blank to what stands before it, unless that is white space too. So a
-    text without such a place is cut before each blank, and equal pieces are encoded once. Other texts go to the library whole,
-    or, where long, in parts cut before a blank that follows other than white space.
+    The pre-tokenizer of a byte-level BPE never joins a blank to what stands before it, and takes line breaks one by one, unless there
+    is more white space beside them. So a text without such a place is cut at line breaks and before blanks, and equal pieces are
+    encoded once. A piece of Latin letters is one word to the pre-tokenizer and goes to the library's model as it is; a mark after a
+    letter is a token of its own; all other pieces go through the whole tokenizer. So do texts with such a place, in parts cut before a
+    blank that follows other than white space.
     """
 
+    LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.known = Tokenizer.from_file(path), byte_order(width), {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer, self.kind = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        #: Ids of words with a blank before them, by the word, and of pieces as they are. Two turns of each.
+        self.after_blank: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {"": b""}
+
+    def whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, p: str) -> bytes:
+        """The ids of one piece, as it is."""
+        if self.LETTERS.fullmatch(p):
+            return array(self.kind, [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return self.whole(p)
+
+    def start(self, word: str) -> bytes:
+        """The ids of a word at the start of a line."""
+        found = self.plain.get(word)
+        if found is None:
+            found = self.piece(word)
+            if len(self.plain) >= KNOWN // 4:
+                self.plain = {"": b""}
+            self.plain[word] = found
+        return found
+
+    def word(self, word: str) -> bytes:
+        """The ids of a blank and a word."""
+        found = self.older.get(word)
+        if found is None:
+            if word[-1:] in (".", ",", "!") and self.LETTERS.fullmatch(word[:-1]):
+                found = (self.after_blank.get(word[:-1]) or self.word(word[:-1])) + self.start(word[-1])
+            else:
+                found = self.piece(" " + word)
+        if len(self.after_blank) >= KNOWN:
+            self.after_blank, self.older = {}, self.after_blank
+        self.after_blank[word] = found
+        return found
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
-            return b"".join(x for part in _parts(text) for x in self._encode([part]))
-        first, *rest = text.split(" ")
-        pieces = [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            if len(known) > KNOWN:
-                known.clear()
-            new = [*{p for p in pieces if p not in known}]
-            for at in range(0, len(new), 10_000):
-                known.update(zip(new[at : at + 10_000], self._encode(new[at : at + 10_000]), strict=True))
-            return b"".join([known[p] for p in pieces])
+        if _SPACES.search(text) and _ODD.search(text):
+            return b"".join(map(self.whole, _parts(text)))
+        out = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            known, word = self.after_blank, self.word
+            out.append(self.start(first))  # none if the text starts with a blank
+            out += [known.get(w) or word(w) for w in rest]
+            out.append(self.start("\n"))
+        return b"".join(out[:-1])
+
+
+@functools.cache
+def encoder(path: str, width: int) -> Encoder:
+    """One for each worker, which keeps it from task to task."""
+    return Encoder(path, width)
 
 
 def _parts(text: str, chars: int = 100_000):
@@ -96,7 +146,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
         batches = (b for b in batches if b.num_rows)
         if (first := next(batches, None)) is None:
             return
-        encode, end = Encoder(tokenizer_path, width), np.array([end_id], byte_order(width)).tobytes()
+        encode, end = encoder(tokenizer_path, width), np.array([end_id], byte_order(width)).tobytes()
         fs, root = pafs.FileSystem.from_uri(out)
         fs.create_dir(f"{root}/data", recursive=True)
         n = total = 0
