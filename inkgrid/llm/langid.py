@@ -9,6 +9,7 @@ maximisation (forward and backward passes) over the words of labelled documents.
 from __future__ import annotations
 
 import base64
+import functools
 from collections import Counter
 
 import numpy as np
@@ -21,7 +22,7 @@ from inkgrid.llm.common import forget, keep, small_batches
 #: Bytes of a word that are scored at once; a longer one is scored in parts, which no piece joins.
 WORD_BYTES = 48
 #: Words that a worker remembers; it starts anew beyond that.
-KNOWN = 400_000
+KNOWN = 250_000
 #: A multiplier for rolling hashes: the 64-bit golden ratio, a fixed value.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,12 +48,12 @@ class Lattice:
     def __init__(self, vocabulary: list[bytes]):
         self.longest = max(map(len, vocabulary))
         self.size = len(vocabulary)
-        keys = np.zeros(len(vocabulary), np.uint64)
-        for i, p in enumerate(vocabulary):
-            h = np.uint64(0)
-            for c in p:
-                h = self._next(h, np.uint64(c))
-            keys[i] = h
+        n, keys = np.array([len(p) for p in vocabulary]), np.zeros(len(vocabulary), np.uint64)
+        at = np.r_[0, np.cumsum(n)[:-1]]
+        flat = np.frombuffer(b"".join(vocabulary), np.uint8).astype(np.uint64)
+        for k in range(self.longest):
+            own = n > k
+            keys[own] = self._next(keys[own], flat[at[own] + k])
         assert len(np.unique(keys)) == len(keys), "two pieces have the same hash"
         self.bits = 20
         slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -126,6 +127,12 @@ class Lattice:
         return out
 
 
+@functools.cache
+def lattice_of(path: str) -> Lattice:
+    """One for each worker, which keeps it from task to task."""
+    return Lattice(pieces(path))
+
+
 def remainder(id_col: str) -> F.Column:
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
@@ -139,7 +146,7 @@ class Model:
 
     def scorer(self):
         """A function from a text to (language, score)."""
-        lattice, p, langs, known, table = Lattice(pieces(self.path)), self.p, self.langs, {}, np.zeros((KNOWN // 4, len(self.langs)), np.float32)
+        lattice, p, langs, known, table = lattice_of(self.path), self.p, self.langs, {}, np.zeros((KNOWN // 4, len(self.langs)), np.float32)
 
         def score(text: str | None) -> tuple[str, float]:
             nonlocal table
@@ -191,12 +198,12 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
 
     types = labelled.where(chosen).select("text", "lang").mapInArrow(count, "word binary, k int, n long").groupBy("word", "k").agg(F.sum("n").alias("n"))
     types = keep(types, "langid-words")
-    lattice = Lattice(pieces(vocabulary))
-    p = np.full((lattice.size, len(langs)), 1.0 / lattice.size)
+    size = len(pieces(vocabulary))
+    p = np.full((size, len(langs)), 1.0 / size)
     for _ in range(rounds):
 
         def step(batches, p=p):
-            lattice, total = Lattice(pieces(vocabulary)), np.zeros_like(p)
+            lattice, total = lattice_of(vocabulary), np.zeros_like(p)
             for b in batches:
                 words, k, n = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
                 counts = np.zeros((len(words), p.shape[1]))
