@@ -145,29 +145,45 @@ class Model:
         self.path, self.langs, self.p = path, langs, p
 
     def scorer(self):
-        """A function from a text to (language, score)."""
-        lattice, p, langs, known, table = lattice_of(self.path), self.p, self.langs, {}, np.zeros((KNOWN // 4, len(self.langs)), np.float32)
-
-        def score(text: str | None) -> tuple[str, float]:
-            nonlocal table
-            if not langs or not text or not any(map(str.isalpha, text)):
-                return "und", 0.0
-            words, total = words_of(text), np.zeros(len(langs))
-            for start in range(0, len(words), KNOWN // 4):
-                part = words[start : start + KNOWN // 4]
-                new = [*{w for w in part if w not in known}]
-                if new and len(known) + len(new) > KNOWN:
-                    known.clear()
-                    new = [*set(part)]
-                for at in range(0, len(new), 4096):
-                    z = np.log(np.maximum(lattice.forward(new[at : at + 4096], p)[0], 1e-300))
-                    while len(known) + len(z) > len(table):
-                        table = np.concatenate([table, np.zeros_like(table)])
-                    table[len(known) : len(known) + len(z)] = z
-                    known.update(zip(new[at : at + 4096], range(len(known), len(known) + len(z)), strict=True))
-                total += table[[known[w] for w in part]].sum(axis=0, dtype=np.float64)
-            best = int(total.argmax())
-            return langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+        """A function from texts to their (language, score)s. New words of many texts go through the lattice together."""
+        lattice, p, langs, known, table = lattice_of(self.path), self.p, self.langs, {}, np.zeros((KNOWN, len(self.langs)), np.float32)
+
+        def learn(new: list[bytes]) -> None:
+            for at in range(0, len(new), 8192):
+                part = new[at : at + 8192]
+                z = np.log(np.maximum(lattice.forward(part, p)[0], 1e-300))
+                table[len(known) : len(known) + len(part)] = z
+                known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
+
+        def some(texts: list[str | None]) -> list[tuple[str, float]]:
+            out: list[tuple[str, float]] = []
+            todo = [words_of(t) if langs and t and any(map(str.isalpha, t)) else [] for t in texts]
+            totals = np.zeros((len(texts), len(langs)))
+            for i, start in [(i, start) for i, words in enumerate(todo) for start in range(0, len(words), KNOWN // 2)]:
+                part = todo[i][start : start + KNOWN // 2]
+                if not known.keys() >= (own := set(part)):
+                    ahead = own.union(*(w for w in todo[i + 1 :] if len(w) < 10_000)) if len(own) < 10_000 else own
+                    new = [*(ahead - known.keys())]
+                    if len(known) + len(new) > KNOWN:
+                        known.clear()
+                        new = [*(ahead if len(ahead) <= KNOWN else own)]
+                    learn(new)
+                totals[i] += table[[known[w] for w in part]].sum(axis=0, dtype=np.float64)
+            for words, total in zip(todo, totals, strict=True):
+                best = int(total.argmax()) if words else 0
+                out.append((langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())) if words else ("und", 0.0))
+            return out
+
+        def score(texts: list[str | None]) -> list[tuple[str, float]]:
+            out, at = [], 0
+            while at < len(texts):  # about two million characters at a time
+                end, size = at, 0
+                while end < len(texts) and (end == at or size < 2_000_000):
+                    size += len(texts[end] or "")
+                    end += 1
+                out += some(texts[at:end])
+                at = end
+            return out
 
         return score
 
@@ -237,7 +253,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         path, langs, p = shared.value
         score = Model(path, langs, p.astype(np.float64)).scorer()
         for b in batches:
-            found = [score(t) for t in b.column(1).to_pylist()]
+            found = score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["id", "lang_pred", "score"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -254,7 +270,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "t
         path, langs, p = shared.value
         score = Model(path, langs, p.astype(np.float64)).scorer()
         for b in batches:
-            found = [score(t) for t in b.column(at).to_pylist()]
+            found = score(b.column(at).to_pylist())
             yield b.filter(pa.array([lang != "und" and x >= least for lang, x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
