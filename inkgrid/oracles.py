@@ -63,7 +63,7 @@ def _cdf(shape: str) -> str:
 _LOOKUP = f"""ax AS (SELECT abs((unnest(range(512)) + 0.5e0) / 512e0 - 0.5e0) AS u), pt AS (SELECT a.u AS u, b.u AS v FROM ax a, ax b),
 bins AS (SELECT 'ellipse' AS shape, {_cdf("ellipse")} AS bin FROM pt UNION ALL SELECT 'euclidean', {_cdf("euclidean")} FROM pt),
 n AS (SELECT shape, bin, count(*) AS n FROM bins GROUP BY ALL),
-cdf AS (SELECT shape, bin, ((sum(coalesce(n, 0)) OVER (PARTITION BY shape ORDER BY bin)) / 262144e0)::FLOAT::DOUBLE AS cdf FROM (SELECT unnest(range(8192))::INT AS bin), (VALUES ('ellipse'), ('euclidean')) sh(shape) LEFT JOIN n USING (shape, bin))"""
+cdf AS (SELECT shape, bin, ((sum(coalesce(n, 0)) OVER (PARTITION BY shape ORDER BY bin)) / 262144e0)::FLOAT::DOUBLE AS cdf FROM (SELECT unnest(range(8192))::INT AS bin) CROSS JOIN (VALUES ('ellipse'), ('euclidean')) sh(shape) LEFT JOIN n USING (shape, bin))"""
 
 
 def _threshold(where: str, angle: str, cell: str) -> str:
@@ -101,7 +101,7 @@ SELECT recipe_id, preset_id, lpi, shape, min_diameter_mm, concat_ws(',', CASE WH
 
 _NEAR = """SELECT DISTINCT p.image_id, p.x, p.y FROM {p} p, (VALUES (-1), (0), (1)) dx(dx), (VALUES (-1), (0), (1)) dy(dy) JOIN {q} q ON q.image_id = p.image_id AND q.x = p.x + dx AND q.y = p.y + dy WHERE (dx <> 0 OR dy <> 0)"""
 
-_RESAMPLED = f"""WITH {_ART}, {_PX}, z AS (SELECT image_id, width AS w, height AS h, (width * 2) // 3 AS ow, (height * 3) // 2 AS oh FROM art),
+_RESAMPLED = f"""WITH {_ART}, {_PX}, z AS (SELECT image_id, width AS w, height AS h, width - 5 AS ow, height + 7 AS oh FROM art),
 wx AS (SELECT image_id, ox, p, least((ox + 1) * sx, p + 1e0) - greatest(ox * sx, p) AS q, sx FROM (SELECT *, w / ow::DOUBLE AS sx FROM z), (SELECT unnest(range(64)) AS ox), (SELECT unnest(range(64)) AS p) WHERE ox < ow AND p < w AND p + 1 > ox * sx AND p < (ox + 1) * sx),
 cy AS (SELECT image_id, oy, h, greatest(0e0, least(h - 1e0, (oy + 0.5e0) * (h / oh::DOUBLE) - 0.5e0)) AS f FROM z, (SELECT unnest(range(64)) AS oy) WHERE oy < oh),
 wy AS (SELECT image_id, oy, floor(f)::INT AS p, 1e0 - (f - floor(f)) AS q FROM cy UNION ALL SELECT image_id, oy, least(h - 1, floor(f)::INT + 1), f - floor(f) FROM cy),
@@ -113,9 +113,9 @@ _MOCKUP = (
     _ALL
     + f""", nw AS (SELECT max(image_id) AS image_id FROM art GROUP BY p_brand),
 g AS (SELECT image_id, width AS w, height AS h, 30e0 * 5e0 AS aw, height / width::DOUBLE * 30e0 * 5e0 AS ah, recipe_id FROM art JOIN nw USING (image_id)),
-cv AS (SELECT g.*, rec.key, x, y, y >= 30 AND y <= 390 AND x >= 80e0 - sl AND x <= 340e0 + sl AS inside, 80e0 + 260e0 * 0.5e0 - aw / 2e0 AS al, 30 + 360e0 * 18 / 100e0 AS at
+cv AS (SELECT g.*, rec.key, x, y, y >= 30 AND y <= 390 AND x >= 80e0 - sl AND x <= 340e0 + sl AS inside, 80e0 + 260e0 * 0.5e0 - aw / 2e0 AS al, 30 + 360e0 * 18 / 100e0 AS tp
   FROM g JOIN rec USING (recipe_id), (SELECT unnest(range(420)) AS x), (SELECT unnest(range(540)) AS y, CASE WHEN y < 30 + 360e0 * 0.24e0 THEN 65e0 * (1e0 - (y - 30) / (360e0 * 0.24e0)) ELSE 0e0 END AS sl)),
-pl AS (SELECT *, CASE WHEN inside AND x >= floor(al) AND x < ceil(al + aw) AND y >= floor(at) AND y < ceil(at + ah) THEN least(w - 1, greatest(0, floor((x - al) / aw * w)))::INT END AS sx, least(h - 1, greatest(0, floor((y - at) / ah * h)))::INT AS sy FROM cv),
+pl AS (SELECT *, CASE WHEN inside AND x >= floor(al) AND x < ceil(al + aw) AND y >= floor(tp) AND y < ceil(tp + ah) THEN least(w - 1, greatest(0, floor((x - al) / aw * w)))::INT END AS sx, least(h - 1, greatest(0, floor((y - tp) / ah * h)))::INT AS sy FROM cv),
 f AS (SELECT pl.image_id, pl.x, pl.y, {", ".join(f"CASE WHEN o.ink THEN o.{c} WHEN inside THEN pl.key ELSE {k} END::BIGINT AS {c}" for c, k in (("r", 24), ("g", 27), ("b", 26)))}
   FROM pl LEFT JOIN (SELECT image_id, x, y, ink, {", ".join(f"{_print(c)} AS {c}" for c in "rgb")} FROM s WHERE ink) o ON o.image_id = pl.image_id AND o.x = sx AND o.y = sy)
 SELECT image_id, count(*) AS pixels, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b, sum(CASE WHEN r > 100 THEN x + y ELSE 0 END)::BIGINT AS places FROM f GROUP BY image_id"""

@@ -212,9 +212,9 @@ def checksums(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resampled(spark: SparkSession, d: str) -> DataFrame:
-    """A4, F8: all art at two thirds of its width and one and a half of its height."""
+    """A4, F8: all art 5 pixels narrower and 7 higher: weights without simple fractions, so that no sum is halfway between two bytes."""
     art = _art(spark, d)
-    s = art.select("image_id", "width", "height", F.floor(F.col("width") * 2 / 3).cast("int").alias("out_width"), F.floor(F.col("height") * 3 / 2).cast("int").alias("out_height"))
+    s = art.select("image_id", "width", "height", (F.col("width") - 5).alias("out_width"), (F.col("height") + 7).alias("out_height"))
     out = px.resample(views.pixels(art), s)
     return out.groupBy("image_id").agg(F.count("*").alias("pixels"), *(F.sum(c).alias(c) for c in "rgba"))
 
