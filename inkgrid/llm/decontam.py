@@ -22,6 +22,12 @@ _TABLE = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
+#: SQL: places of words, sorted, as spans of runs of neighbouring words.
+_RUNS = """aggregate(places, struct(cast(array() AS array<struct<start:int,end:int>>) AS runs, -2 AS word, 0 AS start, 0 AS end),
+ (s, w) -> if(w.word = s.word + 1, struct(s.runs AS runs, w.word AS word, s.start AS start, w.end AS end), struct(if(s.word >= 0, array_append(s.runs, struct(s.start AS start, s.end AS end)), s.runs) AS runs, w.word AS word, w.start AS start, w.end AS end)),
+ s -> if(s.word >= 0, array_append(s.runs, struct(s.start AS start, s.end AS end)), s.runs))"""
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).lower().split()
 
@@ -72,9 +78,14 @@ class Scanner:
         return len(words), np.flatnonzero(np.cumsum(change[:-1]) > 0), {i for _, (_, items) in found for i in items}
 
 
+def places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each word in characters of the original text."""
+    return [m.span() for m in _WORD.finditer(text)]
+
+
 def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     """Runs of hit words as (start, end) in characters of the original text."""
-    at = [m.span() for m in _WORD.finditer(text)]
+    at = places(text)
     cuts = np.flatnonzero(np.diff(hit) > 1) + 1
     return [(at[run[0]][0], at[run[-1]][1]) for run in np.split(hit, cuts) if len(run)]
 
@@ -122,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     small_batches(spark)
     table, passes = _passes(windows(benchmark, item_col, item_text_col, width))
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, row long, n_words long, hit_words array<int>, spans array<struct<start:int,end:int>>, items array<string>"
+    schema = f"id {id_type}, row long, n_words long, hit_words array<int>, spans array<struct<start:int,end:int>>, items array<string>, places array<struct<word:int,start:int,end:int>>"
 
     def scan(k: int) -> DataFrame:
         shared = _shared(table, passes, k)
@@ -130,25 +141,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches):
             scanner = Scanner(shared.value)
             for b in batches:
-                out = {"n_words": [], "hit_words": [], "spans": [], "items": []}
+                out = {"n_words": [], "hit_words": [], "spans": [], "items": [], "places": []}
                 for text in b.column(2).to_pylist():
                     n, hit, items = scanner(text)
                     out["n_words"].append(n)
                     out["hit_words"].append(hit.astype(np.int32))
                     out["spans"].append([{"start": s, "end": e} for s, e in spans(text, hit)] if len(hit) else [])
                     out["items"].append(sorted(items))
-                kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()})), pa.list_(pa.string()))
+                    at = places(text) if passes > 1 and len(hit) else []
+                    out["places"].append([{"word": int(w), "start": at[w][0], "end": at[w][1]} for w in hit] if at else [])
+                start_end = {"start": pa.int32(), "end": pa.int32()}
+                kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.struct(start_end)), pa.list_(pa.string()), pa.list_(pa.struct({"word": pa.int32()} | start_end)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["id", "row", *out])
 
         return rows.mapInArrow(run, schema)
 
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     found = scan(0)
-    if passes > 1:  # the passes' hits of a row are joined; their spans may then touch
+    if passes > 1:  # the hit words of all passes are joined, then runs of them
         for k in range(1, passes):
             found = found.unionByName(scan(k))
-        both = [F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hit_words", "spans", "items")]
-        found = found.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), *both)
+        both = [F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hit_words", "items", "places")]
+        found = found.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), *both).withColumn("spans", F.expr(_RUNS))
     return found.select(F.col("id").alias(id_col), "n_words", "hit_words", "spans", "items")
 
 
