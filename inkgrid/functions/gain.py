@@ -33,12 +33,16 @@ def parse_gain(text: Column) -> Column:
 
 def compensate_gain(v: Column, points: Column) -> Column:
     """The coverage to ask for so that v prints: the inverse of the curve, in straight lines between its points. No curve: v."""
-    zero, full = F.struct(F.lit(0.0).alias("nominal"), F.lit(0.0).alias("measured")), F.struct(F.lit(100.0).alias("nominal"), F.lit(100.0).alias("measured"))
-    knots, d = F.concat(F.array(zero), points, F.array(full)), v * 100.0
-    hi = F.size(F.filter(knots, lambda k: k["measured"] < d))  # knots before the first that reaches d
-    a, b = F.get(knots, hi - 1), F.get(knots, hi)
-    between = (a["nominal"] + (b["nominal"] - a["nominal"]) * (d - a["measured"]) / (b["measured"] - a["measured"])) / 100.0
-    return F.when(points.isNull(), v).when(d <= 0, F.lit(0.0)).when(d >= 100, F.lit(1.0)).otherwise(between)
+    d, full = v * 100.0, F.struct(F.lit(100.0).alias("nominal"), F.lit(100.0).alias("measured"))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), none.alias("out"))
+
+    def step(s: Column, k: Column) -> Column:
+        between = (s["n"] + (k["nominal"] - s["n"]) * (d - s["m"]) / (k["measured"] - s["m"])) / 100.0
+        return F.struct(k["nominal"].alias("n"), k["measured"].alias("m"), F.coalesce(s["out"], F.when(k["measured"] >= d, between)).alias("out"))
+
+    line = F.aggregate(F.concat(points, F.array(full)), start, step, lambda s: s["out"])
+    return F.when(points.isNull(), v).when(d <= 0, F.lit(0.0)).when(d >= 100, F.lit(1.0)).otherwise(line)
 
 
 def gain_summary(points: Column, tones: tuple[int, ...] = (10, 30, 50, 70, 90)) -> Column:

@@ -177,4 +177,5 @@ def resample(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     rows = wide.groupBy("image_id", "y", "ox").agg(F.sum(weight).alias("sa"), *(F.sum(F.col(c) * weight).alias(f"s_{c}") for c in RGB))
     tall = rows.join(axis("out_height", "height", "y", "oy", "wy"), ["image_id", "y"]).groupBy("image_id", "ox", "oy").agg(F.sum(F.col("sa") * F.col("wy")).alias("sa"), *(F.sum(F.col(f"s_{c}") * F.col("wy")).alias(f"s_{c}") for c in RGB))
     out = tall.where("sa > 0")
-    return out.select("image_id", F.col("ox").alias("x"), F.col("oy").alias("y"), *(color.rounded(F.col(f"s_{c}") / F.col("sa")).alias(c) for c in RGB), color.rounded(F.col("sa") * 255.0).alias("a"))
+    near = lambda x: color.rounded(F.round(x, 9))  # noqa: E731  sums come in any order; halves must not depend on it
+    return out.select("image_id", F.col("ox").alias("x"), F.col("oy").alias("y"), *(near(F.col(f"s_{c}") / F.col("sa")).alias(c) for c in RGB), near(F.col("sa") * 255.0).alias("a"))

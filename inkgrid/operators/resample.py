@@ -61,8 +61,8 @@ def resample_tiles(tiles: DataFrame, jobs: DataFrame, core: int = CORE) -> DataF
             s[p.y0 : p.y0 + p.ph, p.x0 : p.x0 + p.pw] += np.frombuffer(p.sums, np.float64).reshape(p.ph, p.pw, 4)
         rgba = np.zeros(s.shape, np.uint8)
         on = s[..., 0] > 0
-        rgba[..., :3][on] = rnd(s[on][:, 1:] / s[on][:, :1])
-        rgba[..., 3][on] = np.minimum(255, rnd(s[..., 0][on] * 255.0))
+        rgba[..., :3][on] = rnd(np.round(s[on][:, 1:] / s[on][:, :1], 9))  # sums of parts: halves must not depend on their order
+        rgba[..., 3][on] = np.minimum(255, rnd(np.round(s[..., 0][on] * 255.0, 9)))
         rgba[~on] = 0
         row = (r.variant_id, r.tile_x, r.tile_y, int(r.tile_x) * core, int(r.tile_y) * core, r.w, r.h, 4, rgba.tobytes())
         return pd.DataFrame([row], columns=["variant_id", *(c.split()[0] for c in TILES.split(", ")[1:])])

@@ -101,13 +101,13 @@ SELECT recipe_id, preset_id, lpi, shape, min_diameter_mm, concat_ws(',', CASE WH
 
 _NEAR = """SELECT DISTINCT p.image_id, p.x, p.y FROM {p} p, (VALUES (-1), (0), (1)) dx(dx), (VALUES (-1), (0), (1)) dy(dy) JOIN {q} q ON q.image_id = p.image_id AND q.x = p.x + dx AND q.y = p.y + dy WHERE (dx <> 0 OR dy <> 0)"""
 
-_RESAMPLED = f"""WITH {_ART}, {_PX}, z AS (SELECT image_id, width AS w, height AS h, width - 5 AS ow, height + 7 AS oh FROM art),
+_RESAMPLED = f"""WITH {_ART}, {_PX}, z AS (SELECT image_id, width AS w, height AS h, (width * 2) // 3 AS ow, (height * 3) // 2 AS oh FROM art),
 wx AS (SELECT image_id, ox, p, least((ox + 1) * sx, p + 1e0) - greatest(ox * sx, p) AS q, sx FROM (SELECT *, w / ow::DOUBLE AS sx FROM z), (SELECT unnest(range(64)) AS ox), (SELECT unnest(range(64)) AS p) WHERE ox < ow AND p < w AND p + 1 > ox * sx AND p < (ox + 1) * sx),
 cy AS (SELECT image_id, oy, h, greatest(0e0, least(h - 1e0, (oy + 0.5e0) * (h / oh::DOUBLE) - 0.5e0)) AS f FROM z, (SELECT unnest(range(64)) AS oy) WHERE oy < oh),
 wy AS (SELECT image_id, oy, floor(f)::INT AS p, 1e0 - (f - floor(f)) AS q FROM cy UNION ALL SELECT image_id, oy, least(h - 1, floor(f)::INT + 1), f - floor(f) FROM cy),
 t AS (SELECT px.image_id, ox, oy, sum(a / 255e0 * wx.q / sx * wy.q) AS sa, sum(r * (a / 255e0 * wx.q / sx) * wy.q) AS sr, sum(g * (a / 255e0 * wx.q / sx) * wy.q) AS sg, sum(b * (a / 255e0 * wx.q / sx) * wy.q) AS sb
   FROM px JOIN wx ON wx.image_id = px.image_id AND wx.p = px.x JOIN wy ON wy.image_id = px.image_id AND wy.p = px.y WHERE a > 0 GROUP BY ALL)
-SELECT image_id, count(*) AS pixels, sum(floor(sr / sa + 0.5e0))::BIGINT AS r, sum(floor(sg / sa + 0.5e0))::BIGINT AS g, sum(floor(sb / sa + 0.5e0))::BIGINT AS b, sum(floor(sa * 255e0 + 0.5e0))::BIGINT AS a FROM t WHERE sa > 0 GROUP BY image_id"""
+SELECT image_id, count(*) AS pixels, sum(floor(round(sr / sa, 9) + 0.5e0))::BIGINT AS r, sum(floor(round(sg / sa, 9) + 0.5e0))::BIGINT AS g, sum(floor(round(sb / sa, 9) + 0.5e0))::BIGINT AS b, sum(floor(round(sa * 255e0, 9) + 0.5e0))::BIGINT AS a FROM t WHERE sa > 0 GROUP BY image_id"""
 
 _MOCKUP = (
     _ALL
