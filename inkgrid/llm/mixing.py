@@ -21,10 +21,10 @@ RUN = 4096
 STEPS = float(1 << 52)
 
 
-def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, row): size is the number of words, 0 for a null text; row tells rows apart."""
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *more: str) -> DataFrame:
+    """(id, source, size, further columns): size is the number of words, 0 for a null text."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row"))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *more)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
@@ -51,20 +51,60 @@ def draw(id_col: str, seed: int) -> F.Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") + 0.5) / F.lit(STEPS)
 
 
-def _fill(rows: DataFrame, k: int) -> DataFrame:
-    """One pass: among rows that may still be taken, those whose words, added up in rank order, fit into what is left."""
-    may = ~F.col("in") & (F.col("size") > 0) & (F.col("size") <= F.col("left"))
-    rows = rows.withColumn("x", F.when(may, F.col("size")).otherwise(0))
-    runs = rows.groupBy("g", "run").agg(F.sum("x").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("g").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = runs.select("g", "run", before.alias("base"))
-    at = F.col("base") + F.sum("x").over(Window.partitionBy("g", "run").orderBy("rank", "id", "row").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.join(base, ["g", "run"]).withColumn("at", at)
-    rows = rows.withColumn("new", may & (F.col("at") <= F.col("left")))
-    done = keep(rows.select("g", "run", "id", "row", "size", "rank", "left", (F.col("in") | F.col("new")).alias("in"), "new"), f"mix-{k}")
-    # written, so that Spark knows its size, can broadcast it, and doesn't deal the next pass's rows by source
-    taken = keep(done.groupBy("g").agg(F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).alias("got")).coalesce(1), f"mix-{k}-taken")
-    return done.join(taken, "g").select("g", "run", "id", "row", "size", "rank", (F.col("left") - F.col("got")).alias("left"), "in")
+def _later(passes: int) -> F.Column:
+    """Whether one of the first passes took the row: it has words, fits into what was left before the pass, and ranks up to the pass's cut."""
+    fits = [
+        (F.col("size") <= F.col(f"left{k}")) & ((F.col("rank") < F.col(f"cut{k}.rank")) | ((F.col("rank") == F.col(f"cut{k}.rank")) & (F.col("name") <= F.col(f"cut{k}.name"))))
+        for k in range(passes)
+    ]
+    found = F.lit(False)
+    for f in fits:
+        found = found | F.coalesce(f, F.lit(False))
+    return (F.col("size") > 0) & found
+
+
+def plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 7, passes: int = 3) -> DataFrame:
+    """sizes: of word_counts(). A row for each source with all that decides on its documents: sure copies, p, and for each pass what was left before it
+    (left) and the rank of the last document that it took (cut); and the one that ends the sample (best)."""
+    sources = targets(sizes, weights, most)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    sources = sources.withColumn("sure", F.floor(ratio).cast("int")).withColumn("p", ratio - F.floor(ratio))
+    sources = sources.withColumn("left0", F.col("target") - F.col("sure") * F.col("source_size"))
+    known = keep(sources.coalesce(1), "mix-sources")  # small: its size is known then, and Spark decides on a broadcast
+    for k in range(passes):
+        rows = ranked(sizes, known, seed).where((F.col("p") > 0) & (F.col("size") > 0) & ~_later(k) & (F.col("size") <= F.col(f"left{k}")))
+        rows = rows.select("source", "run", "name", "rank", "size", f"left{k}")
+        runs = rows.groupBy("source", "run").agg(F.sum("size").alias("words"))
+        before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        base = keep(runs.select("source", "run", before.alias("base")), f"mix-runs-{k}")
+        # rows that repeat an id are peers in this order, and are taken together
+        own = F.sum("size").over(Window.partitionBy("source", "run").orderBy("rank", "name"))
+        rows = rows.withColumn("own", own).join(base, rows["source"].eqNullSafe(base["source"]) & (rows["run"] == base["run"])).select(rows["source"], "rank", "name", "size", (F.col("base") + F.col("own")).alias("at"), f"left{k}")
+        got = rows.where(F.col("at") <= F.col(f"left{k}")).groupBy("source").agg(F.sum("size").alias("got"), F.max(F.struct("rank", "name")).alias(f"cut{k}"))
+        joined = known.join(got.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        joined = joined.withColumn(f"left{k + 1}", F.col(f"left{k}") - F.coalesce("got", F.lit(0))).drop("got")
+        known = keep(joined.coalesce(1), f"mix-plan-{k}")
+    # the shortest of the rest, if that comes nearer than the gap
+    rest = ranked(sizes, known, seed).where((F.col("p") > 0) & (F.col("size") > 0) & ~_later(passes))
+    best = rest.groupBy("source").agg(F.min(F.struct("size", "rank", "name")).alias("best"))
+    joined = known.join(best.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return keep(joined.withColumn("best", F.when(F.col("best.size") < 2 * F.col(f"left{passes}"), F.col("best"))).coalesce(1), "mix-plan")
+
+
+def ranked(rows: DataFrame, known: DataFrame, seed: int) -> DataFrame:
+    """rows: (id, source, size, ...), with the columns of their source, name (the id as text), rank and run."""
+    k = known.withColumnRenamed("source", "__source")
+    u = draw("id", seed)
+    out = rows.join(k, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    rank = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
+    # p is one number for a source, so equal steps of u cut its ranking into runs of equal length
+    return out.withColumns({"name": F.coalesce(F.col("id").cast("string"), F.lit("")), "rank": rank, "run": F.floor(u * F.ceil(F.col("n") / F.lit(float(RUN))))})
+
+
+def copies(passes: int = 3) -> F.Column:
+    """How often a ranked row is taken."""
+    last = F.coalesce((F.col("rank") == F.col("best.rank")) & (F.col("name") == F.col("best.name")), F.lit(False))
+    return (F.col("sure") + F.when((F.col("p") > 0) & (_later(passes) | last), 1).otherwise(0)).cast("int")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 7) -> DataFrame:
@@ -72,37 +112,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words. Whole documents are taken, at most `most` times.
 
     Null texts and texts without words have size 0 and are never sampled; a null source is a source of its own, null ids are
-    drawn like the empty string. Rows that repeat are drawn alike; at the edge of a sample one may be taken and the other not.
+    drawn like the empty string. Rows that repeat an id are drawn alike and taken together.
     An empty table gives an empty result. Further columns are ignored. The table of sources (a row each) is ordered in one task.
     """
     sizes = keep(word_counts(docs, id_col, text_col, source_col), "mix-sizes")
-    sources = targets(sizes, weights, most)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sources = sources.withColumn("sure", F.floor(ratio).cast("int")).withColumn("p", ratio - F.floor(ratio))
-    sources = keep(sources.withColumn("g", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).coalesce(1), "mix-sources")
-    rows = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("g", "id", "row", "size", "n", "source_size", "target", "sure", "p")
-    u = draw("id", seed)
-    rank = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    # p is one number for a source, so equal steps of u cut its ranking into runs of equal length
-    rows = rows.withColumn("rank", rank).withColumn("run", F.floor(u * F.ceil(F.col("n") / F.lit(float(RUN)))))
-    left = F.col("target") - F.col("sure") * F.col("source_size")
-    state = rows.where("p > 0").select("g", "run", "id", "row", "size", "rank", left.alias("left"), F.lit(False).alias("in"))
-    for k in range(3):
-        state = _fill(state, k)
-    # the shortest of the rest, if that comes nearer than the gap
-    last = state.where(~F.col("in") & (F.col("size") > 0)).groupBy("g").agg(F.min(F.struct("size", "rank", "row")).alias("s"))
-    state = state.join(last.select("g", F.col("s.row").alias("best")), "g", "left")
-    state = state.withColumn("in", F.col("in") | F.coalesce((F.col("row") == F.col("best")) & (F.col("size") < 2 * F.col("left")), F.lit(False)))
-    state = state.select("g", "id", "size", F.col("in").cast("int").alias("more")).unionByName(rows.where("p <= 0").select("g", "id", "size", F.lit(0).alias("more")))
-    copies = F.col("sure") + F.col("more")
-    return state.join(sources.select("g", "source_size", "target", "sure"), "g").select(
-        F.col("id").alias(id_col), "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    rows = ranked(sizes, plan(sizes, weights, most, seed), seed).withColumn("copies", copies())
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 7) -> DataFrame:
-    """The mix itself: each row of docs, with all its columns, as often as mix() takes it. Rows that repeat an id are taken as often as the
-    one of them that is taken most."""
-    copies = mix(docs, id_col, text_col, source_col, weights, most, seed).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    rows = docs.join(keep(copies, "mix-copies"), docs[id_col].eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*(docs[c] for c in docs.columns))
+    """The mix itself: each row of docs, with all its columns, as often as mix() takes it. The plan of each source is enough to decide on a row where it
+    stands, so texts aren't moved."""
+    sizes = keep(word_counts(docs, id_col, text_col, source_col), "mix-sizes")
+    row = word_counts(docs.withColumn("__row", F.struct(*docs.columns)), id_col, text_col, source_col, "__row")
+    out = ranked(row, plan(sizes, weights, most, seed), seed).withColumn("__copies", copies()).where("__copies > 0")
+    return out.select("__row", F.explode(F.sequence(F.lit(1), "__copies"))).select("__row.*")
