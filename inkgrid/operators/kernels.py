@@ -447,7 +447,7 @@ def process(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.n
     else:
         gone, particles = remove_particles(screened, least, protected)
     ink = screened & ~gone
-    filled, holes = fill_holes(ink, candidate, pores)
+    filled, holes = fill_holes(ink | ~inside, candidate, pores)  # beyond the image nothing is empty
     ink = ink | filled
     color = rgba[..., :3].astype(np.float64)
     key = np.array([o["key_r"], o["key_g"], o["key_b"]], np.float64)

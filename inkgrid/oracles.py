@@ -176,7 +176,7 @@ q AS (SELECT CASE WHEN image_id % 17 = 0 THEN pos + 1 ELSE pos END AS id, CASE W
 SELECT problem, count(*) AS rows, sum(id)::BIGINT AS ids FROM q GROUP BY problem"""
 
 _RECIPES = f"""WITH {_ART}, p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY image_id) // 50 AS n FROM art),
-q AS (SELECT CASE WHEN p_size = 5 THEN 'no name' ELSE 'none' END AS error, p_size + 5e0 AS lpi, 1 AS one FROM p WHERE n <> 1 UNION ALL SELECT DISTINCT 'format', NULL, NULL FROM (SELECT p_brand FROM p WHERE n = 1 GROUP BY p_brand) GROUP BY p_brand)
+q AS (SELECT CASE WHEN p_size = 5 THEN 'no name' ELSE 'none' END AS error, p_size + 5e0 AS lpi, 1 AS one FROM p WHERE n <> 1 UNION ALL SELECT 'format', NULL, NULL FROM (SELECT DISTINCT p_brand FROM p WHERE n = 1))
 SELECT error, count(*) AS n, sum(lpi) AS lpi, count(one) AS ids FROM q GROUP BY error"""
 
 _STATE = """WITH e AS (SELECT event_id AS seq, user_id AS id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'click' THEN 'cancelled' END AS status,

@@ -201,7 +201,8 @@ def tile_audit(spark: SparkSession, d: str) -> DataFrame:
     tiles.tile_batches(t).write.parquet(f"{path}/tiles")
     back = spark.read.schema(t.schema).parquet(f"{path}/tiles")
     manifest = back.select(*tiles.KEY, "left", "top", "width", "height", F.sha2("data", 256).alias("hash"))
-    bad = F.when(F.col("image_id") % 9 == 0, F.substring("data", 1, 8)).when(F.col("image_id") % 7 == 0, F.concat(F.substring("data", 5, 1 << 20), F.substring("data", 1, 4))).otherwise(F.col("data"))
+    other = F.expr("concat(substring(data, 2, length(data) - 1), unhex(lpad(hex((cast(conv(hex(substring(data, 1, 1)), 16, 10) AS int) + 1) % 256), 2, '0')))")
+    bad = F.when(F.col("image_id") % 9 == 0, F.expr("substring(data, 1, length(data) - 1)")).when(F.col("image_id") % 7 == 0, other).otherwise(F.col("data"))
     worn = back.where("image_id % 11 <> 0").withColumn("data", bad)
     return tiles.verify_tiles(art, manifest, worn, TILE).withColumn("problem", F.coalesce("problem", F.lit("none")))
 
