@@ -55,7 +55,7 @@ def large_tiles(spark: SparkSession):
 def main() -> None:
     spark = session()
     found: dict[str, float] = {}
-    for name in ("ink_cost", "composites", "variant_sizes", "job_preflight", "latest_state", "sheet_packing", "tile_process"):
+    for name in ("ink_cost", "composites", "variant_sizes", "job_preflight", "latest_state"):
         found[name] = timed(lambda f=queries.QUERIES[name]: f(spark, SF))
     n = views.pixels(views.art(spark, SF)).count()
     rates = {k: round(n / 1e6 / found[k], 2) for k in ("ink_cost", "composites")}

@@ -78,20 +78,21 @@ class Skyline:
         self.line = merged
 
 
-def pack_job(f: pd.DataFrame) -> pd.DataFrame:
-    """Packs one job: longer sides first, each piece on the first sheet that has room, upright unless lying ends lower (or as low and further left)."""
-    r = f.iloc[0]
-    gap, margin, inner = int(r.gap), int(r.margin), int(r.sheet_width) - 2 * int(r.margin) + int(r.gap)
-    limit = int(r.limit) - 2 * margin + gap
-    order = f.assign(long=f[["w", "h"]].max(axis=1), area=f.w.astype("int64") * f.h).sort_values(["long", "area", "name", "copy", "id"], ascending=[False, False, True, True, True], kind="stable")
+def pack_job(job: tuple, pieces: list[tuple]) -> list[tuple]:
+    """Packs one job. job: (job_id, sheet_width, gap, margin, limit, rotate); pieces: (id, name, copy, w, h) in their order. Each goes on the first sheet that has room,
+    upright unless lying ends lower (or as low and further left). Rows of PLACED."""
+    job_id, width, gap, margin, limit, rotate = job
+    inner, limit = width - 2 * margin + gap, limit - 2 * margin + gap
     sheets: list[Skyline] = []
-    used, rows, failed = [], [], {}
-    for p in order.itertuples():
-        ways = [(p.w, p.h, False)] + ([(p.h, p.w, True)] if r.rotate and p.w != p.h else [])
-        if failed.get((p.w, p.h)):
-            rows.append((None, p, 0, 0, p.w, p.h, False, failed[p.w, p.h]))
+    used: list[int] = []
+    rows, failed, full = [], {}, {}
+    for id_, name, copy, w0, h0 in pieces:
+        if why := failed.get((w0, h0)):
+            rows.append((None, id_, name, copy, 0, 0, w0, h0, False, why))
             continue
-        for k in range(len(sheets) + 1):
+        ways = [(w0, h0, False)] + ([(h0, w0, True)] if rotate and w0 != h0 else [])
+        # sheets only fill up: where a piece of that size found no room, the next one won't either
+        for k in range(full.get((w0, h0), 0), len(sheets) + 1):
             sheet = sheets[k] if k < len(sheets) else Skyline(inner)
             best = None
             for w, h, turned in ways:
@@ -104,23 +105,44 @@ def pack_job(f: pd.DataFrame) -> pd.DataFrame:
                 if k == len(sheets):
                     sheets.append(sheet)
                     used.append(0)
+                full[w0, h0] = k
                 used[k] = max(used[k], margin + y + h)
-                rows.append((k, p, margin + x, margin + y, w, h, turned, None))
+                rows.append((k, id_, name, copy, margin + x, margin + y, w, h, turned, None))
                 break
         else:
-            narrow = min(p.w, p.h) if r.rotate else p.w
-            failed[p.w, p.h] = "too wide" if narrow + 2 * margin > r.sheet_width else "too long"
-            rows.append((None, p, 0, 0, p.w, p.h, False, failed[p.w, p.h]))
-    out = [(r.job_id, k, p.id, p.name, p.copy, x, y, w, h, t, r.sheet_width, None if k is None else used[k] + margin, why) for k, p, x, y, w, h, t, why in rows]
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in PLACED.split(", ")])
-    return frame.astype({"sheet": "Int32", "sheet_height": "Int32"})
+            narrow = min(w0, h0) if rotate else w0
+            failed[w0, h0] = "too wide" if narrow + 2 * margin > width else "too long"
+            rows.append((None, id_, name, copy, 0, 0, w0, h0, False, failed[w0, h0]))
+    return [(job_id, k, id_, name, copy, x, y, w, h, t, width, None if k is None else used[k] + margin, why) for k, id_, name, copy, x, y, w, h, t, why in rows]
+
+
+def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Packs jobs whose pieces come one after the other, in order."""
+    job, pieces = None, []
+    for f in frames:
+        out: list[tuple] = []
+        for r in f.itertuples(index=False, name=None):
+            if job is not None and r[0] != job[0]:
+                out += pack_job(job, pieces)
+                pieces = []
+            job = r[:6]
+            pieces.append(r[6:11])
+        yield _placed(out)
+    if job is not None:
+        yield _placed(pack_job(job, pieces))
+
+
+def _placed(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in PLACED.split(", ")]).astype({"sheet": "Int32", "sheet_height": "Int32"})
 
 
 def pack_sheets(items: DataFrame, jobs: DataFrame) -> DataFrame:
     """PLACED rows, one for each copy of each item; a piece that fits nowhere has a problem and no sheet, as have all pieces of a job whose options break a rule."""
     o = sheet_options(jobs)
     pieces = expand_copies(items).join(o.select("job_id", "sheet_width", "gap", "margin", "limit", "rotate", "problem"), "job_id")
-    good = pieces.where("problem is null").drop("problem").groupBy("job_id").applyInPandas(pack_job, PLACED)
+    order = ["job_id", F.desc(F.greatest("w", "h")), F.desc(F.col("w").cast("long") * F.col("h")), "name", "copy", "id"]
+    fine = pieces.where("problem is null").select("job_id", "sheet_width", "gap", "margin", "limit", "rotate", "id", "name", "copy", "w", "h")
+    good = fine.repartition("job_id").sortWithinPartitions(*order).mapInPandas(_pack, PLACED)
     none = lambda t: F.lit(None).cast(t)
     bad = pieces.where("problem is not null").select(
         "job_id", none("int").alias("sheet"), "id", "name", "copy", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("w").alias("width"), F.col("h").alias("height"), F.lit(False).alias("rotated"), "sheet_width", none("int").alias("sheet_height"), "problem"

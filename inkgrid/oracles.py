@@ -199,7 +199,31 @@ p AS (SELECT *, floor(w / 2.54e0 * 300e0 + 0.5e0)::INT AS wp, floor(s / 25.4e0 *
 q AS (SELECT *, CASE WHEN w < 10 OR w > 200 THEN 'width' WHEN l > 0 AND l < 10 THEN 'length' WHEN k AND s < 6 THEN 'spacing' WHEN m > 50 OR (k AND m < 5) THEN 'margin' WHEN wp - 2 * margin <= 0 THEN 'no room' END AS problem FROM p)
 SELECT job_id, CASE WHEN problem IS NULL THEN wp END AS sheet_width, gap, margin, CASE WHEN problem IS NULL THEN CASE WHEN l > 0 THEN least(lp, 128000000 // wp) ELSE 128000000 // wp END END::INT AS limit, problem FROM q"""
 
+
+
+def _balls() -> str:
+    """CTE ball: for each pixel p of `i` whose island has at most four pixels, all these pixels q. An island of five or more has five within four steps of any of its pixels."""
+    small = "QUALIFY count(*) OVER (PARTITION BY p) <= 4"
+    steps = [f"k1 AS (SELECT p, q FROM nb {small})"]
+    for n in (2, 3, 4):
+        steps.append(f"k{n} AS (SELECT p, q FROM (SELECT DISTINCT k{n - 1}.p, nb.q FROM k{n - 1} JOIN nb ON nb.p = k{n - 1}.q) {small})")
+    return (
+        "i AS (SELECT *, image_id * 4096 + y * 64 + x AS pid FROM s WHERE ink), nb AS (SELECT a.pid AS p, b.pid AS q FROM i a, (VALUES (-1), (0), (1)) dx(dx), (VALUES (-1), (0), (1)) dy(dy) "
+        "JOIN i b ON b.image_id = a.image_id AND b.x = a.x + dx AND b.y = a.y + dy), " + ", ".join(steps) + ", ball AS (SELECT p, min(q) AS island FROM k4 GROUP BY p)"
+    )
+
+
+#: With the standard cleanup, islands of fewer than five pixels go: ceil(pi (0.2 / 25.4 * 300 / 2)**2) = 5.
+_PROCESS = (
+    _ALL
+    + f""", {_balls()}
+SELECT image_id, count(*) FILTER (s1) AS ink_pixels, count(*) FILTER (pid IS NOT NULL) AS screened_pixels, count(*) FILTER (island IS NOT NULL) AS removed_pixels, 0::BIGINT AS protected_pixels, count(*) FILTER (raw >= 0.5e0 AND a > 0) AS solid_pixels,
+0::BIGINT AS filled_pixels, count(DISTINCT island) AS removed_components, 0::BIGINT AS filled_components, coalesce(sum(CASE WHEN s1 THEN {_print("r")} END), 0)::BIGINT AS sum_r, coalesce(sum(CASE WHEN s1 THEN x * 64 + y END), 0)::BIGINT AS places
+FROM (SELECT *, pid IS NOT NULL AND island IS NULL AS s1 FROM (SELECT s.*, i.pid, island FROM s LEFT JOIN (SELECT image_id, x, y, pid FROM i) i USING (image_id, x, y) LEFT JOIN ball ON p = i.pid)) GROUP BY image_id"""
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "tile_process": _PROCESS,
     "ink_cost": _ALL
     + """, n AS (SELECT image_id, any_value(width) AS w, any_value(height) AS h, count(*) FILTER (ink) AS ink_pixels, count(*) FILTER (raw >= 0.5e0 AND a > 0) AS solid_pixels FROM s GROUP BY image_id),
 o AS (SELECT *, ink_pixels / (w * h)::DOUBLE * 100e0 AS cov, ink_pixels / (w * h)::DOUBLE AS f, greatest(ink_pixels, solid_pixels) / (w * h)::DOUBLE AS q, (w / 300e0 * 2.54e0) * (h / 300e0 * 2.54e0) AS area FROM n)
