@@ -15,7 +15,7 @@ from inkgrid.operators import process
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 #: Side of the images of the tile benchmark, in tiles of 512.
-SIDE, IMAGES = 1024, 8
+SIDE, IMAGES = 1024, int(os.environ.get("BENCH_IMAGES", "8"))
 
 
 def session() -> SparkSession:
