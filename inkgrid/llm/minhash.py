@@ -1,0 +1,133 @@
+"""Near duplicates by word shingles: candidates by MinHash, each verified by the Jaccard similarity of its shingle sets.
+
+Texts with the same set of shingles are one node. Nodes that agree in all hashes of a band share a bucket. In a round, a few nodes of
+each bucket (hubs) are compared with all others of it that aren't known to be in their component, then leave the bucket; a bucket ends
+when its nodes are in one component. So each two nodes of a bucket are compared or known to be linked, and a large group of near
+copies costs comparisons in proportion to its size. The number of hubs grows fourfold from round to round.
+"""
+
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkgrid.llm.common import forget, keep, small_batches
+from inkgrid.llm.simhash import components
+
+#: A pair at similarity s shares a bucket with probability 1 - (1 - s**WIDE) ** BANDS: 0.9993 at 0.8.
+BANDS, WIDE = 24, 6
+#: Shingles of one text that are hashed at once, and of a batch of rows.
+CHUNK, BATCH = 512, 1 << 19
+#: Candidates that are broadcast at most; more are joined by a shuffle.
+NODES = 2_000_000
+
+_RANDOM = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * WIDE, 1), np.uint64)
+_XOR, _TIMES = _RANDOM[0], _RANDOM[1] | np.uint64(1)
+
+
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The hashes of a text's different shingles, sorted; of all its words if they are fewer than a shingle has."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    grams = zip(*(itertools.islice(words, k, None) for k in range(min(shingle, len(words)))))
+    return np.unique(np.array([digest(b" ".join(g), 42) for g in grams], np.uint64))
+
+
+def buckets(hashes: np.ndarray) -> list[int]:
+    """The bucket of a set of shingles in each band; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * WIDE, ~np.uint64(0))
+    for at in range(0, len(hashes), CHUNK):
+        np.minimum(least, ((hashes[None, at : at + CHUNK] ^ _XOR) * _TIMES).min(axis=1), out=least)
+    keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, WIDE))], np.uint64)
+    return keys.view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, node, n, buckets, shingles), a row for each row of docs; node is a hash of the set of shingles, n its size."""
+
+    def batch(ids, found):
+        node = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in found], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(node), pa.array([len(h) for h in found], pa.int32()), pa.array([buckets(h) for h in found], pa.list_(pa.int64())), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))],
+            ["id", "node", "n", "buckets", "shingles"],
+        )
+
+    def run(batches):
+        for b in batches:
+            found, start, held = [], 0, 0
+            for i, text in enumerate(b.column(1)):
+                found.append(shingles(text.as_py(), shingle))
+                held += len(found[-1])
+                if held > BATCH:
+                    yield batch(b.column(0)[start : i + 1], found)
+                    found, start, held = [], i + 1, 0
+            if found:
+                yield batch(b.column(0)[start:], found)
+
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, node long, n int, buckets array<long>, shingles array<long>")
+
+
+def similar_links(rows: DataFrame, similarity: float) -> DataFrame | None:
+    """rows: of sketches(). (node, root) for all nodes with a link to another; none if there is no candidate."""
+    placed = rows.select("node", "n", "buckets").distinct().select(F.explode("buckets").alias("bucket"), "node", "n")
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("bucket")
+    live = keep(placed.join(shared, "bucket"), "minhash-buckets")
+    nodes = keep(live.select("node").distinct(), "minhash-nodes")
+    nodes = F.broadcast(nodes) if nodes.count() <= NODES else nodes  # else all sets of shingles would be shuffled
+    sets = keep(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "minhash-sets")
+    labels = links = tested = None
+    for k in itertools.count():
+        few = F.lit(1 << k)
+        now = live.withColumn("label", F.col("node")) if labels is None else live.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("label"))
+        open_ = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+        now = keep(now.join(open_, "bucket"), "minhash-open")
+        if now.isEmpty():
+            forget(live), forget(sets)
+            return labels
+        by = F.pmod(F.xxhash64("label"), few), F.pmod(F.xxhash64("node", F.lit(1)), few)
+        hubs = now.groupBy("bucket", by[0].alias("i"), by[1].alias("j")).agg(F.min(F.struct("node", "label", "n")).alias("hub"))
+        hubs = keep(hubs.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.n").alias("hub_n")), "minhash-hubs")
+        could = (F.col("label") != F.col("hub_label")) & (F.least("n", "hub_n") / F.greatest("n", "hub_n") >= similarity)
+        pairs = now.join(hubs, "bucket").where(could).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        pairs = keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+        a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        good = keep(pairs.join(a, "a").join(b, "b").where(both / (F.size("of_a") + F.size("of_b") - both) >= similarity).select("a", "b"), "minhash-links")
+        if not good.isEmpty():
+            links = good if links is None else links.unionByName(good)
+            labels = keep(components(links).distinct(), "minhash-labels")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        rest = keep(now.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n"), "minhash-rest")
+        forget(live), forget(now), forget(hubs)
+        live = rest
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id), a row for each row of docs; component_id is the smallest id reachable over pairs whose sets of shingles have
+    a Jaccard similarity of `similarity` or more, its own included.
+
+    Texts without words are copies of each other; null ids are kept, and count only where a component has no other. A pair is missed with
+    the probability stated at BANDS, unless other pairs link the two. Further columns are ignored.
+    """
+    rows = keep(sketches(docs, id_col, text_col, shingle), "minhash")
+    own = rows.groupBy("node").agg(F.min("id").alias("own"))
+    labels = similar_links(rows, similarity)
+    if labels is not None:
+        linked = keep(own.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "own"), "minhash-linked")
+        roots = linked.groupBy("root").agg(F.min("own").alias("own"))
+        own = linked.select("node", "root").join(roots, "root").select("node", "own")
+    own = keep(own, "minhash-components")  # then the join below is on its own, and Spark can split a hot node's rows
+    out = keep(rows.select("id", "node").join(own, "node").select("id", F.col("own").alias("component_id")), "minhash-groups")
+    forget(rows)
+    return out.withColumnRenamed("id", id_col)

@@ -354,7 +354,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """The rows of docs, with all their columns, that have the smallest id of their group of near duplicates. Of rows that
     repeat an id one stays; rows with a null id stay."""
-    groups = keep(near_duplicates(docs, id_col, text_col, shingle, distance).select(F.col(id_col).alias("id"), "component_id"), "simhash-groups")
+    return smallest(docs, near_duplicates(docs, id_col, text_col, shingle, distance), id_col)
+
+
+def smallest(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs that deduplicate() keeps; found: (id, component_id, ...) of near_duplicates()."""
+    groups = keep(found.select(F.col(id_col).alias("id"), "component_id"), "simhash-groups")
     drop = keep(groups.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "simhash-drop")
     kept = docs.join(drop, id_col, "left_anti")
     repeated = keep(groups.where("id = component_id").groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col)), "simhash-repeated")
