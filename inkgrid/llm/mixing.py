@@ -22,9 +22,31 @@ STEPS = float(1 << 52)
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *more: str) -> DataFrame:
-    """(id, source, size, further columns): size is the number of words, 0 for a null text."""
+    """(id, source, size, text_hash, further columns): size is the number of words, 0 for a null text."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *more)
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("text_hash"), *more)
+
+
+def repeats(sizes: DataFrame) -> DataFrame:
+    """(id): the ids, null included, that more than one row has."""
+    return keep(sizes.groupBy("id").count().where("count > 1").select("id"), "mix-repeats")
+
+
+def named(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rows: of word_counts(), with a name that each row has alone in its source: the id as text. Rows that share an id add a hash of their text and a
+    number within equal rows, which can stand for each other."""
+    if repeated.isEmpty():
+        return rows.withColumn("name", _plain())
+    again = repeated.select(F.col("id").alias("__id"), F.lit(True).alias("__again"))
+    rows = rows.join(again, F.col("id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    one = rows.where("__again is null").withColumn("name", _plain())
+    more = rows.where("__again").withColumn("__n", F.row_number().over(Window.partitionBy("id", "source", "text_hash").orderBy("size")))
+    more = more.withColumn("name", F.concat_ws("\x01", _plain(), F.col("text_hash").cast("string"), F.col("__n").cast("string"))).drop("__n")
+    return one.unionByName(more).drop("__again")
+
+
+def _plain() -> F.Column:
+    return F.coalesce(F.col("id").cast("string"), F.lit(""))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
@@ -46,9 +68,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
     return s.select("source", "n", "source_size", target.alias("target"))
 
 
-def draw(id_col: str, seed: int) -> F.Column:
-    """A number in (0, 1) from the id, the same in each run."""
-    return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") + 0.5) / F.lit(STEPS)
+def draw(name: str, seed: int) -> F.Column:
+    """A number in (0, 1) from the name, the same in each run."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(name))), 1, 13), 16, 10).cast("long") + 0.5) / F.lit(STEPS)
 
 
 def _later(passes: int) -> F.Column:
@@ -64,7 +86,7 @@ def _later(passes: int) -> F.Column:
 
 
 def plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 7, passes: int = 3) -> DataFrame:
-    """sizes: of word_counts(). A row for each source with all that decides on its documents: sure copies, p, and for each pass what was left before it
+    """sizes: of named(). A row for each source with all that decides on its documents: sure copies, p, and for each pass what was left before it
     (left) and the rank of the last document that it took (cut); and the one that ends the sample (best)."""
     sources = targets(sizes, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -77,7 +99,6 @@ def plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: f
         runs = rows.groupBy("source", "run").agg(F.sum("size").alias("words"))
         before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         base = keep(runs.select("source", "run", before.alias("base")), f"mix-runs-{k}")
-        # rows that repeat an id are peers in this order, and are taken together
         own = F.sum("size").over(Window.partitionBy("source", "run").orderBy("rank", "name"))
         rows = rows.withColumn("own", own).join(base, rows["source"].eqNullSafe(base["source"]) & (rows["run"] == base["run"])).select(rows["source"], "rank", "name", "size", (F.col("base") + F.col("own")).alias("at"), f"left{k}")
         got = rows.where(F.col("at") <= F.col(f"left{k}")).groupBy("source").agg(F.sum("size").alias("got"), F.max(F.struct("rank", "name")).alias(f"cut{k}"))
@@ -92,13 +113,13 @@ def plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: f
 
 
 def ranked(rows: DataFrame, known: DataFrame, seed: int) -> DataFrame:
-    """rows: (id, source, size, ...), with the columns of their source, name (the id as text), rank and run."""
+    """rows: (name, source, size, ...), with the columns of their source, rank and run."""
     k = known.withColumnRenamed("source", "__source")
-    u = draw("id", seed)
+    u = draw("name", seed)
     out = rows.join(k, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rank = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
     # p is one number for a source, so equal steps of u cut its ranking into runs of equal length
-    return out.withColumns({"name": F.coalesce(F.col("id").cast("string"), F.lit("")), "rank": rank, "run": F.floor(u * F.ceil(F.col("n") / F.lit(float(RUN))))})
+    return out.withColumns({"rank": rank, "run": F.floor(u * F.ceil(F.col("n") / F.lit(float(RUN))))})
 
 
 def copies(passes: int = 3) -> F.Column:
@@ -111,19 +132,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(id, size, source_size, target, copies, taken), a row for each row of docs: how often the mix takes a document, and its
     words. Whole documents are taken, at most `most` times.
 
-    Null texts and texts without words have size 0 and are never sampled; a null source is a source of its own, null ids are
-    drawn like the empty string. Rows that repeat an id are drawn alike and taken together.
+    Null texts and texts without words have size 0 and are never sampled; a null source is a source of its own. Rows that repeat an id, null
+    ids too, are drawn each on its own.
     An empty table gives an empty result. Further columns are ignored. The table of sources (a row each) is ordered in one task.
     """
     sizes = keep(word_counts(docs, id_col, text_col, source_col), "mix-sizes")
+    repeated = repeats(sizes)
+    sizes = named(sizes, repeated) if repeated.isEmpty() else keep(named(sizes, repeated), "mix-named")
     rows = ranked(sizes, plan(sizes, weights, most, seed), seed).withColumn("copies", copies())
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 7) -> DataFrame:
     """The mix itself: each row of docs, with all its columns, as often as mix() takes it. The plan of each source is enough to decide on a row where it
-    stands, so texts aren't moved."""
+    stands, so texts aren't moved unless ids repeat; then rows are written with their names."""
     sizes = keep(word_counts(docs, id_col, text_col, source_col), "mix-sizes")
     row = word_counts(docs.withColumn("__row", F.struct(*docs.columns)), id_col, text_col, source_col, "__row")
+    repeated = repeats(sizes)
+    if repeated.isEmpty():
+        sizes, row = named(sizes, repeated), named(row, repeated)
+    else:
+        row = keep(named(row, repeated), "mix-named")
+        sizes = row.drop("__row")
     out = ranked(row, plan(sizes, weights, most, seed), seed).withColumn("__copies", copies()).where("__copies > 0")
     return out.select("__row", F.explode(F.sequence(F.lit(1), "__copies"))).select("__row.*")

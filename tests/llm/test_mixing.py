@@ -59,3 +59,26 @@ def test_mixed_rows(spark, odd):
     for r in out.collect():
         n[r["doc_id"]] += 1
     assert all(n[k] == copies[k] for k in copies if k not in (2, None))
+
+
+def test_null_ids_are_drawn_each_on_its_own(spark):
+    """A third of a source's rows have a null id, some of them are equal, and an id stands twice."""
+    words = lambda i: "w " * (20 + i * 7 % 60) + f"t{i % 290}"
+    rows = [(None if i % 3 == 0 else i, words(i % 290), "ab"[i % 2]) for i in range(600)] + [(1, words(900), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows)
+    for size in {r["source_size"] for r in out}:
+        own = [r for r in out if r["source_size"] == size]
+        assert sum(r["taken"] for r in own) == pytest.approx(own[0]["target"], abs=15)
+        null = [r["copies"] for r in own if r["doc_id"] is None]
+        assert len(set(null)) == 2
+    n = defaultdict(int)
+    for r in mixing.mixed(docs).collect():
+        n[r["source"]] += len(r["text"].split())
+    taken = defaultdict(int)
+    for r in out:
+        taken[r["source_size"]] += r["taken"]
+    assert sorted(n.values()) == sorted(taken.values())
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
