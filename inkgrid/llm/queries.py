@@ -63,7 +63,7 @@ def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from inkgrid.llm.search import top_k
 
-    return top_k(_table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0).withColumn("score", F.round("score", 6))
+    return top_k(_table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0, terms=None).withColumn("score", F.round("score", 6))
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
