@@ -227,10 +227,8 @@ def thumbnail_sums(spark: SparkSession, d: str) -> DataFrame:
 
 
 def brand_mockups(spark: SparkSession, d: str) -> DataFrame:
-    """A garment preview for each brand, with its newest art."""
-    newest = _art(spark, d).groupBy("p_brand").agg(F.max("image_id").alias("image_id")).select("image_id")
-    s = _screened(spark, d).join(newest, "image_id", "left_semi")
-    m = px.mockup(s, _art(spark, d).select("image_id", F.lit(30.0).alias("width_cm"), (F.col("height") / F.col("width") * 30.0).alias("height_cm")))
+    """A garment preview of all art."""
+    m = px.mockup(_screened(spark, d), _art(spark, d).select("image_id", F.lit(30.0).alias("width_cm"), (F.col("height") / F.col("width") * 30.0).alias("height_cm")))
     return m.groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum("r").alias("r"), F.sum("g").alias("g"), F.sum("b").alias("b"), F.sum(F.when(F.col("r") > 100, F.col("x") + F.col("y")).otherwise(0)).alias("places"))
 
 
