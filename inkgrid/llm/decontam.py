@@ -8,16 +8,17 @@ characters of the original.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import small_batches
+from inkgrid.llm.common import in_parts, keep
 
-#: Bytes of windows in one automaton; larger benchmarks are scanned for in several passes.
-AUTOMATON_BYTES = 64 << 20
+#: Nodes of one automaton at most (a byte of a window makes one, of about a hundred bytes in memory); larger benchmarks are scanned for in several passes.
+AUTOMATON_NODES = 3_000_000
 _TABLE = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -36,14 +37,13 @@ def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
     """(window, items): each window as words between single blanks, and the sorted ids (as strings) of the items that have it."""
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches, 1000):
             found = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = words_of(text)
                 found += [(item, b" ".join(w[i : i + width])) for i in range(max(1, len(w) - width + 1)) if w]
             yield pa.RecordBatch.from_pydict({"item": [x for x, _ in found], "window": [x for _, x in found]}, pa.schema({"item": pa.string(), "window": pa.binary()}))
 
-    small_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).mapInArrow(run, "item string, window binary")
     return rows.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
@@ -91,29 +91,40 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _passes(table: DataFrame) -> tuple[DataFrame, int]:
-    """The windows, and how many automata they need."""
-    size = table.agg(F.sum(F.length("window") + F.size("items") * 16 + 64)).first()[0] or 0
-    return table, max(1, -(-int(size) // AUTOMATON_BYTES))
+    """The windows, written so that no pass makes them anew, and how many automata they need."""
+    table = keep(table, "decontam-windows")
+    nodes = table.agg(F.sum(F.length("window") + 2)).first()[0] or 0
+    return table, max(1, -(-int(nodes) // AUTOMATON_NODES))
 
 
 def _shared(table: DataFrame, passes: int, k: int):
-    """The windows of one automaton for all tasks: about AUTOMATON_BYTES at most."""
+    """A name and the windows of one automaton for all tasks: about AUTOMATON_NODES bytes of windows at most."""
     own = table.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == k) if passes > 1 else table
-    return table.sparkSession.sparkContext.broadcast([(bytes(r["window"]), list(r["items"])) for r in own.collect()])
+    return uuid.uuid4().hex, table.sparkSession.sparkContext.broadcast([(bytes(r["window"]), list(r["items"])) for r in own.collect()])
+
+
+_MADE: dict[str, Scanner] = {}
+
+
+def scanner(name: str, shared) -> Scanner:
+    """A worker makes an automaton once and keeps the last one."""
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = Scanner(shared.value)
+    return _MADE[name]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
     """The rows of docs, with all their columns, in which no window occurs. Edge cases as in contamination()."""
-    small_batches(docs.sparkSession)
     (table, passes), at = _passes(windows(benchmark, item_col, item_text_col, width)), docs.columns.index(text_col)
 
     def without(rows: DataFrame, k: int) -> DataFrame:
-        shared = _shared(table, passes, k)
+        name, shared = _shared(table, passes, k)
 
         def run(batches):
-            scanner = Scanner(shared.value)
-            for b in batches:
-                yield b.filter(pa.array([len(scanner(t)[1]) == 0 for t in b.column(at).to_pylist()], pa.bool_()))
+            scan = scanner(name, shared)
+            for b in in_parts(batches):
+                yield b.filter(pa.array([len(scan(t)[1]) == 0 for t in b.column(at).to_pylist()], pa.bool_()))
 
         return rows.mapInArrow(run, rows.schema)
 
@@ -130,20 +141,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words than `width` are one window. Rows that repeat get the same answer each; further columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     table, passes = _passes(windows(benchmark, item_col, item_text_col, width))
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, row long, n_words long, hit_words array<int>, spans array<struct<start:int,end:int>>, items array<string>, places array<struct<word:int,start:int,end:int>>"
 
     def scan(k: int) -> DataFrame:
-        shared = _shared(table, passes, k)
+        name, shared = _shared(table, passes, k)
 
         def run(batches):
-            scanner = Scanner(shared.value)
-            for b in batches:
+            find = scanner(name, shared)
+            for b in in_parts(batches):
                 out = {"n_words": [], "hit_words": [], "spans": [], "items": [], "places": []}
                 for text in b.column(2).to_pylist():
-                    n, hit, items = scanner(text)
+                    n, hit, items = find(text)
                     out["n_words"].append(n)
                     out["hit_words"].append(hit.astype(np.int32))
                     out["spans"].append([{"start": s, "end": e} for s, e in spans(text, hit)] if len(hit) else [])
@@ -157,6 +167,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return rows.mapInArrow(run, schema)
 
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    if passes > 1:
+        rows = keep(rows, "decontam-rows")  # all passes must see the same number on a row
     found = scan(0)
     if passes > 1:  # the hit words of all passes are joined, then runs of them
         for k in range(1, passes):
@@ -173,5 +185,3 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
-
-

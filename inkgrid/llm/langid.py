@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import forget, keep, small_batches
+from inkgrid.llm.common import forget, in_parts, keep
 
 #: Bytes of a word that are scored at once; a longer one is scored in parts, which no piece joins.
 WORD_BYTES = 48
@@ -192,7 +192,6 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     """Learns from rows with a non-null label. Of each language about `max_docs` documents are taken, chosen by a hash of the id, and
     of the languages the `max_langs` most frequent: bounds of the sample for fitting; all documents are scored."""
     spark = docs.sparkSession
-    small_batches(spark)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     langs = sorted(r["lang"] for r in found)
@@ -205,7 +204,7 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
         chosen = one if chosen is None else chosen | one
 
     def count(batches):
-        for b in batches:
+        for b in in_parts(batches, 1000):
             seen: dict[str, Counter] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(words_of(text))
@@ -246,13 +245,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     A text that is null or has no letter is `und` with score 0, as is every text if the model has no language; ties go to the first
     language by code point. Repeated rows get the same answer each; further columns are ignored.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.path, model.langs, model.p.astype(np.float32)))  # pieces x languages: fixed by the vocabulary
 
     def run(batches):
         path, langs, p = shared.value
         score = Model(path, langs, p.astype(np.float64)).scorer()
-        for b in batches:
+        for b in in_parts(batches, 1000):
             found = score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["id", "lang_pred", "score"])
 
@@ -263,13 +261,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def accept(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose text has a language: not `und`, and a score of at least `least`."""
-    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast((model.path, model.langs, model.p.astype(np.float32))), docs.columns.index(text_col)
 
     def run(batches):
         path, langs, p = shared.value
         score = Model(path, langs, p.astype(np.float64)).scorer()
-        for b in batches:
+        for b in in_parts(batches, 1000):
             found = score(b.column(at).to_pylist())
             yield b.filter(pa.array([lang != "und" and x >= least for lang, x in found], pa.bool_()))
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import forget, keep, small_batches
+from inkgrid.llm.common import forget, in_parts, keep
 from inkgrid.llm.simhash import components
 
 #: A pair at similarity s shares a bucket with probability 1 - (1 - s**WIDE) ** BANDS: 0.9993 at 0.8.
@@ -62,7 +62,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
         )
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             found, start, held = [], 0, 0
             for i, text in enumerate(b.column(1)):
                 found.append(shingles(text.as_py(), shingle))
@@ -73,7 +73,6 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             if found:
                 yield batch(b.column(0)[start:], found)
 
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, node long, n int, buckets array<long>, shingles array<long>")
 

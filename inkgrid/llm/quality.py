@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import keep, small_batches
+from inkgrid.llm.common import in_parts, keep
 from inkgrid.llm.langid import remainder
 
 FEATURES = (
@@ -50,10 +50,9 @@ def features(text: str | None) -> list[float]:
 
 def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, one float column for each feature), a row for each row of docs."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             x = np.array([features(t) for t in b.column(1).to_pylist()], dtype=np.float32).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, i]) for i in range(len(FEATURES)))], ["id", *FEATURES])
 

@@ -63,7 +63,7 @@ def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from inkgrid.llm.search import top_k
 
-    return top_k(_table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0, terms=None).withColumn("score", F.round("score", 6))
+    return top_k(_table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0).withColumn("score", F.round("score", 6))
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ t AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY ALL),
 l AS (SELECT d.doc_id, coalesce(sum(tf), 0)::DOUBLE AS dl FROM documents d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id),
 g AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM l),
 f AS (SELECT word, count(*)::DOUBLE AS df, ln(1 + ((SELECT n FROM g) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM t GROUP BY word),
-q AS (SELECT doc_id AS query_id, word, idf FROM t JOIN f USING (word) WHERE df > 1 AND doc_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf * idf DESC, word) <= 12),
+q AS (SELECT doc_id AS query_id, word, idf FROM t JOIN f USING (word) WHERE doc_id % 20 = 0),
 s AS (SELECT query_id, t.doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avgdl FROM g)))), 9) AS score FROM q JOIN t USING (word) JOIN l ON l.doc_id = t.doc_id GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM s QUALIFY rank <= 10
 """

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import forget, keep, small_batches
+from inkgrid.llm.common import forget, in_parts, keep
 
 BITS = 64
 #: A bucket of more fingerprints is split by further bits.
@@ -56,11 +56,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): fp is the fingerprint as a signed 64-bit integer. One row for each row of docs."""
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import re
 import uuid
 import zlib
@@ -22,13 +23,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from inkgrid.llm.common import small_batches, workspace
+from inkgrid.llm.common import in_parts, workspace
 
-#: Pieces that a worker knows: it keeps the last so many new ones, and those of the turn before until they are met again.
-KNOWN = 150_000
-#: White space beside white space, and the kinds of it that keep a text from being cut into pieces.
-_SPACES = re.compile(r"\s\s")
-_ODD = re.compile(r"\s |[^\S\n]\s|\n[^\S\n]|\n\n\n|\n\n\Z")
+#: Pieces that a worker knows, in each of two turns, and their length at most.
+KNOWN, KNOWN_LENGTH = 150_000, 64
+#: Where a text may be cut: before a blank, and before and after a line break, that stands alone between visible characters (ASCII or Latin letters, which no kind
+#: of white space is); and between a Latin letter and a mark.
+_SEEN, _LETTER = "!-~\u00c0-\u024f", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_CUT = re.compile(f"(?=[ \n.,!?;:])(?:(?<=[{_SEEN}])(?=[ \n][{_SEEN}])|(?<=[{_LETTER}])(?=[.,!?;:]))|(?<=[{_SEEN}]\n)(?=[{_SEEN}])")
+#: A piece that the byte-level pre-tokenizer takes as one word, in which it writes only the blank in another way.
+_WORD = re.compile(" ?[A-Za-z]+")
 
 SHARD = "shard int, name string, n_docs long, n_ids long"
 
@@ -37,80 +41,59 @@ def byte_order(width: int) -> np.dtype:
     return np.dtype(f"<u{width}")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letters that a byte-level BPE writes bytes as: printable Latin-1 as itself, the others from U+0100 on, in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class Encoder:
     """Token ids of whole texts, by the tokenizers library.
 
-    The pre-tokenizer of a byte-level BPE never joins a blank to what stands before it, and takes line breaks one by one, unless there
-    is more white space beside them. So a text without such a place is cut at line breaks and before blanks, and equal pieces are
-    encoded once. A piece of Latin letters is one word to the pre-tokenizer and goes to the library's model as it is; a mark after a
-    letter is a token of its own; all other pieces go through the whole tokenizer. So do texts with such a place, in parts cut before a
-    blank that follows other than white space.
+    Equal pieces of texts are encoded once, if the loaded tokenizer proves that cutting there changes nothing: it has no normaliser, its pre-tokenizer is the
+    byte-level one with its own pattern and without a prefix, and its added tokens take no white space with them. That pattern never joins a blank to
+    what stands before it, and takes a line break alone, where visible characters stand on both sides, and it never joins marks to letters before them; so these are the
+    only places where a text is cut. Pieces that are one word to it go straight to the library's model, others through all of it. Texts with an added token in them, and
+    all texts of any other tokenizer, go through the library whole.
     """
 
-    LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        #: Ids of words with a blank before them, by the word, and of pieces as they are. Two turns of each.
-        self.after_blank: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        spec = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.cuts = _may_cut(spec)
+        #: Ids by piece, in two turns: the last ones met, and those of the turn before.
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, p: str) -> bytes:
-        """The ids of one piece, as it is."""
-        if self.LETTERS.fullmatch(p):
-            return array(self.kind, [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        return self.whole(p)
-
-    def start(self, word: str) -> bytes:
-        """The ids of a word at the start of a line."""
-        found = self.plain.get(word)
-        if found is None:
-            found = self.piece(word)
-            if len(self.plain) >= KNOWN // 4:
-                self.plain = {"": b""}
-            self.plain[word] = found
-        return found
-
-    def word(self, word: str) -> bytes:
-        """The ids of a blank and a word."""
-        found = self.older.get(word)
-        if found is None:
-            if word[-1:] in (".", ",", "!") and self.LETTERS.fullmatch(word[:-1]):
-                found = (self.after_blank.get(word[:-1]) or self.word(word[:-1])) + self.start(word[-1])
-            else:
-                found = self.piece(" " + word)
-        if len(self.after_blank) >= KNOWN:
-            self.after_blank, self.older = {}, self.after_blank
-        self.after_blank[word] = found
+        found = self.older.get(p)
+        if found is None and _WORD.fullmatch(p):
+            found = array(self.kind, [t.id for t in self.model.tokenize(p.replace(" ", "\u0120"))]).tobytes()
+        elif found is None:
+            found = self.whole(p)
+        if len(p) <= KNOWN_LENGTH:
+            if len(self.known) >= KNOWN:
+                self.known, self.older = {}, self.known
+            self.known[p] = found
         return found
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _SPACES.search(text) and _ODD.search(text):
-            return b"".join(map(self.whole, _parts(text)))
-        out = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            known, word = self.after_blank, self.word
-            out.append(self.start(first))  # none if the text starts with a blank
-            out += [known.get(w) or word(w) for w in rest]
-            out.append(self.start("\n"))
-        return b"".join(out[:-1])
+        if not self.cuts or any(t in text for t in self.added):
+            return self.whole(text)
+        known, piece = self.known.get, self.piece
+        return b"".join([known(p) or piece(p) for p in _CUT.split(text)])
+
+
+def _may_cut(spec: dict) -> bool:
+    """Whether a tokenizer (as its file describes it) gives the same ids for a text and for its pieces as _CUT cuts them."""
+    pre, post, model = spec.get("pre_tokenizer") or {}, spec.get("post_processor"), spec["model"]
+    return (
+        pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and pre.get("add_prefix_space") is False and spec.get("normalizer") is None and (post is None or post["type"] == "ByteLevel")
+        and not spec.get("truncation") and not spec.get("padding") and model["type"] == "BPE" and not model.get("dropout") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+    )
 
 
 @functools.cache
@@ -119,16 +102,6 @@ def encoder(path: str, width: int) -> Encoder:
     return Encoder(path, width)
 
 
-def _parts(text: str, chars: int = 100_000):
-    """text in parts of about so many characters, cut only between other than white space and a blank."""
-    at = 0
-    for m in re.finditer(r"(?<=\S) ", text):
-        if m.start() - at >= chars:
-            yield text[at : m.start()]
-            at = m.start()
-    yield text[at:]
-
-
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", out: str | None = None, width: int = 2) -> str:
     """Writes all documents, each followed by end_id, and returns the folder. width: bytes of an id, 2 for vocabularies of up to
     65,536 entries, else 4.
@@ -138,12 +111,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
     A task names its files anew at each attempt, and the manifest has those of the attempts that Spark committed.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
     out = out or workspace(spark, "tokens")
 
     def run(batches):
         k, name = TaskContext.get().partitionId(), f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-        batches = (b for b in batches if b.num_rows)
+        batches = in_parts(batches)
         if (first := next(batches, None)) is None:
             return
         encode, end = encoder(tokenizer_path, width), np.array([end_id], byte_order(width)).tobytes()

@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import keep, small_batches, workspace
+from inkgrid.llm.common import in_parts, keep, workspace
 from inkgrid.llm.urls import host_path, reversed_host
 
 #: Index lines of one compressed block.
@@ -90,7 +90,6 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     with a null id are always responses. An empty table gives an index without parts. Further columns are ignored.
     """
     spark = pages.sparkSession
-    small_batches(spark, 500)
     out = out or workspace(spark, "warc")
     rows = _digests(pages, id_col, url_col, html_col)
     known = keep(rows.select("id", "sha1", "bytes").where(F.col("bytes") >= least_bytes), "warc-digests")
@@ -99,7 +98,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     def write(batches):
         fs, root = pafs.FileSystem.from_uri(out)
-        batches = (b for b in batches if b.num_rows)
+        batches = in_parts(batches)
         if (head := next(batches, None)) is None:
             return
         fs.create_dir(f"{root}/archive", recursive=True)
@@ -129,7 +128,7 @@ def _write_index(captures: DataFrame, out: str) -> None:
 
     def pack(batches):
         fs, root = pafs.FileSystem.from_uri(out)
-        lines = (r for b in batches for r in b.to_pylist())
+        lines = (r for b in in_parts(batches) for r in b.to_pylist())
         if (head := next(lines, None)) is None:
             return
         lines, name = itertools.chain([head], lines), uuid.uuid4().hex
@@ -212,7 +211,6 @@ def _row(fields: dict[str, str]) -> tuple:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """RECORD rows of all records: index blocks give the records' places, and these are read archive by archive, in order."""
-    small_batches(spark)
 
     def unpack(batches):
         index = Index(path, [])
@@ -224,7 +222,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches):
         index = Index(path, [])
-        for b in batches:
+        for b in in_parts(batches):
             yield _rows([_row(index.record(*r)[0]) for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)])
 
     places = spark.read.schema("first_key string, name string, blocks long").parquet(f"{path}/parts").select("name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name").mapInArrow(unpack, "file string, offset long, length long")
@@ -240,7 +238,7 @@ def lookup(urls: DataFrame, path: str, url_col: str = "url") -> DataFrame:
 
     def find(batches):
         index = Index(path, parts)
-        for b in batches:
+        for b in in_parts(batches):
             found = []
             for url, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 lines = list(index.find(key))

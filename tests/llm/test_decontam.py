@@ -47,7 +47,7 @@ def test_several_automata_give_the_same(spark, odd, monkeypatch):
     few = odd.where("doc_id < 8")
     want = sorted(map(str, decontam.contamination(few, bench).collect()))
     clean = sorted(r["doc_id"] for r in decontam.clean(few, bench).collect())
-    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", 400)
+    monkeypatch.setattr(decontam, "AUTOMATON_NODES", 150)
     assert sorted(map(str, decontam.contamination(few, bench).collect())) == want
     assert sorted(r["doc_id"] for r in decontam.clean(few, bench).collect()) == clean
     assert clean == [4, 5, 6]
