@@ -27,25 +27,27 @@ def rnd(x):
 
 def coverage(rgba: np.ndarray, o: dict) -> tuple[np.ndarray, np.ndarray | None]:
     """(raw, m): coverage before levels, and the share of ink that recovery finds (None without)."""
-    c, a = rgba[..., :3].astype(np.float64), rgba[..., 3].astype(np.float64)
-    key = np.array([o["key_r"], o["key_g"], o["key_b"]], np.float64)
+    a = rgba[..., 3].astype(np.float64)
     op, m = a / 255.0, None
     if o["knockout"]:
-        d = np.sqrt(((c - key) ** 2).sum(axis=-1)) / (255.0 * math.sqrt(3.0))
+        r, g, b = (rgba[..., i].astype(np.float64) - o[f"key_{k}"] for i, k in enumerate("rgb"))
+        d = np.sqrt(r * r + g * g + b * b) / (255.0 * math.sqrt(3.0))
         t = unit((d - o["tolerance"] / 100.0) / (o["softness"] / 100.0))
         op = op * (t * t * (3.0 - 2.0 * t))
         if o["recover"]:
+            c, key = rgba[..., :3].astype(np.float64), np.array([o["key_r"], o["key_g"], o["key_b"]], np.float64)
             up, down = np.where(key == 255, 1.0, 255.0 - key), np.where(key == 0, 1.0, key)
             m = unit(np.where(c >= key, (c - key) / up, (key - c) / down).max(axis=-1))
             op = op * m
-    raw = np.power(op, 1.0 / o["gamma"]) * (o["strength"] / 100.0)
+    raw = (op if o["gamma"] == 1 else np.power(op, 1.0 / o["gamma"])) * (o["strength"] / 100.0)
     return np.where(a > 0, raw, 0.0), m
 
 
 def levels(raw: np.ndarray, o: dict) -> np.ndarray:
     """Levels, inverse gain and solid tones."""
     t = unit((raw * 255.0 - o["input_black"]) / (o["input_white"] - o["input_black"]))
-    v = np.where(raw <= 0, 0.0, (o["output_black"] + np.power(t, 1.0 / o["input_midtone"]) * (o["output_white"] - o["output_black"])) / 255.0)
+    t = t if o["input_midtone"] == 1 else np.power(t, 1.0 / o["input_midtone"])
+    v = np.where(raw <= 0, 0.0, (o["output_black"] + t * (o["output_white"] - o["output_black"])) / 255.0)
     if o.get("gain"):
         xs, ys = np.array([0.0, *(p[1] for p in o["gain"]), 100.0]), np.array([0.0, *(p[0] for p in o["gain"]), 100.0])
         d = v * 100.0
@@ -96,9 +98,11 @@ def thresholds(h: int, w: int, left: int, top: int, o: dict, dpi: float = 300.0)
         return np.where(s <= 0.5, 2.0 * s * s, 1.0 - 2.0 * (1.0 - s) * (1.0 - s))
     r = np.sqrt(u * u + v * v)
     disc = math.pi * r * r
-    big = np.maximum(r, 0.5)
-    ring = disc - 4.0 * (r * r * np.arccos(0.5 / big) - 0.5 * np.sqrt(np.maximum(0.0, r * r - 0.25)))
-    return np.where(r <= 0.5, disc, np.where(r >= math.sqrt(0.5), 1.0, ring))
+    far = r > 0.5
+    r = r[far]
+    ring = disc[far] - 4.0 * (r * r * np.arccos(0.5 / r) - 0.5 * np.sqrt(np.maximum(0.0, r * r - 0.25)))
+    disc[far] = np.where(r >= math.sqrt(0.5), 1.0, ring)
+    return disc
 
 
 # ---- neighbourhoods
@@ -413,8 +417,10 @@ def halo(o: dict, dpi: float = 300.0) -> int:
 def process(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.ndarray | None = None, selection: np.ndarray | None = None, dpi: float = 300.0) -> Result:
     """Screens and cleans one raster. inside: pixels of the image (the rest of a tile's surroundings has none); selection: soft mask, 0 to 255."""
     h, w = rgba.shape[:2]
-    inside = np.ones((h, w), bool) if inside is None else inside
-    rgba = np.where(inside[..., None], rgba, 0).astype(np.uint8)
+    if inside is None or inside.all():
+        inside = np.ones((h, w), bool)
+    else:
+        rgba = np.where(inside[..., None], rgba, 0).astype(np.uint8)
     a = rgba[..., 3]
     plain, m = coverage(rgba, o)
     raw = plain
@@ -449,6 +455,11 @@ def process(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.n
     ink = screened & ~gone
     filled, holes = fill_holes(ink | ~inside, candidate, pores)  # beyond the image nothing is empty
     ink = ink | filled
+    out = np.zeros((h, w, 4), np.uint8)
+    out[..., 3] = np.where(ink, 255, 0)
+    if not (o["defringe"] or m is not None or o["shadow_boost"] or o["color_boost"]):  # colours as they are
+        out[..., :3] = np.where(ink[..., None], rgba[..., :3], 0)
+        return Result(out, screened, (screened | filled) & ~ink, protected, solid, filled, particles, holes)
     color = rgba[..., :3].astype(np.float64)
     key = np.array([o["key_r"], o["key_g"], o["key_b"]], np.float64)
     source = defringed(rgba, levels(plain, o) if o["presmooth"] else value, o["defringe_radius"], o["defringe_strength"], inside) if o["defringe"] else color
@@ -459,9 +470,7 @@ def process(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.n
     if o["shadow_boost"] or o["color_boost"]:
         source = boosted(source, o["shadow_boost"], o["color_boost"])
     source = np.where(protected[..., None], color, source)
-    out = np.zeros((h, w, 4), np.uint8)
     out[..., :3] = np.where(ink[..., None], source, 0)
-    out[..., 3] = np.where(ink, 255, 0)
     return Result(out, screened, (screened | filled) & ~ink, protected, solid, filled, particles, holes)
 
 

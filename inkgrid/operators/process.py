@@ -2,52 +2,55 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
+from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions import options, sizing
 from inkgrid.operators import kernels
-from inkgrid.operators.tiles import CORE, assemble, per_tile
+from inkgrid.operators.tiles import CORE, KEY, assemble, per_tile
 from inkgrid.schema import TILES
 
 _COUNTS = ("ink_pixels", "screened_pixels", "removed_pixels", "protected_pixels", "solid_pixels", "filled_pixels", "removed_components", "filled_components")
 PROCESSED = TILES + ", " + ", ".join(f"{c} long" for c in _COUNTS)
 
 
-def process_tiles(tiles: DataFrame, artworks: DataFrame, recipes: DataFrame, core: int = CORE) -> DataFrame:
+def process_tiles(tiles: DataFrame, artworks: DataFrame, recipes: DataFrame, core: int = CORE, selections: DataFrame | None = None) -> DataFrame:
     """Output tiles with counts of their own pixels. artworks: (image_id, width, height, recipe_id); recipes: with defaults.
 
-    One shuffle: the halo exchange. A component is counted in the tile that has its first pixel, so sums over tiles are exact. Selections are not part of tiles;
-    recipes with protection by selection protect nothing here.
+    One shuffle: the halo exchange; none if no recipe looks at neighbours. A component is counted in the tile that has its first pixel, so sums over tiles are
+    exact. selections: one-component tiles, the soft masks of images whose recipe protects by selection; where a tile has none, nothing is protected.
     """
     o = {n: F.col(n) for n in ("min_diameter_mm", "fill_holes_mm", "lpi", "cleanup", "cleanup_mode", "protection", "edge_radius", "defringe", "defringe_radius", "presmooth")}
     names = [*options.NAMES, "key_r", "key_g", "key_b"]
     gain = F.transform(F.col("gain"), lambda p: F.array(p["nominal"], p["measured"]))
     full = recipes.select("recipe_id", sizing.halo_px(o).cast("int").alias("halo"), F.to_json(F.struct(*names, gain.alias("gain"), sizing.halo_px(o).alias("halo"))).alias("extra"))
     art = artworks.select("image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height"), "recipe_id").join(full, "recipe_id").drop("recipe_id")
-
-    def step(f: pd.DataFrame) -> pd.DataFrame:
-        own = f[f["own"]]
-        columns = [c.split()[0] for c in PROCESSED.split(", ")]
-        if own.empty:
-            return pd.DataFrame([], columns=columns)
-        opt = json.loads(own.iloc[0].extra)
-        rgba, inside, left, top, part = assemble(f, core, opt["halo"])
-        r = kernels.process(rgba, opt, left, top, inside)
-        data = np.ascontiguousarray(r.rgba[part])
-        h, w = data.shape[:2]
-        here = lambda p: int(((p[:, 0] >= part[0].start) & (p[:, 0] < part[0].stop) & (p[:, 1] >= part[1].start) & (p[:, 1] < part[1].stop)).sum())
-        counts = [data[..., 3] > 0, r.screened[part], r.removed[part], r.protected[part], r.solid[part], r.filled[part]]
-        t = own.iloc[0]
-        row = (t.image_id, t.tile_x, t.tile_y, int(t.tile_x) * core, int(t.tile_y) * core, w, h, 4, data.tobytes(), *(int(c.sum()) for c in counts), here(r.particles), here(r.pores))
-        return pd.DataFrame([row], columns=columns)
-
-    return per_tile(tiles.join(art, "image_id"), core, step, PROCESSED)
+    own = tiles.join(art, "image_id")
+    if selections is not None:
+        own = own.join(selections.select(*KEY, F.col("data").alias("selection")), KEY, "left")
+    # whether any tile needs its neighbours is a question to the recipes alone
+    alone = not (full.agg(F.max("halo")).first()[0] or 0)
+    return per_tile(own, core, functools.partial(_step, core=core), PROCESSED, alone)
+
+
+def _step(pieces: list[SimpleNamespace], core: int) -> list[tuple]:
+    """The PROCESSED row of a tile with its surroundings."""
+    t = next(p for p in pieces if p.own)
+    opt = json.loads(t.extra)
+    rgba, inside, left, top, part = assemble(pieces, core, opt["halo"])
+    selection = rgba[..., 4] if rgba.shape[2] > 4 else None
+    r = kernels.process(rgba[..., :4], opt, left, top, inside, selection)
+    data = np.ascontiguousarray(r.rgba[part])
+    h, w = data.shape[:2]
+    here = lambda p: int(((p[:, 0] >= part[0].start) & (p[:, 0] < part[0].stop) & (p[:, 1] >= part[1].start) & (p[:, 1] < part[1].stop)).sum())
+    counts = [data[..., 3] > 0, r.screened[part], r.removed[part], r.protected[part], r.solid[part], r.filled[part]]
+    return [(t.image_id, t.tile_x, t.tile_y, t.tile_x * core, t.tile_y * core, w, h, 4, data.tobytes(), *(int(np.count_nonzero(c)) for c in counts), here(r.particles), here(r.pores))]
 
 
 def tile_stats(processed: DataFrame) -> DataFrame:
@@ -61,17 +64,13 @@ def white_tiles(tiles: DataFrame, artworks: DataFrame, choke_mm: float = 0.15, c
     halo = 2 * kernels.white_reach(choke) if choke else 0
     art = artworks.select("image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height"), F.lit(halo).alias("halo"), F.lit("").alias("extra"))
 
-    def step(f: pd.DataFrame) -> pd.DataFrame:
-        own = f[f["own"]]
-        columns = [c.split()[0] for c in TILES.split(", ")]
-        if own.empty:
-            return pd.DataFrame([], columns=columns)
-        rgba, inside, _, _, part = assemble(f, core, halo)
+    def step(pieces: list[SimpleNamespace]) -> list[tuple]:
+        t = next(p for p in pieces if p.own)
+        rgba, inside, _, _, part = assemble(pieces, core, halo)
         white = kernels.white_mask(rgba[..., -1] > 0, choke, ~inside)[part]
-        t = own.iloc[0]
-        return pd.DataFrame([(t.image_id, t.tile_x, t.tile_y, int(t.tile_x) * core, int(t.tile_y) * core, white.shape[1], white.shape[0], 1, (white * np.uint8(255)).tobytes())], columns=columns)
+        return [(t.image_id, t.tile_x, t.tile_y, t.tile_x * core, t.tile_y * core, white.shape[1], white.shape[0], 1, (white * np.uint8(255)).tobytes())]
 
-    return per_tile(tiles.join(art, "image_id"), core, step, TILES)
+    return per_tile(tiles.join(art, "image_id"), core, step, TILES, not halo)
 
 
 def white_totals(color: DataFrame, white: DataFrame) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions.sizing import source_window
 from inkgrid.operators.kernels import resample_axis, rnd
-from inkgrid.operators.tiles import CORE, tile_batches
+from inkgrid.operators.tiles import CORE, batch_of, rows_of
 from inkgrid.schema import TILES
 
 PART = "variant_id long, tile_y int, tile_x int, w int, h int, x0 int, y0 int, pw int, ph int, sums binary"
@@ -33,41 +33,39 @@ def resample_tiles(tiles: DataFrame, jobs: DataFrame, core: int = CORE) -> DataF
     source = tiles.select("image_id", "tile_x", "tile_y", "left", "top", F.col("width").alias("sw"), F.col("height").alias("sh"), "data")
     joined = out.join(source, ["image_id", "tile_x", "tile_y"]).select("variant_id", "ty", "tx", "w", "h", "width", "height", "out_width", "out_height", "left", "top", "sw", "sh", "data")
 
-    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for t in f.itertuples():
-                d = np.frombuffer(t.data, np.uint8).reshape(t.sh, t.sw, 4).astype(np.float64)
-                ax, x0 = resample_axis(t.tx * core, t.w, t.width, t.out_width)
-                ay, y0 = resample_axis(t.ty * core, t.h, t.height, t.out_height)
-                xs, ys = np.arange(t.sw) + t.left - x0, np.arange(t.sh) + t.top - y0
-                okx, oky = (xs >= 0) & (xs < ax.shape[1]), (ys >= 0) & (ys < ay.shape[1])
-                if not okx.any() or not oky.any():
-                    continue
-                ax, ay, d = ax[:, xs[okx]], ay[:, ys[oky]], d[oky][:, okx]
-                cols, rws = np.flatnonzero(ax.any(1)), np.flatnonzero(ay.any(1))
-                if not len(cols) or not len(rws):
-                    continue
-                cx, cy = slice(cols[0], cols[-1] + 1), slice(rws[0], rws[-1] + 1)
-                a = d[..., 3] / 255.0
-                planes = np.stack([ay[cy] @ (p @ ax[cx].T) for p in (a, d[..., 0] * a, d[..., 1] * a, d[..., 2] * a)], axis=-1)
-                rows.append((t.variant_id, t.ty, t.tx, t.w, t.h, cols[0], rws[0], planes.shape[1], planes.shape[0], planes.tobytes()))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PART.split(", ")])
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in rows_of(batches):
+            ax, x0 = resample_axis(t.tx * core, t.w, t.width, t.out_width)
+            ay, y0 = resample_axis(t.ty * core, t.h, t.height, t.out_height)
+            xs, ys = np.arange(t.sw) + t.left - x0, np.arange(t.sh) + t.top - y0
+            okx, oky = (xs >= 0) & (xs < ax.shape[1]), (ys >= 0) & (ys < ay.shape[1])
+            if not okx.any() or not oky.any():
+                continue
+            d = np.frombuffer(t.data, np.uint8).reshape(t.sh, t.sw, 4)[oky][:, okx].astype(np.float64)
+            ax, ay = ax[:, xs[okx]], ay[:, ys[oky]]
+            cols, rws = np.flatnonzero(ax.any(1)), np.flatnonzero(ay.any(1))
+            if not len(cols) or not len(rws):
+                continue
+            cx, cy = slice(cols[0], cols[-1] + 1), slice(rws[0], rws[-1] + 1)
+            a = d[..., 3] / 255.0
+            planes = np.stack([ay[cy] @ (p @ ax[cx].T) for p in (a, d[..., 0] * a, d[..., 1] * a, d[..., 2] * a)], axis=-1)
+            yield batch_of([(t.variant_id, t.ty, t.tx, t.w, t.h, int(cols[0]), int(rws[0]), planes.shape[1], planes.shape[0], planes.tobytes())], PART)
 
-    def join_parts(f: pd.DataFrame) -> pd.DataFrame:
-        r = f.iloc[0]
-        s = np.zeros((int(r.h), int(r.w), 4))
-        for p in f.sort_values(["y0", "x0", "ph", "pw"]).itertuples():
+    def join_parts(f: pa.Table) -> pa.Table:
+        parts = list(rows_of(f.to_batches()))
+        r = parts[0]
+        s = np.zeros((r.h, r.w, 4))
+        for p in sorted(parts, key=lambda p: (p.y0, p.x0, p.ph, p.pw)):
             s[p.y0 : p.y0 + p.ph, p.x0 : p.x0 + p.pw] += np.frombuffer(p.sums, np.float64).reshape(p.ph, p.pw, 4)
         rgba = np.zeros(s.shape, np.uint8)
         on = s[..., 0] > 0
         rgba[..., :3][on] = rnd(np.round(s[on][:, 1:] / s[on][:, :1], 9))  # sums of parts: halves must not depend on their order
         rgba[..., 3][on] = np.minimum(255, rnd(np.round(s[..., 0][on] * 255.0, 9)))
-        rgba[~on] = 0
-        row = (r.variant_id, r.tile_x, r.tile_y, int(r.tile_x) * core, int(r.tile_y) * core, r.w, r.h, 4, rgba.tobytes())
-        return pd.DataFrame([row], columns=["variant_id", *(c.split()[0] for c in TILES.split(", ")[1:])])
+        row = (r.variant_id, r.tile_x, r.tile_y, r.tile_x * core, r.tile_y * core, r.w, r.h, 4, rgba.tobytes())
+        return pa.Table.from_batches([batch_of([row], sized)])
 
-    return tile_batches(joined).mapInPandas(part, PART).groupBy("variant_id", "tile_y", "tile_x").applyInPandas(join_parts, "variant_id" + TILES[len("image_id") :])
+    sized = "variant_id" + TILES[len("image_id") :]
+    return joined.mapInArrow(part, PART).groupBy("variant_id", "tile_y", "tile_x").applyInArrow(join_parts, sized)
 
 
 def thumbnails(tiles: DataFrame, artworks: DataFrame, most: int = 360, core: int = CORE) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions.sizing import MOST_PIXELS, cm_to_px, mm_to_px, px_to_cm
-from inkgrid.operators.tiles import CORE, tile_batches
+from inkgrid.operators.tiles import CORE, batch_of, rows_of
 from inkgrid.schema import TILES
 
 PLACED = "job_id long, sheet int, id long, name string, copy int, x int, y int, width int, height int, rotated boolean, sheet_width int, sheet_height int, problem string"
@@ -36,10 +36,10 @@ def sheet_options(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({k: v.cast("int") for k, v in ints.items()} | {"problem": problem})
 
 
-def expand_copies(items: DataFrame) -> DataFrame:
-    """items: (job_id, id, name, width, height, copies). A row for each copy, numbered from 1; 0 to 999 copies, others none."""
+def expand_copies(items: DataFrame, *more: str) -> DataFrame:
+    """items: (job_id, id, name, width, height, copies, further columns). A row for each copy, numbered from 1; 0 to 999 copies, others none."""
     n = F.when(F.col("copies").between(1, 999), F.sequence(F.lit(1), F.col("copies").cast("int"))).otherwise(F.array().cast("array<int>"))
-    return items.select("job_id", "id", "name", F.col("width").cast("int").alias("w"), F.col("height").cast("int").alias("h"), F.explode(n).alias("copy"))
+    return items.select("job_id", "id", "name", F.col("width").cast("int").alias("w"), F.col("height").cast("int").alias("h"), *more, F.explode(n).alias("copy"))
 
 
 class Skyline:
@@ -116,36 +116,38 @@ def pack_job(job: tuple, pieces: list[tuple]) -> list[tuple]:
     return [(job_id, k, id_, name, copy, x, y, w, h, t, width, None if k is None else used[k] + margin, why) for k, id_, name, copy, x, y, w, h, t, why in rows]
 
 
-def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packs jobs whose pieces come one after the other, in order."""
-    job, pieces = None, []
-    for f in frames:
-        out: list[tuple] = []
-        for r in f.itertuples(index=False, name=None):
+    job, pieces, out = None, [], []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if job is not None and r[0] != job[0]:
                 out += pack_job(job, pieces)
                 pieces = []
+                if len(out) >= 20_000:
+                    yield batch_of(out, PLACED)
+                    out = []
             job = r[:6]
             pieces.append(r[6:11])
-        yield _placed(out)
     if job is not None:
-        yield _placed(pack_job(job, pieces))
-
-
-def _placed(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in PLACED.split(", ")]).astype({"sheet": "Int32", "sheet_height": "Int32"})
+        out += pack_job(job, pieces)
+    if out:
+        yield batch_of(out, PLACED)
 
 
 def pack_sheets(items: DataFrame, jobs: DataFrame) -> DataFrame:
-    """PLACED rows, one for each copy of each item; a piece that fits nowhere has a problem and no sheet, as have all pieces of a job whose options break a rule."""
-    o = sheet_options(jobs)
-    pieces = expand_copies(items).join(o.select("job_id", "sheet_width", "gap", "margin", "limit", "rotate", "problem"), "job_id")
+    """PLACED rows, one for each copy of each item; a piece that fits nowhere has a problem and no sheet, as have all pieces of a job whose options break a rule.
+    A job is packed in one task, piece after piece; items are moved, and become copies where the job is packed."""
+    o = sheet_options(jobs).select("job_id", "sheet_width", "gap", "margin", "limit", "rotate", "problem")
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fine = items.join(o.where("problem is null"), "job_id").repartition(parts, "job_id")  # a number, so that small input isn't put into few tasks
+    more = ["sheet_width", "gap", "margin", "limit", "rotate"]
+    pieces = expand_copies(fine, *more).select(F.col("job_id").cast("long"), *more, F.col("id").cast("long"), "name", "copy", "w", "h")
     order = ["job_id", F.desc(F.greatest("w", "h")), F.desc(F.col("w").cast("long") * F.col("h")), "name", "copy", "id"]
-    fine = pieces.where("problem is null").select("job_id", "sheet_width", "gap", "margin", "limit", "rotate", "id", "name", "copy", "w", "h")
-    good = fine.repartition("job_id").sortWithinPartitions(*order).mapInPandas(_pack, PLACED)
+    good = pieces.sortWithinPartitions(*order).mapInArrow(_pack, PLACED)
     none = lambda t: F.lit(None).cast(t)
-    bad = pieces.where("problem is not null").select(
-        "job_id", none("int").alias("sheet"), "id", "name", "copy", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("w").alias("width"), F.col("h").alias("height"), F.lit(False).alias("rotated"), "sheet_width", none("int").alias("sheet_height"), "problem"
+    bad = expand_copies(items.join(o.where("problem is not null"), "job_id"), "sheet_width", "problem").select(
+        F.col("job_id").cast("long"), none("int").alias("sheet"), F.col("id").cast("long"), "name", "copy", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("w").alias("width"), F.col("h").alias("height"), F.lit(False).alias("rotated"), "sheet_width", none("int").alias("sheet_height"), "problem"
     )
     return good.unionByName(bad)
 
@@ -185,25 +187,22 @@ def compose_sheets(placed: DataFrame, tiles: DataFrame, marks: DataFrame | None
     design's tiles, turned where the copy is turned; each then falls into some tiles of the sheet. Black marks lie over all."""
     place = placed.where("sheet is not null").select("job_id", "sheet", F.col("id").alias("image_id"), "x", "y", F.col("width").alias("pw"), "rotated", F.col("sheet_width").alias("gw"), F.col("sheet_height").alias("gh"))
     j = place.join(tiles.select("image_id", "left", "top", "width", "height", "data"), "image_id")
-    columns = ["job_id", "sheet", "tile_y", "tile_x", "z", "left", "top", "width", "height", "gw", "gh", "data"]
     schema = "job_id long, sheet int, tile_y int, tile_x int, z int, left int, top int, width int, height int, gw int, gh int, data binary"
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for t in f.itertuples():
-                d, left, top = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, 4), t.left, t.top
-                if t.rotated:  # a quarter turn to the right: pw is the design's height
-                    d, left, top = np.rot90(d, -1), t.pw - (t.top + t.height), t.left
-                left, top = left + t.x, top + t.y
-                h, w = d.shape[:2]
-                for ty in range(top // core, (top + h - 1) // core + 1):
-                    for tx in range(left // core, (left + w - 1) // core + 1):
-                        x0, x1, y0, y1 = max(left, tx * core), min(left + w, (tx + 1) * core), max(top, ty * core), min(top + h, (ty + 1) * core)
-                        rows.append((t.job_id, t.sheet, ty, tx, 0, x0, y0, x1 - x0, y1 - y0, t.gw, t.gh, np.ascontiguousarray(d[y0 - top : y1 - top, x0 - left : x1 - left]).tobytes()))
-            yield pd.DataFrame(rows, columns=columns)
-
-    pieces = tile_batches(j).mapInPandas(cut, schema)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in rows_of(batches):
+            d, left, top, rows = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, 4), t.left, t.top, []
+            if t.rotated:  # a quarter turn to the right: pw is the design's height
+                d, left, top = np.rot90(d, -1), t.pw - (t.top + t.height), t.left
+            left, top = left + t.x, top + t.y
+            h, w = d.shape[:2]
+            for ty in range(top // core, (top + h - 1) // core + 1):
+                for tx in range(left // core, (left + w - 1) // core + 1):
+                    x0, x1, y0, y1 = max(left, tx * core), min(left + w, (tx + 1) * core), max(top, ty * core), min(top + h, (ty + 1) * core)
+                    rows.append((t.job_id, t.sheet, ty, tx, 0, x0, y0, x1 - x0, y1 - y0, t.gw, t.gh, d[y0 - top : y1 - top, x0 - left : x1 - left].tobytes()))
+            yield batch_of(rows, schema)
+
+    pieces = j.mapInArrow(cut, schema)
     if marks is not None:
         size = placed.where("sheet is not null").select("job_id", "sheet", F.col("sheet_width").alias("gw"), F.col("sheet_height").alias("gh")).distinct()
         cell = lambda a, n: F.sequence(F.floor(F.greatest(F.lit(0), F.col(a)) / core), F.floor((F.col(a) + F.col(n) - 1) / core))
@@ -211,14 +210,15 @@ def compose_sheets(placed: DataFrame, tiles: DataFrame, marks: DataFrame | None
         m = m.select("job_id", "sheet", F.col("ty").cast("int").alias("tile_y"), F.col("tx").cast("int").alias("tile_x"), F.lit(1).alias("z"), "left", "top", "width", "height", "gw", "gh", F.lit(None).cast("binary").alias("data"))
         pieces = pieces.unionByName(m)
 
-    def build(f: pd.DataFrame) -> pd.DataFrame:
-        r = f.iloc[0]
-        left, top = int(r.tile_x) * core, int(r.tile_y) * core
-        w, h = min(core, int(r.gw) - left), min(core, int(r.gh) - top)
+    def build(f: pa.Table) -> pa.Table:
+        parts = list(rows_of(f.to_batches()))
+        r = parts[0]
+        left, top = r.tile_x * core, r.tile_y * core
+        w, h = min(core, r.gw - left), min(core, r.gh - top)
         if w <= 0 or h <= 0:
-            return pd.DataFrame([], columns=["job_id", "sheet", *(c.split()[0] for c in TILES.split(", "))])
+            return pa.Table.from_batches([batch_of([], made)])
         out = np.zeros((h, w, 4), np.uint8)
-        for p in f.sort_values("z", kind="stable").itertuples():
+        for p in sorted(parts, key=lambda p: p.z):
             x0, x1, y0, y1 = max(p.left, left), min(p.left + p.width, left + w), max(p.top, top), min(p.top + p.height, top + h)
             if x0 >= x1 or y0 >= y1:
                 continue
@@ -228,10 +228,10 @@ def compose_sheets(placed: DataFrame, tiles: DataFrame, marks: DataFrame | None
             else:
                 d = np.frombuffer(p.data, np.uint8).reshape(p.height, p.width, 4)[y0 - p.top : y1 - p.top, x0 - p.left : x1 - p.left]
                 box[d[..., 3] > 0] = d[d[..., 3] > 0]
-        row = (r.job_id, r.sheet, 0, r.tile_x, r.tile_y, left, top, w, h, 4, out.tobytes())
-        return pd.DataFrame([row], columns=["job_id", "sheet", *(c.split()[0] for c in TILES.split(", "))])
+        return pa.Table.from_batches([batch_of([(r.job_id, r.sheet, 0, r.tile_x, r.tile_y, left, top, w, h, 4, out.tobytes())], made)])
 
-    sheets = pieces.groupBy("job_id", "sheet", "tile_y", "tile_x").applyInPandas(build, f"job_id long, sheet int, {TILES}")
+    made = f"job_id long, sheet int, {TILES}"
+    sheets = pieces.groupBy("job_id", "sheet", "tile_y", "tile_x").applyInArrow(build, made)
     return sheets.withColumn("image_id", F.xxhash64("job_id", "sheet"))
 
 

@@ -1,11 +1,16 @@
-"""Tables of tiles: conversion, halo exchange, crops, checksums and audits."""
+"""Tables of tiles: conversion, halo exchange, crops, checksums and audits.
+
+Tiles go to Python as Arrow batches, which Spark bounds by their bytes, and are worked on one at a time.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +20,28 @@ from inkgrid.schema import PIXELS, TILES
 CORE = 512
 KEY = ["image_id", "tile_y", "tile_x"]
 PIECE = "image_id long, tile_y int, tile_x int, left int, top int, width int, height int, components int, data binary, own boolean, image_width int, image_height int, extra string"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+
+
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[SimpleNamespace]:
+    """Rows of Arrow batches, one at a time. Binary values are buffers that share the batch's memory."""
+    for b in batches:
+        names = b.schema.names
+        columns = [c if pa.types.is_binary(c.type) else c.to_pylist() for c in b.columns]
+        for i in range(b.num_rows):
+            yield SimpleNamespace(**{n: (c[i].as_buffer() if isinstance(c, pa.Array) else c[i]) for n, c in zip(names, columns, strict=True)})
+
 
+def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    """An Arrow batch of rows, by a schema of simple types."""
+    fields = [c.split() for c in ddl.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
-def tile_batches(df: DataFrame, rows: int = 16) -> DataFrame:
-    """Tiles are a megabyte each: they go to Python a few at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > rows:
-        df.sparkSession.conf.set(key, str(rows))
-    return df
+
+def raster(t: SimpleNamespace) -> np.ndarray:
+    """(height, width, components) of a tile's bytes."""
+    return np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.components)
 
 
 def pixels_to_tiles(pixels: DataFrame, artworks: DataFrame, core: int = CORE) -> DataFrame:
@@ -30,81 +49,103 @@ def pixels_to_tiles(pixels: DataFrame, artworks: DataFrame, core: int = CORE) ->
     p = pixels.join(artworks.select("image_id", F.col("width").alias("iw"), F.col("height").alias("ih")), "image_id")
     p = p.withColumn("tile_x", F.floor(F.col("x") / core).cast("int")).withColumn("tile_y", F.floor(F.col("y") / core).cast("int"))
 
-    def build(f: pd.DataFrame) -> pd.DataFrame:
-        r = f.iloc[0]
-        left, top = int(r.tile_x) * core, int(r.tile_y) * core
-        w, h = min(core, int(r.iw) - left), min(core, int(r.ih) - top)
+    def build(f: pa.Table) -> pa.Table:
+        one = {n: f.column(n)[0].as_py() for n in ("image_id", "tile_x", "tile_y", "iw", "ih")}
+        left, top = one["tile_x"] * core, one["tile_y"] * core
+        w, h = min(core, one["iw"] - left), min(core, one["ih"] - top)
         data = np.zeros((h, w, 4), np.uint8)
-        data[f["y"] - top, f["x"] - left] = f[["r", "g", "b", "a"]].to_numpy(np.uint8)
-        return pd.DataFrame([(r.image_id, r.tile_x, r.tile_y, left, top, w, h, 4, data.tobytes())], columns=[c.split()[0] for c in TILES.split(", ")])
+        y, x = f.column("y").to_numpy() - top, f.column("x").to_numpy() - left
+        for i, c in enumerate("rgba"):
+            data[y, x, i] = f.column(c).to_numpy()
+        return pa.Table.from_batches([batch_of([(one["image_id"], one["tile_x"], one["tile_y"], left, top, w, h, 4, data.tobytes())], TILES)])
 
-    return p.groupBy(*KEY).applyInPandas(build, TILES)
+    return p.groupBy(*KEY).applyInArrow(build, TILES)
 
 
 def tiles_to_pixels(tiles: DataFrame, keep_transparent: bool = False) -> DataFrame:
     """PIXELS rows; transparent ones only if they are wanted."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for t in f.itertuples():
-                d = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.components).astype(np.int32)
-                y, x = np.nonzero(np.ones((t.height, t.width), bool) if keep_transparent else d[..., -1] > 0)
-                c = d[y, x]
-                rgb = [c[:, 0]] * 3 if t.components == 1 else [c[:, i] for i in range(3)]
-                yield pd.DataFrame({"image_id": t.image_id, "x": (x + t.left).astype(np.int32), "y": (y + t.top).astype(np.int32), "r": rgb[0], "g": rgb[1], "b": rgb[2], "a": c[:, -1]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in rows_of(batches):
+            d = raster(t)
+            y, x = np.nonzero(np.ones((t.height, t.width), bool) if keep_transparent else d[..., -1] > 0)
+            c = d[y, x].astype(np.int32)
+            rgb = [c[:, 0]] * 3 if t.components == 1 else [c[:, i] for i in range(3)]
+            columns = [np.full(len(x), t.image_id, np.int64), (x + t.left).astype(np.int32), (y + t.top).astype(np.int32), *rgb, c[:, -1]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], [f.split()[0] for f in PIXELS.split(", ")])
 
-    return tile_batches(tiles).select("image_id", "left", "top", "width", "height", "components", "data").mapInPandas(run, PIXELS)
+    return tiles.select("image_id", "left", "top", "width", "height", "components", "data").mapInArrow(run, PIXELS)
 
 
 def halo_exchange(tiles: DataFrame, core: int) -> DataFrame:
     """PIECE rows: for each tile its own pixels, and the strips of its neighbours that lie within its image's `halo`. One shuffle by the caller brings a tile's
     pieces together; it moves the tiles once and the strips, not whole neighbours. tiles: TILES with image_width, image_height, halo and extra (any text, which
-    stays with the tile's own piece)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for t in f.itertuples():
-                d = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.components)
-                n, out = -(-t.halo // core), []
-                for ty in range(max(0, t.tile_y - n), t.tile_y + n + 1):
-                    for tx in range(max(0, t.tile_x - n), t.tile_x + n + 1):
-                        if ty * core >= t.image_height or tx * core >= t.image_width:
-                            continue
-                        x0, x1 = max(t.left, tx * core - t.halo), min(t.left + t.width, (tx + 1) * core + t.halo)
-                        y0, y1 = max(t.top, ty * core - t.halo), min(t.top + t.height, (ty + 1) * core + t.halo)
-                        if x0 >= x1 or y0 >= y1:
-                            continue
-                        own = (ty, tx) == (t.tile_y, t.tile_x)
-                        cut = d[y0 - t.top : y1 - t.top, x0 - t.left : x1 - t.left]
-                        if not own and not cut[..., -1].any():
-                            continue  # a transparent strip says nothing
-                        out.append((t.image_id, ty, tx, x0, y0, x1 - x0, y1 - y0, t.components, cut.tobytes(), own, t.image_width, t.image_height, t.extra if own else None))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
-
-    columns = [*KEY, "left", "top", "width", "height", "components", "data", "image_width", "image_height", "halo", "extra"]
-    return tile_batches(tiles).select(*columns).mapInPandas(run, PIECE)
-
-
-def assemble(pieces: pd.DataFrame, core: int, halo: int) -> tuple[np.ndarray, np.ndarray, int, int, tuple[slice, slice]]:
+    stays with the tile's own piece), and perhaps selection (a byte for each pixel, or null), which becomes one more component."""
+    selected = "selection" in tiles.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in rows_of(batches):
+            d, alpha = raster(t), t.components - 1
+            if selected:
+                s = np.zeros(d.shape[:2], np.uint8) if t.selection is None else np.frombuffer(t.selection, np.uint8).reshape(d.shape[:2])
+                d = np.concatenate([d, s[..., None]], axis=-1)
+            n, out = -(-t.halo // core), []
+            for ty in range(max(0, t.tile_y - n), t.tile_y + n + 1):
+                for tx in range(max(0, t.tile_x - n), t.tile_x + n + 1):
+                    if ty * core >= t.image_height or tx * core >= t.image_width:
+                        continue
+                    x0, x1 = max(t.left, tx * core - t.halo), min(t.left + t.width, (tx + 1) * core + t.halo)
+                    y0, y1 = max(t.top, ty * core - t.halo), min(t.top + t.height, (ty + 1) * core + t.halo)
+                    if x0 >= x1 or y0 >= y1:
+                        continue
+                    own = (ty, tx) == (t.tile_y, t.tile_x)
+                    cut = d[y0 - t.top : y1 - t.top, x0 - t.left : x1 - t.left]
+                    if not own and not cut[..., alpha].any():
+                        continue  # a transparent strip says nothing
+                    out.append((t.image_id, ty, tx, x0, y0, x1 - x0, y1 - y0, d.shape[2], cut.tobytes(), own, t.image_width, t.image_height, t.extra if own else None))
+            yield batch_of(out, PIECE)
+
+    columns = [*KEY, "left", "top", "width", "height", "components", "data", "image_width", "image_height", "halo", "extra", *(["selection"] if selected else [])]
+    return tiles.select(*columns).mapInArrow(run, PIECE)
+
+
+def assemble(pieces: list[SimpleNamespace], core: int, halo: int) -> tuple[np.ndarray, np.ndarray, int, int, tuple[slice, slice]]:
     """(pixels, inside, left, top, core part) of one tile with its surroundings. Nothing is beyond the image."""
-    r = pieces.iloc[0]
-    left, top = int(r.tile_x) * core - halo, int(r.tile_y) * core - halo
-    w, h = min(core, int(r.image_width) - left - halo), min(core, int(r.image_height) - top - halo)
-    out = np.zeros((h + 2 * halo, w + 2 * halo, int(r.components)), np.uint8)
-    for p in pieces.itertuples():
-        d = np.frombuffer(p.data, np.uint8).reshape(p.height, p.width, p.components)
+    r = pieces[0]
+    left, top = r.tile_x * core - halo, r.tile_y * core - halo
+    w, h = min(core, r.image_width - left - halo), min(core, r.image_height - top - halo)
+    out = np.zeros((h + 2 * halo, w + 2 * halo, r.components), np.uint8)
+    for p in pieces:
         x0, y0 = max(p.left, left), max(p.top, top)
         x1, y1 = min(p.left + p.width, left + out.shape[1]), min(p.top + p.height, top + out.shape[0])
         if x0 < x1 and y0 < y1:
-            out[y0 - top : y1 - top, x0 - left : x1 - left] = d[y0 - p.top : y1 - p.top, x0 - p.left : x1 - p.left]
+            out[y0 - top : y1 - top, x0 - left : x1 - left] = raster(p)[y0 - p.top : y1 - p.top, x0 - p.left : x1 - p.left]
     ys, xs = np.arange(out.shape[0]) + top, np.arange(out.shape[1]) + left
     inside = ((ys >= 0) & (ys < r.image_height))[:, None] & ((xs >= 0) & (xs < r.image_width))[None, :]
     return out, inside, left, top, (slice(halo, halo + h), slice(halo, halo + w))
 
 
-def per_tile(tiles: DataFrame, core: int, step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Halo exchange, then `step` on the pieces of each tile. A neighbour's strip for a tile that doesn't exist makes a tile of its own: transparent in the middle."""
-    return halo_exchange(tiles, core).groupBy(*KEY).applyInPandas(step, schema)
+def per_tile(tiles: DataFrame, core: int, step: Callable[[list[SimpleNamespace]], list[tuple]], schema: str, alone: bool = False) -> DataFrame:
+    """Halo exchange, then `step` on the pieces of each tile that exists; its rows are the result. alone: no image has a halo, so tiles are worked on where they are."""
+    if alone:
+        own = tiles.withColumn("own", F.lit(True))
+        selected = "selection" in tiles.columns
+
+        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in rows_of(batches):
+                if selected:
+                    s = bytes(t.width * t.height) if t.selection is None else t.selection
+                    t.data = np.concatenate([raster(t), np.frombuffer(s, np.uint8).reshape(t.height, t.width, 1)], axis=-1)
+                    t.components += 1
+                yield batch_of(step([t]), schema)
+
+        return own.mapInArrow(single, schema)
+
+    def run(f: pa.Table) -> pa.Table:
+        pieces = list(rows_of(f.to_batches()))
+        return pa.Table.from_batches([batch_of(step(pieces) if any(p.own for p in pieces) else [], schema)])
+
+    return halo_exchange(tiles, core).groupBy(*KEY).applyInArrow(run, schema)
 
 
 def read_crop(tiles: DataFrame, crops: DataFrame, core: int = CORE) -> DataFrame:
@@ -132,30 +173,36 @@ def read_crop(tiles: DataFrame, crops: DataFrame, core: int = CORE) -> DataFrame
             out[y0 - ct : y1 - ct, x0 - cl : x1 - cl] = d[y0 - top : y1 - top, x0 - left : x1 - left]
         return pd.DataFrame([(r.crop_id, cw, ch, None if error else out.tobytes(), error)], columns=["crop_id", "width", "height", "data", "error"])
 
-    return tile_batches(j).groupBy("crop_id").applyInPandas(build, f"crop_id {crops.schema['crop_id'].dataType.simpleString()}, width int, height int, data binary, error string")
+    return j.groupBy("crop_id").applyInPandas(build, f"crop_id {crops.schema['crop_id'].dataType.simpleString()}, width int, height int, data binary, error string")
+
+
+def fnv1a(data: list[bytes]) -> list[int]:
+    """The 32-bit FNV-1a of each. A step is h -> (h ^ byte) * prime mod 2**32, a map of 32 bits in which each bit of the result depends on that bit and lower ones
+    only, so bytes can't be taken in another order: values of a batch are worked on side by side, a place at a time."""
+    size = np.array([len(d) for d in data], np.int64)
+    order = np.argsort(-size, kind="stable")
+    wide = np.zeros((int(size.max(initial=0)), len(data)), np.uint8)
+    for k, i in enumerate(order):
+        wide[: size[i], k] = np.frombuffer(data[i], np.uint8)
+    h, prime = np.full(len(data), 0x811C9DC5, np.uint32), np.uint32(0x01000193)
+    live = np.searchsorted(-size[order], -np.arange(len(wide)), side="left")
+    for p in range(len(wide)):
+        n = live[p]
+        h[:n] = (h[:n] ^ wide[p, :n]) * prime
+    out = np.zeros(len(data), np.int64)
+    out[order] = h
+    return out.tolist()
 
 
 def tile_checksum(tiles: DataFrame) -> DataFrame:
-    """Adds fnv: the 32-bit FNV-1a of the data, as eight hex digits. Bytes of a tile follow each other, so tiles of a batch are worked on side by side."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            data = [np.frombuffer(x, np.uint8) for x in f["data"]]
-            size = np.array([len(d) for d in data])
-            order = np.argsort(-size, kind="stable")
-            wide = np.zeros((int(size.max(initial=0)), len(data)), np.uint32)
-            for k, i in enumerate(order):
-                wide[: size[i], k] = data[i]
-            h = np.full(len(data), 0x811C9DC5, np.uint32)
-            live = np.searchsorted(-size[order], -np.arange(len(wide)), side="left")
-            for p in range(len(wide)):
-                n = live[p]
-                h[:n] = (h[:n] ^ wide[p, :n]) * np.uint32(0x01000193)
-            out = np.zeros(len(data), object)
-            out[order] = [f"{x:08x}" for x in h]
-            yield f[KEY].assign(fnv=out)
-
-    return tile_batches(tiles, 64).select(*KEY, "data").mapInPandas(run, "image_id long, tile_y int, tile_x int, fnv string")
+    """Adds fnv: the 32-bit FNV-1a of the data, as eight hex digits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = fnv1a([x.as_buffer() for x in b.column(3)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([f"{x:08x}" for x in found])], [*KEY, "fnv"])
+
+    return tiles.select(*KEY, "data").mapInArrow(run, "image_id long, tile_y int, tile_x int, fnv string")
 
 
 def expected_grid(artworks: DataFrame, core: int = CORE) -> DataFrame:

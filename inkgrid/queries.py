@@ -198,7 +198,7 @@ def tile_audit(spark: SparkSession, d: str) -> DataFrame:
     """S3, C14, A10: tiles written and read, with some lost and some damaged, against grid and manifest."""
     art, t = _tiles(spark, d)
     path = workspace(spark, "audit")
-    tiles.tile_batches(t).write.parquet(f"{path}/tiles")
+    t.write.parquet(f"{path}/tiles")
     back = spark.read.schema(t.schema).parquet(f"{path}/tiles")
     manifest = back.select(*tiles.KEY, "left", "top", "width", "height", F.sha2("data", 256).alias("hash"))
     other = F.expr("concat(substring(data, 2, length(data) - 1), unhex(lpad(hex((cast(conv(hex(substring(data, 1, 1)), 16, 10) AS int) + 1) % 256), 2, '0')))")

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a temporary folder where that is unset (tests)."""
+    """A new path below spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder, and any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='inkgrid-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/inkgrid/{name}-{uuid.uuid4().hex}"
