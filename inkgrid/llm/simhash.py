@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
 
 
+def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of bits in which signed 64-bit integers differ. (NumPy counts the bits of a negative number's absolute value.)"""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _bits(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
@@ -187,24 +193,47 @@ def thresholds(fps: np.ndarray, parts: list[list[int]], tables: list[list[np.nda
     return out
 
 
-def _probes(distinct: DataFrame, parts: list[list[int]], tables: list[list[np.ndarray]], n: int, distance: int) -> DataFrame:
-    """(mask, value, fp, probe): fp stands in the bucket of its bits under mask, and of those that it probes."""
+class Plan(NamedTuple):
+    """The partitions of the bits, and what the thresholds are chosen by."""
+
+    parts: list[list[int]]
+    tables: list[list[np.ndarray]]
+    n: int
+
+
+def index_plan(distinct: DataFrame, distance: int, m: int | None = None) -> Plan:
+    """distinct: (fp). m partitions (None: the cheapest number) by correlation, and for each the estimates of candidates."""
+    together, n = _together(distinct)
+    parts = _partitions(together, n, m or _partition_count(n, distance))
+    found = iter(_distances(distinct, [g for part in parts for g in _groups(part)], distance))
+    return Plan(parts, [[next(found) for _ in _groups(part)] for part in parts], n)
+
+
+def probes(fps: np.ndarray, plan: Plan, distance: int):
+    """(mask, values, places in fps, probe): each fingerprint stands in the bucket of its bits under a partition's mask, and of those that it probes there."""
+    parts, tables, n = plan
     masks = [np.int64(np.uint64(sum(1 << b for b in part))) if sum(1 << b for b in part) < 1 << 63 else np.uint64(sum(1 << b for b in part)).astype(np.int64) for part in parts]
     flips = [[np.array([sum(1 << b for b in c) for c in itertools.combinations(part, d)], dtype=np.uint64).view(np.int64) for d in range(distance + 1)] for part in parts]
+    e = thresholds(fps, parts, tables, n, distance)
+    for i, mask in enumerate(masks):
+        yield mask, fps & mask, np.arange(len(fps)), e[:, i] >= 0
+        for d in range(1, distance + 1):
+            far = np.flatnonzero(e[:, i] >= d)
+            for at in range(0, len(far), 4096):
+                x = far[at : at + 4096]
+                values = (fps[x][:, None] ^ flips[i][d][None, :]) & mask
+                if values.size:
+                    yield mask, values.ravel(), np.repeat(x, values.shape[1]), np.ones(values.size, bool)
+
+
+def _probes(distinct: DataFrame, plan: Plan, distance: int) -> DataFrame:
+    """(mask, value, fp, probe)."""
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches, 10_000):
             fps = b.column(0).to_numpy()
-            e = thresholds(fps, parts, tables, n, distance)
-            for i, mask in enumerate(masks):
-                yield _bucketed(mask, fps & mask, fps, e[:, i] >= 0)
-                for d in range(1, distance + 1):
-                    far = fps[e[:, i] >= d]
-                    for at in range(0, len(far), 4096):
-                        x = far[at : at + 4096]
-                        values = (x[:, None] ^ flips[i][d][None, :]) & mask
-                        if values.size:
-                            yield _bucketed(mask, values.ravel(), np.repeat(x, values.shape[1]), np.ones(values.size, bool))
+            for mask, values, at, probe in probes(fps, plan, distance):
+                yield _bucketed(mask, values, fps[at], probe)
 
     return distinct.select("fp").mapInArrow(run, "mask long, value long, fp long, probe boolean")
 
@@ -238,7 +267,7 @@ def _bucket_links(fps: np.ndarray, probe: np.ndarray, distance: int) -> np.ndarr
         root[start], front = start, [start]
         while front:
             x = front.pop()
-            near = np.flatnonzero((root < 0) & (np.bitwise_count(fps ^ fps[x]) <= distance) & (probe | probe[x]))
+            near = np.flatnonzero((root < 0) & (differ(fps, fps[x]) <= distance) & (probe | probe[x]))
             root[near] = start
             front.extend(near.tolist())
             links.append(np.stack([np.full(len(near), fps[x]), fps[near]], axis=1))
@@ -258,7 +287,7 @@ def _verified(distance: int):
             a, b = slice(None, -shift), slice(shift, None)
             if shift >= len(fps):
                 break
-            ok = (where[a] == where[b]) & small[a] & (probe[a] | probe[b]) & (np.bitwise_count(fps[a] ^ fps[b]) <= distance)
+            ok = (where[a] == where[b]) & small[a] & (probe[a] | probe[b]) & (differ(fps[a], fps[b]) <= distance)
             out.append(np.stack([fps[a][ok], fps[b][ok]], axis=1))
         out += [_bucket_links(fps[s : s + k], probe[s : s + k], distance) for s, k in zip(start[size > 16], size[size > 16], strict=True)]
         x = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
@@ -286,12 +315,7 @@ def _verified(distance: int):
 def near_links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
     """distinct: (fp), all different. (a, b): links at up to `distance` bits, enough to join all that are linked directly or
     through others (in a bucket of many, a spanning forest of its links). Ends with a written table."""
-    together, n = _together(distinct)
-    parts = _partitions(together, n, _partition_count(n, distance))
-    flat = [g for part in parts for g in _groups(part)]
-    found = iter(_distances(distinct, flat, distance))
-    tables = [[next(found) for _ in _groups(part)] for part in parts]
-    rows = keep(_probes(distinct, parts, tables, n, distance), "simhash-probes")
+    rows = keep(_probes(distinct, index_plan(distinct, distance), distance), "simhash-probes")
     links, tables_made = None, [rows]
     while True:
         sizes = rows.groupBy("mask", "value").agg(F.count("*").alias("n"), F.max("probe").alias("any"))

@@ -70,6 +70,16 @@ def test_dense_ball_is_split(spark):
     assert len({got.get(int(x), int(x)) for x in s}) == len(groups)
 
 
+def test_links_that_differ_in_the_sign_bit(spark):
+    """Pairs of random fingerprints that differ in the highest bit, alone and with two others."""
+    rng = np.random.default_rng(8)
+    u = rng.integers(1 << 63, size=200, dtype=np.uint64)
+    pairs = [(int(x), int(x) ^ 1 << 63 ^ (0 if i % 2 else (1 << int(i % 60)) | 1 << int(i % 60 + 2))) for i, x in enumerate(u)]
+    s = np.array([x for p in pairs for x in p], np.uint64).view(np.int64)
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.near_links(spark.createDataFrame([(int(x),) for x in s], "fp long"))).collect()}
+    assert all(got[int(s[2 * i])] == got[int(s[2 * i + 1])] for i in range(len(pairs)))
+
+
 def test_thresholds_cover_all_pairs():
     rng = np.random.default_rng(1)
     fps = rng.integers(-(1 << 62), 1 << 62, 500)

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from inkgrid.llm import minhash
+from inkgrid.llm import similarity as op
 
 
 def words(text):
@@ -48,16 +48,16 @@ def test_planted_near_copies_in_the_stage(spark):
     assert len(near) > 80
     want = groups(docs)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == want
+    assert {r["doc_id"]: r["component_id"] for r in op.similar_groups(df).collect()} == want
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == sorted(set(want.values()))
 
 
 def test_given_documents_against_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in op.similar_groups(df).collect()}
     assert got == groups({r["doc_id"]: r["text"] for r in df.collect()})
 
 
 def test_odd_documents(spark, odd, none):
-    assert minhash.near_duplicates(odd).count() == odd.count()
-    assert minhash.near_duplicates(none).count() == 0
+    assert op.similar_groups(odd).count() == odd.count()
+    assert op.similar_groups(none).count() == 0
