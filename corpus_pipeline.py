@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgrid.llm import decontam, langid, minhash, mixing, simhash, tokens
+from inkgrid.llm import decontam, langid, mixing, similarity, tokens
 from inkgrid.llm.common import keep
 
 
@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group that is linked by five-word shingles at a similarity of 0.8 or more."""
-    return simhash.smallest(docs, minhash.near_duplicates(docs), "doc_id")
+    return similarity.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
