@@ -25,14 +25,17 @@ from pyspark.taskcontext import TaskContext
 
 from inkgrid.llm.common import in_parts, workspace
 
-#: Pieces that a worker knows, in each of two turns, and their length at most.
-KNOWN, KNOWN_LENGTH = 150_000, 64
-#: Where a text may be cut: before a blank, and before and after a line break, that stands alone between visible characters (ASCII or Latin letters, which no kind
-#: of white space is); and between a Latin letter and a mark.
-_SEEN, _LETTER = "!-~\u00c0-\u024f", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_CUT = re.compile(f"(?=[ \n.,!?;:])(?:(?<=[{_SEEN}])(?=[ \n][{_SEEN}])|(?<=[{_LETTER}])(?=[.,!?;:]))|(?<=[{_SEEN}]\n)(?=[{_SEEN}])")
-#: A piece that the byte-level pre-tokenizer takes as one word, in which it writes only the blank in another way.
-_WORD = re.compile(" ?[A-Za-z]+")
+#: Words that a worker knows, in each of two turns, and their length at most.
+KNOWN, KNOWN_LENGTH = 250_000, 64
+#: What texts that are cut at each blank and line break may not have: other than visible characters (ASCII or Latin letters, which no kind of white space is) and these
+#: two, and these two beside each other.
+_OTHER = re.compile("[^\n -~\u00c0-\u024f]")
+_BESIDE = ("  ", "\n\n", " \n", "\n ")
+#: Elsewhere, where a blank, or a line break, stands alone between visible characters.
+_CUT = re.compile("(?<=[!-~\u00c0-\u024f])(?=[ \n][!-~\u00c0-\u024f])|(?<=[!-~\u00c0-\u024f]\n)(?=[!-~\u00c0-\u024f])")
+#: A word that the byte-level pre-tokenizer takes as one, and one with a run of marks behind it, which that takes on its own (an apostrophe may start a contraction).
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_WORD, _MARKED = re.compile(_LETTERS), re.compile(f"({_LETTERS})([!-&(-/:-@\\[-`{{-~]+)")
 
 SHARD = "shard int, name string, n_docs long, n_ids long"
 
@@ -41,13 +44,20 @@ def byte_order(width: int) -> np.dtype:
     return np.dtype(f"<u{width}")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that a byte-level BPE writes bytes as: printable Latin-1 as itself, the others from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Token ids of whole texts, by the tokenizers library.
 
     Equal pieces of texts are encoded once, if the loaded tokenizer proves that cutting there changes nothing: it has no normaliser, its pre-tokenizer is the
     byte-level one with its own pattern and without a prefix, and its added tokens take no white space with them. That pattern never joins a blank to
     what stands before it, and takes a line break alone, where visible characters stand on both sides, and it never joins marks to letters before them; so these are the
-    only places where a text is cut. Pieces that are one word to it go straight to the library's model, others through all of it. Texts with an added token in them, and
+    only places where a text is cut. Words go straight to the library's model, others through all of it. Texts with an added token in them, and
     all texts of any other tokenizer, go through the library whole.
     """
 
@@ -55,27 +65,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
-        self.model = self.tokenizer.model
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         spec = json.loads(self.tokenizer.to_str())
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.cuts = _may_cut(spec)
-        #: Ids by piece, in two turns: the last ones met, and those of the turn before.
+        #: Ids of a blank and a word, by the word, and of other pieces as they are. Two turns of the former: the last ones met, and those of the turn before.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def piece(self, p: str) -> bytes:
-        found = self.older.get(p)
-        if found is None and _WORD.fullmatch(p):
-            found = array(self.kind, [t.id for t in self.model.tokenize(p.replace(" ", "\u0120"))]).tobytes()
-        elif found is None:
-            found = self.whole(p)
-        if len(p) <= KNOWN_LENGTH:
+    def word(self, w: str) -> bytes:
+        """A blank and a word."""
+        found = self.older.get(w)
+        if found is None:
+            if _WORD.fullmatch(w):
+                own = f"\u0120{w}" if w.isascii() else f" {w}".encode().decode("latin-1").translate(self.letters)
+                found = array(self.kind, [t.id for t in self.model.tokenize(own)]).tobytes()
+            elif m := _MARKED.fullmatch(w):
+                found = (self.known.get(m[1]) or self.word(m[1])) + self.piece(m[2])
+            else:
+                found = self.whole(" " + w)
+        if len(w) <= KNOWN_LENGTH:
             if len(self.known) >= KNOWN:
                 self.known, self.older = {}, self.known
-            self.known[p] = found
+            self.known[w] = found
+        return found
+
+    def piece(self, p: str) -> bytes:
+        """A piece as it is."""
+        found = self.plain.get(p)
+        if found is None:
+            found = self.whole(p)
+            if len(p) <= KNOWN_LENGTH:
+                if len(self.plain) >= KNOWN // 4:
+                    self.plain = {}
+                self.plain[p] = found
         return found
 
     def __call__(self, text: str | None) -> bytes:
@@ -83,8 +110,16 @@ class Encoder:
             return b""
         if not self.cuts or any(t in text for t in self.added):
             return self.whole(text)
-        known, piece = self.known.get, self.piece
-        return b"".join([known(p) or piece(p) for p in _CUT.split(text)])
+        if _OTHER.search(text) or any(x in text for x in _BESIDE) or text[0] in " \n" or text[-1] in " \n":
+            return b"".join([self.piece(p) for p in _CUT.split(text)])
+        out, end, word = [], self.piece("\n"), self.word
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            known = self.known.get
+            out.append(self.piece(first))
+            out += [known(w) or word(w) for w in rest]
+            out.append(end)
+        return b"".join(out[:-1])
 
 
 def _may_cut(spec: dict) -> bool:
