@@ -25,7 +25,7 @@ def test_forward_and_counts_against_all_segmentations():
     p = rng.random((len(vocabulary), 2)) * 0.01
     words = [b" hello", b"x", " Äpfel".encode(), b" then"]
     lattice = langid.lattice_of(PATH)
-    z, *_ = lattice.forward(words, p)
+    z = np.exp(lattice.likelihoods(words, p))
     counts = rng.integers(1, 5, (len(words), 2)).astype(float)
     want = np.zeros_like(p)
     for i, w in enumerate(words):
@@ -65,3 +65,54 @@ def test_small_tables_give_the_same(monkeypatch):
     want = model.scorer()(texts)
     monkeypatch.setattr(langid, "KNOWN", 500)
     assert model.scorer()(texts) == want
+
+
+def test_long_words_against_sums_of_logarithms(monkeypatch):
+    """Words far longer than 48 bytes, some without blanks in them, with pieces of over 12 bytes; sums far below the smallest float."""
+    vocabulary = langid.pieces(PATH)
+    assert max(map(len, vocabulary)) > 12
+    rng = np.random.default_rng(5)
+    p = rng.random((len(vocabulary), 2)) * 1e-4
+    at = {v: i for i, v in enumerate(vocabulary)}
+    longest = max(map(len, vocabulary))
+    words = [b" " + "今日は良い天気ですね".encode() * 40, b" " + bytes(rng.integers(33, 127, 700).tolist()), b" " + b"internationalisation" * 30, b" x", b" " + b"-" * 300]
+    lattice = langid.lattice_of(PATH)
+
+    def plain(w):
+        total = [np.full(2, -np.inf) for _ in range(len(w) + 1)]
+        total[0] = np.zeros(2)
+        for i in range(len(w)):
+            for k in range(1, min(longest, len(w) - i) + 1):
+                if w[i : i + k] in at:
+                    total[i + k] = np.logaddexp(total[i + k], total[i] + np.log(p[at[w[i : i + k]]]))
+        return total[-1]
+
+    want = [plain(w) for w in words]
+    assert min(x.min() for x in want) < -3000
+    assert np.allclose(lattice.likelihoods(words, p), want)
+    # each byte of a word is in one piece, so expected counts times lengths add up to the words' lengths
+    counts = np.array([[1.0, 0.0], [0.0, 2.0], [1.0, 1.0], [3.0, 0.0], [0.0, 1.0]])
+    got = lattice.expected(words, counts, p)
+    size = np.array([len(v) for v in vocabulary])
+    assert size @ got == pytest.approx(np.array([len(w) for w in words]) @ counts)
+    monkeypatch.setattr(langid, "CELLS", 50)
+    assert np.allclose(lattice.likelihoods(words, p), want) and np.allclose(lattice.expected(words, counts, p), got)
+
+
+def test_predictions_against_a_plain_version(spark):
+    """predict() over whole texts against sums of logarithms over the words of each."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs.where(langid.remainder("doc_id") != 0), PATH)
+    p = model.p.astype(np.float32).astype(np.float64)
+    lattice, n = langid.lattice_of(PATH), 0
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in langid.predict(docs, model).collect():
+        words = langid.words_of(texts[r["doc_id"]])
+        if not any(map(str.isalpha, texts[r["doc_id"]] or "")):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total = lattice.likelihoods(words, p).sum(axis=0)
+        assert r["lang_pred"] == model.langs[int(total.argmax())]
+        assert r["score"] == pytest.approx(1 / np.exp(total - total.max()).sum(), abs=1e-3)
+        n += 1
+    assert n > 150
