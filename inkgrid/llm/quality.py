@@ -150,14 +150,21 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 150, rate: f
     return model
 
 
-def train(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 20_000) -> Model:
-    """Fits on feature rows that have a label, about `max_rows` of them by a hash of the id: a bound of the sample for fitting.
-    table: of feature_table()."""
+def sample(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """Feature rows with their label, one for each id: about `max_rows`, chosen by a hash of the id. Of rows that repeat an id the smallest stand for it, in both tables."""
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    labels = labels.groupBy("id").agg(F.min("label").alias("label"))
     n = labels.count()
     u = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000))
     chosen = labels.where(u < int(1_000_000 * min(1.0, max_rows / max(n, 1))) + 1)
-    rows = table.join(chosen, "id").orderBy("id", *FEATURES, "label").toPandas()
+    rows = table.join(chosen, "id").groupBy("id").agg(F.min(F.struct(*FEATURES, "label")).alias("x"))
+    return rows.select("id", "x.*")
+
+
+def train(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 20_000) -> Model:
+    """Fits on feature rows that have a label, about `max_rows` of them by a hash of the id: a bound of the sample for fitting.
+    table: of feature_table(). Null ids and labels other than 0 and 1 teach nothing; without labels the model is one half."""
+    rows = sample(table, labels, id_col, label_col, max_rows).orderBy("id").toPandas()
     return fit(rows[[*FEATURES]].to_numpy(np.float32).reshape(-1, len(FEATURES)), rows["label"].to_numpy(np.float64))
 
 
@@ -183,4 +190,3 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = train(table, labels.where(remainder(id_col) != 0), id_col)
     held_out = (remainder("id") == 0).alias("held_out")
     return score(table, model, threshold).select(F.col("id").alias(id_col), held_out, "score", "predicted")
-

@@ -28,7 +28,10 @@ from inkgrid.llm.urls import host_path, reversed_host
 
 #: Index lines of one compressed block.
 BLOCK = 3000
+#: Bytes of archives that a task reads, about, and of payloads that it gives on at once.
+TASK_BYTES, GIVE_BYTES = 64 << 20, 16 << 20
 CAPTURE = "key string, url string, id long, digest string, type string, refers_to long, file string, offset long, length long"
+PARTS = "first_key string, first_id long, name string, blocks long"
 RECORD = "id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _BAD = re.compile(r"[\x00-\x20\x7f]")
 
@@ -142,12 +145,12 @@ def _write_index(captures: DataFrame, out: str) -> None:
                 at += len(packed)
         with fs.open_output_stream(f"{root}/index/{name}.directory", compression=None) as f:
             f.write(json.dumps(directory).encode())
-        yield pa.RecordBatch.from_pydict({"first_key": [head["key"]], "name": [name], "blocks": [len(directory)]})
+        yield pa.RecordBatch.from_pydict({"first_key": [head["key"]], "first_id": pa.array([head["id"]], pa.int64()), "name": [name], "blocks": [len(directory)]})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "id", "file", "offset"]
     sorted_ = captures.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    sorted_.mapInArrow(pack, "first_key string, name string, blocks long").write.parquet(f"{out}/parts")
+    sorted_.mapInArrow(pack, PARTS).write.parquet(f"{out}/parts")
 
 
 class Index:
@@ -193,9 +196,10 @@ class Index:
 
 
 def _parts(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """A row for each part of the index: as many as shuffle partitions at most."""
-    rows = spark.read.parquet(f"{path}/parts").select("first_key", "name").collect()
-    return sorted(((r[0], r[1]) for r in rows), key=lambda r: r[0].encode("utf-8", "surrogatepass"))
+    """A row for each part of the index, in their order: as many as shuffle partitions at most. Equal keys may fill several parts, by id, null first."""
+    rows = spark.read.schema(PARTS).parquet(f"{path}/parts").select("first_key", "first_id", "name").collect()
+    order = sorted(rows, key=lambda r: (r[0].encode("utf-8", "surrogatepass"), r[1] is not None, r[1] or 0))
+    return [(r[0], r[2]) for r in order]
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
@@ -210,7 +214,8 @@ def _row(fields: dict[str, str]) -> tuple:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """RECORD rows of all records: index blocks give the records' places, and these are read archive by archive, in order."""
+    """RECORD rows of all records: index blocks give the records' places, and these are read archive by archive, in order. Rows without an id or a URL come back
+    without them, rows that repeat as often as they were written; an empty set of archives gives an empty table. A damaged payload is an error."""
 
     def unpack(batches):
         index = Index(path, [])
@@ -225,26 +230,43 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in in_parts(batches):
             yield _rows([_row(index.record(*r)[0]) for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)])
 
-    places = spark.read.schema("first_key string, name string, blocks long").parquet(f"{path}/parts").select("name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name").mapInArrow(unpack, "file string, offset long, length long")
-    # an archive's records in runs of a megabyte, so that its reading can be shared
-    return places.withColumn("run", F.floor(F.col("offset") / (1 << 20))).repartition("file", "run").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(read, RECORD)
+    places = spark.read.schema(PARTS).parquet(f"{path}/parts").select("name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name").mapInArrow(unpack, "file string, offset long, length long")
+    # an archive's records in runs of a megabyte, so that its reading can be shared; as many tasks as the archives' bytes ask for
+    total = spark.read.schema(CAPTURE).parquet(f"{path}/captures").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    return places.withColumn("run", F.floor(F.col("offset") / (1 << 20))).repartition(tasks, "file", "run").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(read, RECORD)
 
 
 def lookup(urls: DataFrame, path: str, url_col: str = "url") -> DataFrame:
     """(url, id, payload): for each row of urls all captures of that URL (by canonical key), with payloads; a revisit's is that of
-    the response it refers to where that has the same key, else null."""
+    the response it refers to where that has the same key, else null.
+
+    Null and empty URLs have the empty key, and find the captures without a URL; rows that repeat get their captures each; unknown URLs and an empty table give nothing.
+    Payloads are read and given on one after the other, so a URL may have any number of captures.
+    """
     spark = urls.sparkSession
     parts = _parts(spark, path)
 
     def find(batches):
-        index = Index(path, parts)
+        index, found, held = Index(path, parts), [], 0
         for b in in_parts(batches):
-            found = []
             for url, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = list(index.find(key))
-                bodies = {x["id"]: index.record(x["file"], x["offset"], x["length"])[1] for x in lines if x["type"] == "response"}
-                found += [(url, x["id"], bodies.get(x["id"] if x["type"] == "response" else x["refers_to"])) for x in lines]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["url", "id", "payload"])
+                responses = {}  # places only
+                for x in index.find(key):  # responses come before those that revisit them: lines are sorted by key and id
+                    if x["type"] == "response":
+                        responses[x["id"]] = x
+                    source = responses.get(x["id"] if x["type"] == "response" else x["refers_to"])
+                    body = index.record(source["file"], source["offset"], source["length"])[1] if source else None
+                    found.append((url, x["id"], body))
+                    held += len(body or b"") + 64
+                    if held > GIVE_BYTES:
+                        yield _found(found)
+                        found, held = [], 0
+        yield _found(found)
 
     keyed = urls.select(F.col(url_col).alias("url"), surt(F.col(url_col)).alias("key"))
     return keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").mapInArrow(find, "url string, id long, payload binary")
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["url", "id", "payload"])

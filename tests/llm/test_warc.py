@@ -44,3 +44,18 @@ def test_lookup_over_blocks(spark, monkeypatch):
         got = {(r["url"], r["id"]) for r in warc.lookup(urls, path).collect()}
         want = {(u, i) for (u,) in (tuple(r) for r in urls.collect()) for i in range(300) if f"http://h{i % 37}.example.com/p{i % 5}" == u}
         assert got == want and want
+
+
+def test_lookup_of_null_and_repeated_urls(spark, monkeypatch):
+    """Payloads come with each capture, also those of revisits; null URLs find captures without one."""
+    monkeypatch.setattr(warc, "GIVE_BYTES", 100)
+    pages = [(i, "http://a.org/x" if i % 2 else None, f"body {i % 6}" * 20) for i in range(24)] + [(3, "http://a.org/x", "body 3" * 20), (30, "http://b.org/", "body 1" * 20)]
+    path = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    urls = spark.createDataFrame([("http://a.org/x",), ("http://A.ORG/x",), (None,), ("http://b.org/",), ("http://none.org/",)], "url string")
+    got = {}
+    for r in warc.lookup(urls, path).collect():
+        got.setdefault(r["url"], []).append((r["id"], None if r["payload"] is None else bytes(r["payload"]).decode()))
+    want = lambda url: sorted((i, h) for i, u, h in pages if u == url)
+    assert sorted(got["http://a.org/x"]) == sorted(got["http://A.ORG/x"]) == want("http://a.org/x") and sorted(got[None]) == want(None)
+    assert got["http://b.org/"] == [(30, None)]  # its response stands under another URL
+    assert got.keys() == {"http://a.org/x", "http://A.ORG/x", None, "http://b.org/"}
