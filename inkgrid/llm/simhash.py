@@ -74,21 +74,29 @@ def _bits(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def _together(distinct: DataFrame) -> tuple[np.ndarray, int]:
-    """64 x 64 counts of bits that are set together, over all fingerprints, and the number of these."""
+def _prints(b: pa.RecordBatch, words: int) -> np.ndarray:
+    """(rows, words) of a batch whose first column has the words of a fingerprint."""
+    return b.column(0).flatten().to_numpy().reshape(-1, words)
+
+
+def _together(prints: DataFrame, words: int) -> tuple[np.ndarray, int]:
+    """For each word 64 x 64 counts of bits that are set together, over all fingerprints, and the number of these."""
 
     def run(batches):
-        total, n = np.zeros((BITS, BITS), np.int64), 0
-        for b in batches:
-            x = _bits(b.column(0).to_numpy()).astype(np.float32)
-            for at in range(0, len(x), 1 << 20):  # float32 counts exactly to 2**24
-                total += (x[at : at + (1 << 20)].T @ x[at : at + (1 << 20)]).astype(np.int64)
-            n += len(x)
-        yield pa.RecordBatch.from_pydict({"i": [*range(BITS)] + [-1], "counts": [*total.tolist(), [n] * BITS]}, pa.schema({"i": pa.int32(), "counts": pa.list_(pa.int64())}))
+        total, n = np.zeros((words, BITS, BITS), np.int64), 0
+        for b in in_parts(batches, 1 << 16):
+            own = _prints(b, words)
+            for w in range(words):
+                x = _bits(own[:, w]).astype(np.float32)  # counts exactly to 2**24
+                total[w] += (x.T @ x).astype(np.int64)
+            n += len(own)
+        names = [(w, i) for w in range(words) for i in range(BITS)] + [(0, -1)]
+        counts = [*total.reshape(-1, BITS).tolist(), [n] * BITS]
+        yield pa.RecordBatch.from_pydict({"w": [x for x, _ in names], "i": [x for _, x in names], "counts": counts}, pa.schema({"w": pa.int32(), "i": pa.int32(), "counts": pa.list_(pa.int64())}))
 
     sums = [F.sum(F.col("counts")[j]).alias(f"c{j}") for j in range(BITS)]
-    rows = {r[0]: r[1:] for r in distinct.select("fp").mapInArrow(run, "i int, counts array<long>").groupBy("i").agg(*sums).collect()}  # 65 rows
-    return np.array([rows.get(i, (0,) * BITS) for i in range(BITS)], dtype=np.float64), int(rows.get(-1, (0,))[0])
+    rows = {(r[0], r[1]): r[2:] for r in prints.select("words").mapInArrow(run, "w int, i int, counts array<long>").groupBy("w", "i").agg(*sums).collect()}  # 64 rows a word
+    return np.array([[rows.get((w, i), (0,) * BITS) for i in range(BITS)] for w in range(words)], dtype=np.float64), int(rows.get((0, -1), (0,))[0])
 
 
 def _partitions(together: np.ndarray, n: int, m: int) -> list[list[int]]:
@@ -135,29 +143,28 @@ def _value(fps: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def _distances(distinct: DataFrame, groups: list[list[int]], distance: int) -> list[np.ndarray]:
-    """For each group and value of its bits: the share of all fingerprints at distance 0, 1, ... in that group."""
+def _distances(prints: DataFrame, groups: list[list[list[int]]], distance: int) -> list[list[np.ndarray]]:
+    """groups: of bits, for each word. For each and each value of its bits: the share of all fingerprints at distance 0, 1, ... in that group."""
+    words = len(groups)
 
     def run(batches):
-        counts = [np.zeros(1 << len(g), np.int64) for g in groups]
-        for b in batches:
-            fps = b.column(0).to_numpy()
-            for c, g in zip(counts, groups, strict=True):
-                c += np.bincount(_value(fps, g), minlength=len(c))
-        for i, c in enumerate(counts):
-            v = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v.astype(np.int32)), pa.array(c[v])], ["g", "v", "n"])
-
-    found = distinct.select("fp").mapInArrow(run, "g int, v int, n long").groupBy("g", "v").agg(F.sum("n").alias("n")).collect()  # 256 for each of at most 10 groups
-    tables = []
-    for i, g in enumerate(groups):
-        n = np.zeros(1 << len(g))
-        for r in found:
-            if r["g"] == i:
-                n[r["v"]] = r["n"]
-        at = np.bitwise_count(np.arange(len(n))[:, None] ^ np.arange(len(n))[None, :])
-        tables.append(np.stack([(at == d) @ n / max(n.sum(), 1) for d in range(distance + 1)], axis=1))
-    return tables
+        counts = [[np.zeros(1 << len(g), np.int64) for g in own] for own in groups]
+        for b in in_parts(batches, 1 << 16):
+            fps = _prints(b, words)
+            for w, own in enumerate(groups):
+                for c, g in zip(counts[w], own, strict=True):
+                    c += np.bincount(_value(np.ascontiguousarray(fps[:, w]), g), minlength=len(c))
+        for w in range(words):
+            for i, c in enumerate(counts[w]):
+                v = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), w, np.int32)), pa.array(np.full(len(v), i, np.int32)), pa.array(v.astype(np.int32)), pa.array(c[v])], ["w", "g", "v", "n"])
+
+    found = prints.select("words").mapInArrow(run, "w int, g int, v int, n long").groupBy("w", "g", "v").agg(F.sum("n").alias("n")).collect()  # 256 for each of at most 10 groups a word
+    n = [[np.zeros(1 << len(g)) for g in own] for own in groups]
+    for w, g, v, k in found:
+        n[w][g][v] = k
+    at = {size: np.bitwise_count(np.arange(size)[:, None] ^ np.arange(size)[None, :]) for size in {len(x) for own in n for x in own}}
+    return [[np.stack([(at[len(x)] == d) @ x / max(x.sum(), 1) for d in range(distance + 1)], axis=1) for x in own] for own in n]
 
 
 def thresholds(fps: np.ndarray, parts: list[list[int]], tables: list[list[np.ndarray]], n: int, distance: int) -> np.ndarray:
@@ -201,12 +208,12 @@ class Plan(NamedTuple):
     n: int
 
 
-def index_plan(distinct: DataFrame, distance: int, m: int | None = None) -> Plan:
-    """distinct: (fp). m partitions (None: the cheapest number) by correlation, and for each the estimates of candidates."""
-    together, n = _together(distinct)
-    parts = _partitions(together, n, m or _partition_count(n, distance))
-    found = iter(_distances(distinct, [g for part in parts for g in _groups(part)], distance))
-    return Plan(parts, [[next(found) for _ in _groups(part)] for part in parts], n)
+def index_plans(prints: DataFrame, words: int, distance: int, m: int | None = None) -> list[Plan]:
+    """prints: (words), fingerprints of so many words. For each word m partitions (None: the cheapest number) by correlation, and for each the estimates of candidates."""
+    together, n = _together(prints, words)
+    parts = [_partitions(t, n, m or _partition_count(n, distance)) for t in together]
+    found = [iter(x) for x in _distances(prints, [[g for part in own for g in _groups(part)] for own in parts], distance)]
+    return [Plan(own, [[next(f) for _ in _groups(part)] for part in own], n) for own, f in zip(parts, found, strict=True)]
 
 
 def probes(fps: np.ndarray, plan: Plan, distance: int):
@@ -315,7 +322,8 @@ def _verified(distance: int):
 def near_links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
     """distinct: (fp), all different. (a, b): links at up to `distance` bits, enough to join all that are linked directly or
     through others (in a bucket of many, a spanning forest of its links). Ends with a written table."""
-    rows = keep(_probes(distinct, index_plan(distinct, distance), distance), "simhash-probes")
+    (plan,) = index_plans(distinct.select(F.array("fp").alias("words")), 1, distance)
+    rows = keep(_probes(distinct, plan, distance), "simhash-probes")
     links, tables_made = None, [rows]
     while True:
         sizes = rows.groupBy("mask", "value").agg(F.count("*").alias("n"), F.max("probe").alias("any"))

@@ -7,7 +7,7 @@ are then verified by the Jaccard similarity of the sets.
 
 In a round, a few nodes of each bucket (hubs) are compared with all others of it that aren't known to be in their component, then leave the bucket; a bucket ends
 when its nodes are in one component. So each two nodes of a bucket are compared or known to be linked, and a large group of near
-copies costs comparisons in proportion to its size. The number of hubs grows fourfold from round to round.
+copies costs comparisons in proportion to its size. There are 16 hubs in a bucket at first, and sixteen times as many from round to round.
 """
 
 from __future__ import annotations
@@ -133,13 +133,13 @@ def _met(far: int, similarity: float):
 
 def _placed(nodes: DataFrame, similarity: float, parts: int, words: int) -> DataFrame:
     """(bucket, node, n, s0, s1): the nodes in the buckets where they may have a link."""
-    plans = [simhash.index_plan(nodes.select(F.col("words")[w].alias("fp")), parts - 1, parts) for w in range(words)]
+    plans = simhash.index_plans(nodes, words, parts - 1, parts)
 
     def run(batches):
         for b in in_parts(batches, 10_000):
             prints = b.column(2).flatten().to_numpy().reshape(-1, words)
             for w, plan in enumerate(plans):
-                for mask, value, at, probe in simhash.probes(prints[:, w], plan, parts - 1):
+                for mask, value, at, probe in simhash.probes(np.ascontiguousarray(prints[:, w]), plan, parts - 1):
                     take = pa.array(at)
                     yield pa.RecordBatch.from_arrays([pa.array(_bucket(value, int(mask), w)), b.column(0).take(take), b.column(1).take(take), pa.array(prints[at, 0]), pa.array(prints[at, 1]), pa.array(probe)], ["bucket", "node", "n", "s0", "s1", "probe"])
 
@@ -181,7 +181,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int,
     sets = keep(_sets(docs, rows, live, text_col, shingle), "similarity-sets")
     far = furthest(similarity)
     labels = links = tested = None
-    for k in itertools.count():
+    for k in itertools.count(2, 2):
         few = F.lit(1 << k)
         now = live.withColumn("label", F.col("node")) if labels is None else live.join(labels, "node", "left").select(*live.columns, F.coalesce("root", "node").alias("label"))
         open_ = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
