@@ -474,6 +474,54 @@ def process(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.n
     return Result(out, screened, (screened | filled) & ~ink, protected, solid, filled, particles, holes)
 
 
+# ---- previews
+
+
+def checker(h: int, w: int, left: int, top: int) -> np.ndarray:
+    """The checker board of an image, (h, w, 1)."""
+    cell = (np.arange(w) + left)[None, :] // 12 + ((np.arange(h) + top) // 12)[:, None]
+    return np.where(cell % 2 == 0, 190, 230)[..., None]
+
+
+def composite(rgba: np.ndarray, background) -> np.ndarray:
+    """Opaque pixels: rgba over a colour or a raster of colours."""
+    a = (np.arange(256) / 255.0)[rgba[..., 3]][..., None]
+    out = np.full(rgba.shape, 255, np.uint8)
+    out[..., :3] = rnd(rgba[..., :3] * a + np.asarray(background) * (1.0 - a))
+    return out
+
+
+def _body(chest_cm: float, height_cm: float) -> tuple[float, float, float, float]:
+    """Scale, left, width and height of the garment on a canvas of 420 x 540; it starts at y = 30."""
+    scale = min(260 / chest_cm, 450 / height_cm)
+    return scale, (420 - chest_cm * scale) / 2, chest_cm * scale, height_cm * scale
+
+
+@functools.lru_cache(100)
+def _inside(chest_cm: float, height_cm: float) -> np.ndarray:
+    _, left, body_w, body_h = _body(chest_cm, height_cm)
+    x, y = np.arange(420)[None, :], np.arange(540)[:, None]
+    sleeve = np.where(y < 30 + body_h * 0.24, body_w * 0.25 * (1.0 - (y - 30) / (body_h * 0.24)), 0.0)
+    return (y >= 30) & (y <= 30 + body_h) & (x >= left - sleeve) & (x <= left + body_w + sleeve)
+
+
+def garment(key: tuple[int, int, int], chest_cm: float, height_cm: float) -> tuple[np.ndarray, np.ndarray]:
+    """(canvas, which pixels are garment)."""
+    inside = _inside(chest_cm, height_cm)
+    canvas = np.full((540, 420, 4), 255, np.uint8)
+    canvas[..., :3] = np.where(inside[..., None], np.array(key, np.uint8), np.array((24, 27, 26), np.uint8))
+    return canvas, inside
+
+
+def mockup_places(w: int, h: int, width_cm: float, height_cm: float, chest_cm: float, garment_cm: float, at_x: float, at_y: float) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(left, top, source columns, source rows) of the box that art covers on the canvas."""
+    scale, left, body_w, body_h = _body(chest_cm, garment_cm)
+    aw, ah = width_cm * scale, height_cm * scale
+    x0, y0 = left + body_w * (at_x / 100) - aw / 2.0, 30 + body_h * at_y / 100 - 0.0
+    axis = lambda start, size, n: np.clip(np.floor((np.arange(math.floor(start), math.ceil(start + size)) - start) / size * n), 0, n - 1).astype(np.int64)
+    return math.floor(x0), math.floor(y0), axis(x0, aw, w), axis(y0, ah, h)
+
+
 def resample_axis(start: int, n: int, source: int, target: int) -> tuple[np.ndarray, int]:
     """(weights (n, source positions), first source position) of a run of output positions along one axis."""
     scale = source / target

@@ -5,26 +5,29 @@ from __future__ import annotations
 import functools
 import json
 import math
+from collections.abc import Iterator
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions import options, sizing
 from inkgrid.operators import kernels
-from inkgrid.operators.tiles import CORE, KEY, assemble, per_tile
+from inkgrid.operators.tiles import CORE, KEY, assemble, batch_of, batches_of, per_tile, raster, rows_of
 from inkgrid.schema import TILES
 
 _COUNTS = ("ink_pixels", "screened_pixels", "removed_pixels", "protected_pixels", "solid_pixels", "filled_pixels", "removed_components", "filled_components")
 PROCESSED = TILES + ", " + ", ".join(f"{c} long" for c in _COUNTS)
 
 
-def process_tiles(tiles: DataFrame, artworks: DataFrame, recipes: DataFrame, core: int = CORE, selections: DataFrame | None = None) -> DataFrame:
+def process_tiles(tiles: DataFrame, artworks: DataFrame, recipes: DataFrame, core: int = CORE, selections: DataFrame | None = None, pixels: bool = True) -> DataFrame:
     """Output tiles with counts of their own pixels. artworks: (image_id, width, height, recipe_id); recipes: with defaults.
 
     One shuffle: the halo exchange; none if no recipe looks at neighbours. A component is counted in the tile that has its first pixel, so sums over tiles are
-    exact. selections: one-component tiles, the soft masks of images whose recipe protects by selection; where a tile has none, nothing is protected.
+    exact. selections: one-component tiles, the soft masks of images whose recipe protects by selection; where a tile has none, nothing is protected. pixels: without, data is empty
+    and only the counts come back.
     """
     o = {n: F.col(n) for n in ("min_diameter_mm", "fill_holes_mm", "lpi", "cleanup", "cleanup_mode", "protection", "edge_radius", "defringe", "defringe_radius", "presmooth")}
     names = [*options.NAMES, "key_r", "key_g", "key_b"]
@@ -36,13 +39,16 @@ def process_tiles(tiles: DataFrame, artworks: DataFrame, recipes: DataFrame, cor
         own = own.join(selections.select(*KEY, F.col("data").alias("selection")), KEY, "left")
     # whether any tile needs its neighbours is a question to the recipes alone
     alone = not (full.agg(F.max("halo")).first()[0] or 0)
-    return per_tile(own, core, functools.partial(_step, core=core), PROCESSED, alone)
+    return per_tile(own, core, functools.partial(_step, core=core, pixels=pixels), PROCESSED, alone)
 
 
-def _step(pieces: list[SimpleNamespace], core: int) -> list[tuple]:
+_options = functools.lru_cache(1000)(json.loads)
+
+
+def _step(pieces: list[SimpleNamespace], core: int, pixels: bool) -> list[tuple]:
     """The PROCESSED row of a tile with its surroundings."""
     t = next(p for p in pieces if p.own)
-    opt = json.loads(t.extra)
+    opt = _options(t.extra)
     rgba, inside, left, top, part = assemble(pieces, core, opt["halo"])
     selection = rgba[..., 4] if rgba.shape[2] > 4 else None
     r = kernels.process(rgba[..., :4], opt, left, top, inside, selection)
@@ -50,7 +56,7 @@ def _step(pieces: list[SimpleNamespace], core: int) -> list[tuple]:
     h, w = data.shape[:2]
     here = lambda p: int(((p[:, 0] >= part[0].start) & (p[:, 0] < part[0].stop) & (p[:, 1] >= part[1].start) & (p[:, 1] < part[1].stop)).sum())
     counts = [data[..., 3] > 0, r.screened[part], r.removed[part], r.protected[part], r.solid[part], r.filled[part]]
-    return [(t.image_id, t.tile_x, t.tile_y, t.tile_x * core, t.tile_y * core, w, h, 4, data.tobytes(), *(int(np.count_nonzero(c)) for c in counts), here(r.particles), here(r.pores))]
+    return [(t.image_id, t.tile_x, t.tile_y, t.tile_x * core, t.tile_y * core, w, h, 4, data.tobytes() if pixels else b"", *(int(np.count_nonzero(c)) for c in counts), here(r.particles), here(r.pores))]
 
 
 def tile_stats(processed: DataFrame) -> DataFrame:
@@ -78,3 +84,52 @@ def white_totals(color: DataFrame, white: DataFrame) -> DataFrame:
     n = white.select("image_id", F.length(F.replace(F.hex("data"), F.lit("F"), F.lit(""))).alias("none"), (F.col("width") * F.col("height")).alias("all"))
     w = n.groupBy("image_id").agg(F.sum(F.col("all") - F.col("none") / 2).cast("long").alias("white_pixels"))
     return color.groupBy("image_id").agg(F.sum("ink_pixels").cast("long").alias("color_pixels")).join(w, "image_id", "left").withColumn("white_pixels", F.coalesce("white_pixels", F.lit(0).cast("long")))
+
+
+def composite_tiles(tiles: DataFrame, background: tuple[int, int, int] | None = None) -> DataFrame:
+    """Opaque tiles: RGBA tiles over a background colour, or over the checker board of the image."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for t in rows_of(batches):
+            d = raster(t)
+            out = kernels.composite(d, background if background is not None else kernels.checker(t.height, t.width, t.left, t.top))
+            yield t.image_id, t.tile_x, t.tile_y, t.left, t.top, t.width, t.height, 4, out.tobytes()
+
+    return tiles.select(*[c.split()[0] for c in TILES.split(", ")]).mapInArrow(lambda batches: batches_of(made(batches), TILES), TILES)
+
+
+def mockup_tiles(tiles: DataFrame, artworks: DataFrame, chest_cm: float = 52.0, height_cm: float = 72.0, at_x: float = 50.0, at_y: float = 18.0) -> DataFrame:
+    """A garment preview of 420 x 540 opaque pixels for each image, as one tile. tiles: processed; artworks: (image_id, width, height, key_r, key_g, key_b, width_cm, height_cm).
+
+    Each pixel of the canvas takes the nearest pixel of the art. A tile gives the box of the canvas that it fills, so no more than a canvas comes together for an image. Tiles of images
+    without a row in artworks are left out; an image without tiles has a preview without art.
+    """
+    piece = "image_id long, left int, top int, width int, height int, data binary"
+    art = artworks.select("image_id", F.col("width").alias("w"), F.col("height").alias("h"), "width_cm", "height_cm")
+
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for t in rows_of(batches):
+            left, top, xs, ys = kernels.mockup_places(t.w, t.h, t.width_cm, t.height_cm, chest_cm, height_cm, at_x, at_y)
+            i, j = np.flatnonzero((xs >= t.left) & (xs < t.left + t.width)), np.flatnonzero((ys >= t.top) & (ys < t.top + t.height))
+            if len(i) and len(j):
+                box = raster(t)[np.ix_(ys[j] - t.top, xs[i] - t.left)]
+                yield t.image_id, int(left + i[0]), int(top + j[0]), len(i), len(j), box.tobytes()
+
+    def build(f: pa.Table) -> pa.Table:
+        parts = list(rows_of(f.to_batches()))
+        one = next(p for p in parts if p.key_r is not None)
+        canvas, inside = kernels.garment((one.key_r, one.key_g, one.key_b), chest_cm, height_cm)
+        for p in parts:
+            if p.data is not None:
+                x0, y0, x1, y1 = max(0, p.left), max(0, p.top), min(canvas.shape[1], p.left + p.width), min(canvas.shape[0], p.top + p.height)
+                if x0 < x1 and y0 < y1:
+                    d = np.frombuffer(p.data, np.uint8).reshape(p.height, p.width, 4)[y0 - p.top : y1 - p.top, x0 - p.left : x1 - p.left]
+                    on = (d[..., 3] > 0) & inside[y0:y1, x0:x1]
+                    canvas[y0:y1, x0:x1][on] = d[on]
+        return pa.Table.from_batches([batch_of([(one.image_id, 0, 0, 0, 0, canvas.shape[1], canvas.shape[0], 4, canvas.tobytes())], TILES)])
+
+    own = tiles.select("image_id", "left", "top", "width", "height", "components", "data").join(art, "image_id")
+    some = own.mapInArrow(lambda batches: batches_of(boxes(batches), piece), piece)
+    none = lambda t: F.lit(None).cast(t)
+    keys = artworks.select("image_id", *(none("int").alias(c) for c in ("left", "top", "width", "height")), none("binary").alias("data"), *(F.col(f"key_{c}").cast("int").alias(f"key_{c}") for c in "rgb"))
+    return some.unionByName(keys, allowMissingColumns=True).groupBy("image_id").applyInArrow(build, TILES)

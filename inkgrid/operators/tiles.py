@@ -39,6 +39,19 @@ def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
+def batches_of(rows: Iterable[tuple], ddl: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """rows in batches of about `limit` bytes of binary values: small tiles share a batch, large ones don't fill the memory."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += 256 + sum(len(v) for v in r if isinstance(v, bytes))
+        if size > limit:
+            yield batch_of(held, ddl)
+            held, size = [], 0
+    if held:
+        yield batch_of(held, ddl)
+
+
 def raster(t: SimpleNamespace) -> np.ndarray:
     """(height, width, components) of a tile's bytes."""
     return np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.components)
@@ -84,12 +97,15 @@ def halo_exchange(tiles: DataFrame, core: int) -> DataFrame:
     selected = "selection" in tiles.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(strips(batches), PIECE)
+
+    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for t in rows_of(batches):
             d, alpha = raster(t), t.components - 1
             if selected:
                 s = np.zeros(d.shape[:2], np.uint8) if t.selection is None else np.frombuffer(t.selection, np.uint8).reshape(d.shape[:2])
                 d = np.concatenate([d, s[..., None]], axis=-1)
-            n, out = -(-t.halo // core), []
+            n = -(-t.halo // core)
             for ty in range(max(0, t.tile_y - n), t.tile_y + n + 1):
                 for tx in range(max(0, t.tile_x - n), t.tile_x + n + 1):
                     if ty * core >= t.image_height or tx * core >= t.image_width:
@@ -102,8 +118,7 @@ def halo_exchange(tiles: DataFrame, core: int) -> DataFrame:
                     cut = d[y0 - t.top : y1 - t.top, x0 - t.left : x1 - t.left]
                     if not own and not cut[..., alpha].any():
                         continue  # a transparent strip says nothing
-                    out.append((t.image_id, ty, tx, x0, y0, x1 - x0, y1 - y0, d.shape[2], cut.tobytes(), own, t.image_width, t.image_height, t.extra if own else None))
-            yield batch_of(out, PIECE)
+                    yield t.image_id, ty, tx, x0, y0, x1 - x0, y1 - y0, d.shape[2], cut.tobytes(), own, t.image_width, t.image_height, t.extra if own else None
 
     columns = [*KEY, "left", "top", "width", "height", "components", "data", "image_width", "image_height", "halo", "extra", *(["selection"] if selected else [])]
     return tiles.select(*columns).mapInArrow(run, PIECE)
@@ -132,12 +147,15 @@ def per_tile(tiles: DataFrame, core: int, step: Callable[[list[SimpleNamespace]]
         selected = "selection" in tiles.columns
 
         def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from batches_of(made(batches), schema)
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for t in rows_of(batches):
                 if selected:
                     s = bytes(t.width * t.height) if t.selection is None else t.selection
                     t.data = np.concatenate([raster(t), np.frombuffer(s, np.uint8).reshape(t.height, t.width, 1)], axis=-1)
                     t.components += 1
-                yield batch_of(step([t]), schema)
+                yield from step([t])
 
         return own.mapInArrow(single, schema)
 

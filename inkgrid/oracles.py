@@ -109,16 +109,33 @@ t AS (SELECT px.image_id, ox, oy, sum(a / 255e0 * wx.q / sx * wy.q) AS sa, sum(r
   FROM px JOIN wx ON wx.image_id = px.image_id AND wx.p = px.x JOIN wy ON wy.image_id = px.image_id AND wy.p = px.y WHERE a > 0 GROUP BY ALL)
 SELECT image_id, count(*) AS pixels, sum(floor(round(sr / sa, 9) + 0.5e0))::BIGINT AS r, sum(floor(round(sg / sa, 9) + 0.5e0))::BIGINT AS g, sum(floor(round(sb / sa, 9) + 0.5e0))::BIGINT AS b, sum(floor(round(sa * 255e0, 9) + 0.5e0))::BIGINT AS a FROM t WHERE sa > 0 GROUP BY image_id"""
 
+#: Both axes shrink to 12 pixels at most; an area average by the overlap of pixels.
+_SMALL = f"""WITH {_ART}, {_PX}, z AS (SELECT image_id, width AS w, height AS h, greatest(1, floor(width * least(1e0, 12 / greatest(width, height)::DOUBLE) + 0.5e0))::INT AS ow, greatest(1, floor(height * least(1e0, 12 / greatest(width, height)::DOUBLE) + 0.5e0))::INT AS oh FROM art),
+wx AS (SELECT image_id, ox, p, (least((ox + 1) * sx, p + 1e0) - greatest(ox * sx, p)) / sx AS q FROM (SELECT *, w / ow::DOUBLE AS sx FROM z), (SELECT unnest(range(12)) AS ox), (SELECT unnest(range(64)) AS p) WHERE ox < ow AND p < w AND p + 1 > ox * sx AND p < (ox + 1) * sx),
+wy AS (SELECT image_id, oy, p, (least((oy + 1) * sy, p + 1e0) - greatest(oy * sy, p)) / sy AS q FROM (SELECT *, h / oh::DOUBLE AS sy FROM z), (SELECT unnest(range(12)) AS oy), (SELECT unnest(range(64)) AS p) WHERE oy < oh AND p < h AND p + 1 > oy * sy AND p < (oy + 1) * sy),
+t AS (SELECT px.image_id, ox, oy, sum(a / 255e0 * wx.q * wy.q) AS sa, sum(r * (a / 255e0 * wx.q) * wy.q) AS sr, sum(g * (a / 255e0 * wx.q) * wy.q) AS sg, sum(b * (a / 255e0 * wx.q) * wy.q) AS sb
+  FROM px JOIN wx ON wx.image_id = px.image_id AND wx.p = px.x JOIN wy ON wy.image_id = px.image_id AND wy.p = px.y WHERE a > 0 GROUP BY ALL)
+SELECT image_id, max(ox)::INT AS max_x, max(oy)::INT AS max_y, sum(floor(round(sr / sa, 9) + 0.5e0))::BIGINT AS r, sum(floor(round(sg / sa, 9) + 0.5e0))::BIGINT AS g, sum(floor(round(sb / sa, 9) + 0.5e0))::BIGINT AS b, sum(floor(round(sa * 255e0, 9) + 0.5e0))::BIGINT AS a
+FROM t WHERE floor(round(sa * 255e0, 9) + 0.5e0) > 0 GROUP BY image_id"""
+
+#: FNV-1a over a tile's bytes in row order: h -> (h xor byte) * 16777619 mod 2 ** 32, from 2166136261 on.
+_FNV = f"""WITH {_ART}, {_PX}, t AS (SELECT image_id, y // 16 AS tile_y, x // 16 AS tile_x, flatten(list([r, g, b, a] ORDER BY y, x)) AS bytes FROM px GROUP BY ALL)
+SELECT image_id, tile_y, tile_x, format('{{:08x}}', list_reduce(list_prepend(2166136261::BIGINT, bytes::BIGINT[]), lambda h, v: (xor(h, v) * 16777619) % 4294967296)) AS fnv FROM t"""
+
+#: Art is drawn pixel by pixel; the rest of the canvas is the same for all art but for the garment's colour.
 _MOCKUP = (
     _ALL
-    + f""", nw AS (SELECT max(image_id) AS image_id FROM art GROUP BY p_brand),
-g AS (SELECT image_id, width AS w, height AS h, 30e0 * 5e0 AS aw, height / width::DOUBLE * 30e0 * 5e0 AS ah, recipe_id FROM art JOIN nw USING (image_id)),
-cv AS (SELECT g.*, rec.key, x, y, y >= 30 AND y <= 390 AND x >= 80e0 - sl AND x <= 340e0 + sl AS inside, 80e0 + 260e0 * 0.5e0 - aw / 2e0 AS al, 30 + 360e0 * 18 / 100e0 AS tp
-  FROM g JOIN rec USING (recipe_id), (SELECT unnest(range(420)) AS x), (SELECT unnest(range(540)) AS y, CASE WHEN y < 30 + 360e0 * 0.24e0 THEN 65e0 * (1e0 - (y - 30) / (360e0 * 0.24e0)) ELSE 0e0 END AS sl)),
-pl AS (SELECT *, CASE WHEN inside AND x >= floor(al) AND x < ceil(al + aw) AND y >= floor(tp) AND y < ceil(tp + ah) THEN least(w - 1, greatest(0, floor((x - al) / aw * w)))::INT END AS sx, least(h - 1, greatest(0, floor((y - tp) / ah * h)))::INT AS sy FROM cv),
-f AS (SELECT pl.image_id, pl.x, pl.y, {", ".join(f"CASE WHEN o.ink THEN o.{c} WHEN inside THEN pl.key ELSE {k} END::BIGINT AS {c}" for c, k in (("r", 24), ("g", 27), ("b", 26)))}
-  FROM pl LEFT JOIN (SELECT image_id, x, y, ink, {", ".join(f"{_print(c)} AS {c}" for c in "rgb")} FROM s WHERE ink) o ON o.image_id = pl.image_id AND o.x = sx AND o.y = sy)
-SELECT image_id, count(*) AS pixels, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b, sum(CASE WHEN r > 100 THEN x + y ELSE 0 END)::BIGINT AS places FROM f GROUP BY image_id"""
+    + f""", ys AS (SELECT y, CASE WHEN y < 30 + 360e0 * 0.24e0 THEN 65e0 * (1e0 - (y - 30) / (360e0 * 0.24e0)) ELSE 0e0 END AS sl FROM (SELECT unnest(range(540)) AS y)),
+cv AS (SELECT x, y, y >= 30 AND y <= 390 AND x >= 80e0 - sl AND x <= 340e0 + sl AS inside FROM (SELECT unnest(range(420)) AS x), ys),
+cn AS (SELECT count(*) AS n, count(*) FILTER (inside) AS n_in FROM cv),
+g AS (SELECT image_id, width AS w, height AS h, 30e0 * 5e0 AS aw, height / width::DOUBLE * 30e0 * 5e0 AS ah, key FROM art JOIN rec USING (recipe_id)),
+b AS (SELECT *, 80e0 + 260e0 * 0.5e0 - aw / 2e0 AS al, 30 + 360e0 * 18 / 100e0 AS tp FROM g),
+bx AS (SELECT image_id, x, least(w - 1, greatest(0, floor((x - al) / aw * w)))::INT AS sx FROM b, (SELECT unnest(range(420)) AS x) WHERE x >= floor(al) AND x < ceil(al + aw)),
+bv AS (SELECT image_id, y, least(h - 1, greatest(0, floor((y - tp) / ah * h)))::INT AS sy FROM b, (SELECT unnest(range(540)) AS y) WHERE y >= floor(tp) AND y < ceil(tp + ah)),
+o AS (SELECT image_id, x AS sx, y AS sy, {", ".join(f"{_print(c)} AS {c}" for c in "rgb")} FROM s WHERE ink),
+f AS (SELECT bx.image_id, o.r, o.g, o.b, bx.x, bv.y FROM bx JOIN bv ON bv.image_id = bx.image_id JOIN o ON o.image_id = bx.image_id AND o.sx = bx.sx AND o.sy = bv.sy JOIN cv ON cv.x = bx.x AND cv.y = bv.y WHERE cv.inside),
+z AS (SELECT image_id, count(*) AS k, {", ".join(f"sum({c}) AS {c}" for c in "rgb")}, sum(CASE WHEN r > 100 THEN x + y ELSE 0 END) AS places FROM f GROUP BY image_id)
+SELECT g.image_id, n AS pixels, {", ".join(f"(coalesce({c}, 0) + (n_in - coalesce(k, 0)) * key + (n - n_in) * {v})::BIGINT AS {c}" for c, v in (("r", 24), ("g", 27), ("b", 26)))}, coalesce(places, 0)::BIGINT AS places FROM g CROSS JOIN cn LEFT JOIN z USING (image_id)"""
 )
 #: Chest 52 cm, garment 72 cm: 5 pixels a cm, body 260 x 360.
 
@@ -252,6 +269,8 @@ CASE WHEN q > 0 THEN round((1e0 - f / q) * 100e0, 6) END AS savings_percent FROM
     "tile_audit": f"WITH {_ART} SELECT image_id, tile_y, tile_x, CASE WHEN image_id % 11 = 0 THEN 'missing' WHEN image_id % 9 = 0 THEN 'length' WHEN image_id % 7 = 0 THEN 'hash' ELSE 'none' END AS problem "
     "FROM art, (SELECT unnest(range(3))::INT AS tile_x), (SELECT unnest(range(2))::INT AS tile_y) WHERE tile_x * 16 < width AND tile_y * 16 < height",
     "resampled": _RESAMPLED,
+    "thumbnail_sums": _SMALL,
+    "checksums": _FNV,
     "brand_mockups": _MOCKUP,
     "print_plans": _PLANS,
     "variant_sizes": _VARIANT_SIZES,
@@ -272,3 +291,9 @@ CASE WHEN q > 0 THEN round((1e0 - f / q) * 100e0, 6) END AS savings_percent FROM
     "debounced": "WITH e AS (SELECT user_id::VARCHAR AS key, event_id AS id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) SELECT key, id, epoch_us(ts + INTERVAL 4 HOUR) AS fires_at FROM e WHERE nx IS NULL OR nx >= ts + INTERVAL 4 HOUR",
     "stream_state": _STATE + "SELECT * FROM l",
 }
+
+#: Where pieces of a job can be placed at all, none is lost, overlaps another or leaves its sheet. Width 58 cm, spacing 6 mm, margin 5 mm; orders with a multiple of 97 ask for 5 cm.
+_PACKED = f"""WITH {_ITEMS}, c AS (SELECT *, job_id % 97 <> 0 AND least(w, h) + 2 * 59 <= 6850 AS fits FROM it WHERE copies BETWEEN 1 AND 999)
+SELECT job_id, sum(copies)::BIGINT AS pieces, coalesce(sum(copies) FILTER (fits), 0)::BIGINT AS placed, coalesce(sum(w::BIGINT * h * copies) FILTER (fits), 0)::BIGINT AS area, 0::BIGINT AS overlaps, 0::BIGINT AS outside, coalesce(sum(copies) FILTER (fits), 0)::BIGINT * 8 AS marks FROM c GROUP BY job_id"""
+
+ORACLE_SQL |= {"ink_cost_pixels": ORACLE_SQL["ink_cost"], "tile_composites": ORACLE_SQL["composites"], "sheet_checks": _PACKED}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +39,23 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 
 def _tiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     art = _art(spark, d)
-    return art, tiles.pixels_to_tiles(views.pixels(art), art, TILE)
+    return art, views.tiles(art, TILE)
 
 
 def ink_cost(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage and ink for each image."""
-    s = px.raster_stats(_screened(spark, d))
+    """Coverage and ink for each image, by tiles."""
+    art = _art(spark, d)
+    out = process.process_tiles(views.tiles(art), art, views.without_cleanup(spark), pixels=False)
+    counts = process.tile_stats(out).join(art.select("image_id", "width", "height"), "image_id")
+    return _ink(counts.withColumn("coverage_percent", F.col("ink_pixels") / (F.col("width").cast("long") * F.col("height")) * 100.0))
+
+
+def ink_cost_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """The same by pixel tables."""
+    return _ink(px.raster_stats(_screened(spark, d)))
+
+
+def _ink(s: DataFrame) -> DataFrame:
     prices = {"color_ml_m2": F.lit(8.0), "white_ml_m2": F.lit(12.0), "color_price_l": F.lit(90.0), "white_price_l": F.lit(60.0), "film_price_m2": F.lit(3.0)}
     w, h = F.col("width"), F.col("height")
     e = sizing.ink_estimate(F.col("coverage_percent"), F.col("solid_pixels"), w, h, sizing.px_to_cm(w), sizing.px_to_cm(h), prices)
@@ -153,8 +165,9 @@ def masks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tile_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles of all art, and their pixels again."""
-    _, t = _tiles(spark, d)
+    """Tiles of all art made of pixels, and their pixels again."""
+    art = _art(spark, d)
+    t = tiles.pixels_to_tiles(views.pixels(art), art, TILE)
     p = tiles.tiles_to_pixels(t)
     return p.groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum(F.col("r") * (F.col("x") + 1)).alias("r"), F.sum(F.col("g") * (F.col("y") + 1)).alias("g"), F.sum(F.col("b") + F.col("a")).alias("ba"))
 
@@ -208,7 +221,7 @@ def tile_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, d: str) -> DataFrame:
-    """A10: FNV-1a of all tiles. No SQL: checked against a plain loop."""
+    """A10: FNV-1a of all tiles."""
     return tiles.tile_checksum(_tiles(spark, d)[1])
 
 
@@ -221,15 +234,34 @@ def resampled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def thumbnail_sums(spark: SparkSession, d: str) -> DataFrame:
-    """A4, A5 by tiles: small copies of all art, 12 pixels at most. No SQL: checked against the pixel form."""
+    """A4, A5 by tiles: small copies of all art, 12 pixels at most."""
     art, t = _tiles(spark, d)
     return tiles.tiles_to_pixels(resample.thumbnails(t, art, 12, TILE)).groupBy("image_id").agg(F.max("x").alias("max_x"), F.max("y").alias("max_y"), *(F.sum(c).alias(c) for c in "rgba"))
 
 
 def brand_mockups(spark: SparkSession, d: str) -> DataFrame:
-    """A garment preview of all art."""
-    m = px.mockup(_screened(spark, d), _art(spark, d).select("image_id", F.lit(30.0).alias("width_cm"), (F.col("height") / F.col("width") * 30.0).alias("height_cm")))
-    return m.groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum("r").alias("r"), F.sum("g").alias("g"), F.sum("b").alias("b"), F.sum(F.when(F.col("r") > 100, F.col("x") + F.col("y")).otherwise(0)).alias("places"))
+    """A garment preview of all art, by tiles; sums of each preview."""
+    art, r = _art(spark, d), views.without_cleanup(spark)
+    out = process.process_tiles(views.tiles(art), art, r)
+    sizes = art.join(r.select("recipe_id", "key_r", "key_g", "key_b"), "recipe_id").withColumns({"width_cm": F.lit(30.0), "height_cm": F.col("height") / F.col("width") * 30.0})
+    return process.mockup_tiles(out, sizes).select("image_id", "width", "height", "data").mapInArrow(_canvas_sums, "image_id long, pixels long, r long, g long, b long, places long")
+
+
+def _canvas_sums(batches):
+    """What the query reports of a canvas: its pixels, sums of colours, and the places of bright ones."""
+    for t in tiles.rows_of(batches):
+        d = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, 4).astype(np.int64)
+        y, x = np.nonzero(d[..., 0] > 100)
+        yield tiles.batch_of([(t.image_id, t.width * t.height, *(int(d[..., i].sum()) for i in range(3)), int((x + y).sum()))], "image_id long, pixels long, r long, g long, b long, places long")
+
+
+
+def tile_composites(spark: SparkSession, d: str) -> DataFrame:
+    """P15 by tiles: over the checker board and over a colour."""
+    t = views.tiles(_art(spark, d), TILE)
+    one = tiles.tiles_to_pixels(process.composite_tiles(t)).groupBy("image_id").agg(*(F.sum(c).alias(f"board_{c}") for c in "rgb"))
+    two = tiles.tiles_to_pixels(process.composite_tiles(t, (18, 52, 86))).groupBy("image_id").agg(*(F.sum(c).alias(f"over_{c}") for c in "rgb"))
+    return one.join(two, "image_id")
 
 
 def print_plans(spark: SparkSession, d: str) -> DataFrame:
@@ -396,7 +428,7 @@ def sheet_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sheet_packing(spark: SparkSession, d: str) -> DataFrame:
-    """Sheets of each order. No SQL: tests check that nothing overlaps."""
+    """Sheets of each order. No SQL: a test holds jobs against a packer that looks at every place."""
     _, by_job = sheets.sheet_summary(sheets.pack_sheets(_items(spark, d), _jobs(spark, d)))
     return by_job
 
@@ -407,6 +439,26 @@ def sheet_marks(spark: SparkSession, d: str) -> DataFrame:
     return sheets.cut_marks(sheets.placements(placed)).groupBy("job_id").agg(F.count("*").alias("marks"), F.min("left").alias("left"), F.max("top").alias("top"))
 
 
+def sheet_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every packed order: all pieces are there, none is nearer to another than the gap, none leaves its sheet's margins, and each has its marks."""
+    placed = _kept(sheets.pack_sheets(_items(spark, d), _jobs(spark, d)), "placed")
+    gap, margin = sizing.mm_to_px(F.lit(6.0)), sizing.mm_to_px(F.lit(5.0))
+    out = (F.col("x") < margin) | (F.col("y") < margin) | (F.col("x") + F.col("width") > F.col("sheet_width") - margin) | (F.col("y") + F.col("height") > F.col("sheet_height") - margin)
+    on = F.col("sheet").isNotNull()
+    sums = placed.groupBy("job_id").agg(F.count("*").alias("pieces"), F.count_if(on).alias("placed"), F.sum(F.when(on, F.col("width").cast("long") * F.col("height")).otherwise(0)).alias("area"), F.count_if(on & out).alias("outside"))
+    # each piece in bands of 1000 pixels of its sheet; two that meet have a band in common, and are counted where the later one starts
+    band = lambda y: F.floor(y / 1000)
+    p = placed.where(on).select("job_id", "sheet", "x", "y", "width", "height", F.struct("y", "x").alias("key"), F.explode(F.sequence(band(F.col("y")), band(F.col("y") + F.col("height") + gap))).alias("band"))
+    q = p.select("job_id", "sheet", "band", *(F.col(c).alias(f"q_{c}") for c in ("x", "y", "width", "height", "key")))
+    c = F.col
+    meet = (c("key") < c("q_key")) & (c("q_x") < c("x") + c("width") + gap) & (c("x") < c("q_x") + c("q_width") + gap) & (c("q_y") < c("y") + c("height") + gap) & (band(c("q_y")) == c("band"))
+    bad = p.join(q, ["job_id", "sheet", "band"]).where(meet).groupBy("job_id").agg(F.count("*").alias("overlaps"))
+    same = placed.where(on).groupBy("job_id", "sheet", "x", "y").count().groupBy("job_id").agg(F.sum(F.col("count") - 1).alias("same"))
+    marks = sheets.cut_marks(placed).groupBy("job_id").agg(F.count("*").alias("marks"))
+    j = sums.join(bad, "job_id", "left").join(same, "job_id", "left").join(marks, "job_id", "left").fillna(0)
+    return j.select("job_id", "pieces", "placed", "area", (F.col("overlaps") + F.col("same")).alias("overlaps"), "outside", "marks")
+
+
 def brand_sheets(spark: SparkSession, d: str) -> DataFrame:
     """All designs of a brand on sheets, composed from their tiles, with marks. No SQL, as for packing."""
     art, t = _tiles(spark, d)
@@ -471,9 +523,9 @@ def stream_requests(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        ink_cost, ink_by_recipe, shapes_by_image, tone_response, gain_compensation, gain_parse, option_rules, trim, composites, previews, turned_white, edge_protection, masks, tile_roundtrip, tile_process,
+        ink_cost, ink_cost_pixels, tile_composites, ink_by_recipe, shapes_by_image, tone_response, gain_compensation, gain_parse, option_rules, trim, composites, previews, turned_white, edge_protection, masks, tile_roundtrip, tile_process,
         tile_cleanup, white_layer, crops, tile_audit, checksums, resampled, thumbnail_sums, brand_mockups, print_plans, variant_sizes, derived_sizes, file_names, job_variants, job_preflight, job_manifest,
-        recipe_files, latest_state, state_summary, job_resume, source_identity, export_checks, ink_sentences, sheet_copies, sheet_rules, sheet_packing, sheet_marks, brand_sheets, batch_run, debounced,
+        recipe_files, latest_state, state_summary, job_resume, source_identity, export_checks, ink_sentences, sheet_copies, sheet_rules, sheet_packing, sheet_marks, sheet_checks, brand_sheets, batch_run, debounced,
         stream_state, stream_requests,
     )
 }

@@ -35,6 +35,27 @@ def pixels(artworks: DataFrame) -> DataFrame:
     return p.select("image_id", "x", "y", *((v % 256).cast("int").alias(k) for k, v in rgb.items()), alpha.cast("int").alias("a"))
 
 
+def tiles(artworks: DataFrame, core: int = 512) -> DataFrame:
+    """The same images as tiles."""
+    import numpy as np
+
+    from inkgrid.operators.tiles import batches_of, rows_of
+    from inkgrid.schema import TILES
+
+    def made(batches):
+        for t in rows_of(batches):
+            y, x = np.mgrid[0 : t.height, 0 : t.width]
+            p = y * t.width + x
+            a = np.where(p % 7 == 0, 0, np.where(p % 5 == 0, 255, 13 * x + 23 * y))
+            d = np.stack([17 * x + 3 * y + 7 * t.p_size, 5 * x + 11 * y + 13 * (t.image_id % 256), 7 * x + 19 * y, a], axis=-1).astype(np.uint8)
+            for top in range(0, t.height, core):
+                for left in range(0, t.width, core):
+                    cut = d[top : top + core, left : left + core]
+                    yield t.image_id, left // core, top // core, left, top, cut.shape[1], cut.shape[0], 4, cut.tobytes()
+
+    return artworks.select("image_id", "width", "height", "p_size").mapInArrow(lambda batches: batches_of(made(batches), TILES), TILES)
+
+
 #: Recipes of the views: defaults; no knockout; recovery; levels; no screen. Each with another shape.
 RECIPES = [
     {"recipe_id": 0},
@@ -75,3 +96,8 @@ def progress_of(events: DataFrame) -> DataFrame:
 
 def requests(events: DataFrame, delay_s: float = 14_400.0) -> DataFrame:
     return events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("id"), F.lit(delay_s).alias("delay_s"))
+
+
+def without_cleanup(spark: SparkSession) -> DataFrame:
+    """The same recipes, but no island is too small: nothing looks at neighbours."""
+    return options.with_defaults(options.recipes(spark, [{**r, "min_diameter_mm": 0.0} for r in RECIPES]))
