@@ -7,7 +7,8 @@ are then verified by the Jaccard similarity of the sets.
 
 In a round, a few nodes of each bucket (hubs) are compared with all others of it that aren't known to be in their component, then leave the bucket; a bucket ends
 when its nodes are in one component. So each two nodes of a bucket are compared or known to be linked, and a large group of near
-copies costs comparisons in proportion to its size. There are 16 hubs in a bucket at first, and sixteen times as many from round to round.
+copies costs comparisons in proportion to its size. The first rounds take the buckets of one word and of four words, with one hub each, so that large groups are joined by
+a few comparisons of each node before the other buckets are looked at; later rounds have 4, 64, ... hubs.
 """
 
 from __future__ import annotations
@@ -132,7 +133,7 @@ def _met(far: int, similarity: float):
 
 
 def _placed(nodes: DataFrame, similarity: float, parts: int, words: int) -> DataFrame:
-    """(bucket, node, n, s0, s1): the nodes in the buckets where they may have a link."""
+    """(bucket, node, n, s0, s1, word): the nodes in the buckets where they may have a link."""
     plans = simhash.index_plans(nodes, words, parts - 1, parts)
 
     def run(batches):
@@ -141,10 +142,10 @@ def _placed(nodes: DataFrame, similarity: float, parts: int, words: int) -> Data
             for w, plan in enumerate(plans):
                 for mask, value, at, probe in simhash.probes(np.ascontiguousarray(prints[:, w]), plan, parts - 1):
                     take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(_bucket(value, int(mask), w)), b.column(0).take(take), b.column(1).take(take), pa.array(prints[at, 0]), pa.array(prints[at, 1]), pa.array(probe)], ["bucket", "node", "n", "s0", "s1", "probe"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_bucket(value, int(mask), w)), b.column(0).take(take), b.column(1).take(take), pa.array(prints[at, 0]), pa.array(prints[at, 1]), pa.array(probe), pa.array(np.full(len(at), w, np.int32))], ["bucket", "node", "n", "s0", "s1", "probe", "word"])
 
-    rows = nodes.select("node", "n", "words").mapInArrow(run, "bucket long, node long, n int, s0 long, s1 long, probe boolean")
-    return rows.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket").mapInArrow(_met(furthest(similarity), similarity), "bucket long, node long, n int, s0 long, s1 long")
+    rows = nodes.select("node", "n", "words").mapInArrow(run, "bucket long, node long, n int, s0 long, s1 long, probe boolean, word int")
+    return rows.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket").mapInArrow(_met(furthest(similarity), similarity), "bucket long, node long, n int, s0 long, s1 long, word int")
 
 
 def _bucket(value: np.ndarray, mask: int, word: int) -> np.ndarray:
@@ -181,12 +182,12 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int,
     sets = keep(_sets(docs, rows, live, text_col, shingle), "similarity-sets")
     far = furthest(similarity)
     labels = links = tested = None
-    for k in itertools.count(2, 2):
-        few = F.lit(1 << k)
-        now = live.withColumn("label", F.col("node")) if labels is None else live.join(labels, "node", "left").select(*live.columns, F.coalesce("root", "node").alias("label"))
+    for k, upto in itertools.chain(((0, 1), (0, 4)), ((i, words) for i in itertools.count(1, 2))):
+        few, use = F.lit(1 << k), live.where(F.col("word") < upto)
+        now = use.withColumn("label", F.col("node")) if labels is None else use.join(labels, "node", "left").select(*live.columns, F.coalesce("root", "node").alias("label"))
         open_ = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        now = keep(now.join(open_, "bucket"), "similarity-open")
-        if now.isEmpty():
+        now = keep(now.join(open_, "bucket").select(*live.columns, "label"), "similarity-open")
+        if now.isEmpty() and upto == words:
             forget(live, sets, now)
             return labels
         by = F.pmod(F.xxhash64("label"), few), F.pmod(F.xxhash64("node", F.lit(1)), few)
@@ -203,7 +204,8 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int,
             links = good if links is None else links.unionByName(good)
             labels = keep(simhash.components(links).distinct(), "similarity-labels")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        rest = keep(now.join(hubs.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti").drop("label"), "similarity-rest")
+        rest = now.join(hubs.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti").select(*live.columns)
+        rest = keep(rest.unionByName(live.where(F.col("word") >= upto)), "similarity-rest")
         forget(live, now, hubs)
         live = rest
 
