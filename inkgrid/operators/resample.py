@@ -18,20 +18,22 @@ PART = "variant_id long, tile_y int, tile_x int, w int, h int, x0 int, y0 int, p
 
 
 def resample_tiles(tiles: DataFrame, jobs: DataFrame, core: int = CORE) -> DataFrame:
-    """jobs: (variant_id, image_id, width, height, out_width, out_height). Output tiles of each job, as TILES with variant_id for image_id.
+    """jobs: (variant_id, image_id, width, height, out_width, out_height), and perhaps from_x, from_y: where a frame of that size starts in the image (0, 0 without). Output tiles of
+    each job, as TILES with variant_id for image_id.
 
     Each output tile names the source tiles that it can need; an equi-join brings these, each gives partial sums by two small matrix products, and the sums of a
     tile meet by its key. Nothing is rounded before that, so the cut into tiles makes no difference.
     """
     cells = lambda n: F.sequence(F.lit(0), F.ceil(F.col(n) / core).cast("int") - 1)
+    jobs = jobs.withColumns({c: F.col(c) if c in jobs.columns else F.lit(0) for c in ("from_x", "from_y")})
     out = jobs.withColumn("ty", F.explode(cells("out_height"))).withColumn("tx", F.explode(cells("out_width")))
     out = out.withColumn("w", F.least(F.lit(core), F.col("out_width") - F.col("tx") * core).cast("int")).withColumn("h", F.least(F.lit(core), F.col("out_height") - F.col("ty") * core).cast("int"))
     needs = lambda t, n, o, s: source_window(F.col(t) * core, F.col(n), F.col(s) / F.col(o), F.col(s))
     wx, wy = needs("tx", "w", "out_width", "width"), needs("ty", "h", "out_height", "height")
-    span = lambda win: F.sequence(F.floor(win["lo"] / core), F.floor((win["hi"] - 1) / core))
-    out = out.withColumn("tile_x", F.explode(span(wx))).withColumn("tile_y", F.explode(span(wy))).withColumns({"tile_x": F.col("tile_x").cast("int"), "tile_y": F.col("tile_y").cast("int")})
+    span = lambda win, start: F.sequence(F.floor((win["lo"] + F.col(start)) / core), F.floor((win["hi"] - 1 + F.col(start)) / core))
+    out = out.withColumn("tile_x", F.explode(span(wx, "from_x"))).withColumn("tile_y", F.explode(span(wy, "from_y"))).withColumns({"tile_x": F.col("tile_x").cast("int"), "tile_y": F.col("tile_y").cast("int")})
     source = tiles.select("image_id", "tile_x", "tile_y", "left", "top", F.col("width").alias("sw"), F.col("height").alias("sh"), "data")
-    joined = out.join(source, ["image_id", "tile_x", "tile_y"]).select("variant_id", "ty", "tx", "w", "h", "width", "height", "out_width", "out_height", "left", "top", "sw", "sh", "data")
+    joined = out.join(source, ["image_id", "tile_x", "tile_y"]).select("variant_id", "ty", "tx", "w", "h", "width", "height", "out_width", "out_height", (F.col("left") - F.col("from_x")).alias("left"), (F.col("top") - F.col("from_y")).alias("top"), "sw", "sh", "data")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in rows_of(batches):

@@ -166,6 +166,22 @@ def per_tile(tiles: DataFrame, core: int, step: Callable[[list[SimpleNamespace]]
     return halo_exchange(tiles, core).groupBy(*KEY).applyInArrow(run, schema)
 
 
+def tile_bounds(tiles: DataFrame) -> DataFrame:
+    """(image_id, left, top, width, height): the box of each image's pixels that aren't transparent; images without any have no row. A tile gives four numbers."""
+
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for t in rows_of(batches):
+            on = raster(t)[..., -1] > 0
+            ys, xs = np.flatnonzero(on.any(axis=1)), np.flatnonzero(on.any(axis=0))
+            if len(ys):
+                yield t.image_id, int(t.left + xs[0]), int(t.top + ys[0]), int(t.left + xs[-1]), int(t.top + ys[-1])
+
+    box = "image_id long, x0 int, y0 int, x1 int, y1 int"
+    found = tiles.select("image_id", "left", "top", "width", "height", "components", "data").mapInArrow(lambda batches: batches_of(boxes(batches), box), box)
+    whole = found.groupBy("image_id").agg(F.min("x0").alias("left"), F.min("y0").alias("top"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return whole.select("image_id", "left", "top", (F.col("x1") - F.col("left") + 1).alias("width"), (F.col("y1") - F.col("top") + 1).alias("height"))
+
+
 def read_crop(tiles: DataFrame, crops: DataFrame, core: int = CORE) -> DataFrame:
     """crops: (crop_id, image_id, left, top, width, height). (crop_id, width, height, data, error): the pixels of each crop, from the tiles it meets (found by grid
     cell, an equi-join). A tile that is missing or too short is an error, and the crop has no data."""

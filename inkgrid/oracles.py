@@ -296,4 +296,32 @@ CASE WHEN q > 0 THEN round((1e0 - f / q) * 100e0, 6) END AS savings_percent FROM
 _PACKED = f"""WITH {_ITEMS}, c AS (SELECT *, job_id % 97 <> 0 AND least(w, h) + 2 * 59 <= 6850 AS fits FROM it WHERE copies BETWEEN 1 AND 999)
 SELECT job_id, sum(copies)::BIGINT AS pieces, coalesce(sum(copies) FILTER (fits), 0)::BIGINT AS placed, coalesce(sum(w::BIGINT * h * copies) FILTER (fits), 0)::BIGINT AS area, 0::BIGINT AS overlaps, 0::BIGINT AS outside, coalesce(sum(copies) FILTER (fits), 0)::BIGINT * 8 AS marks FROM c GROUP BY job_id"""
 
-ORACLE_SQL |= {"ink_cost_pixels": ORACLE_SQL["ink_cost"], "tile_composites": ORACLE_SQL["composites"], "sheet_checks": _PACKED}
+#: A batch: variants, trimmed boxes of recipe 2, straight lines between source pixels (all art grows), coverage and screen at the new size, names.
+_BATCH = (
+    f"""WITH {_ART}, {_PX.replace("px AS", "px0 AS", 1)}, src AS (SELECT * FROM px0 WHERE a > 0 AND (image_id % 31 <> 0 OR x >= 32)),
+ar(placement, size, aw, ah) AS (VALUES ('neck', 'S', 0.5e0, 0.4e0), ('neck', 'M', 0.52e0, 0.42e0), ('front', 'S', 0.54e0, 0.4e0), ('front', 'M', 0.5e0, 0.45e0)),
+f AS (SELECT *, CASE WHEN image_id % 4 = 0 THEN ['S', 'M'] ELSE ['S'] END AS ss, CASE WHEN image_id % 4 = 0 THEN ['front', 'neck'] ELSE ['neck'] END AS pp FROM art),
+g1 AS (SELECT *, unnest(range(1, len(ss) + 1)) AS si FROM f), g2 AS (SELECT *, unnest(range(1, len(pp) + 1)) AS pi FROM g1),
+v0 AS (SELECT row_number() OVER (ORDER BY image_id, si, pi) - 1 AS id, image_id, name AS image, ss[si] AS size, pp[pi] AS placement, recipe_id, width, height, ss[si] || '/' || {_name("image_id", "name", "ss[si]", "pp[pi]")} AS output FROM g2),
+bb AS (SELECT image_id, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM src GROUP BY image_id),
+v1 AS (SELECT v0.*, aw, ah, CASE WHEN recipe_id = 2 THEN x0 ELSE 0 END AS fx, CASE WHEN recipe_id = 2 THEN y0 ELSE 0 END AS fy, CASE WHEN recipe_id = 2 THEN x1 - x0 ELSE width END AS w, CASE WHEN recipe_id = 2 THEN y1 - y0 ELSE height END AS h,
+  CASE WHEN image_id % 29 = 0 THEN 'no source' WHEN recipe_id = 4 THEN 'white format' END AS bad FROM v0 JOIN ar USING (placement, size) LEFT JOIN bb USING (image_id)),
+v2 AS (SELECT *, greatest(1, floor(w * least(aw / w, ah / h) / 2.54e0 * 300e0 + 0.5e0))::BIGINT AS ow FROM v1), v AS (SELECT *, greatest(1, floor(ow * h / w::DOUBLE + 0.5e0))::BIGINT AS oh FROM v2),
+ax AS (SELECT id, o, greatest(0e0, least(w - 1e0, (o + 0.5e0) * (w / ow::DOUBLE) - 0.5e0)) AS f, w FROM v, (SELECT unnest(range(70)) AS o) WHERE o < ow AND bad IS NULL),
+ay AS (SELECT id, o, greatest(0e0, least(h - 1e0, (o + 0.5e0) * (h / oh::DOUBLE) - 0.5e0)) AS f, h FROM v, (SELECT unnest(range(70)) AS o) WHERE o < oh AND bad IS NULL),
+wx AS (SELECT id, o, floor(f)::INT AS p, 1e0 - (f - floor(f)) AS q FROM ax UNION ALL SELECT id, o, least(w - 1, floor(f)::INT + 1), f - floor(f) FROM ax),
+wy AS (SELECT id, o, floor(f)::INT AS p, 1e0 - (f - floor(f)) AS q FROM ay UNION ALL SELECT id, o, least(h - 1, floor(f)::INT + 1), f - floor(f) FROM ay),
+sv AS (SELECT v.id, src.x - fx AS x, src.y - fy AS y, r, g, b, a / 255e0 AS a FROM v JOIN src USING (image_id) WHERE bad IS NULL),
+t AS (SELECT sv.id, wx.o AS x, wy.o AS y, sum(a * wx.q * wy.q) AS sa, sum(r * a * wx.q * wy.q) AS sr, sum(g * a * wx.q * wy.q) AS sg, sum(b * a * wx.q * wy.q) AS sb FROM sv JOIN wx ON wx.id = sv.id AND wx.p = sv.x JOIN wy ON wy.id = sv.id AND wy.p = sv.y GROUP BY ALL),
+px AS (SELECT t.id AS image_id, x::INT AS x, y::INT AS y, ow AS width, oh AS height, recipe_id, floor(round(sr / sa, 9) + 0.5e0)::INT AS r, floor(round(sg / sa, 9) + 0.5e0)::INT AS g, floor(round(sb / sa, 9) + 0.5e0)::INT AS b, least(255, floor(round(sa * 255e0, 9) + 0.5e0))::INT AS a FROM t JOIN v USING (id) WHERE sa > 0),
+{_REC}, {_COV}{_SCREEN},
+n AS (SELECT image_id AS id, count(*) FILTER (ink) AS ink FROM s GROUP BY image_id),
+tk AS (SELECT output AS name FROM v WHERE id % 7 = 0), tw AS (SELECT output AS name FROM v WHERE id % 5 = 0),
+e AS (SELECT v.*, coalesce(ink, 0) / (ow * oh)::DOUBLE AS cov, CASE WHEN bad IS NOT NULL THEN bad WHEN coalesce(ink, 0) = 0 THEN 'empty' END AS error, output IN (SELECT name FROM tk) OR (recipe_id IN (1, 2) AND output IN (SELECT name FROM tw)) AS there FROM v LEFT JOIN n USING (id)),
+k AS (SELECT *, CASE WHEN error IS NULL AND there THEN regexp_replace(output, '\\.png$', '_r2.png') ELSE output END AS own, (ow / 300e0 * 2.54e0) * (oh / 300e0 * 2.54e0) * cov / 10000e0 * 8e0 AS ml FROM e)
+SELECT id, image, size, placement, CASE WHEN error IS NULL THEN 'done' ELSE 'error' END AS status, own AS output, CASE WHEN w IS NOT NULL AND bad IS DISTINCT FROM 'no source' THEN ow END AS "widthPX", CASE WHEN w IS NOT NULL AND bad IS DISTINCT FROM 'no source' THEN oh END AS "heightPX",
+CASE WHEN error IS NULL THEN round(cov * 100e0, 2) END AS "coveragePercent", CASE WHEN error IS NULL THEN round(ml, 3) END AS "colorML", CASE WHEN error IS NULL AND recipe_id IN (0, 2) THEN round(ml * CASE recipe_id WHEN 0 THEN 90e0 ELSE 45.5e0 END / 1000e0, 3) END AS cost,
+CASE WHEN error IS NULL AND recipe_id IN (1, 2) THEN regexp_replace(own, '\\.png$', '_blanco.png') END AS "whiteOutput", error FROM k"""
+)
+
+ORACLE_SQL |= {"batch_run": _BATCH, "ink_cost_pixels": ORACLE_SQL["ink_cost"], "tile_composites": ORACLE_SQL["composites"], "sheet_checks": _PACKED}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkgrid.functions import names, sizing
 from inkgrid.functions.options import with_defaults
+from inkgrid.schema import TILES
 
 
 def make_variants(files: DataFrame, sizes: list[str], placements: list[str], garment: str = "adult", assignments: DataFrame | None = None, areas: DataFrame | None = None) -> DataFrame:
@@ -114,36 +115,70 @@ def report_lines(rows: DataFrame) -> DataFrame:
     return rows.select("id", names.csv_line([(F.col(f) if f in rows.columns else F.lit(None).cast("string"), f in text) for f in names.REPORT_FIELDS]).alias("line"))
 
 
-def run_batch(variants: DataFrame, tiles: DataFrame, artworks: DataFrame, recipes: DataFrame, core: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(output tiles, report): each variant's art at its print size, screened and cleaned by tiles.
+#: (name, type, default) of what a job may say beside a recipe's options: whether art is trimmed to what isn't transparent, and whether a white twin is made and how.
+SETTINGS = (("trim_art", "boolean", False), ("batch_white", "boolean", False), ("white_choke_mm", "double", 0.15), ("white_format", "string", "blackOnWhite"), *((k, "double", v) for k, v in sizing.DEFAULT_PRICES.items()))
+WHITE_FORMATS = ("blackOnWhite", "alpha", "whiteOnBlack")
 
-    artworks: (image_idx, image_id, width, height). The source is resampled for each variant before its own screen. The report has a row for each variant: done
-    with sizes, counts and ink, or error; an error of one leaves the others as they are.
+
+def settings_of(recipes: DataFrame, settings: DataFrame | None) -> DataFrame:
+    """(recipe_id, SETTINGS) for each recipe; settings: (recipe_id, some of them), nulls and missing rows are defaults."""
+    s = recipes.select("recipe_id")
+    s = s.join(settings, "recipe_id", "left") if settings is not None else s
+    return s.select("recipe_id", *(F.coalesce(F.col(n), F.lit(d).cast(t)).alias(n) if n in s.columns else F.lit(d).cast(t).alias(n) for n, t, d in SETTINGS))
+
+
+def run_batch(variants: DataFrame, tiles: DataFrame, artworks: DataFrame, recipes: DataFrame, core: int = 512, settings: DataFrame | None = None, taken: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(output tiles, white twins' tiles, report): each variant's art, trimmed if its recipe says so, at its print size, screened and cleaned by tiles.
+
+    artworks: (image_idx, image_id, width, height); settings: of settings_of(); taken: (output), files that are there already and aren't written over. The source is resampled
+    for each variant before its own screen. The report has a row for each variant: done with sizes, counts, ink, cost (where anything has a price) and free names, or
+    error; an error of one leaves the others as they are. If a white twin can't be made, neither file of the pair is.
     """
-    from inkgrid.operators.process import process_tiles
+    from inkgrid.operators.process import process_tiles, white_tiles
     from inkgrid.operators.resample import resample_tiles
+    from inkgrid.operators.tiles import tile_bounds
 
-    full = with_defaults(recipes)
-    v = variants.join(artworks.select("image_idx", "image_id", "width", "height"), "image_idx", "left")
+    full, extra = with_defaults(recipes), settings_of(recipes, settings)
+    v = variants.join(artworks.select("image_idx", "image_id", F.col("width").alias("art_width"), F.col("height").alias("art_height")), "image_idx", "left").join(extra, "recipe_id", "left")
+    if extra.where("trim_art").isEmpty():  # a question to the recipes
+        v = v.withColumns({"from_x": F.lit(0), "from_y": F.lit(0), "width": F.col("art_width"), "height": F.col("art_height"), "bare": F.lit(False)})
+    else:
+        box = tile_bounds(tiles.join(v.where("trim_art").select("image_id").distinct(), "image_id", "left_semi"))
+        v = v.join(box.select("image_id", *(F.col(c).alias(f"box_{c}") for c in ("left", "top", "width", "height"))), "image_id", "left")
+        cut = lambda c, whole: F.when(F.col("trim_art"), F.col(c)).otherwise(whole)
+        v = v.withColumns({"from_x": cut("box_left", F.lit(0)), "from_y": cut("box_top", F.lit(0)), "width": cut("box_width", F.col("art_width")), "height": cut("box_height", F.col("art_height")), "bare": F.col("trim_art") & F.col("box_left").isNull()})
     cm = sizing.fit_width_cm(F.col("width"), F.col("height"), F.col("area_w"), F.col("area_h"))
-    v = v.withColumn("plan", sizing.print_plan(F.col("width"), F.col("height"), F.lit(300.0), "width", cm))
-    v = v.withColumn("problem", F.when(F.col("status") == "error", F.coalesce("error", F.lit("area"))).when(F.col("width").isNull(), "no source").otherwise(F.col("plan.error")))
+    v = v.withColumn("plan", F.when(F.col("width").isNotNull(), sizing.print_plan(F.col("width"), F.col("height"), F.lit(300.0), "width", cm)))
+    problem = (
+        F.when(F.col("status") == "error", F.coalesce("error", F.lit("area"))).when(F.col("art_width").isNull(), "no source").when(F.col("bare"), "empty").when(F.col("trim_art").isNull(), "no recipe")
+        .when(F.col("batch_white") & ~F.col("white_format").isin(*WHITE_FORMATS), "white format").otherwise(F.col("plan.error"))
+    )
+    v = v.withColumn("problem", problem)
     good = v.where("problem is null")
-    jobs = good.select(F.col("id").alias("variant_id"), "image_id", "width", "height", F.col("plan.width").cast("int").alias("out_width"), F.col("plan.height").cast("int").alias("out_height"))
+    jobs = good.select(F.col("id").alias("variant_id"), "image_id", "width", "height", F.col("plan.width").cast("int").alias("out_width"), F.col("plan.height").cast("int").alias("out_height"), "from_x", "from_y")
     sized = resample_tiles(tiles, jobs, core)
     art = good.select(F.col("id").alias("image_id"), F.col("plan.width").cast("int").alias("width"), F.col("plan.height").cast("int").alias("height"), "recipe_id")
     out = process_tiles(sized.withColumnRenamed("variant_id", "image_id"), art, full, core)
     stats = out.groupBy(F.col("image_id").alias("id")).agg(F.sum("ink_pixels").alias("ink_pixels"), F.sum("removed_pixels").alias("removed_pixels"), F.sum("solid_pixels").alias("solid_pixels"))
+    white = None
+    for choke in sorted(r[0] for r in extra.where("batch_white").select("white_choke_mm").distinct().collect()):  # of the recipes: a few
+        own = good.where(F.col("batch_white") & (F.col("white_choke_mm") == choke)).select(F.col("id").alias("image_id"))
+        some = white_tiles(out.join(own, "image_id", "left_semi"), art, choke, core)
+        white = some if white is None else white.unionByName(some)
+    white = out.select(*(c.split()[0] for c in TILES.split(", "))).limit(0) if white is None else white
     r = v.join(stats, "id", "left")
     coverage = F.coalesce("ink_pixels", F.lit(0)) / (F.col("plan.width") * F.col("plan.height")) * 100.0
-    prices = {k: F.lit(x) for k, x in sizing.DEFAULT_PRICES.items()}
-    e = sizing.ink_estimate(coverage, F.coalesce("solid_pixels", F.lit(0)), F.col("plan.width"), F.col("plan.height"), F.col("plan.width_cm"), F.col("plan.height_cm"), prices)
-    problem = F.coalesce("problem", F.when(F.coalesce("ink_pixels", F.lit(0)) == 0, "empty"))
-    r = r.withColumn("e", e).withColumn("problem", problem)
+    e = sizing.ink_estimate(coverage, F.coalesce("solid_pixels", F.lit(0)), F.col("plan.width"), F.col("plan.height"), F.col("plan.width_cm"), F.col("plan.height_cm"), {k: F.col(k) for k in sizing.DEFAULT_PRICES})
+    r = r.withColumn("e", e).withColumn("problem", F.coalesce("problem", F.when(F.coalesce("ink_pixels", F.lit(0)) == 0, "empty")))
+    taken = r.select("output").limit(0) if taken is None else taken
+    done = r.where("problem is null").select("id", "output", "batch_white")
+    names_ = free_names(done.where("batch_white"), taken, True).unionByName(free_names(done.where("not batch_white"), taken))
+    r = r.join(names_.select("id", "free"), "id", "left").withColumn("output", F.coalesce("free", "output"))
     ok = lambda c: F.when(F.col("problem").isNull(), c)
+    priced = (F.col("color_price_l") > 0) | (F.col("white_price_l") > 0) | (F.col("film_price_m2") > 0)
     report = r.select(
         "id", "image", "size", "placement", F.when(F.col("problem").isNull(), "done").otherwise("error").alias("status"), "output", F.col("plan.width_cm").alias("widthCM"), F.col("plan.height_cm").alias("heightCM"),
         F.col("plan.width").alias("widthPX"), F.col("plan.height").alias("heightPX"), "dpi", ok(F.round(coverage, 2)).alias("coveragePercent"), ok(F.round("e.color_ml", 3)).alias("colorML"),
-        ok(F.round("e.white_ml", 3)).alias("whiteML"), F.lit(None).cast("double").alias("cost"), F.lit(None).cast("string").alias("whiteOutput"), F.col("problem").alias("error"),
+        ok(F.round("e.white_ml", 3)).alias("whiteML"), ok(F.when(priced, F.round("e.total_cost", 3))).alias("cost"), ok(F.when(F.col("batch_white"), names.white_name(F.col("output")))).alias("whiteOutput"), F.col("problem").alias("error"),
     )
-    return out, report
+    return out, white, report
