@@ -188,7 +188,7 @@ r AS (SELECT *, CASE WHEN status = 'error' THEN 'area' WHEN p_size = 7 THEN 'unr
 SELECT id, image, size, placement, CASE WHEN problem IS NULL THEN 'ready' ELSE 'error' END AS status, CASE WHEN problem IS NULL THEN ow END AS width_px, CASE WHEN problem IS NULL THEN oh END AS height_px,
   CASE WHEN problem IS NULL THEN ceil(CASE WHEN n > 16000000 THEN n * 8 ELSE 0 END * 1.25e0 + n * 4)::BIGINT END AS recommended_bytes, CASE WHEN problem IS NULL THEN concat_ws(',', CASE WHEN NOT halftone THEN 'no_screen' END, CASE WHEN ow > w OR oh > h THEN 'upscaled' END) END AS warnings, problem AS error FROM r"""
 
-_MANIFEST = f"""WITH {_ART}, p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY image_id) - 1 AS pos FROM art),
+_MANIFEST = f"""WITH {_ART}, p AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY image_id) - 1) % 500 AS pos FROM art),
 q AS (SELECT CASE WHEN image_id % 17 = 0 THEN pos + 1 ELSE pos END AS id, CASE WHEN p_brand = 'Brand#3' THEN 'format' WHEN image_id % 17 = 0 THEN 'id' WHEN image_id % 19 = 0 THEN 'index' WHEN image_id % 5 = 0 THEN 'output' ELSE 'none' END AS problem FROM p)
 SELECT problem, count(*) AS rows, sum(id)::BIGINT AS ids FROM q GROUP BY problem"""
 

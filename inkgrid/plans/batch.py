@@ -36,10 +36,12 @@ def make_variants(files: DataFrame, sizes: list[str], placements: list[str], gar
     return v.select("id", "image_idx", F.col("name").alias("image"), "size", "placement", "garment", "recipe_id", "area_w", "area_h", F.when(problem.isNull(), "pending").otherwise("error").alias("status"), output.alias("output"), F.lit(300.0).alias("dpi"), problem.alias("error"))
 
 
-def dense_ids(df: DataFrame, major: str, minor: list[str]) -> DataFrame:
-    """Adds id: 0, 1, ... in the order of major, then minor. Only the counts of each major value are ordered in one task; rows are numbered within theirs."""
-    counts = df.groupBy(major).count()
-    first = counts.select(F.col(major).alias("__m"), F.coalesce(F.sum("count").over(Window.orderBy(major).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+def dense_ids(df: DataFrame, major: str, minor: list[str], block: int = 4096) -> DataFrame:
+    """Adds id: 0, 1, ... in the order of major (an integer), then minor. Counts are added up within blocks of major values, and blocks (a row for each) in one task."""
+    counts = df.groupBy(major).count().withColumn("__b", F.floor(F.col(major) / block))
+    before = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.groupBy("__b").agg(F.sum("count").alias("count")).select("__b", before(Window.orderBy("__b")).alias("__base"))
+    first = counts.withColumn("__in", before(Window.partitionBy("__b").orderBy(major))).join(blocks, "__b").select(F.col(major).alias("__m"), (F.col("__base") + F.col("__in")).alias("__first"))
     own = F.row_number().over(Window.partitionBy(major).orderBy(*minor)) - 1
     return df.withColumn("__own", own).join(first, F.col(major) == F.col("__m")).withColumn("id", F.col("__first") + F.col("__own")).drop("__m", "__first", "__own")
 

@@ -333,13 +333,13 @@ def job_preflight(spark: SparkSession, d: str) -> DataFrame:
 
 
 def job_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """A manifest for each brand as JSON, read again and checked."""
+    """Manifests of a brand's art as JSON, 500 images each at most, read again and checked."""
     i = F.col("image_id")
-    p = _art(spark, d).withColumn("pos", F.row_number().over(_by("p_brand", "image_id")) - 1)
+    p = _art(spark, d).withColumn("at", F.row_number().over(_by("p_brand", "image_id")) - 1).withColumns({"part": F.floor(F.col("at") / 500), "pos": F.col("at") % 500})
     output = F.concat_ws("/", F.lit("M"), names.output_name(F.col("pos"), F.col("name"), F.lit("M"), F.when(i % 5 == 0, "back").otherwise("front")))
     row = F.struct(F.when(i % 17 == 0, F.col("pos") + 1).otherwise(F.col("pos")).cast("long").alias("id"), F.when(i % 19 == 0, -1).otherwise(F.col("pos")).cast("long").alias("index"), F.col("name").alias("image"), F.lit("M").alias("size"), F.lit("front").alias("placement"), output.alias("output"))
     source = F.struct(F.col("name").alias("name"))
-    jobs = p.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("pos", row.alias("row"), source.alias("source")))).alias("x"))
+    jobs = p.groupBy("p_brand", "part").agg(F.sort_array(F.collect_list(F.struct("pos", row.alias("row"), source.alias("source")))).alias("x"))
     text = F.to_json(F.struct(F.when(F.col("p_brand") == "Brand#3", "other").otherwise("halftone-batch").alias("schema"), F.lit(1).alias("version"), F.transform("x", lambda e: e["source"]).alias("sources"), F.transform("x", lambda e: e["row"]).alias("rows")))
     return tables.read_job(jobs.select(text.alias("value"))).groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
 
@@ -460,10 +460,11 @@ def sheet_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def brand_sheets(spark: SparkSession, d: str) -> DataFrame:
-    """All designs of a brand on sheets, composed from their tiles, with marks. No SQL, as for packing."""
+    """All designs of a brand on sheets, 500 a roll, composed from their tiles, with marks. No SQL, as for packing."""
     art, t = _tiles(spark, d)
     brand = F.regexp_extract("p_brand", "[0-9]+", 0).cast("long")
-    items = art.select(brand.alias("job_id"), F.col("image_id").alias("id"), "name", "width", "height", F.lit(1).alias("copies"))
+    part = F.floor((F.row_number().over(_by("p_brand", "image_id")) - 1) / 500)  # a roll has 500 designs at most
+    items = art.select((brand * 1_000_000 + part).alias("job_id"), F.col("image_id").alias("id"), "name", "width", "height", F.lit(1).alias("copies"))
     jobs = items.select("job_id").distinct().select("job_id", F.lit(10.0).alias("width_cm"), F.lit(6.0).alias("spacing_mm"), F.lit(True).alias("marks"))
     placed = sheets.pack_sheets(items, jobs)
     out = sheets.compose_sheets(placed, t, sheets.cut_marks(placed), 256)
