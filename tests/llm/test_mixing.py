@@ -1,3 +1,5 @@
+import hashlib
+import re
 from collections import defaultdict
 
 import pytest
@@ -20,6 +22,56 @@ def water(sizes, weights, most=3.0):
         full |= {s: most * sizes[s] for s in over}
 
 
+def plain(rows, weights=(1, 2, 3), most=3.0, seed=7):
+    """rows: (id, source, size), ids all different and none null. Copies by id: whole copies, then documents in the order of their ranks, one after the other."""
+    sizes = defaultdict(int)
+    for _, source, size in rows:
+        sizes[source] += size
+    target, out = water(dict(sizes), weights, most), {}
+    for source, total in sizes.items():
+        ratio = target[source] / total if total else 0.0
+        if ratio > most - 1e-9:
+            ratio = most
+        sure, p = int(ratio), ratio - int(ratio)
+        out |= {i: sure for i, s, _ in rows if s == source}
+        if p <= 0:
+            continue
+        u = lambda i: (int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        odds = lambda i: (u(i) / (1 - u(i))) / (p / (1 - p))
+        rest, left = sorted((odds(i), str(i), i, size) for i, s, size in rows if s == source and size), target[source] - sure * total
+        for _ in range(3):
+            gap, later, full = left, [], False
+            for x in rest:
+                full = full or (x[3] <= gap and x[3] > left)
+                if x[3] > gap or full:
+                    later.append(x)
+                else:
+                    out[x[2]] += 1
+                    left -= x[3]
+            rest = later
+        if rest:
+            last = min(rest, key=lambda x: (x[3], x[0], x[1]))
+            if last[3] < 2 * left:
+                out[last[2]] += 1
+    return out
+
+
+def test_against_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in docs.collect()]
+    assert {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()} == plain(rows)
+
+
+def test_a_hot_source(spark):
+    """One source has two thirds of all rows: more rows than one run, and near its target all the same."""
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "repeat('w ', int(1 + id * 7 % 40)) AS text", "if(id % 3 = 0, concat('s', id % 9), 'hot') AS source")
+    out = mixing.mix(rows).collect()
+    taken, target = defaultdict(int), {}
+    for r in out:
+        taken[r["source_size"], r["target"]] += r["taken"]
+    assert len(out) == 30_000 and all(abs(v - k[1]) <= 40 for k, v in taken.items())
+
+
 def test_targets_and_sizes(spark, odd):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count()

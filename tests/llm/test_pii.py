@@ -67,3 +67,17 @@ def test_reliabilities():
     prior, chance, post = pii.reliabilities(counts)
     assert abs(prior - 0.3) < 0.05 and chance[0][1][2] > chance[2][1][2]
     assert all((post[v] > 0.5) == (sum(t) > len(t) / 2) for v, t in truth.items() if len(t) > 80 and abs(sum(t) / len(t) - 0.5) > 0.2)
+
+
+def test_planted_credentials_of_documents(spark):
+    """Recall of the added spans on the given documents: assignments of long codes to words that name a credential."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = re.compile(r"\b(?:token|secret|password|api_key|key)\s?[=:]\s?\"?([A-Za-z0-9_+-]{16,})")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    want = {i: {m.span(1) for m in planted.finditer(t) if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])} for i, t in texts.items()}
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "secret"} for r in pii.find_pii(docs).collect()}
+    n = sum(map(len, want.values()))
+    assert n >= 5 and sum(len(want[i] & got[i]) for i in want) >= 0.9 * n
+    # words alone are no credentials
+    plain_ = [i for i, t in texts.items() if not re.search("[0-9]", t)]
+    assert len(plain_) > 300 and not any(got[i] for i in plain_)
