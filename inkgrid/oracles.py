@@ -324,4 +324,22 @@ CASE WHEN error IS NULL THEN round(cov * 100e0, 2) END AS "coveragePercent", CAS
 CASE WHEN error IS NULL AND recipe_id IN (1, 2) THEN regexp_replace(own, '\\.png$', '_blanco.png') END AS "whiteOutput", error FROM k"""
 )
 
-ORACLE_SQL |= {"batch_run": _BATCH, "ink_cost_pixels": ORACLE_SQL["ink_cost"], "tile_composites": ORACLE_SQL["composites"], "sheet_checks": _PACKED}
+_BOOSTED = (
+    _ALL
+    + f""", o AS (SELECT image_id, ink, {", ".join(f"CASE WHEN m > 0 THEN floor(least(255e0, greatest(0e0, ({c} - (1e0 - m) * key) / m)) + 0.5e0) ELSE {c} END::DOUBLE AS {c}" for c in "rgb")} FROM s),
+l AS (SELECT *, 30e0 / 100e0 * ((1e0 - (0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b) / 255e0) * (1e0 - (0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b) / 255e0)) AS lift FROM o),
+x AS (SELECT image_id, ink, {", ".join(f"{c} + (255e0 - {c}) * lift AS {c}" for c in "rgb")} FROM l), y AS (SELECT *, (r + g + b) / 3e0 AS mean FROM x)
+SELECT image_id, {", ".join(f"sum(CASE WHEN ink THEN floor(least(255e0, greatest(0e0, mean + ({c} - mean) * (1e0 + 20e0 / 100e0))) + 0.5e0) ELSE 0 END)::BIGINT AS sum_{c}" for c in "rgb")} FROM y GROUP BY image_id"""
+)
+
+#: For a wanted tone the value on the inverse curve, in whole percent.
+_SUMMARIES = f"""WITH {_ART}, knots(k, m, n) AS (VALUES (0, 0e0, 0e0), (0, 14e0, 10e0), (0, 41e0, 30e0), (0, 63e0, 50e0), (0, 80e0, 70e0), (0, 94e0, 90e0), (0, 100e0, 100e0), (1, 0e0, 0e0), (1, 40e0, 25e0), (1, 70e0, 50e0), (1, 90e0, 75e0), (1, 100e0, 100e0), (2, 0e0, 0e0), (2, 100e0, 100e0)),
+seg AS (SELECT k, lag(m) OVER w AS m0, m AS m1, lag(n) OVER w AS n0, n AS n1 FROM knots WINDOW w AS (PARTITION BY k ORDER BY m)),
+t AS (SELECT k, d, round(n0 + (n1 - n0) * (d - m0) / (m1 - m0))::INT AS v FROM (SELECT unnest([10, 30, 50, 70, 90]) AS d) JOIN seg ON d > m0 AND d <= m1),
+u AS (SELECT k, string_agg(v::VARCHAR, ',' ORDER BY d) AS summary FROM t GROUP BY k)
+SELECT image_id, summary FROM art JOIN u ON k = image_id % 3"""
+
+_AUDIT = f"""WITH {_JOB}, n AS (SELECT count(*) AS n FROM v), e AS (SELECT event_id % 5000 < n AND event_id % 10 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AS valid FROM events, n)
+SELECT count(*) AS records, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS invalid FROM e"""
+
+ORACLE_SQL |= {"boosted_colors": _BOOSTED, "gain_summaries": _SUMMARIES, "journal_audit": _AUDIT, "batch_run": _BATCH, "ink_cost_pixels": ORACLE_SQL["ink_cost"], "tile_composites": ORACLE_SQL["composites"], "sheet_checks": _PACKED}

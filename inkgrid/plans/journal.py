@@ -28,6 +28,11 @@ def checked(progress: DataFrame, variants: DataFrame) -> DataFrame:
     return progress.join(rows, "id", "left").withColumn("valid", valid_record(F.col("row_output"))).drop("row_output")
 
 
+def counts(progress: DataFrame, variants: DataFrame) -> DataFrame:
+    """One row: all records, those that can be of the job, and those that are left out."""
+    return checked(progress, variants).agg(F.count("*").alias("records"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
+
+
 def latest_state(progress: DataFrame) -> DataFrame:
     """For each id and field the last value by sequence number that isn't null. Only valid records may be in progress."""
     return progress.groupBy("id").agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f) for f in FIELDS), F.max("seq").alias("seq"))
@@ -36,7 +41,7 @@ def latest_state(progress: DataFrame) -> DataFrame:
 def resume(variants: DataFrame, progress: DataFrame, verified: DataFrame, existing: DataFrame, white: bool = False) -> tuple[DataFrame, DataFrame]:
     """(all variants with their state, those to run with a free name). verified: (output) of checked files, existing: (output) of all files.
 
-    A verified output makes its variant done even if no record says so. Invalid records are left out."""
+    A verified output makes its variant done even if no record says so. Invalid records are left out; counts() says how many."""
     good = checked(progress, variants).where("valid")
     state = latest_state(good).select("id", F.col("status").alias("logged"), F.col("output").alias("logged_output"), "widthPX", "heightPX")
     all_ = variants.drop("status").join(state, "id", "left").withColumn("output", F.coalesce("logged_output", "output"))

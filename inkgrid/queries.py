@@ -68,6 +68,14 @@ def ink_by_recipe(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("recipe_id").agg(F.count_if("ink").alias("ink"), *(F.sum(f"out_{c}").alias(f"sum_{c}") for c in "rgb"), F.sum(F.when(F.col("ink"), F.col("x") * 31 + F.col("y")).otherwise(0)).alias("place_hash"))
 
 
+def boosted_colors(spark: SparkSession, d: str) -> DataFrame:
+    """Printed colours of all art with lifted shadows and stronger colours."""
+    art = _art(spark, d)
+    r = options.recipes(spark, [{**r, "shadow_boost": 30.0, "color_boost": 20.0} for r in views.RECIPES])
+    s = px.screen(px.with_recipe(views.pixels(art), art, r))
+    return s.groupBy("image_id").agg(*(F.sum(f"out_{c}").alias(f"sum_{c}") for c in "rgb"))
+
+
 def shapes_by_image(spark: SparkSession, d: str) -> DataFrame:
     """Screens with looked-up shapes, over all images."""
     art = _art(spark, d).withColumn("recipe_id", F.col("image_id") % 2)
@@ -95,6 +103,13 @@ def gain_compensation(spark: SparkSession, d: str) -> DataFrame:
     return gain.compensate_by_segments(a, gain.gain_segments(points)).select("image_id", F.round("by_array", 9).alias("by_array"), F.round("requested", 9).alias("requested"))
 
 
+def gain_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """what to ask for, for five tones, by the curve of each part."""
+    curves = spark.createDataFrame([(k, v) for k, v in _CURVES.items()], "curve_id long, text string").withColumn("points", gain.parse_gain(F.col("text"))["points"])
+    a = _art(spark, d).select("image_id", (F.col("image_id") % 3).alias("curve_id")).join(curves, "curve_id")
+    return a.select("image_id", F.array_join(gain.gain_summary(F.col("points")).cast("array<string>"), ",").alias("summary"))
+
+
 def gain_parse(spark: SparkSession, d: str) -> DataFrame:
     """curves written from parts, some of them wrong."""
     k = F.col("image_id")
@@ -211,9 +226,8 @@ def tile_audit(spark: SparkSession, d: str) -> DataFrame:
     """S3, C14, A10: tiles written and read, with some lost and some damaged, against grid and manifest."""
     art, t = _tiles(spark, d)
     path = workspace(spark, "audit")
-    t.write.parquet(f"{path}/tiles")
-    back = spark.read.schema(t.schema).parquet(f"{path}/tiles")
-    manifest = back.select(*tiles.KEY, "left", "top", "width", "height", F.sha2("data", 256).alias("hash"))
+    tables.write_tiles(t, path)
+    back, manifest = tables.read_tiles(spark, path), spark.read.parquet(f"{path}/manifest")
     other = F.expr("concat(substring(data, 2, length(data) - 1), unhex(lpad(hex((cast(conv(hex(substring(data, 1, 1)), 16, 10) AS int) + 1) % 256), 2, '0')))")
     bad = F.when(F.col("image_id") % 9 == 0, F.expr("substring(data, 1, length(data) - 1)")).when(F.col("image_id") % 7 == 0, other).otherwise(F.col("data"))
     worn = back.where("image_id % 11 <> 0").withColumn("data", bad)
@@ -364,6 +378,16 @@ def latest_state(spark: SparkSession, d: str) -> DataFrame:
     return journal.latest_state(views.progress(spark, d)).select("id", "status", "widthPX", "error", "seq")
 
 
+def journal_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a journal that can and can't be of the job, counted: of unknown variants, in odd states, with outputs of other names or sizes of nothing."""
+    e, none = F.col("event_id"), lambda t: F.lit(None).cast(t)
+    log = views.table(spark, d, "events").select(
+        e.cast("long").alias("seq"), (e % 5000).cast("long").alias("id"), F.when(e % 10 == 0, "odd").otherwise("done").alias("status"), F.when(e % 7 == 0, "M/none.png").alias("output"), none("double").alias("widthCM"), none("double").alias("heightCM"),
+        F.when(e % 11 == 0, 0).when(e % 2 == 0, 500).cast("int").alias("widthPX"), none("int").alias("heightPX"), none("string").alias("whiteOutput"), none("string").alias("error"),
+    )
+    return journal.counts(log, _variants(spark, d))
+
+
 def state_summary(spark: SparkSession, d: str) -> DataFrame:
     """A11."""
     return batch.batch_summary(journal.latest_state(views.progress(spark, d)))
@@ -535,9 +559,9 @@ def stream_requests(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        ink_cost, ink_cost_pixels, tile_composites, ink_by_recipe, shapes_by_image, tone_response, gain_compensation, gain_parse, option_rules, trim, composites, previews, turned_white, edge_protection, masks, tile_roundtrip, tile_process,
+        ink_cost, ink_cost_pixels, tile_composites, boosted_colors, ink_by_recipe, shapes_by_image, tone_response, gain_compensation, gain_summaries, gain_parse, option_rules, trim, composites, previews, turned_white, edge_protection, masks, tile_roundtrip, tile_process,
         tile_cleanup, white_layer, crops, tile_audit, checksums, resampled, thumbnail_sums, brand_mockups, print_plans, variant_sizes, derived_sizes, file_names, job_variants, job_preflight, job_manifest,
-        recipe_files, latest_state, state_summary, job_resume, source_identity, export_checks, ink_sentences, sheet_copies, sheet_rules, sheet_packing, sheet_marks, sheet_checks, brand_sheets, batch_run, debounced,
+        recipe_files, latest_state, journal_audit, state_summary, job_resume, source_identity, export_checks, ink_sentences, sheet_copies, sheet_rules, sheet_packing, sheet_marks, sheet_checks, brand_sheets, batch_run, debounced,
         stream_state, stream_requests,
     )
 }

@@ -32,14 +32,15 @@ def filter_print_ready(artworks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
-def write_tiles(tiles: DataFrame, path: str) -> None:
-    """Tiles by image, and a manifest with a checksum for each."""
-    tiles.repartition("image_id", "tile_y", "tile_x").write.partitionBy("image_id").parquet(f"{path}/tiles")
+def write_tiles(tiles: DataFrame, path: str, parts: int = 64) -> None:
+    """Tiles, dealt to so many folders by a hash of the image, and a manifest with a checksum for each."""
+    dealt = tiles.withColumn("part", F.pmod(F.xxhash64("image_id"), F.lit(parts)).cast("int"))
+    dealt.repartition("part", "tile_y").write.partitionBy("part").parquet(f"{path}/tiles")
     read_tiles(tiles.sparkSession, path).select("image_id", "tile_x", "tile_y", "left", "top", "width", "height", "components", F.sha2("data", 256).alias("hash")).write.parquet(f"{path}/manifest")
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.TILES).parquet(f"{path}/tiles")
+    return spark.read.schema(f"{schema.TILES}, part int").parquet(f"{path}/tiles").drop("part")
 
 
 def read_recipes(texts: DataFrame, column: str = "value") -> DataFrame:
