@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import WORD, keep
+from inkgrid.llm.common import WORD, forget, keep
 
 #: Documents of one source that one task ranks at most, on average.
 RUN = 4096
@@ -104,12 +104,16 @@ def plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: f
         got = rows.where(F.col("at") <= F.col(f"left{k}")).groupBy("source").agg(F.sum("size").alias("got"), F.max(F.struct("rank", "name")).alias(f"cut{k}"))
         joined = known.join(got.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
         joined = joined.withColumn(f"left{k + 1}", F.col(f"left{k}") - F.coalesce("got", F.lit(0))).drop("got")
-        known = keep(joined.coalesce(1), f"mix-plan-{k}")
+        new = keep(joined.coalesce(1), f"mix-plan-{k}")
+        forget(known, base)
+        known = new
     # the shortest of the rest, if that comes nearer than the gap
     rest = ranked(sizes, known, seed).where((F.col("p") > 0) & (F.col("size") > 0) & ~_later(passes))
     best = rest.groupBy("source").agg(F.min(F.struct("size", "rank", "name")).alias("best"))
     joined = known.join(best.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    return keep(joined.withColumn("best", F.when(F.col("best.size") < 2 * F.col(f"left{passes}"), F.col("best"))).coalesce(1), "mix-plan")
+    out = keep(joined.withColumn("best", F.when(F.col("best.size") < 2 * F.col(f"left{passes}"), F.col("best"))).coalesce(1), "mix-plan")
+    forget(known)
+    return out
 
 
 def ranked(rows: DataFrame, known: DataFrame, seed: int) -> DataFrame:
@@ -145,7 +149,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 7) -> DataFrame:
     """The mix itself: each row of docs, with all its columns, as often as mix() takes it. The plan of each source is enough to decide on a row where it
-    stands, so texts aren't moved unless ids repeat; then rows are written with their names."""
+    stands, so texts aren't moved unless ids repeat; then rows are written with their names. Nulls, repeated rows and empty tables as in mix()."""
     sizes = keep(word_counts(docs, id_col, text_col, source_col), "mix-sizes")
     row = word_counts(docs.withColumn("__row", F.struct(*docs.columns)), id_col, text_col, source_col, "__row")
     repeated = repeats(sizes)
