@@ -113,21 +113,34 @@ def _met(far: int, similarity: float):
         return found
 
     def run(batches):
-        rest = None
+        rest = large = None  # rows of the last bucket, which may go on; or that bucket, if it is too large to compare all and to be held
         for b in batches:
             now = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            bucket = now.column(0).to_numpy()
+            rest, bucket = None, now.column("bucket").to_numpy()
+            if large is not None:
+                own = int(np.argmax(bucket != large)) if (bucket != large).any() else len(bucket)
+                yield from plain(now.slice(0, own))
+                now, bucket = now.slice(own), bucket[own:]
+                if not len(bucket):
+                    continue
+                large = None
             last = np.flatnonzero(bucket != bucket[-1:])
-            cut = last[-1] + 1 if len(last) else 0  # the last bucket may go on in the next batch
+            cut = last[-1] + 1 if len(last) else 0
             if cut:
                 yield from chosen(now.slice(0, cut))
             rest = now.slice(cut)
+            if rest.num_rows > BUCKET:
+                yield from plain(rest)
+                rest, large = None, bucket[-1]
         if rest is not None and rest.num_rows:
             yield from chosen(rest)
 
+    def plain(t):
+        return t.drop_columns(["probe"]).combine_chunks().to_batches()
+
     def chosen(t):
         bucket, n, s0, s1, probe = (t.column(c).to_numpy() for c in ("bucket", "n", "s0", "s1", "probe"))
-        return t.filter(pa.array(partners(bucket, n, s0, s1, probe))).drop_columns(["probe"]).combine_chunks().to_batches()
+        return plain(t.filter(pa.array(partners(bucket, n, s0, s1, probe))))
 
     return run
 

@@ -1,5 +1,8 @@
 import random
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
 from inkgrid.llm import similarity as op
 
@@ -61,3 +64,19 @@ def test_given_documents_against_brute_force(spark):
 def test_odd_documents(spark, odd, none):
     assert op.similar_groups(odd).count() == odd.count()
     assert op.similar_groups(none).count() == 0
+
+
+@pytest.mark.parametrize("batch", [1, 7, 100])
+def test_large_buckets_are_passed_on(monkeypatch, batch):
+    """Rows of buckets with more rows than the limit come out all, in whatever batches they arrive; of others those with a partner."""
+    monkeypatch.setattr(op, "BUCKET", 20)
+    rng, rows = random.Random(batch), []
+    for bucket, k in enumerate((1, 60, 2, 25, 3, 20, 1, 90)):
+        base = rng.getrandbits(62)
+        rows += [(bucket, i, 10, base ^ (0 if i % 3 else rng.getrandbits(62)), base, True, 0) for i in range(k)]
+    names = ["bucket", "node", "n", "s0", "s1", "probe", "word"]
+    table = pa.table({c: [r[i] for r in rows] for i, c in enumerate(names)}, schema=pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()), strict=True))))
+    out = [r for b in op._met(8, 0.8)(table.to_batches(max_chunksize=batch)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    near = lambda a, b: bin(a[3] ^ b[3]).count("1") + bin(a[4] ^ b[4]).count("1") <= 8
+    want = [r for r in rows if sum(x[0] == r[0] for x in rows) > 20 or any(x is not r and x[0] == r[0] and near(x, r) for x in rows)]
+    assert sorted(out) == sorted(r[:5] + r[6:] for r in want)
