@@ -2,8 +2,8 @@
 
 Texts with the same set of shingles are one node. A node has a fingerprint of several 64-bit words, each by a hash of its own. A pair at similarity s differs in each bit with
 probability acos(2 s / (1 + s)) / pi at most. In each word, candidates come from the partitions, thresholds and probes of the generalised pigeonhole principle
-(simhash.py). In a bucket, nodes stay only if another one there differs from them in few bits of the first two words; links
-are then verified by the Jaccard similarity of the sets.
+(simhash.py). In a bucket, nodes stay only if another one there differs from them in few bits of the first two words; pairs that differ in few bits of all words
+are then verified by the Jaccard similarity of their sets.
 
 In a round, a few nodes of each bucket (hubs) are compared with all others of it that aren't known to be in their component, then leave the bucket; a bucket ends
 when its nodes are in one component. So each two nodes of a bucket are compared or known to be linked, and a large group of near
@@ -13,8 +13,10 @@ a few comparisons of each node before the other buckets are looked at; later rou
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +82,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: i
 
 
 def furthest(similarity: float, bits: int = 128) -> int:
-    """How many of so many bits a pair at that similarity differs in, but for one in a hundred thousand."""
+    """How many of so many bits a pair at that similarity differs in, but for about one in a hundred thousand."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return math.ceil(bits * p + 4.3 * math.sqrt(bits * p * (1 - p)))
 
@@ -187,13 +189,14 @@ def _sets(docs: DataFrame, rows: DataFrame, live: DataFrame, text_col: str, shin
 def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, similarity: float, parts: int, words: int) -> DataFrame | None:
     """rows: of sketches(). (node, root) for all nodes with a link to another; none if there is no candidate."""
     nodes = keep(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words")), "similarity-nodes")
-    live = keep(_placed(nodes, similarity, parts, words), "similarity-buckets")
-    forget(nodes)
+    met = keep(_placed(nodes, similarity, parts, words), "similarity-met")
+    live = keep(met.drop("s0", "s1").join(nodes.select("node", "words"), "node"), "similarity-buckets")
+    forget(nodes, met)
     if live.isEmpty():
         forget(live)
         return None
     sets = keep(_sets(docs, rows, live, text_col, shingle), "similarity-sets")
-    far = furthest(similarity)
+    far = furthest(similarity, 64 * words)  # all words tell pairs near the threshold from others far better than two
     labels = links = tested = None
     for k, upto in itertools.chain(((0, 1), (0, 4)), ((i, words) for i in itertools.count(1, 2))):
         few, use = F.lit(1 << k), live.where(F.col("word") < upto)
@@ -204,9 +207,9 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int,
             forget(live, sets, now)
             return labels
         by = F.pmod(F.xxhash64("label"), few), F.pmod(F.xxhash64("node", F.lit(1)), few)
-        hubs = now.groupBy("bucket", by[0].alias("i"), by[1].alias("j")).agg(F.min(F.struct("node", "label", "n", "s0", "s1")).alias("hub"))
-        hubs = keep(hubs.select("bucket", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "n", "s0", "s1"))), "similarity-hubs")
-        apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("hub_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("hub_s1")))
+        hubs = now.groupBy("bucket", by[0].alias("i"), by[1].alias("j")).agg(F.min(F.struct("node", "label", "n", "words")).alias("hub"))
+        hubs = keep(hubs.select("bucket", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "n", "words"))), "similarity-hubs")
+        apart = functools.reduce(operator.add, (F.bit_count(F.col("words")[w].bitwiseXOR(F.col("hub_words")[w])) for w in range(words)))
         could = (F.col("label") != F.col("hub_label")) & (F.least("n", "hub_n") / F.greatest("n", "hub_n") >= similarity) & (apart <= far)
         pairs = now.join(hubs, "bucket").where(could).select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
         pairs = keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "similarity-pairs")
