@@ -29,10 +29,10 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/inkgrid/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there, and any executor can read it."""
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df, written to the shared folder (with the writer's options) and read again: its lineage ends there, and any executor can read it."""
     spark, path = df.sparkSession, workspace(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -84,7 +84,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_tokens, op4_urls, op5_warc, op6_langid, op7_search, op8_decontam, op9_quality, op10_pii)}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of `documents` by language, with the contract's least count, cut and first 2000 (phrases.py)."""
+    from inkgrid.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document by byte_bpe_50k.json (counts.py)."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from inkgrid.llm.counts import count_tokens
+
+    counts = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_tokens, op4_urls, op5_warc, op6_langid, op7_search, op8_decontam, op9_quality, op10_pii, op11_phrases, op12_counts)}
 
 _URLS = r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -152,4 +170,19 @@ s AS (SELECT query_id, t.doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::D
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM s QUALIFY rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": _MIX, "op4_urls": _URLS, "op5_warc": _WARC, "op7_search": _SEARCH, "op8_decontam": _DECONTAM}
+_PHRASES = r"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM x, range(1, 5) r(m) WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE m > 1),
+k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c),
+j AS (SELECT k.lang, k.m, k.phrase, a, k.k, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.s[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.s[k.k + 1:k.m], ' ')),
+b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(s[u:u + v - 1], ' ') AS phrase, max(a) AS longest FROM (SELECT lang, s, a, m, v, unnest(range(1, m - v + 2)) AS u FROM c, range(2, 4) q(v) WHERE v < m) GROUP BY ALL),
+d AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase))::BIGINT AS rank, phrase, a, l, r, n, score FROM d JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mixing": _MIX, "op4_urls": _URLS, "op5_warc": _WARC, "op7_search": _SEARCH, "op8_decontam": _DECONTAM, "op11_phrases": _PHRASES}
