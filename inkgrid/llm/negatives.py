@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from inkgrid.llm.common import forget, in_parts, keep
 
 #: Split points of a node, candidates for each of them, rows of the sample that a node has at least.
-ARITY, CANDIDATES, LEAST = 16, 3, 256
+ARITY, CANDIDATES, LEAST = 16, 3, 128
 #: Rows of the sample that the split points are chosen from, and its bytes: the one bound of the index.
-SAMPLE, SAMPLE_BYTES = 1 << 14, 64 << 20
+SAMPLE, SAMPLE_BYTES = 1 << 13, 32 << 20
 #: Rows of a leaf's block, about, and anchors that meet it at once.
 CHUNK, TOGETHER = 4096, 256
 #: Parts of the sphere's radius by which distances may be off in floating point, amply.
@@ -225,10 +225,8 @@ def build(rows: DataFrame) -> Index | None:
     if not n:
         return None
     space = Space(max(1, dim), "<i4" if (high or 0) < 1 << 31 else "<f8", far)
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(max(2, min(SAMPLE, SAMPLE_BYTES // (8 * space.dim)))).collect()
-    sample = np.zeros((len(some), space.dim))
-    for i, r in enumerate(some):
-        sample[i, : len(r["vec"])] = r["vec"]
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(max(2, min(SAMPLE, SAMPLE_BYTES // (8 * space.dim)))).select("vec").toArrow()
+    sample = packed(some.column(0).combine_chunks(), space)
     tree = grow(space.lifted(sample))
     ranges, counts = measured(rows, space, tree)
     chunks = np.maximum(1, -(-counts // CHUNK))
@@ -285,7 +283,8 @@ def probe(index: Index, anchors: DataFrame, same: bool, k: int, home: bool) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(np.full(len(i), w, np.int32)), pa.array(ids[j]), pa.array(s[i, j])], ["anchor_id", "w", "id", "score"])
 
     asked = anchors.select("id", "label", "vec", "leaf", "lo", "hi").mapInArrow(route, "leaf int, chunk int, ids binary, labels binary, vecs binary, lo binary, hi binary")
-    pairs = asked.join(index.blocks, ["leaf", "chunk"]).select("rows", "ids", "labels", "vecs", "lo", "hi")
+    # by merging: blocks shrink so well on disk that Spark would take them for small enough to be sent whole
+    pairs = asked.join(index.blocks.hint("merge"), ["leaf", "chunk"]).select("rows", "ids", "labels", "vecs", "lo", "hi")
     return pairs.mapInArrow(score, _FOUND)
 
 
