@@ -239,6 +239,8 @@ SELECT image_id, count(*) FILTER (s1) AS ink_pixels, count(*) FILTER (pid IS NOT
 FROM (SELECT *, pid IS NOT NULL AND island IS NULL AS s1 FROM (SELECT s.*, i.pid, island FROM s LEFT JOIN (SELECT image_id, x, y, pid FROM i) i USING (image_id, x, y) LEFT JOIN ball ON p = i.pid)) GROUP BY image_id"""
 )
 
+_DEBOUNCED = "WITH e AS (SELECT user_id::VARCHAR AS key, event_id AS id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) SELECT key, id, epoch_us(ts + INTERVAL 4 HOUR) AS fires_at FROM e WHERE nx IS NULL OR nx >= ts + INTERVAL 4 HOUR"
+
 ORACLE_SQL: dict[str, str] = {
     "tile_process": _PROCESS,
     "ink_cost": _ALL
@@ -288,7 +290,8 @@ CASE WHEN q > 0 THEN round((1e0 - f / q) * 100e0, 6) END AS savings_percent FROM
     "ink_sentences": _SENTENCES,
     "sheet_copies": f"WITH {_ITEMS}, c AS (SELECT * FROM it WHERE copies BETWEEN 1 AND 999) SELECT job_id, sum(copies)::BIGINT AS pieces, max(greatest(w, h)) AS longest, sum(w::BIGINT * h * copies)::BIGINT AS area, sum(copies * (copies + 1) // 2)::BIGINT AS copies FROM c GROUP BY job_id",
     "sheet_rules": _SHEET_RULES,
-    "debounced": "WITH e AS (SELECT user_id::VARCHAR AS key, event_id AS id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) SELECT key, id, epoch_us(ts + INTERVAL 4 HOUR) AS fires_at FROM e WHERE nx IS NULL OR nx >= ts + INTERVAL 4 HOUR",
+    "debounced": _DEBOUNCED,
+    "stream_requests": _DEBOUNCED,
     "stream_state": _STATE + "SELECT * FROM l",
 }
 

@@ -14,7 +14,7 @@ from inkgrid.operators import pixels as px
 from inkgrid.operators import process, resample, sheets, tiles
 from inkgrid.plans import batch, journal
 from inkgrid.sources import tables
-from inkgrid.sources.workspace import workspace
+from inkgrid.sources.workspace import keep, workspace
 from inkgrid.streaming import progress as streams
 
 TILE = 16
@@ -30,13 +30,6 @@ def _screened(spark: SparkSession, d: str) -> DataFrame:
     return px.screen(px.with_recipe(views.pixels(art), art, views.recipes(spark)))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: several uses then cost one run."""
-    path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _tiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     art = _art(spark, d)
     return art, views.tiles(art, TILE)
@@ -144,7 +137,7 @@ def composites(spark: SparkSession, d: str) -> DataFrame:
 
 def previews(spark: SparkSession, d: str) -> DataFrame:
     """Sums of the previews of all modes, for each image."""
-    s, out = _kept(_screened(spark, d).select("image_id", "x", "y", *"rgba", "width", "ink", "protected", *(f"{k}_{c}" for k in ("key", "out") for c in "rgb")), "screened"), None
+    s, out = keep(_screened(spark, d).select("image_id", "x", "y", *"rgba", "width", "ink", "protected", *(f"{k}_{c}" for k in ("key", "out") for c in "rgb")), "screened"), None
     for mode in ("original", "garment", "beforeGarment", "compare", "transparent", "mask"):
         v = px.view(s, mode).groupBy("image_id").agg(F.sum("r").alias("r"), F.sum("g").alias("g"), F.sum("b").alias("b")).withColumn("mode", F.lit(mode))
         out = v if out is None else out.unionByName(v)
@@ -170,10 +163,10 @@ def edge_protection(spark: SparkSession, d: str) -> DataFrame:
 
 def masks(spark: SparkSession, d: str) -> DataFrame:
     """Removed pixels and the final mask by set operations; the isolated ones are removed."""
-    s = _kept(_screened(spark, d).where("ink").select("image_id", "x", "y"), "ink")
+    s = keep(_screened(spark, d).where("ink").select("image_id", "x", "y"), "ink")
     near = s.withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1)))).where("dx <> 0 or dy <> 0").select("image_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
     alone = px.removed_mask(s, near)
-    final = _kept(px.final_mask(s, alone, s.where("x < 0")), "final")
+    final = keep(px.final_mask(s, alone, s.where("x < 0")), "final")
     kept = final.intersect(s)
     n = lambda df, c: df.groupBy("image_id").agg(F.count("*").alias(c))
     return n(s, "screened").join(n(kept, "final"), "image_id", "left").join(n(px.removed_mask(s, final), "removed"), "image_id", "left").fillna(0)
@@ -465,7 +458,7 @@ def sheet_marks(spark: SparkSession, d: str) -> DataFrame:
 
 def sheet_checks(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of every packed order: all pieces are there, none is nearer to another than the gap, none leaves its sheet's margins, and each has its marks."""
-    placed = _kept(sheets.pack_sheets(_items(spark, d), _jobs(spark, d)), "placed")
+    placed = keep(sheets.pack_sheets(_items(spark, d), _jobs(spark, d)), "placed")
     gap, margin = sizing.mm_to_px(F.lit(6.0)), sizing.mm_to_px(F.lit(5.0))
     out = (F.col("x") < margin) | (F.col("y") < margin) | (F.col("x") + F.col("width") > F.col("sheet_width") - margin) | (F.col("y") + F.col("height") > F.col("sheet_height") - margin)
     on = F.col("sheet").isNotNull()
@@ -533,27 +526,23 @@ def _is_file(spark: SparkSession, d: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
 
 
-def _drain(df: DataFrame, mode: str, name: str) -> str:
-    """Runs a stream over what is there; each batch goes to a folder of its own. Returns the folder."""
-    spark, path = df.sparkSession, workspace(df.sparkSession, name)
-    write = lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i}")
-    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return path
-
-
 def stream_state(spark: SparkSession, d: str) -> DataFrame:
-    """The journal as a stream; the last batch has the state of all variants."""
-    s = streams.stream_batch_state(views.progress_of(_stream(spark, d)))
-    out = spark.read.parquet(_drain(s, "complete", "stream-state"))
-    return out.join(out.agg(F.max("batch").alias("batch")), "batch", "left_semi").select("id", "status", "widthPX", "error", "seq")
+    """The journal as a stream in update mode: each batch writes the variants that it changed, and the newest rows are the state."""
+    path = workspace(spark, "stream-state")
+    streams.write_upserts(streams.stream_batch_state(views.progress_of(_stream(spark, d))), path, f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return streams.read_upserts(spark, path).select("id", "status", "widthPX", "error", "seq")
 
 
 def stream_requests(spark: SparkSession, d: str) -> DataFrame:
-    """R2 as a stream. Requests fire as the watermark passes, so those of the last hours are still held when the input ends; no SQL for that reason."""
-    r = views.requests(_stream(spark, d))
-    out = spark.read.parquet(_drain(streams.stream_debounce(r), "append", "stream-requests"))
-    return out.select("key", "id", F.unix_micros(F.col("fires_at").cast("timestamp")).alias("fires_at"))
+    """R2 as a stream: requests fire by their timers as the watermark passes, and the last ones when the input ends."""
+    path, own = workspace(spark, "stream-requests"), streams.stateful(spark)
+    streams.begin(spark, f"{path}-end")
+    fired = streams.stream_debounce(streams.with_end(views.requests(_stream(own, d)), f"{path}-end"))
+    for last in (False, True):
+        if last:
+            streams.end(spark, f"{path}-end")
+        fired.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(fired.schema).parquet(path).select("key", "id", F.unix_micros("fires_at").alias("fires_at"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

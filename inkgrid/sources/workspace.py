@@ -2,18 +2,48 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+@functools.cache
+def _temporary(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='inkgrid-')}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where that is unset, a local session (tests) gets a temporary one for as long as its application runs, and any other an error: executors elsewhere couldn't read
+    it. The session's settings stay as they are."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _temporary(spark.sparkContext.applicationId)
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder, and any other an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='inkgrid-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/inkgrid/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/inkgrid/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df, written to the shared folder (with the writer's options) and read again: its lineage ends there, and any executor can read it."""
+    spark, path = df.sparkSession, workspace(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by keep()."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            delete(df.sparkSession, file.rpartition("/")[0])

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from inkgrid.plans.journal import latest_state
 from inkgrid.schema import PROGRESS
 
+REQUESTS = "key string, ts timestamp, id long, delay_s double"
+#: Later than any request (and within what pandas counts in nanoseconds): when the input has ended, the watermark goes there.
+END = "2262-01-01 00:00:00"
+
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
     """The journal's folder as a stream: a JSON record a file."""
@@ -24,6 +32,30 @@ def stream_batch_state(progress: DataFrame) -> DataFrame:
     return latest_state(progress)
 
 
+def write_upserts(state: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A writer of a stream's state by key. A batch adds the rows that it changed, whole, as a folder of its own (written anew if the batch is repeated); nothing else is touched.
+
+    Of two rows of a key the later batch's is right: it was made of all records up to then, in the order of their sequence numbers.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def read_upserts(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """The newest row of each key of what write_upserts() has written so far."""
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select(key, *(F.col("row")[c].alias(c) for c in columns))
+
+
+def fold_upserts(spark: SparkSession, path: str, to: str, key: str = "id") -> None:
+    """Writes one row for each key, as batch -1 of a new folder: what readers need once many batches have come together. The stream goes on in a folder of its own."""
+    read_upserts(spark, path, key).write.parquet(f"{to}/batch=-1")
+
+
 def debounce(requests: DataFrame) -> DataFrame:
     """requests: (key, ts, id, delay_s). (key, id, fires_at): those that have no newer request of their key within their own delay."""
     w = Window.partitionBy("key").orderBy("ts", "id")
@@ -31,32 +63,70 @@ def debounce(requests: DataFrame) -> DataFrame:
     return requests.withColumn("next", F.lead("ts").over(w)).withColumn("fires_at", fires).where("next is null or next >= fires_at").select("key", "id", "fires_at")
 
 
+class _Waiting(StatefulProcessor):
+    """The requests of a key that wait for their time: one map entry and one timer each. A request replaced by a newer one leaves the map at once, so what is held of a key never lies closer than its delays."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.waiting = handle, handle.getMapState("waiting", "at long, id long", "fires long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = {tuple(k): v[0] for k, v in self.waiting.iterator()}
+        new = {(int(a), int(i)): int(f) for part in rows for a, i, f, real in zip(part["at"], part["id"], part["fires"], part["real"], strict=True) if real}
+        every = sorted((held | new).items())
+        for (place, fires), (next_, _) in itertools.pairwise([*every, ((math.inf, 0), None)]):
+            replaced = next_[0] < fires
+            if replaced and place in held:
+                self.waiting.removeKey(place)
+            elif not replaced and held.get(place) != fires:
+                self.waiting.updateValue(place, (fires,))
+                self.handle.registerTimer(-(-fires // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due = [(tuple(k), v[0]) for k, v in self.waiting.iterator() if -(-v[0] // 1000) <= expiredTimerInfo.getExpiryTimeInMs()]
+        for place, _ in due:
+            self.waiting.removeKey(place)
+        if due:
+            yield pd.DataFrame({"key": np.array([key[0]] * len(due), object), "id": [i for (_, i), _ in due], "fires": [f for _, f in due]})
+
+    def close(self) -> None:
+        pass
+
+
+def stateful(spark: SparkSession) -> SparkSession:
+    """A session like the given one, with the state store that timers and maps need. The given session stays as it is."""
+    new = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and new.conf.isModifiable(k):
+            new.conf.set(k, v)
+    new.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return new
+
+
 def stream_debounce(requests: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """debounce() of a stream, in append mode. A request fires when the watermark passes its time; requests may be as late as the watermark allows, and the
-    state is the requests of a key that haven't fired yet."""
-    schema = "key string, id long, fires_at timestamp"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        for f in frames:
-            held += [(t.value, i, d) for t, i, d in zip(f["ts"], f["id"], f["delay_s"], strict=True)]
-        held.sort()
-        mark = state.getCurrentWatermarkMs() * 1_000_000
-        out, keep = [], []
-        for n, (ts, i, delay) in enumerate(held):
-            at, newer = ts + round(delay * 1e9), held[n + 1][0] if n + 1 < len(held) else None
-            if newer is not None and newer < at:
-                continue  # replaced
-            if at <= mark:
-                out.append((key[0], i, pd.Timestamp(at)))
-            else:
-                keep.append((ts, i, delay))
-        if keep:
-            state.update(tuple(map(list, zip(*keep, strict=True))))
-            state.setTimeoutTimestamp(max(min(ts + round(d * 1e9) for ts, _, d in keep) // 1_000_000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["key", "id", "fires_at"]).astype({"key": "object", "id": "int64", "fires_at": "datetime64[ns]"})
-
-    grouped = requests.withWatermark("ts", watermark).groupBy("key")
-    return grouped.applyInPandasWithState(step, schema, "ts array<long>, id array<long>, delay array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    """debounce() of a stream (of a stateful() session), in append mode. Each request that isn't replaced fires when the watermark passes its time, by a timer; requests may be as late as the watermark allows.
+
+    After the last request, with_end() moves the watermark past all of them, so that none is left. Requests without id, time or delay are left out, and a request that is repeated counts once.
+    """
+    fires = F.unix_micros(F.col("ts") + F.make_dt_interval(secs=F.col("delay_s")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    # not a filter: the optimizer would move it below the watermark, where a mark of the end would no longer count
+    r = requests.withWatermark("ts", watermark).select("key", "ts", zero(F.col("id")).alias("id"), zero(F.unix_micros("ts")).alias("at"), zero(fires).alias("fires"), (F.col("id").isNotNull() & fires.isNotNull()).alias("real"))
+    out = r.groupBy("key").transformWithStateInPandas(_Waiting(), "key string, id long, fires long", "append", "eventTime")
+    return out.select("key", "id", F.timestamp_micros("fires").alias("fires_at"))
+
+
+def with_end(requests: DataFrame, path: str) -> DataFrame:
+    """A stream of requests that end() can close: a mark in the folder `path` only moves the watermark."""
+    spark = requests.sparkSession
+    return requests.select(*(c.split()[0] for c in REQUESTS.split(", "))).unionByName(spark.readStream.schema(REQUESTS).option("recursiveFileLookup", "true").parquet(path))
+
+
+def begin(spark: SparkSession, path: str) -> None:
+    """Makes the folder for the mark, for with_end()."""
+    spark.createDataFrame([], REQUESTS).write.mode("ignore").parquet(f"{path}/none")
+
+
+def end(spark: SparkSession, path: str) -> None:
+    """Says that no more requests come."""
+    spark.createDataFrame([(None, None, 1.0)], "key string, id long, delay_s double").selectExpr("key", f"timestamp'{END}' AS ts", "id", "delay_s").coalesce(1).write.parquet(f"{path}/end")

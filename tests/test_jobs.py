@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 import random
 
 import pandas as pd
@@ -159,26 +160,50 @@ def test_stream_state_in_any_order(spark, tmp_path):
     rows = [{"seq": i, "id": rng.randrange(5), "status": rng.choice(journal.STATES), "widthPX": rng.choice([None, i])} for i in range(60)]
     batch_ = {r["id"]: r for r in journal.latest_state(spark.createDataFrame([(r["seq"], r["id"], r["status"], None, None, None, r["widthPX"], None, None, None) for r in rows], schema.PROGRESS)).collect()}
     rng.shuffle(rows)
-    for i, r in enumerate(rows[:12]):
-        (tmp_path / f"{i:08d}.json").write_text("\n".join(json.dumps(x) for x in rows[i * 5 : i * 5 + 5]))
-    q = progress.stream_batch_state(progress.read_progress(spark, str(tmp_path))).writeStream.outputMode("complete").format("memory").queryName("states").start()
-    q.processAllAvailable()
-    got = {r["id"]: r for r in spark.table("states").collect()}
-    q.stop()
-    assert got == batch_
-
-
-def test_debounce_in_a_stream(spark, tmp_path):
-    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
-    rows = [("a", at(0.0), 1, 0.4), ("a", at(0.1), 2, 0.005), ("b", at(0.0), 3, 5.0), ("b", at(4.0), 4, 5.0), ("b", at(20.0), 5, 5.0), ("z", at(90_000.0), 6, 1.0)]
-    r = spark.createDataFrame(rows, "key string, ts timestamp, id long, delay_s double")
-    want = {(x["key"], x["id"]) for x in progress.debounce(r).collect()}
-    assert want == {("a", 2), ("b", 4), ("b", 5), ("z", 6)}
-    for i, part in enumerate([rows[1:2] + rows[3:4], rows[:1] + rows[2:3], rows[4:5], rows[5:]]):
-        spark.createDataFrame(part, r.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    s = spark.readStream.schema(r.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
-    q = progress.stream_debounce(s, "1 hour").writeStream.outputMode("append").format("memory").queryName("fired").start()
-    q.processAllAvailable()
-    got = {(x["key"], x["id"]) for x in spark.table("fired").collect()}
-    q.stop()
-    assert got == want - {("z", 6)}
+    for i in range(12):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i:08d}.json").write_text("\n".join(json.dumps(x) for x in rows[i * 5 : i * 5 + 5]))
+        os.utime(tmp_path / "in" / f"{i:08d}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    log = spark.readStream.schema(schema.PROGRESS).option("maxFilesPerTrigger", 2).json(f"{tmp_path}/in")
+    out = f"{tmp_path}/state"
+    progress.write_upserts(progress.stream_batch_state(log), out, f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    state = progress.read_upserts(spark, out)
+    assert {r["id"]: r.asDict() for r in state.collect()} == {k: r.asDict() for k, r in batch_.items()}
+    written = [{r["id"] for r in spark.read.parquet(f"{out}/batch={i}").collect()} for i in range(6)]
+    told = [{r["id"] for r in rows[i * 10 : i * 10 + 10]} for i in range(6)]
+    assert written == told  # a batch writes what it changed and nothing else
+    progress.fold_upserts(spark, out, f"{tmp_path}/folded")
+    assert {r["id"]: r.asDict() for r in progress.read_upserts(spark, f"{tmp_path}/folded").collect()} == {k: r.asDict() for k, r in batch_.items()}
+    # a batch that is repeated after a stop writes its folder anew
+    (tmp_path / "in" / "late.json").write_text(json.dumps({"seq": -1, "id": 0, "status": "error", "widthPX": -5}))
+    progress.write_upserts(progress.stream_batch_state(log), out, f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    assert {r["id"]: r.asDict() for r in progress.read_upserts(spark, out).collect()} == {k: r.asDict() for k, r in batch_.items()}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_debounce_in_a_stream(spark, tmp_path, seed):
+    """Requests in disorder, of several delays, over many batches and two runs; repeated ones and ones of no key. The last ones fire when the input ends."""
+    rng = random.Random(seed)
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=s)
+    rows = [("a", at(0), 1, 0.4), ("a", at(100), 2, 0.005), ("b", at(0), 3, 5.0), ("b", at(4000), 4, 5.0), ("b", at(20_000), 5, 5.0), ("z", at(90_000), 6, 1.0)]
+    rows += [(rng.choice(["a", "b", "c", None]), at(rng.randrange(100_000) * 7 // 3), i, rng.choice([0.001, 0.25, 3.0, 10.0])) for i in range(100, 220)]
+    r = spark.createDataFrame(rows, progress.REQUESTS)
+    want = {tuple(x) for x in progress.debounce(r).collect()}
+    late = sorted(rows, key=lambda x: x[1] + datetime.timedelta(seconds=rng.randrange(30)))  # out of order by less than the watermark
+    late.insert(40, late[39])
+    own, mark = progress.stateful(spark), f"{tmp_path}/end"
+    progress.begin(spark, mark)
+    (tmp_path / "in").mkdir()
+    s = own.readStream.schema(r.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
+    for run in range(3):
+        if run < 2:
+            for i in range(2):
+                spark.createDataFrame(late[(run * 2 + i) * 32 : (run * 2 + i + 1) * 32], r.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{run}{i}")
+        else:
+            progress.end(spark, mark)
+        fired = progress.stream_debounce(progress.with_end(s, mark), "1 minute")
+        fired.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+        got = [tuple(x) for x in spark.read.schema(fired.schema).parquet(f"{tmp_path}/out").collect()]
+        if run == 1:
+            assert 0 < len(got) < len(want)  # the last ones wait
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -209,7 +209,19 @@ def test_selection_on_tiles(spark):
 def test_operators_leave_the_session_as_it_is(spark):
     from inkgrid import queries
 
-    before = {r["key"]: r["value"] for r in spark.sql("SET").collect() if "checkpoint" not in r["key"]}
-    for name in ("tile_audit", "checksums", "thumbnail_sums"):
+    before = {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+    for name in ("tile_audit", "thumbnail_sums", "previews", "stream_requests"):
         queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
-    assert before == {r["key"]: r["value"] for r in spark.sql("SET").collect() if "checkpoint" not in r["key"]}
+    assert before == {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+
+
+def test_folder_where_none_is_set():
+    """A local session gets one temporary folder for its application, any other an error; neither gets a setting."""
+    from types import SimpleNamespace
+
+    from inkgrid.sources.workspace import shared_dir
+
+    of = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master, applicationId="an application"))
+    assert shared_dir(of("local[4]")).startswith("file:///") and shared_dir(of("local[4]")) == shared_dir(of("local[2]"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(of("spark://host:7077"))
