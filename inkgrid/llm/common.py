@@ -2,49 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from inkgrid.sources.workspace import forget, keep, workspace
+
+__all__ = ["WORD", "forget", "in_parts", "keep", "workspace"]
 
 #: ASCII white space, as a character class for Java and RE2 patterns alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary one, and any other
-    an error: executors elsewhere couldn't read it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='inkgrid-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/inkgrid/{name}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df, written to the shared folder (with the writer's options) and read again: its lineage ends there, and any executor can read it."""
-    spark, path = df.sparkSession, workspace(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes the files of tables made by keep()."""
-    for df in tables:
-        spark = df.sparkSession
-        for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def in_parts(batches: Iterator, rows: int = 500) -> Iterator:
     """Arrow batches of at most so many rows each. Spark bounds a batch by its bytes; the parts share its memory, so that what Python makes of whole
     texts is bounded too. Sessions are left as they are."""

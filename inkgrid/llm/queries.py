@@ -12,18 +12,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of `documents` by SimHash: three-word shingles, at most three bits apart (simhash.py)."""
     from inkgrid.llm.simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` mixed to the contract's target weights (mixing.py)."""
     from inkgrid.llm.mixing import mix
 
     return mix(_table(spark, sf_dir, "documents"))
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` as token files by byte_bpe_50k.json, end id 0, read back (tokens.py)."""
     import public_tokenizers
 
     from inkgrid.llm.tokens import read_tokens, write_tokens
@@ -36,18 +39,21 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's URL rules on every row of `pages` (urls.py)."""
     from inkgrid.llm.urls import RULES, judge
 
     return judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for every row of `pages`, written and read back (warc.py)."""
     from inkgrid.llm.warc import read_archives, write_archives
 
     return read_archives(spark, write_archives(_table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out (langid.py)."""
     import public_tokenizers
     from pyspark.sql import functions as F
 
@@ -59,6 +65,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten documents by BM25 for each document whose id is divisible by 20 (search.py)."""
     from pyspark.sql import functions as F
 
     from inkgrid.llm.search import top_k
@@ -67,18 +74,21 @@ def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document has of `benchmark` (decontam.py)."""
     from inkgrid.llm.decontam import contamination, digest
 
     return digest(contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from `labels` that aren't held out (quality.py)."""
     from inkgrid.llm.quality import classify
 
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document (pii.py)."""
     from inkgrid.llm.pii import digest, find_pii
 
     return digest(find_pii(_table(spark, sf_dir, "documents")))

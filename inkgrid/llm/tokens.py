@@ -200,7 +200,9 @@ def open_shard(path: str, name: str, width: int) -> tuple[np.ndarray, np.ndarray
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), a row for each document, from the files: start is the number of ids before it in the
-    whole set; the checksum is over its ids as little-endian unsigned 32-bit integers."""
+    whole set; the checksum is over its ids as little-endian unsigned 32-bit integers.
+
+    Rows written with a null id come back with one, rows that were repeated as often as they were written; a set of an empty table has no rows."""
 
     def run(batches):
         for b in batches:
