@@ -329,45 +329,50 @@ def guided(cov: np.ndarray, alpha: np.ndarray, left: int, top: int, o: dict) ->
 
 def chebyshev(mask: np.ndarray, cap: int = 127, outside_empty: np.ndarray | None = None) -> np.ndarray:
     """Distance of set pixels to the nearest empty one in steps of a king, `cap` at most. What is beyond the array isn't empty; pixels in outside_empty (outside the image)
-    aren't either."""
+    aren't either. Two sweeps, from each end: a row takes what its neighbour row says, then what its own pixels say along it."""
     solid = mask if outside_empty is None else mask | outside_empty
-    d = np.zeros(mask.shape, np.int16)
-    left = solid
-    for k in range(1, cap + 1):
-        d[left] = k
-        if k == cap or not left.any():
-            break
-        wide = left & shifted(left, 0, 1, True) & shifted(left, 0, -1, True)
-        left = wide & shifted(wide, 1, 0, True) & shifted(wide, -1, 0, True)
+    d = np.where(solid, np.int32(cap), np.int32(0))
+    ramp = np.arange(d.shape[1], dtype=np.int32)
+    for rows in (d, d[::-1, ::-1]):
+        before = None
+        for row in rows:
+            if before is not None:
+                near = before.copy()
+                np.minimum(near[1:], before[:-1], out=near[1:])
+                np.minimum(near[:-1], before[1:], out=near[:-1])
+                np.minimum(row, near + 1, out=row)
+            np.minimum(row, np.minimum.accumulate(row - ramp) + ramp, out=row)
+            before = row
     d[~mask] = 0
-    return d
+    return d.astype(np.int16)
+
+
+def ridges(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the highest distance that strictly rising steps reach from each pixel, whether any neighbour is higher). Pixels are taken once, from the highest distance down, so those above are known."""
+    wide = np.pad(d, 1)
+    flat, top, higher = wide.ravel(), wide.ravel().copy(), np.zeros(wide.size, bool)
+    on = np.flatnonzero(flat)
+    on = on[np.argsort(-flat[on], kind="stable")]
+    ends = np.flatnonzero(np.diff(flat[on])) + 1
+    steps = [dy * wide.shape[1] + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    for own in np.split(on, ends):
+        level, best, up = flat[own], top[own], np.zeros(len(own), bool)
+        for s in steps:
+            over = flat[own + s] > level
+            up |= over
+            best = np.where(over, np.maximum(best, top[own + s]), best)
+        top[own], higher[own] = best, up
+    inner = np.s_[1:-1, 1:-1]
+    return top.reshape(wide.shape)[inner], higher.reshape(wide.shape)[inner]
 
 
 def white_mask(mask: np.ndarray, choke: int, outside: np.ndarray | None = None) -> np.ndarray:
     """The under-layer: the mask drawn in by `choke` pixels, less in thin parts: by 35 % of their half thickness at most; ridges stay."""
     if choke <= 0:
         return mask.copy()
-    cap = white_reach(choke)
-    d = np.minimum(chebyshev(mask, cap, outside), cap)
-    top = d.copy()
-    while True:  # the highest distance that strictly rising steps reach
-        new = top.copy()
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dy or dx:
-                    nd, nt = shifted(d, dy, dx), shifted(top, dy, dx)
-                    new = np.where(nd > d, np.maximum(new, nt), new)
-        new = np.where(mask, new, 0)
-        if (new == top).all():
-            break
-        top = new
-    higher = np.zeros(mask.shape, bool)
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            if dy or dx:
-                higher |= shifted(d, dy, dx) > d
-    reach = np.minimum(choke, np.floor(0.35 * top))
-    return mask & ((d > reach) | ~higher)
+    d = chebyshev(mask, white_reach(choke), outside)
+    top, higher = ridges(d)
+    return mask & ((d > np.minimum(choke, np.floor(0.35 * top))) | ~higher)
 
 
 def white_reach(choke: int) -> int:

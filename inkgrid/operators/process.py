@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import json
-import math
 from collections.abc import Iterator
 from types import SimpleNamespace
 
@@ -64,19 +63,27 @@ def tile_stats(processed: DataFrame) -> DataFrame:
     return processed.groupBy("image_id").agg(*(F.sum(c).cast("long").alias(c) for c in _COUNTS))
 
 
+#: Pixels of the deepest choke.
+MOST_CHOKE = 120
+
+
 def white_tiles(tiles: DataFrame, artworks: DataFrame, choke_mm: float = 0.15, core: int = CORE) -> DataFrame:
-    """One-component tiles, 255 where white goes under the colour: the ink of RGBA tiles, drawn in by choke_mm where it is thick enough."""
-    choke = min(120, math.floor(choke_mm / 25.4 * 300 + 0.5))
-    halo = 2 * kernels.white_reach(choke) if choke else 0
-    art = artworks.select("image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height"), F.lit(halo).alias("halo"), F.lit("").alias("extra"))
+    """One-component tiles, 255 where white goes under the colour: the ink of RGBA tiles, drawn in by choke_mm where it is thick enough. artworks: (image_id, width, height), perhaps with a choke_mm of each image's own; all
+    are done in one pass."""
+    reach = F.array(F.lit(0), *(F.lit(2 * kernels.white_reach(n)) for n in range(1, MOST_CHOKE + 1)))
+    mm = F.coalesce(F.col("choke_mm"), F.lit(choke_mm)) if "choke_mm" in artworks.columns else F.lit(choke_mm)
+    choke = F.greatest(F.lit(0), F.least(F.lit(MOST_CHOKE), F.floor(mm / 25.4 * 300 + 0.5).cast("int")))
+    art = artworks.select("image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height"), F.element_at(reach, choke + 1).alias("halo"), choke.cast("string").alias("extra"))
 
     def step(pieces: list[SimpleNamespace]) -> list[tuple]:
         t = next(p for p in pieces if p.own)
-        rgba, inside, _, _, part = assemble(pieces, core, halo)
+        choke = int(t.extra)
+        rgba, inside, _, _, part = assemble(pieces, core, 2 * kernels.white_reach(choke) if choke else 0)
         white = kernels.white_mask(rgba[..., -1] > 0, choke, ~inside)[part]
         return [(t.image_id, t.tile_x, t.tile_y, t.tile_x * core, t.tile_y * core, white.shape[1], white.shape[0], 1, (white * np.uint8(255)).tobytes())]
 
-    return per_tile(tiles.join(art, "image_id"), core, step, TILES, not halo)
+    alone = "choke_mm" not in artworks.columns and choke_mm / 25.4 * 300 < 0.5
+    return per_tile(tiles.join(art, "image_id"), core, step, TILES, alone)
 
 
 def white_totals(color: DataFrame, white: DataFrame) -> DataFrame:

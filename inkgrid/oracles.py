@@ -239,10 +239,26 @@ SELECT image_id, count(*) FILTER (s1) AS ink_pixels, count(*) FILTER (pid IS NOT
 FROM (SELECT *, pid IS NOT NULL AND island IS NULL AS s1 FROM (SELECT s.*, i.pid, island FROM s LEFT JOIN (SELECT image_id, x, y, pid FROM i) i USING (image_id, x, y) LEFT JOIN ball ON p = i.pid)) GROUP BY image_id"""
 )
 
+
+def _white(choke: int, cap: int) -> str:
+    """The under-layer of all ink: distances as the number of boxes without an empty pixel, then, from the highest distance down, what neighbours above reach."""
+    box = lambda k: f"min(row{k}) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
+    rows = ", ".join(f"min(i) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING) AS row{k}" for k in range(1, cap))
+    plain = ", ".join(f"({i}, 'round', true, false, 0, 0e0, 1e0, 255e0, 255e0, false)" for i in range(5))
+    sql = f"WITH {_ART}, {_PX}, rec(recipe_id, shape, knockout, recover, key, inb, mid, inw, outw, halftone) AS (VALUES {plain}), {_COV}{_SCREEN}, {_balls()}, "
+    sql += f"i0 AS (SELECT s.image_id, s.x, s.y, (ink AND island IS NULL)::INT AS i FROM s LEFT JOIN ball ON p = CASE WHEN ink THEN image_id * 4096 + y * 64 + x END), i1 AS (SELECT *, {rows} FROM i0), "
+    sql += f"d AS (SELECT image_id, x, y, i, CASE WHEN i = 0 THEN 0 ELSE 1 + {' + '.join(f'(b{k} = 1)::INT' for k in range(1, cap))} END AS d FROM (SELECT *, {', '.join(f'{box(k)} AS b{k}' for k in range(1, cap))} FROM i1)), t0 AS (SELECT *, d AS top, max(d) OVER v AS dv FROM d WINDOW v AS (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"
+    for n, level in enumerate(range(cap - 1, 0, -1)):
+        sql += f", u{n} AS (SELECT *, max(CASE WHEN d > {level} THEN top END) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS tv FROM t{n}), t{n + 1} AS (SELECT * EXCLUDE (top, tv), CASE WHEN d = {level} THEN greatest(top, coalesce(max(tv) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), top)) ELSE top END AS top FROM u{n})"
+    sql += f", w AS (SELECT *, max(dv) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) > d AS higher FROM t{cap - 1})"
+    return sql + f" SELECT image_id, sum(i)::BIGINT AS color_pixels, count(*) FILTER (i = 1 AND (d > least({choke}, floor(0.35e0 * top)) OR NOT higher)) AS white_pixels FROM w GROUP BY image_id"
+
+
 _DEBOUNCED = "WITH e AS (SELECT user_id::VARCHAR AS key, event_id AS id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) SELECT key, id, epoch_us(ts + INTERVAL 4 HOUR) AS fires_at FROM e WHERE nx IS NULL OR nx >= ts + INTERVAL 4 HOUR"
 
 ORACLE_SQL: dict[str, str] = {
     "tile_process": _PROCESS,
+    "white_layer": _white(3, 9),
     "ink_cost": _ALL
     + """, n AS (SELECT image_id, any_value(width) AS w, any_value(height) AS h, count(*) FILTER (ink) AS ink_pixels, count(*) FILTER (raw >= 0.5e0 AND a > 0) AS solid_pixels FROM s GROUP BY image_id),
 o AS (SELECT *, ink_pixels / (w * h)::DOUBLE * 100e0 AS cov, ink_pixels / (w * h)::DOUBLE AS f, greatest(ink_pixels, solid_pixels) / (w * h)::DOUBLE AS q, (w / 300e0 * 2.54e0) * (h / 300e0 * 2.54e0) AS area FROM n)

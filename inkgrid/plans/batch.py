@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkgrid.functions import names, sizing
 from inkgrid.functions.options import with_defaults
-from inkgrid.schema import TILES
+from inkgrid.sources.workspace import stage, workspace
 
 
 def make_variants(files: DataFrame, sizes: list[str], placements: list[str], garment: str = "adult", assignments: DataFrame | None = None, areas: DataFrame | None = None) -> DataFrame:
@@ -129,18 +129,41 @@ def settings_of(recipes: DataFrame, settings: DataFrame | None) -> DataFrame:
     return s.select("recipe_id", *(F.coalesce(F.col(n), F.lit(d).cast(t)).alias(n) if n in s.columns else F.lit(d).cast(t).alias(n) for n, t, d in SETTINGS))
 
 
-def run_batch(variants: DataFrame, tiles: DataFrame, artworks: DataFrame, recipes: DataFrame, core: int = 512, settings: DataFrame | None = None, taken: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_batch(
+    variants: DataFrame, tiles: DataFrame, artworks: DataFrame, recipes: DataFrame, core: int = 512, settings: DataFrame | None = None, taken: DataFrame | None = None, path: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(output tiles, white twins' tiles, report): each variant's art, trimmed if its recipe says so, at its print size, screened and cleaned by tiles.
 
     artworks: (image_idx, image_id, width, height); settings: of settings_of(); taken: (output), files that are there already and aren't written over. The source is resampled
     for each variant before its own screen. The report has a row for each variant: done with sizes, counts, ink, cost (where anything has a price) and free names, or
     error; an error of one leaves the others as they are. If a white twin can't be made, neither file of the pair is.
+
+    The run has four stages, each a table below `path` (a new one without): plan, tiles, white, report. White twins and report are made of the written tiles, so nothing is resampled or screened twice; the same job run again with
+    the same path goes on behind the last finished stage.
     """
     from inkgrid.operators.process import process_tiles, white_tiles
     from inkgrid.operators.resample import resample_tiles
-    from inkgrid.operators.tiles import tile_bounds
 
+    spark = variants.sparkSession
+    path = path or workspace(spark, "batch")
     full, extra = with_defaults(recipes), settings_of(recipes, settings)
+    v = stage(spark, f"{path}/plan", lambda: _planned(variants, tiles, artworks, extra))
+    good = v.where("problem is null")
+    art = good.select(F.col("id").alias("image_id"), F.col("plan.width").cast("int").alias("width"), F.col("plan.height").cast("int").alias("height"), "recipe_id", "batch_white", F.col("white_choke_mm").alias("choke_mm"))
+
+    def printed() -> DataFrame:
+        jobs = good.select(F.col("id").alias("variant_id"), "image_id", "width", "height", F.col("plan.width").cast("int").alias("out_width"), F.col("plan.height").cast("int").alias("out_height"), "from_x", "from_y")
+        return process_tiles(resample_tiles(tiles, jobs, core).withColumnRenamed("variant_id", "image_id"), art, full, core)
+
+    out = stage(spark, f"{path}/tiles", printed)
+    white = stage(spark, f"{path}/white", lambda: white_tiles(out, art.where("batch_white"), core=core))
+    return out, white, stage(spark, f"{path}/report", lambda: _reported(v, out, taken))
+
+
+def _planned(variants: DataFrame, tiles: DataFrame, artworks: DataFrame, extra: DataFrame) -> DataFrame:
+    """The variants with settings, the part of the art that they print (from_x, from_y, width, height), their plan, and why they can't be made (problem)."""
+    from inkgrid.operators.tiles import tile_bounds
+
     v = variants.join(artworks.select("image_idx", "image_id", F.col("width").alias("art_width"), F.col("height").alias("art_height")), "image_idx", "left").join(extra, "recipe_id", "left")
     if extra.where("trim_art").isEmpty():  # a question to the recipes
         v = v.withColumns({"from_x": F.lit(0), "from_y": F.lit(0), "width": F.col("art_width"), "height": F.col("art_height"), "bare": F.lit(False)})
@@ -155,19 +178,12 @@ def run_batch(variants: DataFrame, tiles: DataFrame, artworks: DataFrame, recipe
         F.when(F.col("status") == "error", F.coalesce("error", F.lit("area"))).when(F.col("art_width").isNull(), "no source").when(F.col("bare"), "empty").when(F.col("trim_art").isNull(), "no recipe")
         .when(F.col("batch_white") & ~F.col("white_format").isin(*WHITE_FORMATS), "white format").otherwise(F.col("plan.error"))
     )
-    v = v.withColumn("problem", problem)
-    good = v.where("problem is null")
-    jobs = good.select(F.col("id").alias("variant_id"), "image_id", "width", "height", F.col("plan.width").cast("int").alias("out_width"), F.col("plan.height").cast("int").alias("out_height"), "from_x", "from_y")
-    sized = resample_tiles(tiles, jobs, core)
-    art = good.select(F.col("id").alias("image_id"), F.col("plan.width").cast("int").alias("width"), F.col("plan.height").cast("int").alias("height"), "recipe_id")
-    out = process_tiles(sized.withColumnRenamed("variant_id", "image_id"), art, full, core)
+    return v.withColumn("problem", problem)
+
+
+def _reported(v: DataFrame, out: DataFrame, taken: DataFrame | None) -> DataFrame:
+    """The report of planned variants by the counts of their tiles; of the tiles only these are read."""
     stats = out.groupBy(F.col("image_id").alias("id")).agg(F.sum("ink_pixels").alias("ink_pixels"), F.sum("removed_pixels").alias("removed_pixels"), F.sum("solid_pixels").alias("solid_pixels"))
-    white = None
-    for choke in sorted(r[0] for r in extra.where("batch_white").select("white_choke_mm").distinct().collect()):  # of the recipes: a few
-        own = good.where(F.col("batch_white") & (F.col("white_choke_mm") == choke)).select(F.col("id").alias("image_id"))
-        some = white_tiles(out.join(own, "image_id", "left_semi"), art, choke, core)
-        white = some if white is None else white.unionByName(some)
-    white = out.select(*(c.split()[0] for c in TILES.split(", "))).limit(0) if white is None else white
     r = v.join(stats, "id", "left")
     coverage = F.coalesce("ink_pixels", F.lit(0)) / (F.col("plan.width") * F.col("plan.height")) * 100.0
     e = sizing.ink_estimate(coverage, F.coalesce("solid_pixels", F.lit(0)), F.col("plan.width"), F.col("plan.height"), F.col("plan.width_cm"), F.col("plan.height_cm"), {k: F.col(k) for k in sizing.DEFAULT_PRICES})
@@ -178,9 +194,8 @@ def run_batch(variants: DataFrame, tiles: DataFrame, artworks: DataFrame, recipe
     r = r.join(names_.select("id", "free"), "id", "left").withColumn("output", F.coalesce("free", "output"))
     ok = lambda c: F.when(F.col("problem").isNull(), c)
     priced = (F.col("color_price_l") > 0) | (F.col("white_price_l") > 0) | (F.col("film_price_m2") > 0)
-    report = r.select(
+    return r.select(
         "id", "image", "size", "placement", F.when(F.col("problem").isNull(), "done").otherwise("error").alias("status"), "output", F.col("plan.width_cm").alias("widthCM"), F.col("plan.height_cm").alias("heightCM"),
         F.col("plan.width").alias("widthPX"), F.col("plan.height").alias("heightPX"), "dpi", ok(F.round(coverage, 2)).alias("coveragePercent"), ok(F.round("e.color_ml", 3)).alias("colorML"),
         ok(F.round("e.white_ml", 3)).alias("whiteML"), ok(F.when(priced, F.round("e.total_cost", 3))).alias("cost"), ok(F.when(F.col("batch_white"), names.white_name(F.col("output")))).alias("whiteOutput"), F.col("problem").alias("error"),
     )
-    return out, white, report

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,11 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         for file in df.inputFiles()[:1]:
             delete(df.sparkSession, file.rpartition("/")[0])
+
+
+def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path, made and written only if it isn't there whole: the writer's marker says that all its tasks were committed. So a job that was stopped goes on from the last stage that was finished."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
