@@ -163,9 +163,22 @@ class Runs(NamedTuple):
     label: np.ndarray
 
 
+def unions(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each one's set, for n members of which each a and b are in one set. Each takes the smallest that it meets, with path halving, until nothing changes."""
+    label = np.arange(n)
+    while len(a):
+        la, lb = label[a], label[b]
+        low, high = np.minimum(la, lb), np.maximum(la, lb)
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while (label != label[label]).any():
+            label = label[label]
+    return label
+
+
 def components(mask: np.ndarray, diagonal: bool) -> Runs:
-    """Horizontal runs of a mask, labelled by connected component. Runs of neighbouring rows that touch are joined, each label taking the smallest it meets, with
-    path halving, until nothing changes."""
+    """Horizontal runs of a mask, labelled by connected component: runs of neighbouring rows that touch are joined."""
     h, w = mask.shape
     padded = np.zeros((h, w + 2), np.int8)
     padded[:, 1:-1] = mask
@@ -179,15 +192,7 @@ def components(mask: np.ndarray, diagonal: bool) -> Runs:
     count = np.maximum(0, hi - lo)
     a = np.repeat(np.arange(n), count)
     b = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if n else np.zeros(0, np.int64)
-    label = np.arange(n)
-    while len(a):
-        la, lb = label[a], label[b]
-        low, high = np.minimum(la, lb), np.maximum(la, lb)
-        if (low == high).all():
-            break
-        np.minimum.at(label, high, low)
-        while (label != label[label]).any():
-            label = label[label]
+    label = unions(n, a, b)
     return Runs(row, start, end, label)
 
 
@@ -386,6 +391,15 @@ def white_reach(choke: int) -> int:
 # ---- the whole chain
 
 
+class Prepared(NamedTuple):
+    source: np.ndarray
+    screened: np.ndarray
+    opened: np.ndarray
+    protected: np.ndarray
+    candidate: np.ndarray
+    solid: np.ndarray
+
+
 class Result(NamedTuple):
     rgba: np.ndarray
     screened: np.ndarray
@@ -419,8 +433,8 @@ def halo(o: dict, dpi: float = 300.0) -> int:
     return clean + (pores - 1 if pores > 1 else 0) + near + {0: 0, 1: 5, 2: 57}[o["presmooth"]]
 
 
-def process(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.ndarray | None = None, selection: np.ndarray | None = None, dpi: float = 300.0) -> Result:
-    """Screens and cleans one raster. inside: pixels of the image (the rest of a tile's surroundings has none); selection: soft mask, 0 to 255."""
+def prepare(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.ndarray | None = None, selection: np.ndarray | None = None, dpi: float = 300.0) -> Prepared:
+    """Screens one raster: all that doesn't ask how far a component goes. source: the colour that ink has at each pixel; opened: the screen after an opening, or as it is; candidate: where a pore may be filled."""
     h, w = rgba.shape[:2]
     if inside is None or inside.all():
         inside = np.ones((h, w), bool)
@@ -449,22 +463,10 @@ def process(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.n
     else:
         dots = value * 255.0 >= o["alpha_threshold"]
     screened = protected | (candidate & dots)
-    least, pores = areas(o, dpi)
-    gone, particles = np.zeros((h, w), bool), np.zeros((0, 2), np.int64)
-    if o["cleanup_mode"] == "opening":
-        opening = opening_of(o)
-        if opening:
-            gone = screened & ~opened(screened, inside, *opening, protected)
-    else:
-        gone, particles = remove_particles(screened, least, protected)
-    ink = screened & ~gone
-    filled, holes = fill_holes(ink | ~inside, candidate, pores)  # beyond the image nothing is empty
-    ink = ink | filled
-    out = np.zeros((h, w, 4), np.uint8)
-    out[..., 3] = np.where(ink, 255, 0)
+    opening = opening_of(o) if o["cleanup_mode"] == "opening" else None
+    ink = opened(screened, inside, *opening, protected) if opening else screened
     if not (o["defringe"] or m is not None or o["shadow_boost"] or o["color_boost"]):  # colours as they are
-        out[..., :3] = np.where(ink[..., None], rgba[..., :3], 0)
-        return Result(out, screened, (screened | filled) & ~ink, protected, solid, filled, particles, holes)
+        return Prepared(rgba[..., :3], screened, ink, protected, candidate, solid)
     color = rgba[..., :3].astype(np.float64)
     key = np.array([o["key_r"], o["key_g"], o["key_b"]], np.float64)
     source = defringed(rgba, levels(plain, o) if o["presmooth"] else value, o["defringe_radius"], o["defringe_strength"], inside) if o["defringe"] else color
@@ -474,9 +476,28 @@ def process(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.n
         source = np.where((m > 0)[..., None], found, source)
     if o["shadow_boost"] or o["color_boost"]:
         source = boosted(source, o["shadow_boost"], o["color_boost"])
-    source = np.where(protected[..., None], color, source)
+    return Prepared(np.where(protected[..., None], color, source), screened, ink, protected, candidate, solid)
+
+
+def printed(source: np.ndarray, ink: np.ndarray) -> np.ndarray:
+    """RGBA: the colours where ink is, opaque."""
+    out = np.zeros((*ink.shape, 4), np.uint8)
+    out[..., 3] = np.where(ink, 255, 0)
     out[..., :3] = np.where(ink[..., None], source, 0)
-    return Result(out, screened, (screened | filled) & ~ink, protected, solid, filled, particles, holes)
+    return out
+
+
+def process(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.ndarray | None = None, selection: np.ndarray | None = None, dpi: float = 300.0) -> Result:
+    """Screens and cleans one raster. inside: pixels of the image (the rest of a tile's surroundings has none); selection: soft mask, 0 to 255."""
+    p = prepare(rgba, o, left, top, inside, selection, dpi)
+    least, pores = areas(o, dpi)
+    ink, particles = p.opened, np.zeros((0, 2), np.int64)
+    if o["cleanup_mode"] != "opening":
+        gone, particles = remove_particles(p.screened, least, p.protected)
+        ink = p.screened & ~gone
+    filled, holes = fill_holes(ink if inside is None else ink | ~inside, p.candidate, pores)  # beyond the image nothing is empty
+    ink = ink | filled
+    return Result(printed(p.source, ink), p.screened, (p.screened | filled) & ~ink, p.protected, p.solid, filled, particles, holes)
 
 
 # ---- previews

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions import options, sizing
-from inkgrid.operators import kernels
+from inkgrid.operators import kernels, seams
 from inkgrid.operators.tiles import CORE, KEY, assemble, batch_of, batches_of, per_tile, raster, rows_of
 from inkgrid.schema import TILES
 
@@ -21,24 +21,35 @@ _COUNTS = ("ink_pixels", "screened_pixels", "removed_pixels", "protected_pixels"
 PROCESSED = TILES + ", " + ", ".join(f"{c} long" for c in _COUNTS)
 
 
-def process_tiles(tiles: DataFrame, artworks: DataFrame, recipes: DataFrame, core: int = CORE, selections: DataFrame | None = None, pixels: bool = True) -> DataFrame:
+#: With a halo above this for the sake of islands and pores alone, tiles send the labels of their seams in place of such wide strips.
+WIDE = 64
+
+
+def process_tiles(tiles: DataFrame, artworks: DataFrame, recipes: DataFrame, core: int = CORE, selections: DataFrame | None = None, pixels: bool = True, by_seams: bool | None = None) -> DataFrame:
     """Output tiles with counts of their own pixels. artworks: (image_id, width, height, recipe_id); recipes: with defaults.
 
     One shuffle: the halo exchange; none if no recipe looks at neighbours. A component is counted in the tile that has its first pixel, so sums over tiles are
     exact. selections: one-component tiles, the soft masks of images whose recipe protects by selection; where a tile has none, nothing is protected. pixels: without, data is empty
-    and only the counts come back.
+    and only the counts come back. by_seams: whether islands and pores are joined along the seams (seams.py) and not looked for in a halo; the result is the same. None: where a recipe's areas ask for more than WIDE pixels.
     """
     o = {n: F.col(n) for n in ("min_diameter_mm", "fill_holes_mm", "lpi", "cleanup", "cleanup_mode", "protection", "edge_radius", "defringe", "defringe_radius", "presmooth")}
     names = [*options.NAMES, "key_r", "key_g", "key_b"]
     gain = F.transform(F.col("gain"), lambda p: F.array(p["nominal"], p["measured"]))
-    full = recipes.select("recipe_id", sizing.halo_px(o).cast("int").alias("halo"), F.to_json(F.struct(*names, gain.alias("gain"), sizing.halo_px(o).alias("halo"))).alias("extra"))
+    near = sizing.halo_px({**o, "min_diameter_mm": F.lit(0.0), "fill_holes_mm": F.lit(0.0)}).cast("int")
+    recipes = recipes.withColumns({"all_halo": sizing.halo_px(o).cast("int"), "near_halo": near})
+    # what the tiles need of their neighbours is a question to the recipes alone
+    most, wide = recipes.agg(F.max("all_halo"), F.max(F.col("all_halo") - F.col("near_halo"))).first()
+    by_seams = (wide or 0) > WIDE if by_seams is None else by_seams
+    recipes = recipes.withColumn("halo", F.col("near_halo" if by_seams else "all_halo"))
+    full = recipes.select("recipe_id", "halo", F.to_json(F.struct(*names, gain.alias("gain"), "halo")).alias("extra"))
     art = artworks.select("image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height"), "recipe_id").join(full, "recipe_id").drop("recipe_id")
     own = tiles.join(art, "image_id")
     if selections is not None:
         own = own.join(selections.select(*KEY, F.col("data").alias("selection")), KEY, "left")
-    # whether any tile needs its neighbours is a question to the recipes alone
-    alone = not (full.agg(F.max("halo")).first()[0] or 0)
-    return per_tile(own, core, functools.partial(_step, core=core, pixels=pixels), PROCESSED, alone)
+    if not by_seams:
+        return per_tile(own, core, functools.partial(_step, core=core, pixels=pixels), PROCESSED, not most)
+    alone = not recipes.agg(F.max("near_halo")).first()[0]
+    return seams.cleaned_tiles(per_tile(own, core, functools.partial(_prepare, core=core), seams.PREPARED, alone), PROCESSED, pixels)
 
 
 _options = functools.lru_cache(1000)(json.loads)
@@ -58,6 +69,18 @@ def _step(pieces: list[SimpleNamespace], core: int, pixels: bool) -> list[tuple]
     return [(t.image_id, t.tile_x, t.tile_y, t.tile_x * core, t.tile_y * core, w, h, 4, data.tobytes() if pixels else b"", *(int(np.count_nonzero(c)) for c in counts), here(r.particles), here(r.pores))]
 
 
+def _prepare(pieces: list[SimpleNamespace], core: int) -> list[tuple]:
+    """The PREPARED row of a tile with its surroundings."""
+    t = next(p for p in pieces if p.own)
+    opt = _options(t.extra)
+    rgba, inside, left, top, part = assemble(pieces, core, opt["halo"])
+    p = kernels.prepare(rgba[..., :4], opt, left, top, inside, rgba[..., 4] if rgba.shape[2] > 4 else None)
+    data = np.concatenate([p.source[part].astype(np.uint8), seams.flags(p)[part][..., None]], axis=-1)
+    least, pores = kernels.areas(opt)
+    h, w = data.shape[:2]
+    return [(t.image_id, t.tile_x, t.tile_y, t.tile_x * core, t.tile_y * core, w, h, 4, data.tobytes(), t.image_width, t.image_height, 1 if opt["cleanup_mode"] == "opening" else least, pores, 0)]
+
+
 def tile_stats(processed: DataFrame) -> DataFrame:
     """Counts of images from those of their tiles."""
     return processed.groupBy("image_id").agg(*(F.sum(c).cast("long").alias(c) for c in _COUNTS))

@@ -46,12 +46,12 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("core", [16, 33])
-def test_tiles_give_what_the_whole_image_gives(spark, core):
+@pytest.mark.parametrize(("core", "by_seams"), [(16, False), (33, False), (16, True), (33, True)])
+def test_tiles_give_what_the_whole_image_gives(spark, core, by_seams):
     images = {i: raster(i) for i in CASES}
     art = spark.createDataFrame([(i, W, H, i) for i in CASES], "image_id long, width int, height int, recipe_id long")
     recipes = options.with_defaults(options.recipes(spark, [{"recipe_id": i, **o} for i, o in CASES.items()]))
-    out = process.process_tiles(as_tiles(spark, images, core), art, recipes, core).cache()
+    out = process.process_tiles(as_tiles(spark, images, core), art, recipes, core, by_seams=by_seams).cache()
     stats = {r["image_id"]: r for r in process.tile_stats(out).collect()}
     for i, o in CASES.items():
         opt = filled(**o)
