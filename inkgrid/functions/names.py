@@ -30,10 +30,12 @@ def white_name(output: Column) -> Column:
 
 
 def csv_cell(value: Column, is_text: bool) -> Column:
-    """A quoted report cell: quotes doubled, null empty, and text that a spreadsheet would take for a formula behind an apostrophe."""
+    """A quoted report cell: quotes doubled, null empty, and text that a spreadsheet would take for a formula behind an apostrophe. Other values are numbers."""
     text = F.coalesce(value.cast("string"), F.lit(""))
     if is_text:
         text = F.when(text.rlike("^[=+@-]"), F.concat(F.lit("'"), text)).otherwise(text)
+    else:
+        text = F.regexp_replace(text, r"\.0$", "")  # whole numbers have no fraction
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkgrid.functions.color import hex_rgb
 from inkgrid.functions.gain import parse_gain
@@ -100,8 +99,3 @@ def apply_preset(df: DataFrame, preset_id: str = "preset_id") -> DataFrame:
     p = p.select(F.col("preset_id").alias("__preset"), *(F.col(c).alias(f"__{c}") for c in own))
     out = df.join(F.broadcast(p), df[preset_id] == p["__preset"], "left")  # 7 rows
     return out.withColumns({c: F.coalesce(f"__{c}", c) for c in own if c in df.columns}).select(*df.columns)
-
-
-def sanitize(raw: Column, known: T.StructType | str) -> Column:
-    """JSON text of options as a struct of the known ones: unknown keys are dropped, values of a wrong type are null."""
-    return F.from_json(raw, known, {"mode": "PERMISSIVE"})

@@ -92,9 +92,12 @@ def composite(df: DataFrame, background: list[Column] | None = None) -> DataFram
     return df.select("image_id", "x", "y", *(color.over(F.col(c), F.col("a"), k).alias(c) for c, k in zip(RGB, back, strict=True)))
 
 
-def view(df: DataFrame, mode: str, position: float = 50.0) -> DataFrame:
-    """(image_id, x, y, r, g, b) of screened pixels as a preview: original, garment, beforeGarment, compare (before left of `position` percent, a white
-    line, then after), transparent, removed, protection or mask."""
+MODES = ("original", "garment", "beforeGarment", "compare", "transparent", "removed", "protection", "mask")
+
+
+def view_rgb(columns: list[str], mode: str, position: float = 50.0) -> list[Column]:
+    """The colour of a screened pixel in a preview: original, garment, beforeGarment, compare (before left of `position` percent, a white line, then after), transparent, removed, protection or mask. columns: those at
+    hand; without `removed` nothing was."""
     key, board = [F.col(f"key_{c}") for c in RGB], [color.checker(F.col("x"), F.col("y"))] * 3
     before = lambda back: [color.over(F.col(c), F.col("a"), k) for c, k in zip(RGB, back, strict=True)]
     after = lambda back: [color.over(F.col(f"out_{c}"), F.when(F.col("ink"), 255).otherwise(0), k) for c, k in zip(RGB, back, strict=True)]
@@ -104,10 +107,21 @@ def view(df: DataFrame, mode: str, position: float = 50.0) -> DataFrame:
     rgb = {
         "original": lambda: before(board), "garment": lambda: after(key), "beforeGarment": lambda: before(key), "transparent": lambda: after(board),
         "compare": lambda: [F.when(F.col("x") < split, b).when(line, 255).otherwise(a) for b, a in zip(before(key), after(key), strict=True)],
-        "removed": lambda: flat(F.col("removed") if "removed" in df.columns else F.lit(False), (255, 110, 70)), "protection": lambda: flat(F.col("protected"), (240, 240, 240)),
+        "removed": lambda: flat(F.col("removed") if "removed" in columns else F.lit(False), (255, 110, 70)), "protection": lambda: flat(F.col("protected"), (240, 240, 240)),
         "mask": lambda: flat(F.col("ink"), (255, 255, 255)),
     }[mode]()
-    return df.select("image_id", "x", "y", *(c.cast("int").alias(n) for n, c in zip(RGB, rgb, strict=True)))
+    return [c.cast("int") for c in rgb]
+
+
+def view(df: DataFrame, mode: str, position: float = 50.0) -> DataFrame:
+    """(image_id, x, y, r, g, b) of screened pixels as a preview of view_rgb()."""
+    return df.select("image_id", "x", "y", *(c.alias(n) for n, c in zip(RGB, view_rgb(df.columns, mode, position), strict=True)))
+
+
+def view_sums(df: DataFrame, position: float = 50.0) -> DataFrame:
+    """(image_id, mode, r, g, b): sums of all previews of each image, in one pass over its pixels."""
+    sums = [F.struct(F.lit(m).alias("mode"), *(F.sum(c).alias(n) for n, c in zip(RGB, view_rgb(df.columns, m, position), strict=True))).alias(m) for m in MODES]
+    return df.groupBy("image_id").agg(*sums).select("image_id", F.explode(F.array(*MODES)).alias("v")).select("image_id", "v.*")
 
 
 def mockup(df: DataFrame, sizes: DataFrame, chest_cm: float = 52.0, height_cm: float = 72.0, at_x: float = 50.0, at_y: float = 18.0) -> DataFrame:

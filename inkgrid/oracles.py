@@ -51,6 +51,7 @@ def _previews() -> str:
     modes = {
         "original": lambda c: before(c, _BOARD), "garment": lambda c: after(c, "key"), "beforeGarment": lambda c: before(c, "key"), "transparent": lambda c: after(c, _BOARD), "mask": lambda c: ink,
         "compare": lambda c: f"CASE WHEN x < {split} THEN {before(c, 'key')} WHEN x = {split} AND {split} < width THEN 255 ELSE {after(c, 'key')} END",
+        "removed": lambda c: f"CASE WHEN ink AND (x + 2 * y) % 7 = 0 THEN {dict(r=255, g=110, b=70)[c]} ELSE 0 END", "protection": lambda c: "CASE WHEN a >= 250 AND x % 3 = 0 THEN 240 ELSE 0 END",
     }
     return _ALL + " UNION ALL ".join(f" SELECT image_id, '{m}' AS mode, " + ", ".join(f"sum({f(c)})::BIGINT AS {c}" for c in "rgb") + " FROM s GROUP BY image_id" for m, f in modes.items())
 
@@ -256,6 +257,15 @@ def _white(choke: int, cap: int) -> str:
 
 _DEBOUNCED = "WITH e AS (SELECT user_id::VARCHAR AS key, event_id AS id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) SELECT key, id, epoch_us(ts + INTERVAL 4 HOUR) AS fires_at FROM e WHERE nx IS NULL OR nx >= ts + INTERVAL 4 HOUR"
 
+#: Why each of sixteen kinds of options is rejected, and the screen of those that aren't.
+_ODD = ("NULL", "'number: lpi'", "'boolean: knockout'", "'text: key'", "'range: lpi'", "'range: shape'", "'options'", "'areas'", "'range: garment'", "'areas'", "'text: key'", "'range: presmooth'", "'range: widthCM'", "'boolean: knockout'", "'range: input black and white'", "NULL")
+_RECIPE_RULES = f"""WITH {_ART}, k AS (SELECT *, image_id % 16 AS k, (image_id // 50) % 10 = 3 AS old, image_id % 23 = 0 AS bare FROM art),
+e AS (SELECT image_id::VARCHAR AS id, CASE WHEN bare THEN '' ELSE p_brand END AS name, CASE WHEN bare THEN 'no name' ELSE CASE k {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_ODD))} END END AS error, CASE k WHEN 0 THEN 30e0 WHEN 15 THEN 40e0 END AS lpi FROM k WHERE NOT old)
+SELECT id, name, error, lpi, CASE WHEN lpi IS NOT NULL THEN 12.5e0 END AS height FROM e UNION ALL SELECT NULL, '', 'format', NULL, NULL FROM (SELECT DISTINCT image_id // 50 FROM k WHERE old)"""
+_REPORT_FILE = f"""WITH {_JOB}, c AS (SELECT v.id, [v.image, v.size, v.placement, v.status, v.output, '', '', '', '', '300', '', '', '', '', '', coalesce(v.error, '')] AS cells FROM v),
+t AS (SELECT id + 1 AS line, '"' || array_to_string(list_transform(cells, lambda x: replace(x, '"', '""')), '","') || '"' AS value FROM c UNION ALL SELECT 0, chr(65279) || 'image,size,placement,status,output,widthCM,heightCM,widthPX,heightPX,dpi,coveragePercent,colorML,whiteML,cost,whiteOutput,error')
+SELECT line, value, (SELECT sum(strlen(value) + 2) FROM t)::BIGINT AS bytes FROM t"""
+
 ORACLE_SQL: dict[str, str] = {
     "tile_process": _PROCESS,
     "white_layer": _white(3, 9),
@@ -298,6 +308,8 @@ CASE WHEN q > 0 THEN round((1e0 - f / q) * 100e0, 6) END AS savings_percent FROM
     "job_preflight": _PREFLIGHT,
     "job_manifest": _MANIFEST,
     "recipe_files": _RECIPES,
+    "recipe_rules": _RECIPE_RULES,
+    "report_file": _REPORT_FILE,
     "latest_state": _STATE + "SELECT * FROM l",
     "state_summary": _STATE + "SELECT count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'cancelled') AS cancelled, count(*) AS \"all\" FROM l",
     "job_resume": _RESUME,

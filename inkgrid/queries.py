@@ -136,12 +136,8 @@ def composites(spark: SparkSession, d: str) -> DataFrame:
 
 
 def previews(spark: SparkSession, d: str) -> DataFrame:
-    """Sums of the previews of all modes, for each image."""
-    s, out = keep(_screened(spark, d).select("image_id", "x", "y", *"rgba", "width", "ink", "protected", *(f"{k}_{c}" for k in ("key", "out") for c in "rgb")), "screened"), None
-    for mode in ("original", "garment", "beforeGarment", "compare", "transparent", "mask"):
-        v = px.view(s, mode).groupBy("image_id").agg(F.sum("r").alias("r"), F.sum("g").alias("g"), F.sum("b").alias("b")).withColumn("mode", F.lit(mode))
-        out = v if out is None else out.unionByName(v)
-    return out
+    """Sums of the previews of all eight modes, for each image, with masks of what was removed and protected."""
+    return px.view_sums(_screened(spark, d).withColumns({"removed": F.col("ink") & ((F.col("x") + 2 * F.col("y")) % 7 == 0), "protected": (F.col("a") >= 250) & (F.col("x") % 3 == 0)}))
 
 
 def turned_white(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +216,7 @@ def tile_audit(spark: SparkSession, d: str) -> DataFrame:
     art, t = _tiles(spark, d)
     path = workspace(spark, "audit")
     tables.write_tiles(t, path)
-    back, manifest = tables.read_tiles(spark, path), spark.read.parquet(f"{path}/manifest")
+    back, manifest = tables.read_tiles(spark, path), tables.read_manifest(spark, path)
     other = F.expr("concat(substring(data, 2, length(data) - 1), unhex(lpad(hex((cast(conv(hex(substring(data, 1, 1)), 16, 10) AS int) + 1) % 256), 2, '0')))")
     bad = F.when(F.col("image_id") % 9 == 0, F.expr("substring(data, 1, length(data) - 1)")).when(F.col("image_id") % 7 == 0, other).otherwise(F.col("data"))
     worn = back.where("image_id % 11 <> 0").withColumn("data", bad)
@@ -366,6 +362,29 @@ def recipe_files(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_recipes(c).groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"), F.sum("options.lpi").alias("lpi"), F.count("id").alias("ids"))
 
 
+def recipe_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Collections of 50 parts' recipes as JSON, with values of wrong types, out of range or unknown; each recipe with why it is rejected, and its screen."""
+    i = F.col("image_id")
+    odd = [
+        '{"lpi":30}', '{"lpi":"30"}', '{"knockout":1,"lpi":20}', '{"key":5}', '{"lpi":200}', '{"shape":"star"}', "[]", '{"lpi":25}', '{"garment":"dog"}', '{"lpi":null,"unknown":{"a":[1]},"angle":12.5}',
+        f'{{"minDiameterMM":1.5,"key":"{"#" * 81}"}}', '{"presmooth":1.5}', '{"widthCM":0,"lpi":33}', '{"knockout":"true","key":7,"mockupX":3}', '{"inputBlack":250,"inputWhite":10}', '{"lpi":40,"edgeRadius":2}',
+    ]
+    own = F.element_at(F.array(*map(F.lit, odd)), (i % len(odd) + 1).cast("int"))
+    areas = F.when(i % 16 == 7, '{"front":{"M":[10,0]}}').when(i % 16 == 9, '{"nowhere":{}}').otherwise('{"front":{"M":[10,12.5]},"back":{}}')
+    one = F.concat(F.lit('{"id":"'), i.cast("string"), F.lit('","name":"'), F.when(i % 23 == 0, "  ").otherwise(F.col("p_brand")), F.lit('","options":'), own, F.lit(',"areas":'), areas, F.lit("}"))
+    text = F.concat(F.lit('{"schema":"halftone-recipes","version":'), F.when(F.col("n") % 10 == 3, "2").otherwise("1"), F.lit(',"recipes":['), F.array_join(F.collect_list(one), ","), F.lit("]}"))
+    c = _art(spark, d).withColumn("n", F.floor(i / 50)).groupBy("n").agg(text.alias("value"))
+    return tables.read_recipes(c).select("id", "name", "error", F.col("options.lpi").alias("lpi"), F.col("areas")["front"]["M"][1].alias("height"))
+
+
+def report_file(spark: SparkSession, d: str) -> DataFrame:
+    """The CSV report of that job, written in ordered parts and read again: every line by its number, and the file's bytes."""
+    path = workspace(spark, "report")
+    parts = tables.write_report_csv(_variants(spark, d), path)
+    total = parts.agg(F.max(F.col("offset") + F.col("bytes")).alias("bytes"))
+    return tables.read_report(spark, path).crossJoin(F.broadcast(total)).select("line", "value", "bytes")
+
+
 def latest_state(spark: SparkSession, d: str) -> DataFrame:
     """The state of each variant from the journal."""
     return journal.latest_state(views.progress(spark, d)).select("id", "status", "widthPX", "error", "seq")
@@ -550,7 +569,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         ink_cost, ink_cost_pixels, tile_composites, boosted_colors, ink_by_recipe, shapes_by_image, tone_response, gain_compensation, gain_summaries, gain_parse, option_rules, trim, composites, previews, turned_white, edge_protection, masks, tile_roundtrip, tile_process,
         tile_cleanup, white_layer, crops, tile_audit, checksums, resampled, thumbnail_sums, brand_mockups, print_plans, variant_sizes, derived_sizes, file_names, job_variants, job_preflight, job_manifest,
-        recipe_files, latest_state, journal_audit, state_summary, job_resume, source_identity, export_checks, ink_sentences, sheet_copies, sheet_rules, sheet_packing, sheet_marks, sheet_checks, brand_sheets, batch_run, debounced,
+        recipe_files, recipe_rules, report_file, latest_state, journal_audit, state_summary, job_resume, source_identity, export_checks, ink_sentences, sheet_copies, sheet_rules, sheet_packing, sheet_marks, sheet_checks, brand_sheets, batch_run, debounced,
         stream_state, stream_requests,
     )
 }

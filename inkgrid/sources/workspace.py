@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -37,6 +38,15 @@ def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_order(df: DataFrame, *by: str) -> DataFrame:
+    """Adds position: 0, 1, ... in the order of the columns `by`. Rows are sorted by ranges and written; a range's base is the sum of what stands before it. Equal rows get their places in any order."""
+    ranges = keep(df.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()), "in-order")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of ranges: as many as there were tasks
+    base = ranges.groupBy("__range").agg(F.count("*").alias("n")).select("__range", before.alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*by)) - 1
+    return ranges.withColumn("__own", own).join(base, "__range").withColumn("position", F.col("__base") + F.col("__own")).drop("__range", "__own", "__base")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a file or a folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import json
 import os
 import random
@@ -142,7 +143,7 @@ def test_files(spark, tmp_path):
 def test_report_and_recipes(spark, tmp_path):
     rows = spark.createDataFrame([(0, "=a.png", "M", "done", 41.5), (1, None, "M", "error", None)], "id long, image string, size string, status string, widthCM double")
     tables.write_report_csv(rows, f"{tmp_path}/csv")
-    text = next((tmp_path / "csv").glob("part-*")).read_bytes().decode()
+    text = b"".join(f.read_bytes() for f in sorted((tmp_path / "csv").glob("part-*"))).decode()
     assert text.startswith("﻿image,size") and '"\'=a.png","M","","done","","41.5"' in text and "\r\n" in text
     tables.write_report_json(rows, f"{tmp_path}/json")
     assert spark.read.json(f"{tmp_path}/json/summary").first()["done"] == 1
@@ -207,3 +208,51 @@ def test_debounce_in_a_stream(spark, tmp_path, seed):
         if run == 1:
             assert 0 < len(got) < len(want)  # the last ones wait
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_what_a_recipe_may_hold(spark):
+    """each key's type and range, in the order in which they are looked at; what is rejected has no options."""
+    def collection(*entries, **head):
+        return json.dumps({"schema": "halftone-recipes", "version": 1, "recipes": list(entries), **head})
+
+    of = lambda **o: {"id": "i", "name": " n ", "options": o}
+    cases = [
+        (of(lpi=30, knockout=True, key="#102030", odd=[1]), None), (of(lpi="30"), "number: lpi"), (of(knockout=0), "boolean: knockout"), (of(key=["#102030"]), "text: key"), (of(key="#" * 81), "text: key"), (of(knockout="x", angle="y"), "number: angle"),
+        (of(lpi=None, key=None), None), (of(lpi=151), "range: lpi"), (of(edgeRadius=1.5), "range: edge_radius"), (of(presmooth=3), "range: presmooth"), (of(viewMode="side"), "range: viewMode"), (of(previewColor="red"), "range: previewColor"),
+        (of(widthCM=1001), "range: widthCM"), (of(focusX=-1), "range: focusX"), (of(gainPoints="30"), "range: gain_points"), (of(lpi=100), "range: resolution"), (of(lpi=100, halftone=False), None), ({"id": "i", "name": "n"}, None),
+        ({"id": "i", "name": "n", "options": None}, "options"), ({"id": "i", "name": "n", "options": [1]}, "options"), ({"id": "i", "name": "", "options": {}}, "no name"), ({"name": 7, "areas": {"front": {"M": [1, 2.5]}}}, None), ("text", "recipe"),
+        ({"name": "n", "areas": {"front": {"M": [1]}}}, "areas"), ({"name": "n", "areas": {"front": {"M": [1, "2"]}}}, "areas"), ({"name": "n", "areas": {"front": {"4XL": [1, 2]}}}, "areas"), ({"name": "n", "areas": {"hat": {}}}, "areas"), ({"name": "n", "areas": [1]}, "areas"),
+        ({"name": "n", "areas": {"front": {"M": [0, 5]}}}, "areas"), ({"name": "n", "areas": {"front": 3}}, "areas"), ({"name": "n", "profile": {"brand": "b", "calibrated": 1}}, None),
+    ]
+    got = tables.read_recipes(spark.createDataFrame([(collection(c[0]),) for c in cases], "value string").coalesce(1)).collect()
+    assert [r["error"] for r in got] == [e for _, e in cases]
+    assert all((r["options"] is None) == (e not in (None, "no name", "recipe")) for r, (_, e) in zip(got, cases, strict=True))
+    assert got[0]["options"]["lpi"] == 30 and got[0]["name"] == "n" and got[21]["areas"] == {"front": {"M": [1.0, 2.5]}} and got[21]["name"] == "7" and got[21]["id"].startswith("recipe-")
+    assert got[-1]["profile"]["brand"] == "b" and got[-1]["profile"]["calibrated"] is False
+    bad = [collection(version="1"), collection(version=2), collection(schema="x"), collection(*[of()] * 101), "{", "[]", collection(of()) + " " * 2_000_000, None]
+    assert [r["error"] for r in tables.read_recipes(spark.createDataFrame([(b,) for b in bad], "value string")).collect()] == ["format"] * len(bad)
+    many = tables.read_recipes(tables.write_recipes(spark.range(250).selectExpr("lpad(id, 4, '0') AS id", "'n' AS name", f"cast(null AS {schema.OPTIONS}) AS options", f"cast(null AS {schema.AREAS}) AS areas", f"cast(null AS {schema.PROFILE}) AS profile").repartition(7)))
+    assert sorted(r["id"] for r in many.collect()) == [f"{i:04d}" for i in range(250)]
+
+
+def test_report_in_parts(spark, tmp_path):
+    """The parts, one after the other, are the report, byte for byte, in the order of the ids."""
+    rows = [(i, f'a "{i}"' if i % 3 else "=1+1", "M", 12.0 if i % 2 else 2.5, None if i % 5 else "é;\n") for i in range(500)]
+    random.Random(4).shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, image string, size string, widthCM double, error string").repartition(9)
+    parts = tables.write_report_csv(df, f"{tmp_path}/r", 100).orderBy("part").collect()
+    cell = lambda x: '"' + x.replace('"', '""') + '"'
+    lines = ["﻿" + ",".join(names.REPORT_FIELDS)]
+    for i, image, size, width, error in sorted(rows):
+        cells = ["'" + image if image.startswith("=") else image, size, "", "", "", "12" if width == 12.0 else "2.5", *[""] * 9, error or ""]
+        lines.append(",".join(map(cell, cells)))
+    want = "".join(x + "\r\n" for x in lines).encode()
+    assert len(parts) > 1
+    got = b""
+    for p in parts:
+        data = (tmp_path / "r" / p["name"]).read_bytes()
+        assert (p["offset"], p["bytes"], p["hash"], p["lines"]) == (len(got), len(data), hashlib.sha256(data).hexdigest(), data.count(b"\r\n"))
+        got += data
+    assert got == want
+    assert [tuple(r) for r in tables.read_report(spark, f"{tmp_path}/r").orderBy("line").collect()] == list(enumerate(lines))
+    assert tables.write_report_csv(df.limit(0), f"{tmp_path}/none").select("lines").first()[0] == 1
