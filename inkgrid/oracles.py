@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 PI = repr(math.pi)
 
@@ -257,6 +258,51 @@ def _white(choke: int, cap: int) -> str:
 
 _DEBOUNCED = "WITH e AS (SELECT user_id::VARCHAR AS key, event_id AS id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) SELECT key, id, epoch_us(ts + INTERVAL 4 HOUR) AS fires_at FROM e WHERE nx IS NULL OR nx >= ts + INTERVAL 4 HOUR"
 
+_PLAIN_REC = "rec(recipe_id, shape, knockout, recover, key, inb, mid, inw, outw, halftone) AS (VALUES " + ", ".join(f"({i}, 'round', true, false, 0, 0e0, 1e0, 255e0, 255e0, true)" for i in range(5)) + ")"
+_PLAIN = f"WITH {_ART}, {_PX}, {_PLAIN_REC}, {_COV}{_SCREEN}"
+#: Pores of fewer than five pixels (0.2 mm) that are candidates as a whole. A pore is joined along sides.
+_PORES = (
+    f"{_PLAIN}, i AS (SELECT *, image_id * 4096 + y * 64 + x AS pid, a > 0 AND value >= 0.03e0 AND value > 0 AS may FROM s WHERE NOT ink), nb AS (SELECT a.pid AS p, b.pid AS q FROM i a, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) d(dx, dy) JOIN i b ON b.image_id = a.image_id AND b.x = a.x + dx AND b.y = a.y + dy), "
+    + _balls().partition("k1 AS")[1]
+    + _balls().partition("k1 AS")[2]
+    + """, f AS (SELECT island, count(*) AS n, min(p) AS p, sum(x * 64 + y) AS places FROM ball JOIN i ON pid = p GROUP BY island HAVING bool_and(may)),
+g AS (SELECT p // 4096 AS image_id, sum(n)::BIGINT AS filled, count(*) AS pores, sum(places)::BIGINT AS places FROM f GROUP BY ALL),
+t AS (SELECT image_id, count(*) FILTER (ink) AS ink, coalesce(sum(CASE WHEN ink THEN x * 64 + y END), 0)::BIGINT AS places FROM s GROUP BY image_id)
+SELECT t.image_id, (ink + coalesce(filled, 0))::BIGINT AS ink_pixels, coalesce(filled, 0)::BIGINT AS filled_pixels, coalesce(pores, 0)::BIGINT AS filled_components, (t.places + coalesce(g.places, 0))::BIGINT AS places FROM t LEFT JOIN g USING (image_id)"""
+)
+
+
+def _around(c: str, table: str, to: str, f: str, beyond: str) -> str:
+    """CTE `to`: f over a pixel and its four neighbours of c in `table`; beyond the image stands `beyond`."""
+    side = lambda n, by, over: f"{n}({c}, 1, {beyond}) OVER (PARTITION BY image_id, {over} ORDER BY {by})"
+    return f"{to} AS (SELECT *, {f}({c}, {side('lag', 'x', 'y')}, {side('lead', 'x', 'y')}, {side('lag', 'y', 'x')}, {side('lead', 'y', 'x')}) AS {to}_v FROM {table})"
+
+
+def _three(c: str, by: str, over: str) -> str:
+    """The sum of three pixels in a line, edge pixels repeated."""
+    return f"{c} + lag({c}, 1, {c}) OVER (PARTITION BY image_id, {over} ORDER BY {by}) + lead({c}, 1, {c}) OVER (PARTITION BY image_id, {over} ORDER BY {by})"
+
+
+#: With the standard cleanup at 35 lpi an opening blurs over 3 x 3 pixels, and erodes and dilates by a cross.
+_OPENINGS = f"""{_PLAIN}, m AS (SELECT image_id, x, y, ink::INT AS i FROM s), b1 AS (SELECT *, {_three("i", "x", "y")} AS h FROM m), b2 AS (SELECT *, (2 * ({_three("h", "y", "x")}) >= 9)::INT AS b FROM b1),
+{_around("b", "b2", "er", "least", "1")}, {_around("er_v", "er", "di", "greatest", "0")}
+SELECT image_id, count(*) FILTER (i = 1 AND di_v = 1) AS ink_pixels, count(*) FILTER (i = 1 AND di_v = 0) AS removed_pixels, coalesce(sum(CASE WHEN i = 1 AND di_v = 1 THEN x * 64 + y END), 0)::BIGINT AS places FROM di GROUP BY image_id"""
+
+
+def _smoothed() -> str:
+    """The screen of a coverage in 16 bits that is blurred over 11 pixels each way, transparent ones left out, with sums of 32 bits."""
+    k = [struct.unpack("f", struct.pack("f", math.exp(-(i * i) / (2 * 1.4 * 1.4))))[0] for i in range(-5, 6)]
+    line = lambda c, by, over: " + ".join(f"{w!r}::DOUBLE * {'lag' if i < 0 else 'lead'}({c}, {abs(i)}, 0e0) OVER (PARTITION BY image_id, {over} ORDER BY {by})" for i, w in zip(range(-5, 6), k, strict=True))
+    short = lambda x: f"({x})::FLOAT::DOUBLE"
+    blur = f"""g0 AS (SELECT *, CASE WHEN a > 0 AND raw > 0 THEN greatest(1e0, least(65535e0, floor(raw * 65535e0 + 0.5e0))) ELSE 0e0 END AS cov, (a > 0)::INT::DOUBLE AS seen FROM c2),
+g1 AS (SELECT *, {short(line("cov", "x", "y"))} AS num, {short(line("seen", "x", "y"))} AS den FROM g0),
+g2 AS (SELECT *, {line("num", "y", "x")} AS n2, {line("den", "y", "x")} AS d2 FROM g1),
+g3 AS (SELECT * REPLACE (CASE WHEN a > 0 AND d2 > 0 THEN greatest(0e0, least(65535e0, floor(n2 / d2 + 0.5e0))) / 65535e0 ELSE 0e0 END AS raw) FROM g2),
+"""
+    first, _, last = _COV.partition("c3 AS")
+    return f"WITH {_ART}, {_PX}, {_PLAIN_REC}, {first}{blur}c3 AS{last.replace('FROM c2)', 'FROM g3)')}{_SCREEN} SELECT image_id, count(*) FILTER (ink) AS ink_pixels, coalesce(sum(CASE WHEN ink THEN x * 64 + y END), 0)::BIGINT AS places FROM s GROUP BY image_id"
+
+
 #: Why each of sixteen kinds of options is rejected, and the screen of those that aren't.
 _ODD = ("NULL", "'number: lpi'", "'boolean: knockout'", "'text: key'", "'range: lpi'", "'range: shape'", "'options'", "'areas'", "'range: garment'", "'areas'", "'text: key'", "'range: presmooth'", "'range: widthCM'", "'boolean: knockout'", "'range: input black and white'", "NULL")
 _RECIPE_RULES = f"""WITH {_ART}, k AS (SELECT *, image_id % 16 AS k, (image_id // 50) % 10 = 3 AS old, image_id % 23 = 0 AS bare FROM art),
@@ -269,6 +315,9 @@ SELECT line, value, (SELECT sum(strlen(value) + 2) FROM t)::BIGINT AS bytes FROM
 ORACLE_SQL: dict[str, str] = {
     "tile_process": _PROCESS,
     "white_layer": _white(3, 9),
+    "pores": _PORES,
+    "openings": _OPENINGS,
+    "smoothed": _smoothed(),
     "ink_cost": _ALL
     + """, n AS (SELECT image_id, any_value(width) AS w, any_value(height) AS h, count(*) FILTER (ink) AS ink_pixels, count(*) FILTER (raw >= 0.5e0 AND a > 0) AS solid_pixels FROM s GROUP BY image_id),
 o AS (SELECT *, ink_pixels / (w * h)::DOUBLE * 100e0 AS cov, ink_pixels / (w * h)::DOUBLE AS f, greatest(ink_pixels, solid_pixels) / (w * h)::DOUBLE AS q, (w / 300e0 * 2.54e0) * (h / 300e0 * 2.54e0) AS area FROM n)

@@ -195,6 +195,30 @@ def tile_cleanup(spark: SparkSession, d: str) -> DataFrame:
     return process.tile_stats(process.process_tiles(t, art, options.with_defaults(options.recipes(spark, r)), TILE))
 
 
+def _cleaned(spark: SparkSession, d: str, **o) -> DataFrame:
+    """Stats of all art by one recipe on tiles, with the places of its ink."""
+    art, t = _tiles(spark, d)
+    r = options.with_defaults(options.recipes(spark, [{"recipe_id": i, "min_diameter_mm": 0.0, **o} for i in range(5)]))
+    out = keep(process.process_tiles(t, art, r, TILE), "cleaned")
+    places = tiles.tiles_to_pixels(out).groupBy("image_id").agg(F.sum(F.col("x") * 64 + F.col("y")).alias("places"))
+    return process.tile_stats(out).join(places, "image_id", "left").withColumn("places", F.coalesce("places", F.lit(0)))
+
+
+def pores(spark: SparkSession, d: str) -> DataFrame:
+    """Small pores of all art filled, by tiles."""
+    return _cleaned(spark, d, fill_holes_mm=0.2).select("image_id", "ink_pixels", "filled_pixels", "filled_components", "places")
+
+
+def openings(spark: SparkSession, d: str) -> DataFrame:
+    """The screen of all art opened, by tiles."""
+    return _cleaned(spark, d, cleanup_mode="opening").select("image_id", "ink_pixels", "removed_pixels", "places")
+
+
+def smoothed(spark: SparkSession, d: str) -> DataFrame:
+    """The screen of all art after a blur of its coverage, by tiles."""
+    return _cleaned(spark, d, presmooth=1).select("image_id", "ink_pixels", "places")
+
+
 def white_layer(spark: SparkSession, d: str) -> DataFrame:
     """Colour and white pixels by image."""
     art, t = _tiles(spark, d)
@@ -568,7 +592,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ink_cost, ink_cost_pixels, tile_composites, boosted_colors, ink_by_recipe, shapes_by_image, tone_response, gain_compensation, gain_summaries, gain_parse, option_rules, trim, composites, previews, turned_white, edge_protection, masks, tile_roundtrip, tile_process,
-        tile_cleanup, white_layer, crops, tile_audit, checksums, resampled, thumbnail_sums, brand_mockups, print_plans, variant_sizes, derived_sizes, file_names, job_variants, job_preflight, job_manifest,
+        tile_cleanup, pores, openings, smoothed, white_layer, crops, tile_audit, checksums, resampled, thumbnail_sums, brand_mockups, print_plans, variant_sizes, derived_sizes, file_names, job_variants, job_preflight, job_manifest,
         recipe_files, recipe_rules, report_file, latest_state, journal_audit, state_summary, job_resume, source_identity, export_checks, ink_sentences, sheet_copies, sheet_rules, sheet_packing, sheet_marks, sheet_checks, brand_sheets, batch_run, debounced,
         stream_state, stream_requests,
     )
