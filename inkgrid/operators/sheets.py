@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from inkgrid.functions.sizing import MOST_PIXELS, cm_to_px, mm_to_px, px_to_cm
 from inkgrid.operators.tiles import CORE, batch_of, rows_of
 from inkgrid.schema import TILES
+from inkgrid.sources.workspace import keep
 
 PLACED = "job_id long, sheet int, id long, name string, copy int, x int, y int, width int, height int, rotated boolean, sheet_width int, sheet_height int, problem string"
 #: Cut marks in mm (distance, length, thickness) and the spacing and margin they need.
@@ -182,11 +183,23 @@ def cut_marks(placed: DataFrame) -> DataFrame:
     return placed.where("sheet is not null").select("job_id", "sheet", F.explode(F.array(*flat, *tall)).alias("m")).select("job_id", "sheet", "m.*")
 
 
+#: Copies of a design that meet its tiles in one task, about.
+SHARE = 4096
+
+
+def _with_tiles(place: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Each copy with its design's tiles. The copies of a design are dealt into shares by their place, and each share gets the tiles once: a design with a million copies is many tasks' work. place: written."""
+    shares = place.groupBy("image_id").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    copies = place.join(shares, "image_id").withColumn("share", F.pmod(F.xxhash64("job_id", "sheet", "x", "y"), F.col("shares")).cast("int")).drop("shares")
+    own = tiles.select("image_id", "left", "top", "width", "height", "data").join(shares, "image_id").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    return copies.join(own, ["image_id", "share"])
+
+
 def compose_sheets(placed: DataFrame, tiles: DataFrame, marks: DataFrame | None = None, core: int = CORE) -> DataFrame:
     """TILES of the sheets (image_id is a hash of job and sheet; job_id and sheet are added). tiles: of designs, image_id as in placed.id. Each placed copy takes its
     design's tiles, turned where the copy is turned; each then falls into some tiles of the sheet. Black marks lie over all."""
-    place = placed.where("sheet is not null").select("job_id", "sheet", F.col("id").alias("image_id"), "x", "y", F.col("width").alias("pw"), "rotated", F.col("sheet_width").alias("gw"), F.col("sheet_height").alias("gh"))
-    j = place.join(tiles.select("image_id", "left", "top", "width", "height", "data"), "image_id")
+    place = keep(placed.where("sheet is not null").select("job_id", "sheet", F.col("id").alias("image_id"), "x", "y", F.col("width").alias("pw"), "rotated", F.col("sheet_width").alias("gw"), F.col("sheet_height").alias("gh")), "sheet-places")
+    j = _with_tiles(place, tiles)
     schema = "job_id long, sheet int, tile_y int, tile_x int, z int, left int, top int, width int, height int, gw int, gh int, data binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +217,7 @@ def compose_sheets(placed: DataFrame, tiles: DataFrame, marks: DataFrame | None
 
     pieces = j.mapInArrow(cut, schema)
     if marks is not None:
-        size = placed.where("sheet is not null").select("job_id", "sheet", F.col("sheet_width").alias("gw"), F.col("sheet_height").alias("gh")).distinct()
+        size = place.select("job_id", "sheet", "gw", "gh").distinct()
         cell = lambda a, n: F.sequence(F.floor(F.greatest(F.lit(0), F.col(a)) / core), F.floor((F.col(a) + F.col(n) - 1) / core))
         m = marks.where("left + width > 0 and top + height > 0").join(size, ["job_id", "sheet"]).withColumn("ty", F.explode(cell("top", "height"))).withColumn("tx", F.explode(cell("left", "width")))
         m = m.select("job_id", "sheet", F.col("ty").cast("int").alias("tile_y"), F.col("tx").cast("int").alias("tile_x"), F.lit(1).alias("z"), "left", "top", "width", "height", "gw", "gh", F.lit(None).cast("binary").alias("data"))

@@ -526,7 +526,7 @@ def brand_sheets(spark: SparkSession, d: str) -> DataFrame:
     part = F.floor((F.row_number().over(_by("p_brand", "image_id")) - 1) / 500)  # a roll has 500 designs at most
     items = art.select((brand * 1_000_000 + part).alias("job_id"), F.col("image_id").alias("id"), "name", "width", "height", F.lit(1).alias("copies"))
     jobs = items.select("job_id").distinct().select("job_id", F.lit(10.0).alias("width_cm"), F.lit(6.0).alias("spacing_mm"), F.lit(True).alias("marks"))
-    placed = sheets.pack_sheets(items, jobs)
+    placed = keep(sheets.pack_sheets(items, jobs), "placed")
     out = sheets.compose_sheets(placed, t, sheets.cut_marks(placed), 256)
     p = tiles.tiles_to_pixels(out.drop("image_id").withColumn("image_id", F.col("job_id")))
     return p.groupBy(F.col("image_id").alias("job_id")).agg(F.count("*").alias("pixels"), F.count_if(F.expr("r = 0 and g = 0 and b = 0 and a = 255")).alias("black"), F.sum("r").alias("r"), F.sum("a").alias("a"))

@@ -225,3 +225,27 @@ def test_folder_where_none_is_set():
     assert shared_dir(of("local[4]")).startswith("file:///") and shared_dir(of("local[4]")) == shared_dir(of("local[2]"))
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(of("spark://host:7077"))
+
+
+def test_a_design_with_many_copies(spark, monkeypatch):
+    """Copies of one design in many shares, some turned, give the sheet that one array gives."""
+    from inkgrid import schema
+    from inkgrid.operators import tiles
+
+    monkeypatch.setattr(sheets, "SHARE", 7)
+    rng = np.random.default_rng(5)
+    art = rng.integers(0, 256, (9, 12, 4)).astype(np.uint8)
+    art[..., 3] = np.where(rng.random((9, 12)) < 0.3, 0, 255)
+    px = [(1, x, y, *map(int, art[y, x])) for y in range(9) for x in range(12) if art[y, x, 3]]
+    t = tiles.pixels_to_tiles(spark.createDataFrame(px, schema.PIXELS), spark.createDataFrame([(1, 12, 9)], "image_id long, width int, height int"), 8)
+    want, placed = np.zeros((130, 140, 4), np.uint8), []
+    for n in range(100):
+        x, y, turned = n % 10 * 13 + 2, n // 10 * 13, n % 3 == 0
+        d = np.rot90(art, -1) if turned else art
+        h, w = d.shape[:2]
+        want[y : y + h, x : x + w] = np.where(d[..., 3:] > 0, d, 0)
+        placed.append((5, 0, 1, "a", n, x, y, w, h, turned, 140, 130, None))
+    out = np.zeros_like(want)
+    for r in sheets.compose_sheets(spark.createDataFrame(placed, sheets.PLACED), t, None, 32).collect():
+        out[r["top"] : r["top"] + r["height"], r["left"] : r["left"] + r["width"]] = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 4)
+    assert (out == want).all()
