@@ -5,11 +5,11 @@ Tiles go to Python as Arrow batches, which Spark bounds by their bytes, and are
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,49 +183,70 @@ def tile_bounds(tiles: DataFrame) -> DataFrame:
 
 
 def read_crop(tiles: DataFrame, crops: DataFrame, core: int = CORE) -> DataFrame:
-    """crops: (crop_id, image_id, left, top, width, height). (crop_id, width, height, data, error): the pixels of each crop, from the tiles it meets (found by grid
-    cell, an equi-join). A tile that is missing or too short is an error, and the crop has no data."""
-    cell = lambda a, n: F.sequence(F.floor(F.col(a) / core), F.floor((F.col(a) + F.col(n) - 1) / core))
-    c = crops.select("crop_id", "image_id", F.col("left").alias("cl"), F.col("top").alias("ct"), F.col("width").alias("cw"), F.col("height").alias("ch"), F.explode(cell("left", "width")).alias("tile_x"), cell("top", "height").alias("ys"))
-    c = c.select("crop_id", "image_id", "cl", "ct", "cw", "ch", F.col("tile_x").cast("int").alias("tile_x"), F.explode(F.col("ys").cast("array<int>")).alias("tile_y"))
-    j = c.join(tiles.select(*KEY, "left", "top", "width", "height", "components", "data"), KEY, "left")
-
-    def build(f: pd.DataFrame) -> pd.DataFrame:
-        r = f.iloc[0]
-        cl, ct, cw, ch, error, out = int(r.cl), int(r.ct), int(r.cw), int(r.ch), None, None
-        for t in f.itertuples():
-            if t.data is None:
-                error = "missing tile"
-                break
-            n = int(t.components)
-            if len(t.data) != int(t.width) * int(t.height) * n:
-                error = "short tile"
-                break
-            out = np.zeros((ch, cw, n), np.uint8) if out is None else out
-            d, left, top = np.frombuffer(t.data, np.uint8).reshape(int(t.height), int(t.width), n), int(t.left), int(t.top)
-            x0, y0, x1, y1 = max(cl, left), max(ct, top), min(cl + cw, left + d.shape[1]), min(ct + ch, top + d.shape[0])
-            out[y0 - ct : y1 - ct, x0 - cl : x1 - cl] = d[y0 - top : y1 - top, x0 - left : x1 - left]
-        return pd.DataFrame([(r.crop_id, cw, ch, None if error else out.tobytes(), error)], columns=["crop_id", "width", "height", "data", "error"])
-
-    return j.groupBy("crop_id").applyInPandas(build, f"crop_id {crops.schema['crop_id'].dataType.simpleString()}, width int, height int, data binary, error string")
-
-
-def fnv1a(data: list[bytes]) -> list[int]:
-    """The 32-bit FNV-1a of each. A step is h -> (h ^ byte) * prime mod 2**32, a map of 32 bits in which each bit of the result depends on that bit and lower ones
-    only, so bytes can't be taken in another order: values of a batch are worked on side by side, a place at a time."""
-    size = np.array([len(d) for d in data], np.int64)
-    order = np.argsort(-size, kind="stable")
-    wide = np.zeros((int(size.max(initial=0)), len(data)), np.uint8)
-    for k, i in enumerate(order):
-        wide[: size[i], k] = np.frombuffer(data[i], np.uint8)
-    h, prime = np.full(len(data), 0x811C9DC5, np.uint32), np.uint32(0x01000193)
-    live = np.searchsorted(-size[order], -np.arange(len(wide)), side="left")
-    for p in range(len(wide)):
-        n = live[p]
-        h[:n] = (h[:n] ^ wide[p, :n]) * prime
-    out = np.zeros(len(data), np.int64)
-    out[order] = h
-    return out.tolist()
+    """crops: (crop_id, image_id, left, top, width, height), crop_id a long. The pixels of each crop as tiles of its own (TILES, image_id being crop_id), with `error`: each is made of the at most four tiles of the image that it
+    meets (found by grid cell, an equi-join), so a crop of any size takes a few tiles' memory. A tile that is missing or too short is the error of a row without pixels, and the crop has no others."""
+    cell = lambda a, n: F.sequence(F.floor(F.col(a) / core), F.floor((F.col(a) + F.col(n) - 1) / core)).cast("array<int>")
+    c = crops.select("crop_id", "image_id", F.col("left").alias("cl"), F.col("top").alias("ct"), F.col("width").alias("cw"), F.col("height").alias("ch"))
+    c = c.withColumn("tile_x", F.explode(cell("cl", "cw"))).withColumn("tile_y", F.explode(cell("ct", "ch")))
+    own = tiles.select(*KEY, "left", "top", "width", "height", "components", F.octet_length("data").alias("bytes"))
+    wrong = F.when(F.col("bytes").isNull(), "missing tile").when(F.col("bytes") != F.col("width") * F.col("height") * F.col("components"), "short tile")
+    bad = c.join(own, KEY, "left").withColumn("error", wrong).where("error is not null").groupBy("crop_id").agg(F.min("error").alias("error"))
+    sound = c.join(bad, "crop_id", "left_anti").join(tiles.select(*KEY, "left", "top", "width", "height", "components", "data"), KEY)
+    part = "image_id long, oy int, ox int, x int, y int, w int, h int, cw int, ch int, components int, data binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for t in rows_of(batches):
+            d, left, top = raster(t), t.left - t.cl, t.top - t.ct  # places within the crop
+            x0, y0, x1, y1 = max(0, left), max(0, top), min(t.cw, left + t.width), min(t.ch, top + t.height)
+            for oy in range(y0 // core, (y1 - 1) // core + 1):
+                for ox in range(x0 // core, (x1 - 1) // core + 1):
+                    u0, v0, u1, v1 = max(x0, ox * core), max(y0, oy * core), min(x1, (ox + 1) * core), min(y1, (oy + 1) * core)
+                    yield t.crop_id, oy, ox, u0, v0, u1 - u0, v1 - v0, t.cw, t.ch, t.components, d[v0 - top : v1 - top, u0 - left : u1 - left].tobytes()
+
+    def build(f):
+        parts = list(rows_of(f.to_batches()))
+        r = parts[0]
+        left, top = r.ox * core, r.oy * core
+        out = np.zeros((min(core, r.ch - top), min(core, r.cw - left), r.components), np.uint8)
+        for p in parts:
+            out[p.y - top : p.y - top + p.h, p.x - left : p.x - left + p.w] = np.frombuffer(p.data, np.uint8).reshape(p.h, p.w, p.components)
+        return pa.Table.from_batches([batch_of([(r.image_id, r.ox, r.oy, left, top, out.shape[1], out.shape[0], r.components, out.tobytes())], TILES)])
+
+    made = sound.select("crop_id", "cl", "ct", "cw", "ch", "left", "top", "width", "height", "components", "data").mapInArrow(lambda batches: batches_of(cut(batches), part), part)
+    out = made.groupBy("image_id", "oy", "ox").applyInArrow(build, TILES)
+    return out.withColumn("error", F.lit(None).cast("string")).unionByName(bad.select(F.col("crop_id").cast("long").alias("image_id"), "error"), allowMissingColumns=True)
+
+
+_PRIME = 0x01000193
+
+
+@functools.lru_cache(8)
+def _powers(n: int) -> np.ndarray:
+    """prime**n, ..., prime**1 mod 2**32."""
+    return np.multiply.accumulate(np.full(n, _PRIME, np.uint32), dtype=np.uint32)[::-1].copy()
+
+
+def fnv1a(data: bytes) -> int:
+    """The 32-bit FNV-1a: h -> (h ^ byte) * prime mod 2**32 for each byte, all at once.
+
+    A byte changes only the low eight bits, so h ^ byte is h plus a difference that depends on those alone; with the differences known the hash is a sum of them times powers of the prime. Of the low eight bits each bit is
+    itself, the byte's bit and what lower bits carry into it, combined by exclusive or: bit by bit a running exclusive or over all bytes.
+    """
+    b = np.frombuffer(data, np.uint8)
+    if not len(b):
+        return 0x811C9DC5
+    x = np.zeros(len(b), np.uint8)  # h ^ byte in its low bits, those known so far
+    for k in range(8):
+        one = np.uint8(1 << k)
+        step = (x * np.uint8(_PRIME & 0xFF) ^ b) & one
+        bit = np.bitwise_xor.accumulate(step)
+        bit[1:] = bit[:-1].copy()
+        bit[0] = 0
+        x |= (bit ^ b ^ np.uint8(0x811C9DC5 & 0xFF)) & one
+    change = (x.astype(np.int32) - (x ^ b)).astype(np.uint32)
+    powers = _powers(len(b))
+    with np.errstate(over="ignore"):
+        return int(np.uint32(0x811C9DC5) * powers[0] + (change * powers).sum(dtype=np.uint32))
 
 
 def tile_checksum(tiles: DataFrame) -> DataFrame:
@@ -233,7 +254,7 @@ def tile_checksum(tiles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = fnv1a([x.as_buffer() for x in b.column(3)])
+            found = [fnv1a(x.as_buffer()) for x in b.column(3)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([f"{x:08x}" for x in found])], [*KEY, "fnv"])
 
     return tiles.select(*KEY, "data").mapInArrow(run, "image_id long, tile_y int, tile_x int, fnv string")

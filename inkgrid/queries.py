@@ -230,9 +230,8 @@ def crops(spark: SparkSession, d: str) -> DataFrame:
     """A crop of each image across its tiles."""
     art, t = _tiles(spark, d)
     c = art.select(F.col("image_id").alias("crop_id"), "image_id", F.lit(5).alias("left"), F.lit(3).alias("top"), (F.col("width") - 8).alias("width"), (F.col("height") - 7).alias("height"))
-    got = tiles.read_crop(t, c, TILE).where("error is null")
-    as_tiles = got.select(F.col("crop_id").alias("image_id"), F.lit(0).alias("left"), F.lit(0).alias("top"), "width", "height", F.lit(4).alias("components"), "data")
-    return tiles.tiles_to_pixels(as_tiles).groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum(F.col("r") * (F.col("x") + 1)).alias("r"), F.sum(F.col("a") * (F.col("y") + 1)).alias("a"))
+    got = tiles.read_crop(t, c, TILE).where("error is null").drop("error")
+    return tiles.tiles_to_pixels(got).groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum(F.col("r") * (F.col("x") + 1)).alias("r"), F.sum(F.col("a") * (F.col("y") + 1)).alias("a"))
 
 
 def tile_audit(spark: SparkSession, d: str) -> DataFrame:

@@ -105,10 +105,11 @@ def test_crops(spark):
     d = raster(3)
     t = as_tiles(spark, {1: d}, 16)
     crops = spark.createDataFrame([(1, 1, 10, 5, 40, 30), (2, 1, 0, 0, W, H), (3, 9, 0, 0, 4, 4)], "crop_id long, image_id long, left int, top int, width int, height int")
-    got = {r["crop_id"]: r for r in tiles.read_crop(t, crops, 16).collect()}
-    assert got[1]["data"] == d[5:35, 10:50].tobytes() and got[2]["data"] == d.tobytes() and got[3]["error"] == "missing tile"
+    got = tiles.read_crop(t, crops, 16).cache()
+    assert (whole(got, 1, (30, 40, 4)) == d[5:35, 10:50]).all() and (whole(got, 2, d.shape) == d).all() and got.where("image_id = 3").first()["error"] == "missing tile"
+    assert got.where("error is null").groupBy("image_id").count().orderBy("image_id").collect() == [(1, 6), (2, 20)] and got.selectExpr("max(length(data))").first()[0] == 16 * 16 * 4
     short = t.withColumn("data", F.when(F.col("tile_x") == 1, F.substring("data", 1, 9)).otherwise(F.col("data")))
-    assert {r["crop_id"]: r["error"] for r in tiles.read_crop(short, crops, 16).collect()}[1] == "short tile"
+    assert {r["image_id"]: r["error"] for r in tiles.read_crop(short, crops, 16).collect()} == {1: "short tile", 2: "short tile", 3: "missing tile"}
 
 
 def test_checksums(spark):
