@@ -90,6 +90,20 @@ def tiles_to_pixels(tiles: DataFrame, keep_transparent: bool = False) -> DataFra
     return tiles.select("image_id", "left", "top", "width", "height", "components", "data").mapInArrow(run, PIXELS)
 
 
+def pixel_sums(tiles: DataFrame) -> DataFrame:
+    """(image_id, pixels, r, g, b, a): of each image's pixels that aren't transparent their number and the sums of their components. A tile gives five numbers."""
+    sums = "image_id long, pixels long, r long, g long, b long, a long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for t in rows_of(batches):
+            d = raster(t).reshape(-1, 4)
+            on = d[:, 3] > 0
+            yield t.image_id, int(np.count_nonzero(on)), *(int(x) for x in (d if on.all() else d[on]).sum(axis=0, dtype=np.int64))
+
+    found = tiles.select("image_id", "width", "height", "components", "data").mapInArrow(lambda batches: batches_of(run(batches), sums), sums)
+    return found.groupBy("image_id").agg(*(F.sum(c).alias(c) for c in ("pixels", "r", "g", "b", "a")))
+
+
 def halo_exchange(tiles: DataFrame, core: int) -> DataFrame:
     """PIECE rows: for each tile its own pixels, and the strips of its neighbours that lie within its image's `halo`. One shuffle by the caller brings a tile's
     pieces together; it moves the tiles once and the strips, not whole neighbours. tiles: TILES with image_width, image_height, halo and extra (any text, which

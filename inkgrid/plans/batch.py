@@ -46,6 +46,16 @@ def dense_ids(df: DataFrame, major: str, minor: list[str], block: int = 4096) ->
     return df.withColumn("__own", own).join(first, F.col(major) == F.col("__m")).withColumn("id", F.col("__first") + F.col("__own")).drop("__m", "__first", "__own")
 
 
+def places_within(df: DataFrame, group: str, by: str, block: int = 4096) -> DataFrame:
+    """Adds place: 0, 1, ... within each group in the order of `by` (an integer). Places are counted within blocks of `by`, and a group's blocks (a row for each) are added up, so a group with most of the rows is many tasks' work."""
+    dealt = df.withColumn("__b", F.floor(F.col(by) / block))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = dealt.groupBy(group, "__b").agg(F.count("*").alias("__n")).select(F.col(group).alias("__g"), F.col("__b").alias("__k"), before.alias("__base"))
+    own = F.row_number().over(Window.partitionBy(group, "__b").orderBy(by)) - 1
+    joined = dealt.withColumn("__own", own).join(base, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__k")))
+    return joined.withColumn("place", F.col("__base") + F.col("__own")).drop("__b", "__own", "__g", "__k", "__base")
+
+
 def preflight(variants: DataFrame, artworks: DataFrame, recipes: DataFrame, disk_budget_gb: float = 0.0) -> DataFrame:
     """Ready rows with plan, resources and warnings, and error rows. artworks: (image_idx, width, height, error): size of the (trimmed) art, or why a source can't be read."""
     v = variants.drop("error").join(artworks.select("image_idx", "width", "height", F.col("error").alias("source_error")), "image_idx", "left").join(with_defaults(recipes), "recipe_id", "left")

@@ -285,9 +285,8 @@ def _canvas_sums(batches):
 def tile_composites(spark: SparkSession, d: str) -> DataFrame:
     """P15 by tiles: over the checker board and over a colour."""
     t = views.tiles(_art(spark, d), TILE)
-    one = tiles.tiles_to_pixels(process.composite_tiles(t)).groupBy("image_id").agg(*(F.sum(c).alias(f"board_{c}") for c in "rgb"))
-    two = tiles.tiles_to_pixels(process.composite_tiles(t, (18, 52, 86))).groupBy("image_id").agg(*(F.sum(c).alias(f"over_{c}") for c in "rgb"))
-    return one.join(two, "image_id")
+    of = lambda df, name: tiles.pixel_sums(df).select("image_id", *(F.col(c).alias(f"{name}_{c}") for c in "rgb"))
+    return of(process.composite_tiles(t), "board").join(of(process.composite_tiles(t, (18, 52, 86)), "over"), "image_id")
 
 
 def print_plans(spark: SparkSession, d: str) -> DataFrame:
@@ -361,7 +360,7 @@ def job_preflight(spark: SparkSession, d: str) -> DataFrame:
 def job_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Manifests of a brand's art as JSON, 500 images each at most, read again and checked."""
     i = F.col("image_id")
-    p = _art(spark, d).withColumn("at", F.row_number().over(_by("p_brand", "image_id")) - 1).withColumns({"part": F.floor(F.col("at") / 500), "pos": F.col("at") % 500})
+    p = batch.places_within(_art(spark, d), "p_brand", "image_id").withColumns({"part": F.floor(F.col("place") / 500), "pos": F.col("place") % 500})
     output = F.concat_ws("/", F.lit("M"), names.output_name(F.col("pos"), F.col("name"), F.lit("M"), F.when(i % 5 == 0, "back").otherwise("front")))
     row = F.struct(F.when(i % 17 == 0, F.col("pos") + 1).otherwise(F.col("pos")).cast("long").alias("id"), F.when(i % 19 == 0, -1).otherwise(F.col("pos")).cast("long").alias("index"), F.col("name").alias("image"), F.lit("M").alias("size"), F.lit("front").alias("placement"), output.alias("output"))
     source = F.struct(F.col("name").alias("name"))
@@ -370,15 +369,9 @@ def job_manifest(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_job(jobs.select(text.alias("value"))).groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
 
 
-def _by(a: str, b: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(a).orderBy(b)
-
-
 def recipe_files(spark: SparkSession, d: str) -> DataFrame:
     """Recipes of brands as JSON collections, read again."""
-    p = _art(spark, d).withColumn("n", F.floor(F.row_number().over(_by("p_brand", "image_id")) / 50))
+    p = batch.places_within(_art(spark, d), "p_brand", "image_id").withColumn("n", F.floor((F.col("place") + 1) / 50))
     entry = F.struct(F.col("image_id").cast("string").alias("id"), F.when(F.col("p_size") == 5, "  ").otherwise(F.col("name")).alias("name"), F.struct((F.col("p_size") + 5.0).alias("lpi"), F.lit("x").alias("unknown")).alias("options"))
     text = F.to_json(F.struct(F.lit("halftone-recipes").alias("schema"), F.when(F.col("n") == 1, 2).otherwise(1).alias("version"), "recipes"))
     c = p.groupBy("p_brand", "n").agg(F.collect_list(entry).alias("recipes")).select(text.alias("value"))
@@ -522,8 +515,8 @@ def brand_sheets(spark: SparkSession, d: str) -> DataFrame:
     """All designs of a brand on sheets, 500 a roll, composed from their tiles, with marks. No SQL, as for packing."""
     art, t = _tiles(spark, d)
     brand = F.regexp_extract("p_brand", "[0-9]+", 0).cast("long")
-    part = F.floor((F.row_number().over(_by("p_brand", "image_id")) - 1) / 500)  # a roll has 500 designs at most
-    items = art.select((brand * 1_000_000 + part).alias("job_id"), F.col("image_id").alias("id"), "name", "width", "height", F.lit(1).alias("copies"))
+    part = F.floor(F.col("place") / 500)  # a roll has 500 designs at most
+    items = batch.places_within(art, "p_brand", "image_id").select((brand * 1_000_000 + part).alias("job_id"), F.col("image_id").alias("id"), "name", "width", "height", F.lit(1).alias("copies"))
     jobs = items.select("job_id").distinct().select("job_id", F.lit(10.0).alias("width_cm"), F.lit(6.0).alias("spacing_mm"), F.lit(True).alias("marks"))
     placed = keep(sheets.pack_sheets(items, jobs), "placed")
     out = sheets.compose_sheets(placed, t, sheets.cut_marks(placed), 256)
