@@ -262,7 +262,7 @@ _PLAIN_REC = "rec(recipe_id, shape, knockout, recover, key, inb, mid, inw, outw,
 _PLAIN = f"WITH {_ART}, {_PX}, {_PLAIN_REC}, {_COV}{_SCREEN}"
 #: Pores of fewer than five pixels (0.2 mm) that are candidates as a whole. A pore is joined along sides.
 _PORES = (
-    f"{_PLAIN}, i AS (SELECT *, image_id * 4096 + y * 64 + x AS pid, a > 0 AND value >= 0.03e0 AND value > 0 AS may FROM s WHERE NOT ink), nb AS (SELECT a.pid AS p, b.pid AS q FROM i a, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) d(dx, dy) JOIN i b ON b.image_id = a.image_id AND b.x = a.x + dx AND b.y = a.y + dy), "
+    f"{_PLAIN}, i AS (SELECT *, image_id * 4096 + y * 64 + x AS pid, a > 0 AND value >= 0.03e0 AND value > 0 AS may FROM s WHERE NOT ink), nb AS (SELECT a.pid AS p, b.pid AS q FROM i a, (VALUES (-1), (0), (1)) dx(dx), (VALUES (-1), (0), (1)) dy(dy) JOIN i b ON b.image_id = a.image_id AND b.x = a.x + dx AND b.y = a.y + dy WHERE dx = 0 OR dy = 0), "
     + _balls().partition("k1 AS")[1]
     + _balls().partition("k1 AS")[2]
     + """, f AS (SELECT island, count(*) AS n, min(p) AS p, sum(x * 64 + y) AS places FROM ball JOIN i ON pid = p GROUP BY island HAVING bool_and(may)),
