@@ -336,12 +336,17 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, cover: int =
     return out
 
 
+#: Shares that a language's phrases are dealt into before they are ranked: the last ranking has so many times the wanted number at most.
+SHARES = 256
+
+
 def ranked(phrases: DataFrame, words: DataFrame, totals: DataFrame, top: int) -> DataFrame:
-    """RESULT of scored phrases. Only those that may be among the first get their words."""
-    p = phrases.join(words.select("lang", F.col("id").alias("w1")), "w1")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"))
-    p = p.withColumn("place", F.rank().over(best)).where(F.col("place") <= top)
+    """RESULT of scored phrases. Each share of a language gives its best, and these are ranked. Only those that may be among them get their words."""
+    p = phrases.join(words.select("lang", F.col("id").alias("w1")), "w1").withColumn("share", F.pmod(F.xxhash64(*_W), F.lit(SHARES)))
+    best, share = [F.desc("score"), F.desc("f")], Window.partitionBy("lang", "share")
+    p = p.withColumn("place", F.rank().over(share.orderBy(*best))).where(F.col("place") <= top)
     spelled = p.select(*_W, F.posexplode(F.array_remove(F.array(*_W), 0)).alias("pos", "id")).join(words.select("id", "word"), "id").groupBy(*_W).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    p = p.join(spelled, _W).join(totals, "lang")
-    rank = F.row_number().over(best.orderBy(F.desc("score"), F.desc("f"), "phrase")).cast("long")
-    return p.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "rank", "phrase", F.col("f").alias("a"), "l", "r", "n", "score")
+    p = p.join(spelled, _W)
+    p = p.withColumn("place", F.row_number().over(share.orderBy(*best, "phrase"))).where(F.col("place") <= top)
+    p = p.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best, "phrase")).cast("long")).where(F.col("rank") <= top)
+    return p.join(totals, "lang").select("lang", "rank", "phrase", F.col("f").alias("a"), "l", "r", "n", "score")
