@@ -106,11 +106,13 @@ def write_report_csv(rows: DataFrame, path: str, most: int = 100_000) -> DataFra
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): the written lines by their number in the whole report, the header being 0. A cell may have line breaks of its own (bare ones)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("text"))
+    whole = F.decode("content", "UTF-8")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.substring(whole, 1, F.length(whole) - 2).alias("text"))  # without the last line's end
     up = F.sum("lines").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("lines")
     bases = spark.read.parquet(f"{path}/_manifest").withColumn("base", up).select("name", "base")
-    each = files.join(bases, "name").select("base", F.posexplode(F.split("text", "\r\n")).alias("pos", "value"), F.size(F.split("text", "\r\n")).alias("n"))
-    return each.where("pos < n - 1").select((F.col("base") + F.col("pos")).alias("line"), "value")
+    each = files.join(bases, "name").select("base", F.posexplode(F.split("text", "\r\n")).alias("pos", "value"))  # a part is cut once, not for each of its lines
+    return each.select((F.col("base") + F.col("pos")).alias("line"), "value")
 
 
 def write_report_json(rows: DataFrame, path: str) -> None:
@@ -123,7 +125,7 @@ def write_report_json(rows: DataFrame, path: str) -> None:
 
 def write_outputs(tiles: DataFrame, variants: DataFrame, path: str) -> None:
     """Output tiles laid out by garment size. variants: (id, size)."""
-    tiles.join(variants.select(F.col("id").alias("image_id"), "size"), "image_id").write.partitionBy("size").parquet(path)
+    tiles.join(variants.select(F.col("id").alias("image_id"), "size").hint("shuffle_hash"), "image_id").write.partitionBy("size").parquet(path)
 
 
 def check_recipes(rows: DataFrame) -> DataFrame:
