@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,30 +62,42 @@ def debounce(requests: DataFrame) -> DataFrame:
 
 
 class _Waiting(StatefulProcessor):
-    """The requests of a key that wait for their time: one map entry and one timer each. A request replaced by a newer one leaves the map at once, so what is held of a key never lies closer than its delays."""
+    """The requests of a key that wait for their time, in one value, and a timer for the earliest: a batch asks the state store a few times for a key, however many of its requests wait. A request replaced by a newer one
+    leaves at once, so what is held of a key never lies closer than its delays."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.waiting = handle, handle.getMapState("waiting", "at long, id long", "fires long")
+        self.handle, self.waiting = handle, handle.getValueState("waiting", "rows binary")
+
+    def _held(self) -> np.ndarray:
+        """(at, id, fires) of what waits."""
+        found = self.waiting.get()
+        return np.frombuffer(bytes(found[0]) if found else b"", np.int64).reshape(-1, 3)
+
+    def _hold(self, rows: np.ndarray) -> None:
+        """These wait now."""
+        if not len(rows):
+            return self.waiting.clear()
+        self.waiting.update((np.ascontiguousarray(rows).tobytes(),))
+        self.handle.registerTimer(-(-int(rows[:, 2].min()) // 1000))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = {tuple(k): v[0] for k, v in self.waiting.iterator()}
-        new = {(int(a), int(i)): int(f) for part in rows for a, i, f, real in zip(part["at"], part["id"], part["fires"], part["real"], strict=True) if real}
-        every = sorted((held | new).items())
-        for (place, fires), (next_, _) in itertools.pairwise([*every, ((math.inf, 0), None)]):
-            replaced = next_[0] < fires
-            if replaced and place in held:
-                self.waiting.removeKey(place)
-            elif not replaced and held.get(place) != fires:
-                self.waiting.updateValue(place, (fires,))
-                self.handle.registerTimer(-(-fires // 1000))
+        new = [part.loc[part["real"].to_numpy(bool), ["at", "id", "fires"]].to_numpy(np.int64) for part in rows]
+        if not sum(map(len, new)):
+            return iter(())
+        every = np.concatenate([self._held(), *new])[::-1]  # of those that are repeated the newest counts
+        _, first = np.unique(every[:, :2], axis=0, return_index=True)  # in the order of at and id
+        every = every[first]
+        replaced = every[1:, 0] < every[:-1, 2]
+        self._hold(every[np.append(~replaced, True)])
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = [(tuple(k), v[0]) for k, v in self.waiting.iterator() if -(-v[0] // 1000) <= expiredTimerInfo.getExpiryTimeInMs()]
-        for place, _ in due:
-            self.waiting.removeKey(place)
-        if due:
-            yield pd.DataFrame({"key": np.array([key[0]] * len(due), object), "id": [i for (_, i), _ in due], "fires": [f for _, f in due]})
+        held = self._held()
+        due = -(-held[:, 2] // 1000) <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        if len(held):
+            self._hold(held[~due])  # its earliest gets the next timer, also where this one was that of a request that was replaced
+        if due.any():
+            yield pd.DataFrame({"key": np.array([key[0]] * int(due.sum()), object), "id": held[due, 1], "fires": held[due, 2]})
 
     def close(self) -> None:
         pass

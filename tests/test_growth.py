@@ -22,3 +22,17 @@ def test_a_report_is_cut_once_for_each_part(spark, tmp_path):
     got = tables.read_report(spark, str(tmp_path / "r"))
     assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]  # not once for each line
     assert [r.line for r in got.orderBy("line").collect()] == list(range(301))
+
+
+def test_a_batch_asks_the_state_store_few_times(monkeypatch):
+    calls, held = [], []
+    value = SimpleNamespace(get=lambda: calls.append(1) or (held[-1] if held else None), update=lambda v: calls.append(1) or held.append(v), clear=lambda: calls.append(1) or held.clear())
+    timers = []
+    w = _Waiting()
+    w.init(SimpleNamespace(getValueState=lambda *a: value, registerTimer=lambda t: calls.append(1) or timers.append(t)))
+    at = np.arange(500) * 2_000_000
+    rows = pd.DataFrame({"at": at, "id": np.arange(500), "fires": at + 1_000_000, "real": True})
+    list(w.handleInputRows(("k",), iter([rows[:200], rows[100:]]), None))
+    out = list(w.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9), SimpleNamespace(getExpiryTimeInMs=lambda: timers[0])))
+    assert list(out[0]["id"]) == list(range(500)) and timers == [1000] and not held
+    assert len(calls) < 10
