@@ -24,6 +24,14 @@ def test_a_report_is_cut_once_for_each_part(spark, tmp_path):
     assert [r.line for r in got.orderBy("line").collect()] == list(range(301))
 
 
+def test_copies_are_placed_side_by_side_in_one_search(monkeypatch):
+    searches, best = [], sheets.Skyline.best
+    monkeypatch.setattr(sheets.Skyline, "best", lambda self, *a: searches.append(1) or best(self, *a))
+    got = sheets.pack_job((1, 1000, 2, 5, 10**6, False), [(7, "a", c, 31, 20) for c in range(1, 901)])
+    assert [(r[5], r[6]) for r in got] == [(5 + i % 30 * 33, 5 + i // 30 * 22) for i in range(900)]
+    assert len(searches) <= 31
+
+
 def test_a_batch_asks_the_state_store_few_times(monkeypatch):
     calls, held = [], []
     value = SimpleNamespace(get=lambda: calls.append(1) or (held[-1] if held else None), update=lambda v: calls.append(1) or held.append(v), clear=lambda: calls.append(1) or held.clear())
