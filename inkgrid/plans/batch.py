@@ -24,7 +24,7 @@ def make_variants(files: DataFrame, sizes: list[str], placements: list[str], gar
         f = f.withColumns({"sizes": F.lit(None).cast("array<string>"), "placements": F.lit(None).cast("array<string>"), "garment": F.lit(None).cast("string")})
     else:
         a = assignments.select("image_idx", "sizes", "placements", "garment", F.col("recipe_id").alias("own_recipe"))
-        f = f.join(a, "image_idx", "left").withColumn("recipe_id", F.coalesce("own_recipe", "recipe_id")).drop("own_recipe")
+        f = f.join(a.hint("merge"), "image_idx", "left").withColumn("recipe_id", F.coalesce("own_recipe", "recipe_id")).drop("own_recipe")
     listed = lambda c, d: F.array_distinct(F.coalesce(F.col(c), F.array(*map(F.lit, d)).cast("array<string>")))
     f = f.withColumns({"sizes": listed("sizes", sizes), "placements": listed("placements", placements), "garment": F.coalesce("garment", F.lit(garment))})
     v = f.select("image_idx", "name", "recipe_id", "garment", "placements", F.posexplode("sizes").alias("size_pos", "size"))
@@ -58,7 +58,7 @@ def places_within(df: DataFrame, group: str, by: str, block: int = 4096) -> Data
 
 def preflight(variants: DataFrame, artworks: DataFrame, recipes: DataFrame, disk_budget_gb: float = 0.0) -> DataFrame:
     """Ready rows with plan, resources and warnings, and error rows. artworks: (image_idx, width, height, error): size of the (trimmed) art, or why a source can't be read."""
-    v = variants.drop("error").join(artworks.select("image_idx", "width", "height", F.col("error").alias("source_error")), "image_idx", "left").join(with_defaults(recipes), "recipe_id", "left")
+    v = variants.drop("error").join(artworks.select("image_idx", "width", "height", F.col("error").alias("source_error")).hint("merge"), "image_idx", "left").join(with_defaults(recipes), "recipe_id", "left")
     cm = sizing.fit_width_cm(F.col("width"), F.col("height"), F.col("area_w"), F.col("area_h"))
     v = v.withColumn("plan", sizing.print_plan(F.col("width"), F.col("height"), F.lit(300.0), "width", cm))
     v = v.withColumn("res", sizing.resources(F.col("plan.width"), F.col("plan.height"), F.lit(False), F.col("protection") == "selection"))
@@ -174,11 +174,11 @@ def _planned(variants: DataFrame, tiles: DataFrame, artworks: DataFrame, extra:
     """The variants with settings, the part of the art that they print (from_x, from_y, width, height), their plan, and why they can't be made (problem)."""
     from inkgrid.operators.tiles import tile_bounds
 
-    v = variants.join(artworks.select("image_idx", "image_id", F.col("width").alias("art_width"), F.col("height").alias("art_height")), "image_idx", "left").join(extra, "recipe_id", "left")
+    v = variants.join(artworks.select("image_idx", "image_id", F.col("width").alias("art_width"), F.col("height").alias("art_height")).hint("merge"), "image_idx", "left").join(extra, "recipe_id", "left")
     if extra.where("trim_art").isEmpty():  # a question to the recipes
         v = v.withColumns({"from_x": F.lit(0), "from_y": F.lit(0), "width": F.col("art_width"), "height": F.col("art_height"), "bare": F.lit(False)})
     else:
-        box = tile_bounds(tiles.join(v.where("trim_art").select("image_id").distinct(), "image_id", "left_semi"))
+        box = tile_bounds(tiles.join(v.where("trim_art").select("image_id").distinct().hint("shuffle_hash"), "image_id", "left_semi"))
         v = v.join(box.select("image_id", *(F.col(c).alias(f"box_{c}") for c in ("left", "top", "width", "height"))), "image_id", "left")
         cut = lambda c, whole: F.when(F.col("trim_art"), F.col(c)).otherwise(whole)
         v = v.withColumns({"from_x": cut("box_left", F.lit(0)), "from_y": cut("box_top", F.lit(0)), "width": cut("box_width", F.col("art_width")), "height": cut("box_height", F.col("art_height")), "bare": F.col("trim_art") & F.col("box_left").isNull()})
@@ -201,7 +201,7 @@ def _reported(v: DataFrame, out: DataFrame, taken: DataFrame | None) -> DataFram
     taken = r.select("output").limit(0) if taken is None else taken
     done = r.where("problem is null").select("id", "output", "batch_white")
     names_ = free_names(done.where("batch_white"), taken, True).unionByName(free_names(done.where("not batch_white"), taken))
-    r = r.join(names_.select("id", "free"), "id", "left").withColumn("output", F.coalesce("free", "output"))
+    r = r.join(names_.select("id", "free").hint("merge"), "id", "left").withColumn("output", F.coalesce("free", "output"))
     ok = lambda c: F.when(F.col("problem").isNull(), c)
     priced = (F.col("color_price_l") > 0) | (F.col("white_price_l") > 0) | (F.col("film_price_m2") > 0)
     return r.select(
