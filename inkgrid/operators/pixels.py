@@ -16,10 +16,10 @@ RGB = ("r", "g", "b")
 
 
 def with_recipe(pixels: DataFrame, artworks: DataFrame, recipes: DataFrame) -> DataFrame:
-    """Pixels with their image's size and recipe, defaults filled in. Images without a recipe are left out."""
+    """Pixels with their image's size and recipe, defaults filled in. Images without a recipe are left out. The images are what is hashed, whatever sizes Spark expects: it doesn't know how many pixels an image becomes."""
     full = options.with_defaults(recipes)
-    art = artworks.select("image_id", "width", "height", "recipe_id").join(full, "recipe_id")  # Spark broadcasts it if it is small
-    return pixels.join(art, "image_id")
+    sized = pixels.join(artworks.select("image_id", "width", "height", "recipe_id").hint("shuffle_hash"), "image_id")
+    return sized.join(F.broadcast(full), "recipe_id")  # some dozens
 
 
 def coverage(df: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def mockup(df: DataFrame, sizes: DataFrame, chest_cm: float = 52.0, height_cm: f
     covered = F.col("inside") & (x >= F.floor(art_left)) & (x < F.ceil(art_left + art_w)) & (y >= F.floor(art_top)) & (y < F.ceil(art_top + art_h))
     canvas = canvas.withColumn("sx", F.when(covered, place(x, art_left, art_w, F.col("w")))).withColumn("sy", F.when(covered, place(y, art_top, art_h, F.col("h"))))
     source = df.where("ink").select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), *(f"out_{c}" for c in RGB))
-    joined = canvas.join(source, ["image_id", "sx", "sy"], "left")
+    joined = canvas.join(source.hint("merge"), ["image_id", "sx", "sy"], "left")
     shirt = {"r": 24, "g": 27, "b": 26}
     return joined.select("image_id", "x", "y", *(F.when(F.col(f"out_{c}").isNotNull(), F.col(f"out_{c}")).when(F.col("inside"), F.col(f"key_{c}")).otherwise(shirt[c]).alias(c) for c in RGB))
 
@@ -159,7 +159,7 @@ def protect_edges(df: DataFrame) -> DataFrame:
     opaque = df.where((F.col("a") >= 250) & (F.col("value") > 0)).select("image_id", "x", "y", "width", "height", "edge_radius", "edge_contrast", *RGB)
     step = F.sequence(-F.col("edge_radius"), F.col("edge_radius"))
     around = opaque.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).where("dx <> 0 or dy <> 0").withColumn("nx", F.col("x") + F.col("dx")).withColumn("ny", F.col("y") + F.col("dy"))
-    around = around.where("nx >= 0 and ny >= 0 and nx < width and ny < height").join(place, ["image_id", "nx", "ny"], "left")
+    around = around.where("nx >= 0 and ny >= 0 and nx < width and ny < height").join(place.hint("merge"), ["image_id", "nx", "ny"], "left")
     far = color.rgb_distance([F.col(c) for c in RGB], [F.col(f"n_{c}") for c in RGB]) >= F.col("edge_contrast")
     return around.where((F.coalesce("n_a", F.lit(0)) < 128) | ((F.col("n_a") >= 250) & far)).select("image_id", "x", "y").distinct()
 
@@ -167,7 +167,7 @@ def protect_edges(df: DataFrame) -> DataFrame:
 def removed_mask(screened_: DataFrame, final: DataFrame) -> DataFrame:
     """(image_id, x, y) of pixels that the screen printed and that have no ink in the end."""
     place = ["image_id", "x", "y"]
-    return screened_.select(*place).join(final.select(*place), place, "left_anti")
+    return screened_.select(*place).join(final.select(*place).hint("merge"), place, "left_anti")
 
 
 def final_mask(screened_: DataFrame, removed: DataFrame, filled: DataFrame) -> DataFrame:
@@ -186,10 +186,10 @@ def resample(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
         n = n.withColumn("w", F.explode(axis_weights(F.col(to), F.col(source) / F.col(out), F.col(source))))
         return n.select("image_id", to, F.col("w.p").alias(at), F.col("w.w").alias(weight))
 
-    wide = pixels.where("a > 0").join(axis("out_width", "width", "x", "ox", "wx"), ["image_id", "x"])
+    wide = pixels.where("a > 0").join(axis("out_width", "width", "x", "ox", "wx").hint("merge"), ["image_id", "x"])
     weight = F.col("a") / 255.0 * F.col("wx")
     rows = wide.groupBy("image_id", "y", "ox").agg(F.sum(weight).alias("sa"), *(F.sum(F.col(c) * weight).alias(f"s_{c}") for c in RGB))
-    tall = rows.join(axis("out_height", "height", "y", "oy", "wy"), ["image_id", "y"]).groupBy("image_id", "ox", "oy").agg(F.sum(F.col("sa") * F.col("wy")).alias("sa"), *(F.sum(F.col(f"s_{c}") * F.col("wy")).alias(f"s_{c}") for c in RGB))
+    tall = rows.join(axis("out_height", "height", "y", "oy", "wy").hint("merge"), ["image_id", "y"]).groupBy("image_id", "ox", "oy").agg(F.sum(F.col("sa") * F.col("wy")).alias("sa"), *(F.sum(F.col(f"s_{c}") * F.col("wy")).alias(f"s_{c}") for c in RGB))
     out = tall.where("sa > 0")
     near = lambda x: color.rounded(F.round(x, 9))  # noqa: E731  sums come in any order; halves must not depend on it
     return out.select("image_id", F.col("ox").alias("x"), F.col("oy").alias("y"), *(near(F.col(f"s_{c}") / F.col("sa")).alias(c) for c in RGB), near(F.col("sa") * 255.0).alias("a"))

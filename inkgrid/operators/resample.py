@@ -33,7 +33,7 @@ def resample_tiles(tiles: DataFrame, jobs: DataFrame, core: int = CORE) -> DataF
     span = lambda win, start: F.sequence(F.floor((win["lo"] + F.col(start)) / core), F.floor((win["hi"] - 1 + F.col(start)) / core))
     out = out.withColumn("tile_x", F.explode(span(wx, "from_x"))).withColumn("tile_y", F.explode(span(wy, "from_y"))).withColumns({"tile_x": F.col("tile_x").cast("int"), "tile_y": F.col("tile_y").cast("int")})
     source = tiles.select("image_id", "tile_x", "tile_y", "left", "top", F.col("width").alias("sw"), F.col("height").alias("sh"), "data")
-    joined = out.join(source, ["image_id", "tile_x", "tile_y"]).select("variant_id", "ty", "tx", "w", "h", "width", "height", "out_width", "out_height", (F.col("left") - F.col("from_x")).alias("left"), (F.col("top") - F.col("from_y")).alias("top"), "sw", "sh", "data")
+    joined = out.join(source.hint("merge"), ["image_id", "tile_x", "tile_y"]).select("variant_id", "ty", "tx", "w", "h", "width", "height", "out_width", "out_height", (F.col("left") - F.col("from_x")).alias("left"), (F.col("top") - F.col("from_y")).alias("top"), "sw", "sh", "data")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in rows_of(batches):

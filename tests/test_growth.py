@@ -16,6 +16,47 @@ from inkgrid.streaming.progress import _Waiting
 DATA = "/root/testdata/sf0.001"
 
 
+def _broadcast(plan: str) -> list[str]:
+    """The parts of a plan that are broadcast, are made of the input, larger than it, and are of no size that was measured after a shuffle."""
+    lines, found = plan.split("\n"), []
+    deep = lambda line: re.match(r"[\s:+\-*|]*", line).end()
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line and "+-" in line:
+            below = [line]
+            for x in lines[i + 1 :]:
+                if not x.strip() or deep(x) <= deep(line):
+                    break
+                below.append(x)
+            text = "\n".join(below)
+            if "Scan parquet" in text and re.search("Generate|MapInArrow", text) and not re.search(r"ShuffleQueryStage|[+-] Exchange", text):
+                found.append(text)
+    return found
+
+
+def _plans(spark, run) -> list[str]:
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    every = store.executionsList()
+    return [every.apply(i).physicalPlanDescription() for i in range(before, every.size())]
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["ink_by_recipe", "ink_cost_pixels", "masks", "previews", "shapes_by_image", "tile_roundtrip", "boosted_colors", "batch_run", "brand_mockups", "brand_sheets", "crops", "edge_protection", "ink_cost", "openings", "pores", "resampled", "smoothed", "thumbnail_sums", "tile_cleanup", "sheet_copies"],
+)
+def test_pixels_and_tiles_are_never_broadcast(spark, name):
+    plans = _plans(spark, lambda: queries.QUERIES[name](spark, DATA).write.format("noop").mode("overwrite").save())
+    assert plans
+    assert [b for p in plans for b in _broadcast(p)] == []
+
+
+@pytest.mark.parametrize("made", [views.tiles, views.pixels])
+def test_art_is_made_in_many_tasks(spark, made):
+    assert made(views.art(spark, DATA)).select(F.spark_partition_id().alias("p")).distinct().count() == 4  # the session's shuffle partitions; the file is one split
+
+
 def test_a_report_is_cut_once_for_each_part(spark, tmp_path):
     rows = spark.range(300).select("id", F.concat(F.lit("a\nb"), F.col("id").cast("string")).alias("image"))
     tables.write_report_csv(rows, str(tmp_path / "r"), 100)
