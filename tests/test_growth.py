@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,19 @@ def test_values_of_one_length_are_hashed_together(monkeypatch):
             for x in row:
                 want = (want ^ x) * 0x01000193 % 2**32
             assert h == want
+
+
+def test_images_of_one_size_are_made_together(monkeypatch):
+    made, binary = [], tiles.binary_rows
+    monkeypatch.setattr(tiles, "binary_rows", lambda d: made.append(len(d)) or binary(d))
+    art = pa.RecordBatch.from_pydict({"image_id": pa.array(range(1, 301)), "width": pa.array([20, 5] * 150, pa.int32()), "height": pa.array([18, 3] * 150, pa.int32()), "p_size": pa.array([i % 50 for i in range(300)], pa.int32())})
+    monkeypatch.setattr(views, "_spread", lambda a: SimpleNamespace(mapInArrow=lambda f, _: list(f(iter([art])))))
+    got = [r for b in views.tiles(SimpleNamespace(select=lambda *a: None), 16) for r in b.to_pylist()]
+    assert made == [150] * 5  # one tile of the small images, four of the others
+    for r in got:
+        y, x = np.mgrid[r["top"] : r["top"] + r["height"], r["left"] : r["left"] + r["width"]]
+        w, size = (20, 5)[(r["image_id"] - 1) % 2], (r["image_id"] - 1) % 50
+        p = y * w + x
+        alpha = np.where(p % 7 == 0, 0, np.where(p % 5 == 0, 255, 13 * x + 23 * y))
+        want = np.stack([17 * x + 3 * y + 7 * size, 5 * x + 11 * y + 13 * r["image_id"], 7 * x + 19 * y, alpha], axis=-1) % 256
+        assert r["data"] == want.astype(np.uint8).tobytes()
