@@ -156,12 +156,13 @@ def protect_edges(df: DataFrame) -> DataFrame:
     """(image_id, x, y) of opaque pixels (a >= 250, value > 0) with a neighbour, in the square of the recipe's edge_radius, that is inside the image and
     transparent (a < 128), or opaque with a colour at least edge_contrast away. A missing pixel is transparent. Needs coverage()."""
     place = df.select("image_id", F.col("x").alias("nx"), F.col("y").alias("ny"), *(F.col(c).alias(f"n_{c}") for c in (*RGB, "a")))
-    opaque = df.where((F.col("a") >= 250) & (F.col("value") > 0)).select("image_id", "x", "y", "width", "height", "edge_radius", "edge_contrast", *RGB)
+    opaque = df.where("a >= 250").select("image_id", "x", "y", "width", "height", "edge_radius", "edge_contrast", "value", *RGB)
     step = F.sequence(-F.col("edge_radius"), F.col("edge_radius"))
     around = opaque.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).where("dx <> 0 or dy <> 0").withColumn("nx", F.col("x") + F.col("dx")).withColumn("ny", F.col("y") + F.col("dy"))
     around = around.where("nx >= 0 and ny >= 0 and nx < width and ny < height").join(place.hint("merge"), ["image_id", "nx", "ny"], "left")
     far = color.rgb_distance([F.col(c) for c in RGB], [F.col(f"n_{c}") for c in RGB]) >= F.col("edge_contrast")
-    return around.where((F.coalesce("n_a", F.lit(0)) < 128) | ((F.col("n_a") >= 250) & far)).select("image_id", "x", "y").distinct()
+    edges = around.where((F.coalesce("n_a", F.lit(0)) < 128) | ((F.col("n_a") >= 250) & far)).groupBy("image_id", "x", "y").agg(F.max("value").alias("value"))
+    return edges.where("value > 0").select("image_id", "x", "y")  # sooner, the filter would be pushed down with all that a value is made of, again and again
 
 
 def removed_mask(screened_: DataFrame, final: DataFrame) -> DataFrame:
