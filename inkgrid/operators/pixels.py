@@ -173,8 +173,28 @@ def removed_mask(screened_: DataFrame, final: DataFrame) -> DataFrame:
 
 def final_mask(screened_: DataFrame, removed: DataFrame, filled: DataFrame) -> DataFrame:
     """(image_id, x, y): the screened pixels without the removed ones, and the filled ones."""
-    place = ["image_id", "x", "y"]
-    return screened_.select(*place).exceptAll(removed.select(*place)).union(filled.select(*place)).distinct()
+    place, parts = ["image_id", "x", "y"], {"screened": screened_, "removed": removed, "filled": filled}
+    tagged = [df.select(*place, *(F.lit(int(n == m)).alias(m) for m in parts)) for n, df in parts.items()]
+    counts = tagged[0].union(tagged[1]).union(tagged[2]).groupBy(*place).agg(*(F.sum(n).alias(n) for n in parts))  # one shuffle for both operations
+    return counts.where("filled > 0 or screened > removed").select(*place)
+
+
+def isolated_mask(mask: DataFrame) -> DataFrame:
+    """(image_id, x, y) of the pixels of a mask without any of their eight neighbours. 32 pixels of a line are the bits of a word, and a word tells the words around it where they have a neighbour: a few rows for each
+    word, not eight for each pixel."""
+    words = mask.groupBy("image_id", "y", F.shiftright("x", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 31 AS int)))").alias("bits"))
+    own, beside, most = F.col("bits"), F.shiftleft("bits", 1).bitwiseOR(F.shiftright("bits", 1)), F.lit((1 << 32) - 1)
+    none = F.lit(0).cast("long")
+    told = [F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dw"), own.alias("own"), beside.bitwiseAND(most).alias("near"))]
+    for dy in (-1, 0, 1):
+        if dy:
+            told.append(F.struct(F.lit(dy).alias("dy"), F.lit(0).alias("dw"), none.alias("own"), own.bitwiseOR(beside).bitwiseAND(most).alias("near")))
+        for dw, bit, to in ((-1, 0, 31), (1, 31, 0)):
+            told.append(F.struct(F.lit(dy).alias("dy"), F.lit(dw).alias("dw"), none.alias("own"), F.shiftleft(F.shiftright("bits", bit).bitwiseAND(F.lit(1)), to).alias("near")))
+    told = F.filter(F.array(*told), lambda t: (t["own"] != 0) | (t["near"] != 0))
+    all_ = words.select("image_id", "y", "word", F.explode(told).alias("t")).groupBy("image_id", (F.col("y") + F.col("t.dy")).alias("y"), (F.col("word") + F.col("t.dw")).alias("word")).agg(F.bit_or("t.own").alias("own"), F.bit_or("t.near").alias("near"))
+    alone = all_.withColumn("alone", F.col("own").bitwiseAND(F.bitwise_not("near"))).where("alone <> 0")
+    return alone.select("image_id", "y", "word", F.explode(F.expr("filter(sequence(0, 31), i -> getbit(alone, i) = 1)")).alias("i")).select("image_id", (F.col("word") * 32 + F.col("i")).cast("int").alias("x"), "y")
 
 
 def resample(pixels: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkgrid import queries, views
-from inkgrid.operators import kernels, process, sheets, tiles
+from inkgrid.operators import kernels, pixels as px, process, sheets, tiles
 from inkgrid.schema import TILES
 from inkgrid.sources import tables
 from inkgrid.streaming.progress import _Waiting
@@ -141,3 +141,38 @@ def test_images_of_one_size_are_made_together(monkeypatch):
         alpha = np.where(p % 7 == 0, 0, np.where(p % 5 == 0, 255, 13 * x + 23 * y))
         want = np.stack([17 * x + 3 * y + 7 * size, 5 * x + 11 * y + 13 * r["image_id"], 7 * x + 19 * y, alpha], axis=-1) % 256
         assert r["data"] == want.astype(np.uint8).tobytes()
+
+
+def test_isolated_pixels_are_found_by_words(spark):
+    rng = np.random.default_rng(3)
+    at = {(int(i), int(x), int(y)) for i, x, y in rng.integers((0, -40, -3), (3, 110, 40), (1500, 3))}
+    mask = spark.createDataFrame(sorted(at), "image_id long, x int, y int")
+    around = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
+    want = {(i, x, y) for i, x, y in at if not any((i, x + dx, y + dy) in at for dx, dy in around)}
+    got = px.isolated_mask(mask)
+    assert len(want) > 50
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_final_mask_takes_one_shuffle(spark):
+    table = lambda rows: spark.createDataFrame(rows, "image_id long, x int, y int")
+    screened, removed, filled = table([(1, 0, 0), (1, 1, 0), (2, 0, 0), (2, 0, 0)]), table([(1, 1, 0), (2, 0, 0), (3, 3, 3)]), table([(1, 5, 5), (1, 0, 0), (1, 5, 5)])
+    got = px.final_mask(screened, removed, filled)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0), (1, 5, 5), (2, 0, 0)]
+    assert len(re.findall(r"\bExchange\b", got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])) == 1
+
+
+def test_groups_of_tiles_share_a_call(spark):
+    rows = spark.range(0, 3000, 1, 3).select((F.col("id") % 700).alias("image_id"), F.lit(0).alias("tile_y"), (F.col("id") % 2).cast("int").alias("tile_x"), "id")
+    step = lambda g: [(g[0].image_id, g[0].tile_y, g[0].tile_x, sum(r.id for r in g))]
+    got = tiles.grouped(rows, tiles.KEY, step, "image_id long, tile_y int, tile_x int, total long")
+    assert "MapInArrow" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "FlatMapGroups" not in plan
+    want = rows.groupBy(*tiles.KEY).agg(F.sum("id").alias("total"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["masks", "edge_protection"])
+def test_filters_are_not_pushed_down_with_all_that_ink_is_made_of(spark, name):
+    plans = _plans(spark, lambda: queries.QUERIES[name](spark, DATA).write.format("noop").mode("overwrite").save())
+    assert max(len(x) for p in plans for x in p.split("\n") if x.startswith("Condition")) < 2000
