@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkgrid.functions.sizing import source_window
 from inkgrid.operators.kernels import resample_axis, rnd
-from inkgrid.operators.tiles import CORE, batch_of, rows_of
+from inkgrid.operators.tiles import CORE, batches_of, grouped, rows_of
 from inkgrid.schema import TILES
 
 PART = "variant_id long, tile_y int, tile_x int, w int, h int, x0 int, y0 int, pw int, ph int, sums binary"
@@ -35,7 +36,7 @@ def resample_tiles(tiles: DataFrame, jobs: DataFrame, core: int = CORE) -> DataF
     source = tiles.select("image_id", "tile_x", "tile_y", "left", "top", F.col("width").alias("sw"), F.col("height").alias("sh"), "data")
     joined = out.join(source.hint("merge"), ["image_id", "tile_x", "tile_y"]).select("variant_id", "ty", "tx", "w", "h", "width", "height", "out_width", "out_height", (F.col("left") - F.col("from_x")).alias("left"), (F.col("top") - F.col("from_y")).alias("top"), "sw", "sh", "data")
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for t in rows_of(batches):
             ax, x0 = resample_axis(t.tx * core, t.w, t.width, t.out_width)
             ay, y0 = resample_axis(t.ty * core, t.h, t.height, t.out_height)
@@ -51,10 +52,9 @@ def resample_tiles(tiles: DataFrame, jobs: DataFrame, core: int = CORE) -> DataF
             cx, cy = slice(cols[0], cols[-1] + 1), slice(rws[0], rws[-1] + 1)
             a = d[..., 3] / 255.0
             planes = np.stack([ay[cy] @ (p @ ax[cx].T) for p in (a, d[..., 0] * a, d[..., 1] * a, d[..., 2] * a)], axis=-1)
-            yield batch_of([(t.variant_id, t.ty, t.tx, t.w, t.h, int(cols[0]), int(rws[0]), planes.shape[1], planes.shape[0], planes.tobytes())], PART)
+            yield t.variant_id, t.ty, t.tx, t.w, t.h, int(cols[0]), int(rws[0]), planes.shape[1], planes.shape[0], planes.tobytes()
 
-    def join_parts(f: pa.Table) -> pa.Table:
-        parts = list(rows_of(f.to_batches()))
+    def join_parts(parts: list[SimpleNamespace]) -> list[tuple]:
         r = parts[0]
         s = np.zeros((r.h, r.w, 4))
         for p in sorted(parts, key=lambda p: (p.y0, p.x0, p.ph, p.pw)):
@@ -63,11 +63,11 @@ def resample_tiles(tiles: DataFrame, jobs: DataFrame, core: int = CORE) -> DataF
         on = s[..., 0] > 0
         rgba[..., :3][on] = rnd(np.round(s[on][:, 1:] / s[on][:, :1], 9))  # sums of parts: halves must not depend on their order
         rgba[..., 3][on] = np.minimum(255, rnd(np.round(s[..., 0][on] * 255.0, 9)))
-        row = (r.variant_id, r.tile_x, r.tile_y, r.tile_x * core, r.tile_y * core, r.w, r.h, 4, rgba.tobytes())
-        return pa.Table.from_batches([batch_of([row], sized)])
+        return [(r.variant_id, r.tile_x, r.tile_y, r.tile_x * core, r.tile_y * core, r.w, r.h, 4, rgba.tobytes())]
 
     sized = "variant_id" + TILES[len("image_id") :]
-    return joined.mapInArrow(part, PART).groupBy("variant_id", "tile_y", "tile_x").applyInArrow(join_parts, sized)
+    parts = joined.mapInArrow(lambda batches: batches_of(part(batches), PART), PART)
+    return grouped(parts, ["variant_id", "tile_y", "tile_x"], join_parts, sized)
 
 
 def thumbnails(tiles: DataFrame, artworks: DataFrame, most: int = 360, core: int = CORE) -> DataFrame:
