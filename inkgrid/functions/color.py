@@ -33,13 +33,21 @@ def rgb_distance(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(sum(((x - y) * (x - y)).cast("double") for x, y in zip(a[1:], b[1:], strict=True)) + ((a[0] - b[0]) * (a[0] - b[0])).cast("double"))
 
 
-def knockout_coverage(rgb: list[Column], a: Column, key: list[Column], tolerance: Column, softness: Column) -> Column:
-    """Opacity, less where the colour is near the garment's: a smooth step from tolerance to tolerance + softness percent of the largest distance."""
-    d = rgb_distance(rgb, key) / F.lit(DIAGONAL)
-    t = unit((d - tolerance / 100.0) / (softness / 100.0))
+def key_distance(rgb: list[Column], key: list[Column], tolerance: Column, softness: Column) -> Column:
+    """How far, 0 to 1, a colour is on the way from tolerance to tolerance + softness percent of the largest distance from the garment's."""
+    return unit((rgb_distance(rgb, key) / F.lit(DIAGONAL) - tolerance / 100.0) / (softness / 100.0))
+
+
+def knockout_opacity(a: Column, t: Column) -> Column:
+    """Opacity, less where the colour is near the garment's: a smooth step over key_distance()."""
     return a / 255.0 * (t * t * (3.0 - 2.0 * t))
 
 
+def knockout_coverage(rgb: list[Column], a: Column, key: list[Column], tolerance: Column, softness: Column) -> Column:
+    """Both steps in one."""
+    return knockout_opacity(a, key_distance(rgb, key, tolerance, softness))
+
+
 def matte(rgb: list[Column], key: list[Column]) -> Column:
     """The smallest share of ink over the key colour that can give the pixel's colour."""
 
@@ -70,14 +78,27 @@ def ink_color(c: Column, key: Column, m: Column) -> Column:
     return byte((c - (1.0 - m) * key) / m)
 
 
-def boost_color(rgb: list[Column], shadow: Column, color: Column) -> list[Column]:
-    """Lifts dark colours towards white, then spreads the channels about their mean."""
+def boost_lift(rgb: list[Column], shadow: Column) -> Column:
+    """The share of the way to white by which a colour is lifted: more for dark ones."""
     r, g, b = rgb
-    luma = (0.2126 * r + 0.7152 * g + 0.0722 * b) / 255.0
-    lift = shadow / 100.0 * ((1.0 - luma) * (1.0 - luma))
-    lifted = [c + (255.0 - c) * lift for c in rgb]
-    mean = (lifted[0] + lifted[1] + lifted[2]) / 3.0
-    return [byte(mean + (c - mean) * (1.0 + color / 100.0)) for c in lifted]
+    dark = 1.0 - (0.2126 * r + 0.7152 * g + 0.0722 * b) / 255.0
+    return shadow / 100.0 * (dark * dark)
+
+
+def lifted(c: Column, lift: Column) -> Column:
+    return c + (255.0 - c) * lift
+
+
+def spread(rgb: list[Column], color: Column) -> list[Column]:
+    """Channels spread about their mean, as bytes."""
+    mean = (rgb[0] + rgb[1] + rgb[2]) / 3.0
+    return [byte(mean + (c - mean) * (1.0 + color / 100.0)) for c in rgb]
+
+
+def boost_color(rgb: list[Column], shadow: Column, color: Column) -> list[Column]:
+    """Lifts dark colours towards white, then spreads the channels about their mean. For large tables take the three steps in columns of their own: in one, each channel has dozens of copies of all three."""
+    lift = boost_lift(rgb, shadow)
+    return spread([lifted(c, lift) for c in rgb], color)
 
 
 def checker(x: Column, y: Column) -> Column:

@@ -12,13 +12,22 @@ SHAPES = ("round", "euclidean", "ellipse", "square", "diamond", "line")
 LOOKED_UP, BINS, SAMPLES = ("ellipse", "euclidean"), 8192, 512
 
 
-def cell_offsets(x: Column, y: Column, lpi: Column, angle: Column, dpi: float | Column = 300.0, origin_x: float | Column = 0.0, origin_y: float | Column = 0.0) -> tuple[Column, Column]:
-    """Distances (u, v), 0 to 1/2, of a pixel's centre from the centre of its cell, along the cell's axes."""
+def cell_places(x: Column, y: Column, lpi: Column, angle: Column, dpi: float | Column = 300.0, origin_x: float | Column = 0.0, origin_y: float | Column = 0.0) -> tuple[Column, Column]:
+    """A pixel's centre along the axes of the cells, in cells."""
     gx, gy, theta = x + origin_x + 0.5, y + origin_y + 0.5, angle * F.lit(math.pi) / 180.0
     cell = dpi / lpi if isinstance(dpi, Column) else F.lit(float(dpi)) / lpi
-    big_u = (gx * F.cos(theta) + gy * F.sin(theta)) / cell
-    big_v = (-gx * F.sin(theta) + gy * F.cos(theta)) / cell
-    return F.abs(big_u - F.floor(big_u) - 0.5), F.abs(big_v - F.floor(big_v) - 0.5)
+    return (gx * F.cos(theta) + gy * F.sin(theta)) / cell, (-gx * F.sin(theta) + gy * F.cos(theta)) / cell
+
+
+def off_centre(place: Column) -> Column:
+    """The distance, 0 to 1/2, from the centre of the cell."""
+    return F.abs(place - F.floor(place) - 0.5)
+
+
+def cell_offsets(x: Column, y: Column, lpi: Column, angle: Column, dpi: float | Column = 300.0, origin_x: float | Column = 0.0, origin_y: float | Column = 0.0) -> tuple[Column, Column]:
+    """Distances (u, v) of a pixel's centre from the centre of its cell, along the cell's axes."""
+    u, v = cell_places(x, y, lpi, angle, dpi, origin_x, origin_y)
+    return off_centre(u), off_centre(v)
 
 
 def spot_bin(u: Column, v: Column, shape: Column | str) -> Column:
@@ -30,10 +39,14 @@ def spot_bin(u: Column, v: Column, shape: Column | str) -> Column:
     return F.least(F.lit(BINS - 1), F.floor(F.when(shape == "ellipse", ellipse).otherwise(euclidean) * float(BINS))).cast("int")
 
 
-def threshold(u: Column, v: Column, shape: Column, trim: Column, looked_up: Column | None = None) -> Column:
+def radius(u: Column, v: Column) -> Column:
+    return F.sqrt(u * u + v * v)
+
+
+def threshold(u: Column, v: Column, shape: Column, trim: Column, looked_up: Column | None = None, r: Column | None = None) -> Column:
     """The coverage from which ink is printed there. trim: percent of a line's profile cut at both ends; looked_up: the table's value for
-    shapes that have one."""
-    r = F.sqrt(u * u + v * v)
+    shapes that have one; r: radius(u, v), if it is at hand."""
+    r = radius(u, v) if r is None else r
     disc = F.lit(math.pi) * r * r
     outside = disc - 4.0 * (r * r * F.acos(F.least(F.lit(1.0), 0.5 / r)) - 0.5 * F.sqrt(F.greatest(F.lit(0.0), r * r - 0.25)))
     round_ = F.when(r <= 0.5, disc).when(r >= math.sqrt(0.5), F.lit(1.0)).otherwise(outside)

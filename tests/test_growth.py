@@ -54,6 +54,15 @@ def test_pixels_and_tiles_are_never_broadcast(spark, name):
     assert [b for p in plans for b in _broadcast(p)] == []
 
 
+@pytest.mark.parametrize("name", ["previews", "ink_cost_pixels", "ink_by_recipe", "boosted_colors"])
+def test_the_code_of_pixel_queries_is_small_enough_to_compile(spark, name):
+    one = spark.newSession()
+    one.conf.set("spark.sql.adaptive.enabled", "false")
+    text = spark._jvm.PythonSQLUtils.explainString(queries.QUERIES[name](one, DATA)._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?[0-9]+)", text)]
+    assert sizes and all(0 < n < 9000 for n in sizes)  # -1: over the JVM's 64 KB, so the driver logs all of it and tasks interpret it
+
+
 @pytest.mark.parametrize("made", [views.tiles, views.pixels])
 def test_art_is_made_in_many_tasks(spark, made):
     assert made(views.art(spark, DATA)).select(F.spark_partition_id().alias("p")).distinct().count() == 4  # the session's shuffle partitions; the file is one split
