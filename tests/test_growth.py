@@ -63,6 +63,12 @@ def test_the_code_of_pixel_queries_is_small_enough_to_compile(spark, name):
     assert sizes and all(0 < n < 9000 for n in sizes)  # -1: over the JVM's 64 KB, so the driver logs all of it and tasks interpret it
 
 
+def test_order_lines_are_not_sorted_to_find_their_art(spark):
+    plans = _plans(spark, lambda: queries.QUERIES["sheet_copies"](spark, DATA).write.format("noop").mode("overwrite").save())
+    assert any("ShuffledHashJoin" in p for p in plans)
+    assert not any(re.search(r"SortMergeJoin|[+-] Sort ", p) for p in plans)
+
+
 @pytest.mark.parametrize("made", [views.tiles, views.pixels])
 def test_art_is_made_in_many_tasks(spark, made):
     assert made(views.art(spark, DATA)).select(F.spark_partition_id().alias("p")).distinct().count() == 4  # the session's shuffle partitions; the file is one split
