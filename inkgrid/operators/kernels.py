@@ -22,6 +22,32 @@ def rnd(x):
     return np.floor(x + 0.5)
 
 
+# ---- rasters side by side
+
+
+class Box(NamedTuple):
+    """Where one of several rasters lies in an array that holds them all, and where its first pixel is in its image."""
+
+    rows: slice
+    columns: slice
+    left: int
+    top: int
+
+
+def side_by_side(rasters: list[tuple[int, int, int, int]], gap: int, width: int = 512) -> tuple[list[Box], tuple[int, int]]:
+    """(boxes, shape of the array) of rasters (height, width, left, top), in shelves of about `width` pixels with `gap` empty pixels between any two: steps that look no further than that give each of them what it gives alone, so that
+    many small rasters cost one call."""
+    boxes, width = [None] * len(rasters), max([width, *(r[1] for r in rasters)])
+    x, y, high, wide = 0, 0, 0, 0
+    for i in sorted(range(len(rasters)), key=lambda i: rasters[i][:2], reverse=True):
+        h, w, left, top = rasters[i]
+        if x and x + w > width:
+            x, y, high = 0, y + high + gap, 0
+        boxes[i] = Box(slice(y, y + h), slice(x, x + w), left, top)
+        high, wide, x = max(high, h), max(wide, x + w), x + w + gap
+    return boxes, (y + high, wide)
+
+
 # ---- coverage
 
 
@@ -105,6 +131,18 @@ def thresholds(h: int, w: int, left: int, top: int, o: dict, dpi: float = 300.0)
     return disc
 
 
+def thresholds_of(boxes: list[Box], shape: tuple[int, int], o: dict, dpi: float = 300.0) -> np.ndarray:
+    """thresholds() of rasters side by side, made once for all that begin at the same place."""
+    out, most = np.zeros(shape), {}
+    for b in boxes:
+        h, w = most.get((b.left, b.top), (0, 0))
+        most[b.left, b.top] = max(h, b.rows.stop - b.rows.start), max(w, b.columns.stop - b.columns.start)
+    made = {(left, top): thresholds(h, w, left, top, o, dpi) for (left, top), (h, w) in most.items()}
+    for b in boxes:
+        out[b.rows, b.columns] = made[b.left, b.top][: b.rows.stop - b.rows.start, : b.columns.stop - b.columns.start]
+    return out
+
+
 # ---- neighbourhoods
 
 
@@ -112,8 +150,9 @@ def shifted(x: np.ndarray, dy: int, dx: int, fill=0) -> np.ndarray:
     """out[y, x] = x[y + dy, x + dx], `fill` outside."""
     h, w = x.shape[:2]
     out = np.full_like(x, fill)
-    ys, xs = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
-    out[ys, xs] = x[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
+    if abs(dy) < h and abs(dx) < w:
+        ys, xs = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
+        out[ys, xs] = x[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
     return out
 
 
@@ -433,8 +472,20 @@ def halo(o: dict, dpi: float = 300.0) -> int:
     return clean + (pores - 1 if pores > 1 else 0) + near + {0: 0, 1: 5, 2: 57}[o["presmooth"]]
 
 
-def prepare(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.ndarray | None = None, selection: np.ndarray | None = None, dpi: float = 300.0) -> Prepared:
-    """Screens one raster: all that doesn't ask how far a component goes. source: the colour that ink has at each pixel; opened: the screen after an opening, or as it is; candidate: where a pore may be filled."""
+def reach(o: dict) -> int:
+    """How far the steps of prepare() and process() look that take rasters side by side in one call; the others take them box by box."""
+    return max(1, o["edge_radius"] if o["protection"] == "edges" else 0, o["defringe_radius"] if o["defringe"] else 0, 5 if o["presmooth"] else 0)
+
+
+def _image_box(inside: np.ndarray, left: int, top: int) -> list[Box]:
+    """The rectangle of an array that is of the image."""
+    ys, xs = np.flatnonzero(inside.any(1)), np.flatnonzero(inside.any(0))
+    return [Box(slice(ys[0], ys[-1] + 1), slice(xs[0], xs[-1] + 1), left + int(xs[0]), top + int(ys[0]))] if len(ys) else []
+
+
+def prepare(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.ndarray | None = None, selection: np.ndarray | None = None, dpi: float = 300.0, boxes: list[Box] | None = None) -> Prepared:
+    """Screens one raster: all that doesn't ask how far a component goes. source: the colour that ink has at each pixel; opened: the screen after an opening, or as it is; candidate: where a pore may be filled. boxes: the array holds several rasters,
+    reach() apart, and inside is what lies in a box."""
     h, w = rgba.shape[:2]
     if inside is None or inside.all():
         inside = np.ones((h, w), bool)
@@ -446,8 +497,9 @@ def prepare(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.n
     if o["presmooth"]:
         plane = np.where(plain <= 0, 0, np.clip(rnd(plain * 65535.0), 1, 65535))
         plane = gaussian(plane, a)
-        if o["presmooth"] == 2:
-            plane = guided(plane, a, left, top, o)
+        if o["presmooth"] == 2:  # blocks are the image's: what is beyond it has none
+            for b in boxes if boxes is not None else _image_box(inside, left, top):
+                plane[b.rows, b.columns] = guided(plane[b.rows, b.columns], a[b.rows, b.columns], b.left, b.top, o)
         raw = np.where(a > 0, plane / 65535.0, 0.0)
     value = levels(raw, o)
     solid = (plain >= 0.5) & (a > 0)
@@ -459,12 +511,17 @@ def prepare(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.n
         protected = edge_protected(rgba, levels(plain, o) if o["presmooth"] else value, o["edge_radius"], o["edge_contrast"], inside)
     candidate = (a > 0) & (value >= floor) & (value > 0) & ~protected
     if o["halftone"]:
-        dots = (value >= 1) | (value > thresholds(h, w, left, top, o, dpi))
+        dots = (value >= 1) | (value > (thresholds(h, w, left, top, o, dpi) if boxes is None else thresholds_of(boxes, (h, w), o, dpi)))
     else:
         dots = value * 255.0 >= o["alpha_threshold"]
     screened = protected | (candidate & dots)
     opening = opening_of(o) if o["cleanup_mode"] == "opening" else None
-    ink = opened(screened, inside, *opening, protected) if opening else screened
+    ink = opened(screened, inside, *opening, protected) if opening and boxes is None else screened
+    if opening and boxes is not None:
+        ink = screened.copy()
+        for b in boxes:
+            at = b.rows, b.columns
+            ink[at] = opened(screened[at], inside[at], *opening, protected[at])
     if not (o["defringe"] or m is not None or o["shadow_boost"] or o["color_boost"]):  # colours as they are
         return Prepared(rgba[..., :3], screened, ink, protected, candidate, solid)
     color = rgba[..., :3].astype(np.float64)
@@ -487,9 +544,9 @@ def printed(source: np.ndarray, ink: np.ndarray) -> np.ndarray:
     return out
 
 
-def process(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.ndarray | None = None, selection: np.ndarray | None = None, dpi: float = 300.0) -> Result:
-    """Screens and cleans one raster. inside: pixels of the image (the rest of a tile's surroundings has none); selection: soft mask, 0 to 255."""
-    p = prepare(rgba, o, left, top, inside, selection, dpi)
+def process(rgba: np.ndarray, o: dict, left: int = 0, top: int = 0, inside: np.ndarray | None = None, selection: np.ndarray | None = None, dpi: float = 300.0, boxes: list[Box] | None = None) -> Result:
+    """Screens and cleans one raster. inside: pixels of the image (the rest of a tile's surroundings has none); selection: soft mask, 0 to 255; boxes: as for prepare()."""
+    p = prepare(rgba, o, left, top, inside, selection, dpi, boxes)
     least, pores = areas(o, dpi)
     ink, particles = p.opened, np.zeros((0, 2), np.int64)
     if o["cleanup_mode"] != "opening":
