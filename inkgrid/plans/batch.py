@@ -162,7 +162,7 @@ def run_batch(
     art = good.select(F.col("id").alias("image_id"), F.col("plan.width").cast("int").alias("width"), F.col("plan.height").cast("int").alias("height"), "recipe_id", "batch_white", F.col("white_choke_mm").alias("choke_mm"))
 
     def printed() -> DataFrame:
-        jobs = good.select(F.col("id").alias("variant_id"), "image_id", "width", "height", F.col("plan.width").cast("int").alias("out_width"), F.col("plan.height").cast("int").alias("out_height"), "from_x", "from_y")
+        jobs = good.select(F.col("id").alias("variant_id"), "image_id", "width", "height", F.col("plan.width").cast("int").alias("out_width"), F.col("plan.height").cast("int").alias("out_height"), "from_x", "from_y", "recipe_id")  # with its recipe a print is screened where it was resampled
         return process_tiles(resample_tiles(tiles, jobs, core).withColumnRenamed("variant_id", "image_id"), art, full, core)
 
     out = stage(spark, f"{path}/tiles", printed)
@@ -178,7 +178,7 @@ def _planned(variants: DataFrame, tiles: DataFrame, artworks: DataFrame, extra:
     if extra.where("trim_art").isEmpty():  # a question to the recipes
         v = v.withColumns({"from_x": F.lit(0), "from_y": F.lit(0), "width": F.col("art_width"), "height": F.col("art_height"), "bare": F.lit(False)})
     else:
-        box = tile_bounds(tiles.join(v.where("trim_art").select("image_id").distinct().hint("shuffle_hash"), "image_id", "left_semi"))
+        box = tile_bounds(tiles)  # of a tile four numbers are moved, and not its pixels to leave some art out
         v = v.join(box.select("image_id", *(F.col(c).alias(f"box_{c}") for c in ("left", "top", "width", "height"))), "image_id", "left")
         cut = lambda c, whole: F.when(F.col("trim_art"), F.col(c)).otherwise(whole)
         v = v.withColumns({"from_x": cut("box_left", F.lit(0)), "from_y": cut("box_top", F.lit(0)), "width": cut("box_width", F.col("art_width")), "height": cut("box_height", F.col("art_height")), "bare": F.col("trim_art") & F.col("box_left").isNull()})
